@@ -1,14 +1,16 @@
 """SentencePiece encoding and decoding with Gumbel top-k sampling without replacement.
 
 The lattice of a text holds every way to cut it into pieces of the vocabulary; pieces weigh by a Zipf law of
-their merge rank (a BPE model stores ranks, no probabilities).  With the lattice's exact backward sums as
-heuristic, a perturbed A* search emits segmentations in the order of their Gumbel-perturbed log-probabilities:
-the first k are a sample of k without replacement.  A popped prefix keeps its perturbed value along
-its best child, so one pop is one walk to the end of the text; the other children on the way get
-values conditioned on being smaller and wait on the agenda.  The walks of a batch of texts go in step in numpy.
-
-No piece has a space after another character, so the lattice of a text is a chain of word lattices, and a word's
-is built once.  Noise is a hash of row key, walk, word place and edge: a row's samples depend on nothing else.
+their merge rank (a BPE model stores ranks, no probabilities).  A perturbed A* search emits segmentations in the order of
+their Gumbel-perturbed log-probabilities: the first k are a sample of k without replacement.  Its agenda
+holds regions of the lattice, each with its largest perturbed value; the lattice's exact backward sums give a region's
+mass, so the heuristic is exact.  Popping a region walks to its best segmentation and splits the rest, word by
+word, into ``same words up to here, another cut of this word``; their largest values are Gumbels cut off at the popped
+one.  Only the best few regions of a walk can ever be popped, and only those are kept.
+
+No piece has a space after another character, so the lattice of a text is a chain of word lattices, a word's
+is built once, and the walks of a batch of texts go in step in numpy.  Noise is a hash of row key, walk, word place and
+step: a row's samples depend on nothing else.
 """
 
 from __future__ import annotations
@@ -42,16 +44,29 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def gumbel(x: np.ndarray) -> np.ndarray:
-    """Standard Gumbel noise from hashed words."""
+def uniform(x: np.ndarray) -> np.ndarray:
+    """Uniform noise in (0, 1) from words to be hashed."""
     u = (mixed(x) >> np.uint64(11)).astype(np.float64)
     u += 0.5
     u *= 2.0**-53
-    return -np.log(-np.log(u))
+    return u
+
+
+def gumbel(x: np.ndarray) -> np.ndarray:
+    """Standard Gumbel noise."""
+    return -np.log(-np.log(uniform(x)))
+
+
+def times_gold(n: int) -> np.uint64:
+    return np.uint64(n * int(_gold) % (1 << 64))
 
 
 class Pool:
-    """Word lattices side by side: edges sorted by node, with log-probabilities given that the node was reached."""
+    """Word lattices side by side: edges by node, likeliest first.
+
+    Of an edge: its log-probability given that its node was reached, the same for the node's other edges together, and
+    the node's running probability up to it (over 1 at the last).
+    """
 
     def __init__(self) -> None:
         self.word: dict[str, int] = {}
@@ -62,10 +77,11 @@ class Pool:
         self.word.clear()
         self.n_nodes = self.n_edges = 0
         if not len(self.first):
-            self.first, self.lp = np.zeros(2_000_000, np.int64), np.zeros(6_000_000)
+            self.first = np.zeros(2_000_000, np.int64)
+            self.lp, self.rest, self.upto = (np.zeros(6_000_000) for _ in range(3))
             self.to, self.id = np.zeros(6_000_000, np.int32), np.zeros(6_000_000, np.int32)
 
-    def extend(self, degrees: np.ndarray, to: np.ndarray, ids: np.ndarray, lp: np.ndarray) -> None:
+    def extend(self, degrees: np.ndarray, **columns: np.ndarray) -> None:
         def put(name: str, at: int, values: np.ndarray) -> None:
             array = getattr(self, name)
             if at + len(values) > len(array):
@@ -73,10 +89,10 @@ class Pool:
             array[at : at + len(values)] = values
 
         put("first", self.n_nodes + 1, self.n_edges + np.cumsum(degrees))
-        for name, values in (("to", to), ("id", ids), ("lp", lp)):
+        for name, values in columns.items():
             put(name, self.n_edges, values)
         self.n_nodes += len(degrees)
-        self.n_edges += len(to)
+        self.n_edges += int(degrees.sum())
 
 
 class PrefixTable:
@@ -126,8 +142,8 @@ class PrefixTable:
             wrong = wrong[(number[wrong] > 0) & (self.keys[slot[wrong]] != h[wrong])]
         return number
 
-    def matches(self, code: np.ndarray, end: np.ndarray) -> tuple:
-        """``(place, length, id, weight)`` of every piece that stands in the text and ends by ``end`` of its place."""
+    def matches(self, code: np.ndarray, end: np.ndarray) -> list[tuple]:
+        """By length, ``(places, length, ids, weights)`` of the pieces that stand in the text and end by ``end`` of their place."""
         at, h = np.arange(len(code)), np.zeros(len(code), np.uint64)
         out = []
         for length in range(1, self.longest + 1):
@@ -136,12 +152,12 @@ class PrefixTable:
             ok = number > 0
             at, h, number = at[ok], h[ok], number[ok]
             piece = np.flatnonzero(self.id[number] >= 0)
-            out.append((at[piece], np.full(len(piece), length), self.id[number[piece]], self.weight[number[piece]]))
+            out.append((at[piece], length, self.id[number[piece]], self.weight[number[piece]]))
             more = at + length < end[at]
             at, h = at[more], h[more]
             if not len(at):
                 break
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        return out
 
 
 class PieceLattice:
@@ -178,22 +194,29 @@ class PieceLattice:
         code = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
         n = len(code)
         end = np.repeat(ends, sizes)
-        at, length, ids, weight = self.table.matches(code, end)
+        groups = self.table.matches(code, end)
         single = np.zeros(n, bool)
-        single[at[length == 1]] = True
+        single[groups[0][0]] = True
         odd = np.flatnonzero(~single)
         if len(odd):
             known = np.array([self.byte[c] if c < 128 else -1 - c for c in code[odd].tolist()], np.int64)
-            at, length = np.concatenate([at, odd]), np.concatenate([length, np.ones(len(odd), np.int64)])
-            ids, weight = np.concatenate([ids, known]), np.concatenate([weight, np.full(len(odd), self.unknown)])
-        order = np.lexsort((length, at))
-        at, to, ids, weight = at[order], (at + length)[order], ids[order], weight[order]
-        degree = np.bincount(at, minlength=n)
+            groups.append((odd, 1, known, np.full(len(odd), self.unknown)))
+        degree = np.zeros(n, np.int64)
+        for at, *_ in groups:
+            degree[at] += 1
         first = np.cumsum(degree) - degree
+        # a node's edges, longest first: those take most of its probability
+        put = first + degree
+        size = int(degree.sum())
+        at_, to, ids, weight = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size)
+        for at, length, piece, w in groups[-1:] * bool(len(odd)) + groups[: len(groups) - bool(len(odd))]:
+            put[at] -= 1
+            place = put[at]
+            at_[place], to[place], ids[place], weight[place] = at, at + length, piece, w
         # backward sums, for all words at once, from the last character on
         left = end - np.arange(n)
-        by_left = np.argsort(left, kind="stable")
-        cuts = np.searchsorted(left[by_left], np.arange(1, int(sizes.max()) + 2))
+        by_left = np.argsort(left.astype(np.uint16) if sizes.max() < 1 << 16 else left, kind="stable")
+        cuts = np.cumsum(np.append(0, np.bincount(left)[1:]))
         beta = np.zeros(n + 1)
         last = np.zeros(n + 1, bool)
         last[ends] = True
@@ -206,49 +229,74 @@ class PieceLattice:
             value = weight[edge] + np.where(stop[edge], 0.0, beta[to[edge]])
             top = np.maximum.reduceat(value, start)
             beta[node] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, d)), start))
-        lp = weight + np.where(stop, 0.0, beta[to]) - beta[at]
+        lp = weight + np.where(stop, 0.0, beta[to]) - beta[at_]
+        p = np.exp(lp)
+        large = p >= 0.5  # one edge of a node at most: the sum of the others keeps its digits
+        others = np.add.reduceat(np.where(large, 0.0, p), first)
+        with np.errstate(divide="ignore"):
+            rest = np.where(large, np.log(others)[at_], np.log1p(-np.where(large, 0.0, p)))
+        run = np.cumsum(p)
+        upto = run - (run[first] - p[first])[at_]
+        upto[first + degree - 1] = 2.0
         pool.word.update(zip(words, (pool.n_nodes + ends - sizes).tolist(), strict=True))
-        pool.extend(degree, np.where(stop, -1, pool.n_nodes + to), ids, lp)
-
-    def _walk(self, node: np.ndarray, salt: np.ndarray, edge0: np.ndarray, step0: np.ndarray) -> tuple:
-        """Walks each word from its node to its end along the best perturbed edges.
+        pool.extend(degree, to=np.where(stop, -1, pool.n_nodes + to), id=ids, lp=lp, rest=rest, upto=upto)
 
-        Gives the tokens ``(place, step, edge)`` in order, each place's first token, and step by step the edges
-        not taken: ``(place, step, edge, value - best value, best value)``.
-        """
+    def _walk(self, node: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A drawn way through each word from its first node: the edges of all words in order, and each word's first."""
         pool = self.pool
-        place = np.arange(len(node))
-        tokens, others = [], []
-        step = step0.copy()
+        place, steps = np.arange(len(node)), []
+        count = np.zeros(len(node), np.int64)
         while len(place):
-            first, degree = pool.first[node], pool.first[node + 1] - pool.first[node]
-            taken = first.copy()
-            many = np.flatnonzero(degree > 1)
-            if len(many):
-                d = degree[many]
-                start = np.cumsum(d) - d
-                edge = np.repeat(first[many] - start, d) + np.arange(int(d.sum()))
-                at = np.repeat(place[many], d)
-                value = pool.lp[edge] + gumbel(salt[at] + (edge - edge0[at]).astype(np.uint64) * _gold)
-                best = np.maximum.reduceat(value, start)
-                gap = value - np.repeat(best, d)
-                won = np.flatnonzero(gap == 0)
-                won = won[np.concatenate([[True], at[won][1:] != at[won][:-1]])]
-                taken[many] = edge[won]
-                lost = np.ones(len(edge), bool)
-                lost[won] = False
-                others.append((at[lost], step[at[lost]], edge[lost], gap[lost], np.repeat(best, d)[lost]))
-            tokens.append((place, step[place], taken))
-            node = pool.to[taken]
-            step[place] += 1
-            go = node >= 0
+            edge = pool.first[node]
+            u = uniform(salt[place] + times_gold(len(steps) + 1))
+            far = np.flatnonzero(u >= pool.upto[edge])
+            while len(far):
+                edge[far] += 1
+                far = far[u[far] >= pool.upto[edge[far]]]
+            steps.append((place, edge))
+            node = pool.to[edge]
+            go = np.flatnonzero(node >= 0)
+            count[place] += 1
             place, node = place[go], node[go]
-        count = step - step0
-        offset = np.cumsum(count) - count
-        whole = np.zeros(int(count.sum()), np.int64)
-        for at, s, taken in tokens:
-            whole[offset[at] + s - step0[at]] = taken
-        return np.repeat(np.arange(len(step0)), count), np.arange(len(whole)) - np.repeat(offset - step0, count), whole, offset, others
+        begin = np.cumsum(count) - count
+        edges = np.zeros(int(count.sum()), np.int64)
+        for n, (at, edge) in enumerate(steps):
+            edges[begin[at] + n] = edge
+        return edges, begin
+
+    def _others(self, node: int, taken: list[tuple[int, ...]]) -> list[tuple[tuple[int, ...], float]]:
+        """The least prefixes that lead away from all the taken ways through a word, with log-probabilities."""
+        pool, out = self.pool, []
+        full = set(taken)
+        prefixes = sorted({t[:n] for t in taken for n in range(len(t))}, key=lambda x: (len(x), x))
+        known = set(prefixes) | full
+        mass = {(): 0.0}
+        for prefix in prefixes:
+            at = int(pool.to[prefix[-1]]) if prefix else node
+            for e in range(int(pool.first[at]), int(pool.first[at + 1])):
+                way, lp = (*prefix, e), mass[prefix] + float(pool.lp[e])
+                if way in known:
+                    mass[way] = lp
+                else:
+                    out.append((way, lp))
+        return out
+
+    def _another(self, node: int, taken: list[tuple[int, ...]], salt: int) -> tuple[tuple[int, ...], float]:
+        """A drawn way through a word other than the taken ones, and the log-probability of those still left."""
+        pool = self.pool
+        ways = self._others(node, taken)
+        noise = gumbel(np.arange(salt, salt + len(ways), dtype=np.uint64))
+        way = ways[int(np.argmax(noise + [lp for _, lp in ways]))][0]
+        step, at = 0, int(pool.to[way[-1]])
+        while at >= 0:
+            step += 1
+            u = float(uniform(np.array([salt + (1 << 32) + step], np.uint64))[0])
+            e = int(pool.first[at])
+            while u >= pool.upto[e]:
+                e += 1
+            way, at = (*way, e), int(pool.to[e])
+        left = self._others(node, [*taken, way])
+        return way, float(np.logaddexp.reduce([lp for _, lp in left])) if left else -math.inf
 
     def samples(self, texts: list[str | None], keys: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
         """For each text up to k distinct segmentations: ``(ids, log-probability, perturbed value, inclusion score)``.
@@ -263,98 +311,94 @@ class PieceLattice:
         missing = set().union(*each).difference(pool.word)
         if missing:
             self._learn(list(missing))
-        get = pool.word.__getitem__
         sizes = np.array([len(w) for w in each], np.int64)
-        base = np.fromiter(map(get, chain.from_iterable(each)), np.int64, int(sizes.sum()))
+        base = np.fromiter(map(pool.word.__getitem__, chain.from_iterable(each)), np.int64, int(sizes.sum()))
         start = np.concatenate([[0], np.cumsum(sizes)])
-        doc = np.repeat(np.arange(len(texts)), sizes)
-        inside = np.arange(len(base)) - start[doc]
-        edge0 = pool.first[base]
+        inside = (np.arange(len(base)) - np.repeat(start[:-1], sizes)).astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
         root = mixed(keys.astype(np.int64).view(np.uint64) + np.uint64(1))
-        out: list[list] = [[] for _ in texts]
-        agenda: list[list[tuple]] = [[] for _ in texts]
-        paths: dict[tuple[int, int], tuple] = {}
         value = gumbel(root)
-        for d in range(len(texts)):
-            if sizes[d]:
-                agenda[d].append((-float(value[d]), 0, -1, -1, -1))
-            else:
-                out[d].append((np.zeros(0, np.int32), 0.0, float(value[d]), 1.0))
-        for round_ in range(k):
-            popped = [(d, heapq.heappop(agenda[d])) for d in range(len(texts)) if agenda[d] and len(out[d]) == round_]
+        out: list[list] = [[] for _ in texts]
+        # of a region: minus its value, the walk it left, the word that is cut otherwise, and that word's ways already taken
+        agenda: list[list[tuple[float, int, int, list]]] = [[(-float(value[d]), -1, -1, [])] if sizes[d] else [] for d in range(len(texts))]
+        paths: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        for d in np.flatnonzero(sizes == 0).tolist():
+            out[d].append((np.zeros(0, np.int32), 0.0, float(value[d]), 1.0))
+        for walk in range(k):
+            popped = [(d, *heapq.heappop(agenda[d])) for d in range(len(texts)) if agenda[d] and len(out[d]) == walk]
             if not popped:
                 break
-            where = np.array([d for d, _ in popped])
-            top = np.array([-p[0] for _, p in popped])
-            head = [paths[d, p[1]] if p[2] >= 0 else None for d, p in popped]
-            # where each walk begins: at the text's first word, or past the edge that the popped prefix ends with
-            begin = np.array([start[d] if p[2] < 0 else p[2] for d, p in popped])
+            heads, prior, begin = [], np.zeros(len(popped)), np.zeros(len(popped), np.int64)
+            for n, (d, minus, old, word, taken) in enumerate(popped):
+                if word < 0:
+                    heads.append(None)
+                    begin[n] = start[d]
+                    continue
+                edges, first = paths[d, old]
+                w = word - int(start[d])
+                cut = int(first[w])
+                if not taken:
+                    taken = [tuple(edges[cut : int(first[w + 1]) if w + 1 < len(first) else len(edges)].tolist())]
+                salt = int(mixed(root[d : d + 1] + times_gold(walk + 1) + inside[word : word + 1] + np.uint64(7))[0]) >> 1
+                way, left = self._another(int(base[word]), taken, salt)
+                heads.append((np.concatenate([edges[:cut], way]), first[: w + 1]))
+                before = float(pool.lp[edges[:cut]].sum())
+                prior[n] = before + float(pool.lp[list(way)].sum())
+                begin[n] = word + 1
+                if left > -math.inf:
+                    t = before + left + float(gumbel(np.array([salt + (1 << 33)], np.uint64))[0])
+                    heapq.heappush(agenda[d], (float(np.logaddexp(minus, -t)), old, word, [*taken, way]))
+            where = np.array([p[0] for p in popped])
+            top = np.array([-p[1] for p in popped])
             lengths = start[where + 1] - begin
-            owner = np.repeat(np.arange(len(popped)), lengths)
-            occ = np.repeat(begin - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
-            node, step0 = base[occ].copy(), np.zeros(len(occ), np.int64)
             opens = np.cumsum(lengths) - lengths
-            done = np.zeros(len(occ), bool)  # words that the popped edge itself ends
-            for n, (_, p) in enumerate(popped):
-                if p[2] >= 0:
-                    node[opens[n]], step0[opens[n]] = pool.to[p[4]], p[3] + 1
-                    done[opens[n]] = node[opens[n]] < 0
-            live = np.flatnonzero(~done)
-            salt = mixed(root[doc[occ]] + np.uint64((round_ + 1) * int(_gold) % (1 << 64)) + inside[occ].astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
-            place, step, edge, offset, others = self._walk(node[live], salt[live], edge0[occ][live], step0[live])
-            place = live[place]
-            lp = pool.lp[edge]
-            prior = np.zeros(len(popped))
-            for n, h in enumerate(head):
-                if h is not None:
-                    p = popped[n][1]
-                    cut = int(np.searchsorted(h[0] * (1 << 20) + h[1], p[2] * (1 << 20) + p[3]))
-                    head[n] = tuple(x[:cut] for x in h)
-                    prior[n] = pool.lp[head[n][2]].sum() + pool.lp[p[4]]
-            mine = owner[place]
-            bounds = np.searchsorted(mine, np.arange(len(popped) + 1))
+            occ = np.repeat(begin - opens, lengths) + np.arange(int(lengths.sum()))
+            salt = mixed(np.repeat(root[where], lengths) + times_gold(walk + 1) + inside[occ])
+            edges, first = self._walk(base[occ], salt)
+            lp = pool.lp[edges]
             total = np.concatenate([[0.0], np.cumsum(lp)])
-            before = total[:-1] - total[bounds[mine]] + prior[mine]  # log-probability up to each token
-            # Given the walk's value G a child's is -log(exp(-G) + exp(-t)), which rises with its own t: only the
-            # best few t of each walk can ever be popped.
-            want = k + 1 - round_
-            best_t = np.full((len(popped), want), -np.inf)
-            for at, s, e, gap, best in others:
-                t = before[offset[at] + s - step0[live[at]]] + best - np.log(np.expm1(np.maximum(-gap, 1e-300)))
-                own = owner[live[at]]
-                near = np.flatnonzero(t > best_t[own, -1])
-                while len(near):
-                    mine_t, mine_own = t[near], own[near]
-                    seg = np.flatnonzero(np.concatenate([[True], mine_own[1:] != mine_own[:-1]]))
-                    high = np.maximum.reduceat(mine_t, seg)
-                    hits = np.flatnonzero(mine_t == np.repeat(high, np.diff(np.append(seg, len(near)))))
-                    hits = hits[np.concatenate([[True], mine_own[hits][1:] != mine_own[hits][:-1]])]
-                    for h in near[hits].tolist():
-                        o = int(own[h])
-                        if t[h] > best_t[o, -1]:
-                            best_t[o, -1] = t[h]
-                            best_t[o].sort()
-                            best_t[o] = best_t[o][::-1].copy()
-                            g = top[o] - np.logaddexp(0.0, top[o] - t[h])
-                            heapq.heappush(agenda[int(where[o])], (-float(g), round_, int(occ[live[at[h]]]), int(s[h]), int(e[h])))
-                    t[near[hits]] = -np.inf
-                    near = near[t[near] > best_t[own[near], -1]]
-            for n, (d, p) in enumerate(popped):
-                lo, hi = bounds[n], bounds[n + 1]
-                parts = [occ[place[lo:hi]], step[lo:hi], edge[lo:hi]]
-                if head[n] is not None:
-                    parts = [np.concatenate([h, [x], t]) for h, x, t in zip(head[n], (p[2], p[3], p[4]), parts, strict=True)]
-                paths[d, round_] = tuple(parts)
-                ids = pool.id[parts[2]]
-                if len(ids) and ids.min() < 0:
+            word_at = np.append(total[first], total[-1])
+            doc_at = word_at[np.append(opens, len(first))]
+            if len(first):
+                upto = word_at[:-1] + np.repeat(prior - doc_at[:-1], lengths)  # log-probability before each word
+                count = np.diff(np.append(first, len(edges)))
+                with np.errstate(divide="ignore"):
+                    other = np.log(np.add.reduceat(np.exp(total[:-1] - np.repeat(word_at[:-1], count) + pool.rest[edges]), first))
+                self._regions(upto + other + gumbel(salt + np.uint64(3)), opens, lengths, occ, top, where, walk, k - walk, agenda)
+            bounds = np.append(first, len(edges))[np.append(opens, len(first))]
+            for n, (d, *_) in enumerate(popped):
+                mine, at = edges[bounds[n] : bounds[n + 1]], first[opens[n] : opens[n] + lengths[n]] - bounds[n]
+                if heads[n] is not None:
+                    head, head_first = heads[n]
+                    mine, at = np.concatenate([head, mine]), np.concatenate([head_first, at + len(head)])
+                paths[d, walk] = mine, at
+                ids = pool.id[mine]
+                if ids.min() < 0:
                     ids = self._spelt(ids)
-                out[d].append((ids, float(prior[n] + total[hi] - total[lo]), float(top[n]), 1.0))
+                out[d].append((ids, float(prior[n] + doc_at[n + 1] - doc_at[n]), float(top[n]), 1.0))
         for d, found in enumerate(out):
             if agenda[d]:
                 kappa = -agenda[d][0][0]
                 out[d] = [(ids, lp, g, -math.expm1(-math.exp(min(lp - kappa, 700.0)))) for ids, lp, g, _ in found]
         return out
 
+    @staticmethod
+    def _regions(t: np.ndarray, opens: np.ndarray, lengths: np.ndarray, occ: np.ndarray, top: np.ndarray, where: np.ndarray, walk: int, want: int, agenda: list[list]) -> None:
+        """Puts each walk's ``want`` best regions on the agenda.
+
+        Below a walk's value G a region's is -log(exp(-G) + exp(-t)), which rises with t.
+        """
+        some = np.flatnonzero(lengths)
+        seg, reps = opens[some], lengths[some]
+        for _ in range(want):
+            high = np.maximum.reduceat(t, seg)
+            hits = np.flatnonzero(t == np.repeat(high, reps))
+            own = np.searchsorted(seg, hits, "right") - 1
+            hits = hits[np.concatenate([[True], own[1:] != own[:-1]])]
+            for h, n, best in zip(hits.tolist(), some.tolist(), high.tolist(), strict=True):
+                if best > -math.inf:
+                    heapq.heappush(agenda[where[n]], (float(np.logaddexp(-top[n], -best)), walk, int(occ[h]), []))
+            t[hits] = -np.inf
+
     def _spelt(self, ids: np.ndarray) -> np.ndarray:
         """Ids with unknown characters spelt in byte pieces."""
         full: list[int] = []
