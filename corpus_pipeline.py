@@ -23,13 +23,13 @@ ORACLE_SQL = None
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores 0.3 or more; it learns from the labelled ones that aren't held out."""
     model = quality.fit_quality(docs.where(~held_out()), table(spark, sf_dir, "labels").where(~held_out()))
-    return _kept(docs, quality.rate(docs, model, column="_score").where(F.col("_score") >= PASS))
+    return quality.rate(_packed(docs), model, ["row"]).where(F.col("score") >= PASS).select("row.*")
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language: null texts and texts without letters go."""
     model = language.fit_language(docs.where(~held_out()))
-    return _kept(docs, language.identify(docs, model).where(F.col("lang_pred") != language.UNKNOWN))
+    return language.identify(_packed(docs), model, ["row"]).where(F.col("lang_pred") != language.UNKNOWN).select("row.*")
 
 
 def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,8 +62,9 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ]
 
 
-def _kept(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    return judged.select(*[F.col(f"`{c}`") for c in docs.columns])
+def _packed(docs: DataFrame) -> DataFrame:
+    """The rows as one column beside their text, so that no name clashes with a stage's own."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

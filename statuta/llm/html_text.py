@@ -372,7 +372,7 @@ class Layout:
                     if k < len(lines) and lines[k]:
                         value = value.ljust(starts[column]) if len(value) <= starts[column] else value + "  "
                         value += lines[k]
-                self.put(value) if value.strip() else None
+                self.put(value)
         self.block(True)
 
     @staticmethod
