@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
+from statuta.plans import aggregate_queries, filter_queries, retrieval_queries, stream_queries, write_queries
+from statuta.plans.registry import ORACLES, QUERIES, Query
+
+__all__ = ["aggregate_queries", "filter_queries", "flagship", "oracle_sql", "queries", "retrieval_queries", "stream_queries", "write_queries"]
+
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The fused ranking of the benchmark questions over the documents."""
+    return retrieval_queries.hybrid(spark, sf_dir)
