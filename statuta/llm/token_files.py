@@ -8,6 +8,7 @@ fits a dictionary page), or delta coded if asked for.
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 import zlib
@@ -24,10 +25,11 @@ from statuta.runtime import shared_dir
 
 #: Texts of these characters only are cut into pre-tokens here: normalisation leaves them alone but for case.
 PLAIN = re.compile(r"[\t\n\r -~À-ÿ]*")
-#: The tokenizer's own pre-token pattern, on lower-cased text of those characters.
-PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+#: The tokenizer's own pre-token pattern, on lower-cased text of those characters (what starts alike keeps its order).
+PRE_TOKEN = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\sa-zß-öø-ÿ0-9]+")
 WORD_END = "</w>"
-MOST_KEPT = 250_000
+#: Pre-tokens kept in each of two generations.
+MOST_KEPT = 200_000
 _open: dict[str, WordEncoder] = {}
 
 
@@ -39,53 +41,64 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
+        # the same model for ready pre-tokens, which need no normalising and stand apart by spaces
+        self.by_space = Tokenizer.from_file(path)
+        self.by_space.normalizer = normalizers.Sequence([])
+        self.by_space.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.library.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         for token, i in vocab.items():
             self.ends[i] = token.endswith(WORD_END)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, found: set[str]) -> None:
-        missing = list(found)
-        ids = np.array(self.library.encode(" ".join(missing), add_special_tokens=False).ids, "<u4")
+    def _learn(self, missing: list[str]) -> None:
+        found = self.by_space.encode_batch_fast([" ".join(missing[i : i + 4096]) for i in range(0, len(missing), 4096)], add_special_tokens=False)
+        ids = np.array([i for e in found for i in e.ids], "<u4")
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != len(missing):
             self.kept.update((w, self._whole(w)) for w in missing)
             return
-        data, last = ids.tobytes(), 0
-        for word, end in zip(missing, (ends * 4).tolist(), strict=True):
-            self.kept[word] = data[last:end]
-            last = end
+        data, ends = ids.tobytes(), (ends * 4).tolist()
+        self.kept.update(zip(missing, map(data.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        split = [self._split(t) for t in texts]
-        need = {w for parts in split for w in parts if isinstance(w, str)}
-        missing = need.difference(self.kept)
-        if len(self.kept) + len(missing) > MOST_KEPT:
-            self.kept = {w: self.kept[w] for w in need.difference(missing)}
-        if missing:
-            self._learn(missing)
+        plain, odd = [], {}
+        for n, text in enumerate(texts):
+            if not text or (PLAIN.fullmatch(text) and not any(s in text for s in self.special)):
+                plain.append(PRE_TOKEN.findall(text.lower()) if text else [])
+            else:
+                odd[n] = self._chunks(text)
+                plain.append([p for p in odd[n] if isinstance(p, str)])
+        if len(self.kept) > MOST_KEPT:
+            self.kept, self.older = {}, self.kept
+        need = set().union(*plain)
+        need.difference_update(self.kept)
+        if known := need.intersection(self.older):
+            self.kept.update((w, self.older[w]) for w in known)
+            need -= known
+        if need:
+            self._learn(list(need))
         get = self.kept.__getitem__
-        return [b"".join(map(get, parts)) if plain else b"".join(p if isinstance(p, bytes) else get(p) for p in parts) for parts, plain in zip(split, (not any(isinstance(p, bytes) for p in parts[:1]) for parts in split), strict=True)]
-
-    def _split(self, text: str | None) -> list:
-        """Pre-tokens; a text that isn't plain gives bytes first, then ready ids and pre-tokens."""
-        if not text:
-            return []
-        odd = any(s in text for s in self.special)
-        if not odd and PLAIN.fullmatch(text):
-            return PRE_TOKEN.findall(text.lower())
-        parts: list = [b""]
+        out = [b"".join(map(get, parts)) for parts in plain]
+        for n, parts in odd.items():
+            out[n] = b"".join(p if isinstance(p, bytes) else get(p) for p in parts)
+        return out
+
+    def _chunks(self, text: str) -> list[str | bytes]:
+        """Pre-tokens of what is plain between spaces, and the ids of the rest."""
+        parts: list[str | bytes] = []
         for chunk in text.split(" "):
-            if PLAIN.fullmatch(chunk) and not (odd and any(s in chunk for s in self.special)):
+            if PLAIN.fullmatch(chunk) and not any(s in chunk for s in self.special):
                 parts += PRE_TOKEN.findall(chunk.lower())
             else:
                 parts.append(self._whole(chunk))
