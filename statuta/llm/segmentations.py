@@ -32,7 +32,8 @@ from statuta.llm.text import slices
 SPACE = "▁"
 WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
 ALPHA, UNKNOWN_PENALTY = 0.5, 10.0
-MOST_WORDS = 200_000
+#: The pool of word lattices starts anew beyond so many edges (32 bytes each).
+MOST_EDGES = 2_000_000
 _open: dict[tuple, PieceLattice] = {}
 _gold = np.uint64(0x9E3779B97F4A7C15)
 
@@ -77,15 +78,16 @@ class Pool:
         self.word.clear()
         self.n_nodes = self.n_edges = 0
         if not len(self.first):
-            self.first = np.zeros(2_000_000, np.int64)
-            self.lp, self.rest, self.upto = (np.zeros(6_000_000) for _ in range(3))
-            self.to, self.id = np.zeros(6_000_000, np.int32), np.zeros(6_000_000, np.int32)
+            size = MOST_EDGES + (MOST_EDGES >> 2)
+            self.first = np.zeros(size >> 1, np.int64)
+            self.lp, self.rest, self.upto = (np.zeros(size) for _ in range(3))
+            self.to, self.id = np.zeros(size, np.int32), np.zeros(size, np.int32)
 
     def extend(self, degrees: np.ndarray, **columns: np.ndarray) -> None:
         def put(name: str, at: int, values: np.ndarray) -> None:
             array = getattr(self, name)
             if at + len(values) > len(array):
-                setattr(self, name, array := np.concatenate([array, np.zeros(max(len(array), len(values)), array.dtype)]))
+                setattr(self, name, array := np.concatenate([array, np.zeros(at + len(values) - len(array) + (len(array) >> 2), array.dtype)]))
             array[at : at + len(values)] = values
 
         put("first", self.n_nodes + 1, self.n_edges + np.cumsum(degrees))
@@ -306,7 +308,7 @@ class PieceLattice:
         """
         pool = self.pool
         each = [WORD.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        if len(pool.word) > MOST_WORDS:
+        if pool.n_edges > MOST_EDGES:
             pool.clear()
         missing = set().union(*each).difference(pool.word)
         if missing:
