@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.text import WORD, as_bytes, slices, words
+from statuta.llm.text import WORD, as_bytes, id_and_text, slices, text_rows, words
 
 WINDOW = 10
 BLOCK_BYTES = 1 << 20
@@ -200,7 +200,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, l
     than ``most_coverage`` goes as a whole.  Null and empty texts stay as they are.
     """
     names = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names if c != text_col]).alias("rest"), F.col(text_col).cast("string").alias("text"))
+    packed = text_rows(docs, F.struct(*[F.col(f"`{c}`") for c in names if c != text_col]).alias("rest"), F.col(text_col).cast("string").alias("text"))
     found = scanned(packed, benchmark, window, block_bytes)
     covered = F.aggregate("spans", F.lit(0), lambda n, s: n + s["b"] - s["a"])
     kept = found.where(covered <= most_coverage * F.col("n_words"))
@@ -219,7 +219,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, l
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = id_and_text(docs, id_col, text_col)
     found = scanned(rows, benchmark, window, block_bytes)
     hit = F.aggregate("spans", F.lit(0), lambda n, s: n + s["b"] - s["a"]).cast("long")
     return found.select(

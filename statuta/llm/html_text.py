@@ -8,9 +8,8 @@ from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from statuta.llm.text import slices
+from statuta.llm.text import id_and_text, slices
 
 TOKEN = re.compile(r"<!--(?:.*?(?:-->|\Z))|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
@@ -409,5 +408,5 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
                 ["page_id", "text", "n_chars", "n_lines", "n_items", "n_tables"],
             )
 
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).cast("string").alias("html"))
+    rows = id_and_text(pages, id_col, html_col, "page_id", "html")
     return rows.mapInArrow(run, "page_id long, text string, n_chars long, n_lines long, n_items long, n_tables long")

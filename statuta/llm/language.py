@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.text import slices
+from statuta.llm.text import slices, text_rows
 
 LETTER = regex.compile(r"\p{L}")
 BUCKETS = 1 << 15
@@ -73,7 +73,7 @@ def fit_language(docs: DataFrame, per_language: int = MOST_PER_LANGUAGE, most_la
     It is fitted on a bounded sample: about ``per_language`` rows of each language, taken by hash of the
     id, and the ``most_languages`` commonest languages.
     """
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
+    rows = text_rows(docs, F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
     sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
     if not sizes:
         return LanguageModel([], np.zeros((buckets, 0), np.float32), np.zeros(0), orders)
@@ -107,7 +107,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = Non
     """
     keep = docs.columns if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("rest"), F.col(text_col).cast("string").alias("text"))
+    rows = text_rows(docs, F.struct(*[F.col(f"`{c}`") for c in keep]).alias("rest"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

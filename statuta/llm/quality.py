@@ -11,16 +11,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.text import as_bytes, slices
+from statuta.llm.text import as_bytes, id_and_text, slices, text_rows
 
 BITS = 17
 #: Bound of the labelled sample that a model is fitted on.
-MOST_ROWS = 6000
+MOST_ROWS = 5000
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 _mult = np.uint32(0x9E3779B1)
@@ -133,10 +132,12 @@ def fit(index: list[np.ndarray], label: np.ndarray, bits: int = BITS, smoothing:
     for i in train:
         counts[int(positive[i])][index[i]] += 1
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
-    values = []
-    for x in index:
-        r = ratio[x]
-        values.append(r / (float(np.sqrt((r * r).sum())) or 1.0))
+    sizes = np.array([len(x) for x in index])
+    flat = ratio[np.concatenate(index)].astype(np.float32) if sizes.sum() else np.zeros(0, np.float32)
+    ends = np.cumsum(sizes)
+    values = [flat[a:b] for a, b in zip(ends - sizes, ends, strict=True)]
+    for v in values:
+        v /= np.sqrt(v @ v) or 1.0
     sign = np.where(positive, 1.0, -1.0)
     w = dual_coordinate_descent([index[i] for i in train], [values[i] for i in train], sign[train], size, cost)
     bias, w = float(w[size]), w[:size]
@@ -156,22 +157,30 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS,
     """
     marks = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     taken = marks.groupBy("id").agg(F.round(F.avg("label")).cast("int").alias("label")).orderBy(F.xxhash64("id"), "id").limit(most_rows)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(taken), "id").select("id", "label", "text")
+    rows = id_and_text(docs, id_col, text_col, "id").join(F.broadcast(taken), "id").select("id", "label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             index = [features(t, bits) for t in as_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array([x.tobytes() for x in index], pa.binary())], ["id", "label", "index"])
-
-    def train(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part = [f[["id", "label", "index"]] for f in frames if len(f)]
-        if part:
-            all_ = pd.concat(part).drop_duplicates("id").sort_values("id")
-            all_ = all_.iloc[np.random.default_rng(5).permutation(len(all_))]
-            m = fit([np.frombuffer(x, np.int32) for x in all_["index"]], all_["label"].to_numpy(), bits)
-            yield pd.DataFrame({"weight": [m.weight.astype(np.float32).tobytes()], "ratio": [m.ratio.astype(np.float32).tobytes()], "bias": m.bias, "slope": m.slope, "offset": m.offset})
-
-    found = rows.mapInArrow(run, "id long, label int, index binary").repartition(1).mapInPandas(train, "weight binary, ratio binary, bias double, slope double, offset double").first()
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in index])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(index)))], ["id", "label", "index"])
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        whole = pa.Table.from_batches(parts).combine_chunks()
+        ids, marks_, lists = (whole.column(c).chunk(0) for c in ("id", "label", "index"))
+        flat, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
+        _, first = np.unique(ids.to_numpy(), return_index=True)
+        order = first[np.random.default_rng(5).permutation(len(first))]
+        m = fit([flat[offsets[i] : offsets[i + 1]] for i in order], marks_.to_numpy()[order], bits)
+        numbers = [pa.array([x], pa.float64()) for x in (m.bias, m.slope, m.offset)]
+        packed = [pa.array([x.astype(np.float32).tobytes()], pa.binary()) for x in (m.weight, m.ratio)]
+        yield pa.RecordBatch.from_arrays([*packed, *numbers], ["weight", "ratio", "bias", "slope", "offset"])
+
+    sample = rows.mapInArrow(run, "id long, label int, index array<int>").repartition(1)
+    found = sample.mapInArrow(train, "weight binary, ratio binary, bias double, slope double, offset double").first()
     if found is None:
         return fit([], np.zeros(0), bits)
     return QualityModel(np.frombuffer(found["weight"], np.float32), np.frombuffer(found["ratio"], np.float32), found["bias"], found["slope"], found["offset"])
@@ -182,7 +191,7 @@ def rate(docs: DataFrame, model: QualityModel, keep: list[str] | None = None, te
     keep = docs.columns if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast(model)
     bits = len(model.weight).bit_length() - 1
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("rest"), F.col(text_col).cast("string").alias("text"))
+    rows = text_rows(docs, F.struct(*[F.col(f"`{c}`") for c in keep]).alias("rest"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

@@ -8,8 +8,8 @@ mass, so the heuristic is exact.  Popping a region walks to its best segmentatio
 word, into ``same words up to here, another cut of this word``; their largest values are Gumbels cut off at the popped
 one.  Only the best few regions of a walk can ever be popped, and only those are kept.
 
-No piece has a space after another character, so the lattice of a text is a chain of word lattices, a word's
-is built once, and the walks of a batch of texts go in step in numpy.  Noise is a hash of row key, walk, word place and
+No piece has a space after another character, nor a letter beside punctuation (the vocabulary is searched for both), so
+the lattice of a text is a chain of word lattices, a word's is built once, and the walks of a batch of texts go in step in numpy.  Noise is a hash of row key, walk, word place and
 step: a row's samples depend on nothing else.
 """
 
@@ -27,10 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.text import slices
+from statuta.llm.text import id_and_text, slices
 
 SPACE = "▁"
-WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
+#: Where a text may be cut into words: before spaces and, if no piece goes across, where Latin letters begin or end.
+LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+COARSE = re.compile(f"{SPACE}+[^{SPACE}]*")
+FINE = re.compile(f"{SPACE}*(?:[{LATIN}]+|[^{LATIN}{SPACE}]+)|{SPACE}+")
 ALPHA, UNKNOWN_PENALTY = 0.5, 10.0
 #: The pool of word lattices starts anew beyond so many edges (32 bytes each).
 MOST_EDGES = 2_000_000
@@ -71,13 +74,18 @@ class Pool:
 
     def __init__(self) -> None:
         self.word: dict[str, int] = {}
-        self.first = np.zeros(0, np.int64)  # of a node: its first edge; one more entry than nodes
-        self.clear()
+        self.release()
+
+    def release(self) -> None:
+        """Forgets all words and gives their memory back."""
+        self.first = self.lp = self.rest = self.upto = self.to = self.id = np.zeros(0)
+        self.word.clear()
+        self.n_nodes = self.n_edges = 0
 
     def clear(self) -> None:
         self.word.clear()
         self.n_nodes = self.n_edges = 0
-        if not len(self.first):
+        if not len(self.lp):
             size = MOST_EDGES + (MOST_EDGES >> 2)
             self.first = np.zeros(size >> 1, np.int64)
             self.lp, self.rest, self.upto = (np.zeros(size) for _ in range(3))
@@ -171,6 +179,7 @@ class PieceLattice:
         pieces = [(i, model.id_to_piece(i)) for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         if any(SPACE in p.lstrip(SPACE) for _, p in pieces):
             raise ValueError("the vocabulary has pieces with a space inside")
+        self.words = (FINE if all(FINE.fullmatch(p) for _, p in pieces) else COARSE).findall
         self.byte = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         total = math.log(sum((r + 2.0) ** -alpha for r in range(len(pieces))))
         self.weight = {p: (i, -alpha * math.log(r + 2.0) - total) for r, (i, p) in enumerate(pieces)}
@@ -307,8 +316,8 @@ class PieceLattice:
         the (k+1)th value; it is 1 where the text has no more segmentations.
         """
         pool = self.pool
-        each = [WORD.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        if pool.n_edges > MOST_EDGES:
+        each = [self.words(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        if pool.n_edges > MOST_EDGES or not len(pool.lp):
             pool.clear()
         missing = set().union(*each).difference(pool.word)
         if missing:
@@ -444,7 +453,8 @@ def sample_segmentations(docs: DataFrame, model_path: str, k: int = 2, alpha: fl
                 columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(kept).astype(np.int32))))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
+        model.pool.release()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = id_and_text(docs, id_col, text_col)
     schema = "doc_id long, sample int, n_tokens long, log_prob double, perturbed double, inclusion double, round_trip boolean, ids_crc32 long" + ", ids array<int>" * with_ids
     return rows.mapInArrow(run, schema)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.text import as_bytes, slices
+from statuta.llm.text import as_bytes, id_and_text, slices
 from statuta.operators.components import connected_components
 from statuta.runtime import checkpointed
 
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
             fp = _majority(flat, np.cumsum(counts) - counts, counts)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = id_and_text(docs, id_col, text_col)
     return rows.mapInArrow(run, "doc_id long, fp long")
 
 

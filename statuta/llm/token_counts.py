@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.text import slices
+from statuta.llm.text import id_and_text, slices
 
 SPACE = "▁"
 CHUNK, OVERLAP = 16_384, 256
@@ -91,5 +91,5 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, chunk: int
             sizes = pa.compute.cast(pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sizes, pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = id_and_text(docs, id_col, text_col)
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

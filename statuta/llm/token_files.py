@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from statuta.llm.text import slices
+from statuta.llm.text import id_and_text, slices
 from statuta.runtime import shared_dir
 
 #: Texts of these characters only are cut into pre-tokens here: normalisation leaves them alone but for case.
@@ -135,7 +135,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int | None
             )
             at += int(offsets[-1])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = id_and_text(docs, id_col, text_col)
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     writer = ordered.mapInArrow(run, "doc_id long, part int, local_start long, n_tokens long, ids array<int>").write
     options = {"parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.enable.dictionary": str(encoding == "dictionary").lower(), "compression": "zstd"}
