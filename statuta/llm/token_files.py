@@ -13,6 +13,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +27,83 @@ from statuta.runtime import shared_dir
 #: Texts of these characters only are cut into pre-tokens here: normalisation leaves them alone but for case.
 PLAIN = re.compile(r"[\t\n\r -~À-ÿ]*")
 #: The tokenizer's own pre-token pattern, on lower-cased text of those characters (what starts alike keeps its order).
-PRE_TOKEN = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\sa-zß-öø-ÿ0-9]+")
+PRE_TOKEN = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\sa-zß-öø-ÿ0-9]+".encode("latin-1"))
+#: Bytes of Latin-1 lower-cased, white space as a space; and their kinds: letter or digit, space, point or comma, other symbol, not plain.
+LOWER = b"".join((" " if c in "\t\n\r" else c.lower() if PLAIN.fullmatch(c) else c).encode("latin-1") for c in map(chr, range(256)))
+KIND = bytes(ord("?" if not PLAIN.fullmatch(c) else " " if c.isspace() else "." if c in ".," else "a" if re.fullmatch("[a-zß-öø-ÿ0-9]", c.lower()) else "!") for c in map(chr, range(256)))
 WORD_END = "</w>"
-#: Pre-tokens kept in each of two generations.
-MOST_KEPT = 200_000
+#: Words kept before the table starts anew, and its slots.
+MOST_KEPT, SLOTS = 500_000, 1 << 20
 _open: dict[str, WordEncoder] = {}
 
 
+class WordTable:
+    """Ids by 64-bit word hash: an open-address table and one array of ids, asked for all words of a batch at once.
+
+    A word's hash sums a random number for each byte times a power for its place, so words of a batch are hashed by
+    one running sum, divided by the power of their start.
+    """
+
+    def __init__(self) -> None:
+        r = np.random.default_rng(20240229)
+        self.random = r.integers(1, 1 << 63, 256, dtype=np.uint64)
+        self.random[32] = 0
+        self.power = 0x9E3779B97F4A7C15
+        self.up = self.down = np.ones(1, np.uint64)
+        self.clear()
+
+    def clear(self) -> None:
+        self.key, self.at = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)
+        self.n, self.n_ids = 0, 0
+        self.first, self.count, self.ids = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
+
+    def hashes(self, text: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        if len(self.up) < len(text):
+            n = len(text) + (len(text) >> 1)
+            self.up, self.down = (np.full(n + 1, x, np.uint64) for x in (self.power, pow(self.power, -1, 1 << 64)))
+            for powers in (self.up, self.down):
+                powers[0] = 1
+                np.cumprod(powers, out=powers)
+        run = np.zeros(len(text) + 1, np.uint64)
+        np.cumsum(self.random[text] * self.up[: len(text)], out=run[1:])
+        h = (run[end] - run[start]) * self.down[start]
+        h ^= h >> np.uint64(32)
+        h = h * np.uint64(0xD6E8FEB86659FD93) + (end - start).astype(np.uint64)
+        h ^= h >> np.uint64(29)
+        return np.maximum(h, np.uint64(1))
+
+    def _slots(self, h: np.ndarray) -> np.ndarray:
+        """Each hash's slot, or the empty slot where it belongs."""
+        slot = (h & np.uint64(SLOTS - 1)).astype(np.int64)
+        found = self.key[slot]
+        wrong = np.flatnonzero((found != h) & (found != 0))
+        while len(wrong):
+            slot[wrong] = (slot[wrong] + 1) & (SLOTS - 1)
+            found = self.key[slot[wrong]]
+            wrong = wrong[(found != h[wrong]) & (found != 0)]
+        return slot
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each word, -1 for those not kept."""
+        slot = self._slots(h)
+        return np.where(self.key[slot] == h, self.at[slot], -1)
+
+    def put(self, h: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+        """Keeps new words (distinct hashes) with their ids one after another."""
+        numbers = np.arange(self.n, self.n + len(h))
+        for name, at, values in (("first", self.n, self.n_ids + np.cumsum(counts) - counts), ("count", self.n, counts), ("ids", self.n_ids, ids)):
+            array = getattr(self, name)
+            if at + len(values) > len(array):
+                setattr(self, name, array := np.concatenate([array, np.zeros(max(len(array), len(values)), array.dtype)]))
+            array[at : at + len(values)] = values
+        left = np.arange(len(h))
+        while len(left):  # of words that want the same empty slot the last one gets it, the others look again
+            slot = self._slots(h[left])
+            self.key[slot], self.at[slot] = h[left], numbers[left]
+            left = left[self.key[slot] != h[left]]
+        self.n, self.n_ids = self.n + len(h), self.n_ids + len(ids)
+
+
 class WordEncoder:
     """Ids of whole texts by the tokenizers library, asked once for each pre-token that recurs.
 
@@ -54,55 +125,80 @@ class WordEncoder:
         for token, i in vocab.items():
             self.ends[i] = token.endswith(WORD_END)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.kept: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.table = WordTable()
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, missing: list[str]) -> None:
-        found = self.by_space.encode_batch_fast([" ".join(missing[i : i + 4096]) for i in range(0, len(missing), 4096)], add_special_tokens=False)
-        ids = np.array([i for e in found for i in e.ids], "<u4")
-        ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) != len(missing):
-            self.kept.update((w, self._whole(w)) for w in missing)
-            return
-        data, ends = ids.tobytes(), (ends * 4).tolist()
-        self.kept.update(zip(missing, map(data.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+    def _learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The counts and ids of words; a word may be several pre-tokens."""
+        cut = [PRE_TOKEN.findall(w) for w in words]
+        found = self.by_space.encode_batch_fast([b" ".join(chain.from_iterable(cut[i : i + 4096])).decode("latin-1") for i in range(0, len(cut), 4096)], add_special_tokens=False)
+        ids = np.array([i for e in found for i in e.ids], np.uint32)
+        ends = np.append(0, np.flatnonzero(self.ends[ids]) + 1)
+        last = np.cumsum([0, *map(len, cut)])
+        if len(ends) != last[-1] + 1:
+            each = [np.frombuffer(self._whole(w.decode("latin-1")), "<u4") for w in words]
+            return np.array([len(x) for x in each]), np.concatenate(each).astype(np.uint32)
+        return np.diff(ends[last]), ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        plain, odd = [], {}
-        for n, text in enumerate(texts):
-            if not text or (PLAIN.fullmatch(text) and not any(s in text for s in self.special)):
-                plain.append(PRE_TOKEN.findall(text.lower()) if text else [])
-            else:
-                odd[n] = self._chunks(text)
-                plain.append([p for p in odd[n] if isinstance(p, str)])
-        if len(self.kept) > MOST_KEPT:
-            self.kept, self.older = {}, self.kept
-        need = set().union(*plain)
-        need.difference_update(self.kept)
-        if known := need.intersection(self.older):
-            self.kept.update((w, self.older[w]) for w in known)
-            need -= known
-        if need:
-            self._learn(list(need))
-        get = self.kept.__getitem__
-        out = [b"".join(map(get, parts)) for parts in plain]
-        for n, parts in odd.items():
-            out[n] = b"".join(p if isinstance(p, bytes) else get(p) for p in parts)
+        plain = [self._words(t or "") for t in texts]
+        out = self._encode_words([x if x is not None else b"" for x in plain])
+        for n, x in enumerate(plain):
+            if x is None:
+                out[n] = b"".join(self._chunks(texts[n]))
         return out
 
-    def _chunks(self, text: str) -> list[str | bytes]:
-        """Pre-tokens of what is plain between spaces, and the ids of the rest."""
-        parts: list[str | bytes] = []
-        for chunk in text.split(" "):
-            if PLAIN.fullmatch(chunk) and not any(s in chunk for s in self.special):
-                parts += PRE_TOKEN.findall(chunk.lower())
-            else:
-                parts.append(self._whole(chunk))
-        return parts
+    def _encode_words(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of texts whose words are set apart by spaces."""
+        data = b" ".join([b"", *texts, b""])
+        text = np.frombuffer(data, np.uint8)
+        gap = text == 32
+        edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+        start, end = edge[0::2], edge[1::2]
+        table = self.table
+        if table.n > MOST_KEPT:
+            table.clear()
+        h = table.hashes(text, start, end)
+        number = table.find(h)
+        if len(lost := np.flatnonzero(number < 0)):
+            new, first = np.unique(h[lost], return_index=True)
+            at = lost[first]
+            table.put(new, *self._learn([data[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]))
+            number[lost] = table.find(h[lost])
+        count = table.count[number]
+        total = np.concatenate([[0], np.cumsum(count)])
+        ids = table.ids[np.repeat(table.first[number] - total[:-1], count) + np.arange(total[-1])].astype("<u4", copy=False).tobytes()
+        bounds = np.cumsum([1, *(len(t) + 1 for t in texts)])
+        cuts = (4 * total[np.searchsorted(start, bounds)]).tolist()
+        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def _words(self, text: str) -> bytes | None:
+        """A plain text lower-cased, with spaces between its words; null if it isn't plain or has a special string.
+
+        Points and commas are set apart, but if one of these stands beside another symbol, which makes one
+        pre-token of both, all pre-tokens are.
+        """
+        try:
+            data = text.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        kinds = data.translate(KIND)
+        if b"?" in kinds or any(s in text for s in self.special):
+            return None
+        data = data.translate(LOWER)
+        if b".." in kinds or b".!" in kinds or b"!." in kinds:
+            return b" ".join(PRE_TOKEN.findall(data))
+        return data.replace(b".", b" . ").replace(b",", b" , ")
+
+    def _chunks(self, text: str) -> list[bytes]:
+        """The ids of what stands between spaces, plain or not."""
+        parts = text.split(" ")
+        odd = [not PLAIN.fullmatch(x) or any(s in x for s in self.special) for x in parts]
+        ready = iter(self._encode_words([b"" if o else b" ".join(PRE_TOKEN.findall(x.encode("latin-1").translate(LOWER))) for x, o in zip(parts, odd, strict=True)]))
+        return [self._whole(x) if o else r for x, o, r in zip(parts, odd, ready, strict=True)]
 
 
 def encoder(path: str) -> WordEncoder:
