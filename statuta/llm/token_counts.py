@@ -1,7 +1,7 @@
 """Exact token counts of texts of any length by overlap resynchronisation.
 
 A huge text is encoded as overlapping chunks with offsets.  Two chunks are spliced in their overlap at a place
-where both put a token boundary and that is stable: a space after a non-space.  No piece of the
+where both put a token boundary and that is stable: a space after what is neither a space nor the space mark.  No piece of the
 vocabulary has a space after another character (``stable_vocabulary`` proves it from the model), so
 no merge reaches across, whatever stands on either side.  Where an overlap has no such place it is widened, in
 the end to the whole rest of the text.
@@ -66,7 +66,7 @@ def count_tokens(model, text: str | None, stable: bool = True, chunk: int = CHUN
             right_end = min(len(text), begin + max(chunk, 2 * width))
             right = _starts(model, text, begin, right_end)
             common = set(left).intersection(right)
-            cut = max((p for p in common if taken < p < end and p > begin and text[p] == " " and text[p - 1] != " "), default=-1)
+            cut = max((p for p in common if taken < p < end and p > begin and text[p] == " " and text[p - 1] not in (" ", SPACE)), default=-1)
             if cut < 0:
                 if begin == taken:  # nothing stable since the last splice: a larger chunk from there
                     end = min(len(text), end + (end - taken))

@@ -80,7 +80,7 @@ def test_token_counts(docs):
 
 def test_token_counts_widen_overlaps():
     model, _ = token_counts.opened(PIECES)
-    for text in (" " * 500, "a" * 500, "漢" * 300, "ab " * 300, "a" + " " * 400 + "b", *odd_texts(300, 200, 5)):
+    for text in (" " * 500, "a" * 500, "漢" * 300, "ab " * 300, "a" + " " * 400 + "b", "▁ x▁▁ y " * 90, "b▁ " * 200, *odd_texts(300, 200, 5)):
         assert token_counts.count_tokens(model, text, True, 16, 4) == len(model.encode(text))
 
 
