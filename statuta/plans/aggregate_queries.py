@@ -195,12 +195,12 @@ def top10_capped_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.top_k(c, 7, ["c_nationkey"], [F.desc("c_acctbal"), "c_custkey"]).select("c_nationkey", "c_custkey", "rank", "total", (F.col("total") > 7).alias("truncated"))
 
 
-@query("""WITH a AS (SELECT o_orderkey, o_orderkey || CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'a' ELSE 'b' END AS number FROM orders WHERE o_orderkey <= 3000) SELECT number, row_number() OVER (ORDER BY regexp_extract(number, '^[0-9]+')::BIGINT, regexp_extract(number, '[a-z]*$')) AS place FROM a ORDER BY place LIMIT 200""")
+@query("""WITH a AS (SELECT o_custkey, o_orderkey || CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'a' ELSE 'b' END AS number FROM orders) SELECT o_custkey, number, row_number() OVER (PARTITION BY o_custkey ORDER BY regexp_extract(number, '^[0-9]+')::BIGINT, regexp_extract(number, '[a-z]*$')) AS place FROM a""")
 def top11_natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     suffix = F.element_at(F.array(F.lit(""), F.lit("a"), F.lit("b")), (F.col("o_orderkey") % 3 + 1).cast("int"))
-    numbers = table(spark, sf_dir, "orders").where("o_orderkey <= 3000").select(F.concat(F.col("o_orderkey").cast("string"), suffix).alias("number"))
+    numbers = table(spark, sf_dir, "orders").select("o_custkey", F.concat(F.col("o_orderkey").cast("string"), suffix).alias("number"))
     natural = [F.regexp_extract("number", "^[0-9]+", 0).cast("long"), F.regexp_extract("number", "[a-z]*$", 0)]
-    return numbers.orderBy(*natural).limit(200).select("number", F.row_number().over(Window.orderBy(*natural)).alias("place"))
+    return numbers.select("o_custkey", "number", F.row_number().over(Window.partitionBy("o_custkey").orderBy(*natural)).alias("place"))
 
 
 @query("""WITH j AS (SELECT user_id, event_id, CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 ELSE 2 END AS status_rank FROM events) SELECT user_id, arg_min(event_id, status_rank * 1000000000 + event_id) AS claimed FROM j WHERE status_rank < 2 GROUP BY user_id""")
@@ -226,14 +226,14 @@ def top17_cheapest_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.top_k(b.where("cost <= 300"), 1, ["o_custkey"], ["first", "cost", "bundle"]).select("o_custkey", "bundle", "cost")
 
 
-@query("""WITH c AS (SELECT 1 AS ctx, doc_id AS unit, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS pos FROM documents WHERE lang = 'en' UNION ALL SELECT 2, doc_id, row_number() OVER (ORDER BY doc_id) FROM documents WHERE source IN ('src1', 'src2')),
+@query("""WITH c AS (SELECT 1 AS ctx, doc_id AS unit, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS pos FROM documents WHERE lang = 'en' UNION ALL SELECT 2, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) FROM documents WHERE source IN ('src1', 'src2')),
 f AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY ctx, pos) AS n FROM c) SELECT unit, ctx, pos FROM f WHERE n = 1""")
 def set4_merge_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from statuta.operators.sets import merge_contexts
 
     d = table(spark, sf_dir, "documents")
-    a = d.where("lang = 'en'").select(F.lit(1).alias("ctx"), F.col("doc_id").alias("unit"), F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id")).alias("pos"))
-    b = d.where("source in ('src1', 'src2')").select(F.lit(2).alias("ctx"), F.col("doc_id").alias("unit"), F.row_number().over(Window.orderBy("doc_id")).alias("pos"))
+    a = d.where("lang = 'en'").select(F.lit(1).alias("ctx"), F.col("doc_id").alias("unit"), F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")).alias("pos"))
+    b = d.where("source in ('src1', 'src2')").select(F.lit(2).alias("ctx"), F.col("doc_id").alias("unit"), F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")).alias("pos"))
     return merge_contexts(a.unionByName(b), "unit", ["ctx", "pos"]).select("unit", "ctx", "pos")
 
 
@@ -252,8 +252,8 @@ def set9_token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(b, "doc_id").select("doc_id", token_overlap(F.col("text"), F.col("other")).alias("overlap"))
 
 
-@query(f"""WITH RECURSIVE {EDGES_SQL}, few AS (SELECT DISTINCT head_id AS a, tail_id AS b FROM edges WHERE type = 'AMENDS' AND length(head_id) % 3 = 0), sides AS (SELECT a, b FROM few UNION SELECT b, a FROM few),
+@query(f"""WITH RECURSIVE {EDGES_SQL}, few AS (SELECT DISTINCT head_id AS a, tail_id AS b FROM edges WHERE type = 'AMENDS'), sides AS (SELECT a, b FROM few UNION SELECT b, a FROM few),
 reach AS (SELECT a AS node, a AS seen FROM sides UNION SELECT r.node, s.b FROM reach r JOIN sides s ON s.a = r.seen) SELECT node, min(seen) AS component FROM reach GROUP BY node""")
 def grf8_connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = edges(spark, sf_dir).where((F.col("type") == "AMENDS") & (F.length("head_id") % 3 == 0))
+    e = edges(spark, sf_dir).where("type = 'AMENDS'")
     return connected_components(e.select(F.col("head_id").alias("src"), F.col("tail_id").alias("dst")))

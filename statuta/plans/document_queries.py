@@ -16,12 +16,12 @@ from statuta.sources import markup
 from statuta.sources.units import EDGES_SQL, UNITS_SQL, edges, units
 
 #: Lines of a customer's law: orders are articles, their lines clauses with one point each.
-LAW_SQL = """clause AS (SELECT o_custkey AS doc_id, o_orderkey, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n, l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey <= 60)"""
+LAW_SQL = """clause AS (SELECT o_custkey AS doc_id, o_orderkey, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n, l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
 
 def laws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, text`` of small law texts."""
-    o, li = table(spark, sf_dir, "orders").where("o_custkey <= 60"), table(spark, sf_dir, "lineitem")
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     order = Window.partitionBy("o_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     c = li.join(o, li.l_orderkey == o.o_orderkey).withColumn("n", F.row_number().over(order))
     piece = F.concat(F.col("n").cast("string"), F.lit(". Part "), F.col("l_partkey").cast("string"), F.lit(" per điểm a khoản 1 Điều "), F.col("l_partkey").cast("string"), F.lit("\na) point of "), F.col("n").cast("string"))
@@ -50,10 +50,10 @@ def grf20_ancestor_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chains.where(F.col("unit_id").endswith("_pa")).select("unit_id", F.array_join("chain", ",").alias("chain"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, 1::BIGINT AS pos, l_partkey::VARCHAR AS article, l_linenumber::VARCHAR AS clause, 'b' AS point, false AS relative FROM lineitem WHERE l_orderkey <= 2000
-UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, 0, l_orderkey::VARCHAR, NULL, NULL, false FROM lineitem WHERE l_orderkey <= 2000 UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, 2, NULL, NULL, NULL, true FROM lineitem WHERE l_orderkey <= 2000""")
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, 1::BIGINT AS pos, l_partkey::VARCHAR AS article, l_linenumber::VARCHAR AS clause, 'b' AS point, false AS relative FROM lineitem
+UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, 0, l_orderkey::VARCHAR, NULL, NULL, false FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, 2, NULL, NULL, NULL, true FROM lineitem""")
 def ref1_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey <= 2000").withColumn("key", F.struct("l_orderkey", "l_linenumber", "l_partkey"))
+    li = table(spark, sf_dir, "lineitem").withColumn("key", F.struct("l_orderkey", "l_linenumber", "l_partkey"))
     text = F.concat(F.lit("Theo điều "), F.col("l_orderkey").cast("string"), F.lit(" và điểm b Khoản "), F.col("l_linenumber").cast("string"), F.lit(" ĐIỀU "), F.col("l_partkey").cast("string"), F.lit(", Điều này."))
     return references.mentions(li.withColumn("t", text), "key", "t").select("id.*", F.col("pos").cast("long").alias("pos"), "article", "clause", "point", "relative")
 
@@ -108,16 +108,16 @@ def grf4_topology_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("head_id", "tail_id").agg(F.count(F.lit(1)).alias("n_parallel"), F.min("citation_text").alias("first_citation"))
 
 
-@query("""WITH e AS (SELECT 'n' || (l_partkey % 40) AS head_id, 'n' || (l_suppkey % 40) AS tail_id FROM lineitem WHERE l_quantity > 49), m AS (SELECT tail_id AS id FROM e GROUP BY tail_id HAVING count(DISTINCT head_id) > 1)
+@query("""WITH e AS (SELECT 'n' || l_partkey AS head_id, 'n' || l_suppkey AS tail_id FROM lineitem), m AS (SELECT tail_id AS id FROM e GROUP BY tail_id HAVING count(DISTINCT head_id) > 1)
 SELECT id, 'several_parents' AS problem FROM m UNION SELECT tail_id, 'own_parent' FROM e WHERE head_id = tail_id UNION SELECT a.tail_id, 'cycle' FROM e a JOIN e b ON a.head_id = b.tail_id AND a.tail_id = b.head_id WHERE a.head_id <> a.tail_id""")
 def grf7_hierarchy_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "lineitem").where("l_quantity > 49").select(F.concat(F.lit("n"), (F.col("l_partkey") % 40).cast("string")).alias("head_id"), F.concat(F.lit("n"), (F.col("l_suppkey") % 40).cast("string")).alias("tail_id"))
+    e = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("n"), F.col("l_partkey").cast("string")).alias("head_id"), F.concat(F.lit("n"), F.col("l_suppkey").cast("string")).alias("tail_id"))
     return hierarchy.problems(e)
 
 
-@query(f"""WITH {UNITS_SQL}, {EDGES_SQL}, s AS (SELECT DISTINCT id FROM units WHERE document_id IN ('d1', 'd2')), o AS (SELECT DISTINCT tail_id AS id FROM edges WHERE head_id IN (SELECT id FROM s) UNION SELECT head_id FROM edges WHERE tail_id IN (SELECT id FROM s)) SELECT id FROM s UNION SELECT id FROM o""")
+@query(f"""WITH {UNITS_SQL}, {EDGES_SQL}, s AS (SELECT DISTINCT id FROM units WHERE legal_status = 'EXPIRED'), o AS (SELECT DISTINCT tail_id AS id FROM edges WHERE head_id IN (SELECT id FROM s) UNION SELECT head_id FROM edges WHERE tail_id IN (SELECT id FROM s)) SELECT id FROM s UNION SELECT id FROM o""")
 def grf11_written_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = units(spark, sf_dir).where(F.col("document_id").isin("d1", "d2")).select("id").distinct()
+    own = units(spark, sf_dir).where("legal_status = 'EXPIRED'").select("id").distinct()
     near = graph.both_ways(edges(spark, sf_dir)).join(own.withColumnRenamed("id", "source_id"), "source_id", "left_semi").select(F.col("target_id").alias("id"))
     return own.unionByName(near).distinct()
 

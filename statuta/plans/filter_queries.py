@@ -97,20 +97,20 @@ def jon2_parent_article(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.join(parents, F.col("parent_id") == F.col("parent"), "left").select("id", "parent", "parent_number")
 
 
-@query(f"""WITH {UNITS_SQL} SELECT id, CASE WHEN label = 'Clause' THEN parent_id ELSE id END AS citable FROM units WHERE number::BIGINT % 3 = 0""")
+@query(f"""WITH {UNITS_SQL} SELECT id, CASE WHEN label = 'Clause' THEN parent_id ELSE id END AS citable FROM units""")
 def jon3_citable_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return units(spark, sf_dir).where(F.col("number").cast("long") % 3 == 0).select("id", F.when(F.col("label") == "Clause", F.col("parent_id")).otherwise(F.col("id")).alias("citable"))
+    return units(spark, sf_dir).select("id", F.when(F.col("label") == "Clause", F.col("parent_id")).otherwise(F.col("id")).alias("citable"))
 
 
 TWO_HOPS = f"""WITH {EDGES_SQL}, few AS (SELECT DISTINCT head_id, tail_id FROM edges WHERE type <> 'CONTAINS'), sides AS (SELECT head_id AS a, tail_id AS b FROM few UNION SELECT tail_id, head_id FROM few),
-seeds AS (SELECT 'd' || c_custkey AS id FROM customer WHERE c_custkey <= 3),
+seeds AS (SELECT 'd' || c_custkey AS id FROM customer),
 h1 AS (SELECT DISTINCT id AS seed_id, b AS id FROM seeds JOIN sides ON a = id), h2 AS (SELECT DISTINCT seed_id, b AS id FROM h1 JOIN sides ON a = h1.id)
 SELECT seed_id, id, min(d) AS distance FROM (SELECT id AS seed_id, id, 0 AS d FROM seeds UNION ALL SELECT seed_id, id, 1 FROM h1 UNION ALL SELECT seed_id, id, 2 FROM h2) GROUP BY ALL"""
 
 
 @query(TWO_HOPS)
 def jon4_two_hop_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seeds = table(spark, sf_dir, "customer").where("c_custkey <= 3").select(F.concat(F.lit("d"), F.col("c_custkey").cast("string")).alias("id"))
+    seeds = table(spark, sf_dir, "customer").select(F.concat(F.lit("d"), F.col("c_custkey").cast("string")).alias("id"))
     return graph.neighbourhood(edges(spark, sf_dir).where("type <> 'CONTAINS'"), seeds, 2)
 
 
@@ -133,11 +133,11 @@ def jon7_exact_two_step_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.exact_paths(edges(spark, sf_dir), u, [("CONTAINS", "out", "Article"), ("AMENDS", "out", "Document")], u.where("label = 'Document'"))
 
 
-@query(f"""WITH {UNITS_SQL}, m AS (SELECT DISTINCT l_orderkey AS mention, 'Article' AS label, (l_partkey * 3)::VARCHAR AS number FROM lineitem WHERE l_linenumber = 1),
+@query(f"""WITH {UNITS_SQL}, m AS (SELECT DISTINCT l_orderkey AS mention, 'Article' AS label, (l_partkey * 3)::VARCHAR AS number FROM lineitem),
 c AS (SELECT mention, m.number, count(id) AS n, min(id) AS target FROM m LEFT JOIN units u ON u.label = m.label AND u.number = m.number GROUP BY mention, m.number)
 SELECT mention, CASE WHEN n = 0 THEN 'UNRESOLVED' WHEN n = 1 THEN 'RESOLVED' ELSE 'AMBIGUOUS' END AS status, CASE WHEN n = 1 THEN target END AS target FROM c""")
 def jon8_registry_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mentions = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("mention"), F.lit("Article").alias("label"), (F.col("l_partkey") * 3).cast("string").alias("number")).distinct()
+    mentions = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("mention"), F.lit("Article").alias("label"), (F.col("l_partkey") * 3).cast("string").alias("number")).distinct()
     return joins.registry_lookup(mentions, units(spark, sf_dir), ["label", "number"]).select("mention", "status", "target")
 
 
@@ -163,23 +163,24 @@ def jon11_governing_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.as_of(points, spans.groupBy("user_id", "s").agg(F.max("event_id").alias("event_id")), "user_id", "at", "s", "event_id", "governing").select("mention", "governing")
 
 
-@query(f"""WITH {UNITS_SQL}, a AS (SELECT id FROM units WHERE number::BIGINT % 2 = 0), b AS (SELECT number, id FROM units WHERE label = 'Article'), m AS (SELECT DISTINCT id, number FROM units)
+@query(f"""WITH {UNITS_SQL}, a AS (SELECT id FROM units WHERE legal_status = 'EFFECTIVE'), b AS (SELECT number, id FROM units WHERE label = 'Article'), m AS (SELECT DISTINCT id, number FROM units)
 SELECT m.id, coalesce(a.id, b.id, 'none') AS resolved, CASE WHEN a.id IS NOT NULL THEN 'semantic' WHEN b.id IS NOT NULL THEN 'structural' ELSE 'none' END AS method FROM m LEFT JOIN a USING (id) LEFT JOIN b ON b.id = m.id""")
 def jon12_endpoint_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = units(spark, sf_dir)
-    a = u.where(F.col("number").cast("long") % 2 == 0).select("id", F.col("id").alias("_a"))
+    a = u.where("legal_status = 'EFFECTIVE'").select("id", F.col("id").alias("_a"))
     b = u.where("label = 'Article'").select("id", F.col("id").alias("_b"))
     method = F.when(F.col("_a").isNotNull(), "semantic").when(F.col("_b").isNotNull(), "structural").otherwise("none")
     return u.select("id", "number").distinct().join(a, "id", "left").join(b, "id", "left").select("id", F.coalesce("_a", "_b", F.lit("none")).alias("resolved"), method.alias("method"))
 
 
-@query("""WITH r AS (SELECT doc_id, lang, text FROM documents WHERE doc_id % 4 = 0), l AS (SELECT doc_id AS llm, lang, substr(text, 5, 6) AS cited FROM documents WHERE doc_id % 4 <> 0)
-SELECT llm, min(r.doc_id) AS superseded_by FROM l JOIN r USING (lang) WHERE contains(r.text, l.cited) OR contains(l.cited, r.text) GROUP BY llm""")
+@query("""WITH r AS (SELECT l_orderkey AS head, l_linenumber AS rule, 'part ' || l_partkey || ' of ' || l_suppkey AS text FROM lineitem WHERE l_returnflag = 'R'), l AS (SELECT l_orderkey AS head, l_linenumber AS llm, l_suppkey::VARCHAR AS cited FROM lineitem WHERE l_returnflag <> 'R')
+SELECT head, llm, min(rule) AS superseded_by FROM l JOIN r USING (head) WHERE contains(r.text, l.cited) OR contains(l.cited, r.text) GROUP BY head, llm""")
 def jon16_superseded_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    rules = d.where("doc_id % 4 = 0").select(F.col("doc_id").alias("rule"), "lang", "text")
-    model = d.where("doc_id % 4 <> 0").select(F.col("doc_id").alias("llm"), "lang", F.substring("text", 5, 6).alias("cited"))
-    return joins.superseded(model, rules, "lang", "cited", "text").groupBy("llm").agg(F.min("rule").alias("superseded_by"))
+    li = table(spark, sf_dir, "lineitem").withColumn("head", F.col("l_orderkey"))
+    text = F.concat(F.lit("part "), F.col("l_partkey").cast("string"), F.lit(" of "), F.col("l_suppkey").cast("string"))
+    rules = li.where("l_returnflag = 'R'").select("head", F.col("l_linenumber").alias("rule"), text.alias("text"))
+    model = li.where("l_returnflag <> 'R'").select("head", F.col("l_linenumber").alias("llm"), F.col("l_suppkey").cast("string").alias("cited"))
+    return joins.superseded(model, rules, "head", "cited", "text").groupBy("head", "llm").agg(F.min("rule").alias("superseded_by"))
 
 
 @query(f"""WITH {UNITS_SQL}, {EDGES_SQL}, e AS (SELECT head_id, type, CASE WHEN length(tail_id) % 5 = 0 THEN tail_id || 'x' ELSE tail_id END AS tail_id FROM edges)
@@ -189,29 +190,28 @@ def jon17_dangling_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.dangling(e, units(spark, sf_dir).select("id"))
 
 
-@query(f"""WITH {UNITS_SQL}, a AS (SELECT id, legal_status AS v FROM units WHERE number::BIGINT % 5 <> 0), b AS (SELECT id, CASE WHEN number::BIGINT % 7 = 0 THEN 'CHANGED' ELSE legal_status END AS v FROM units WHERE number::BIGINT % 3 <> 0)
+@query(f"""WITH {UNITS_SQL}, a AS (SELECT id, legal_status AS v FROM units WHERE legal_status <> 'PENDING'), b AS (SELECT id, CASE WHEN label = 'Article' THEN 'CHANGED' ELSE legal_status END AS v FROM units WHERE effective_to IS NULL)
 SELECT id, CASE WHEN b.v IS NULL THEN 'missing' WHEN a.v IS NULL THEN 'extra' ELSE 'changed' END AS difference FROM a FULL JOIN b USING (id) WHERE a.v IS DISTINCT FROM b.v""")
 def jon18_snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("number").cast("long")
     u = units(spark, sf_dir)
-    was = u.where(n % 5 != 0).select("id", F.col("legal_status").alias("v"))
-    now = u.where(n % 3 != 0).select("id", F.when(n % 7 == 0, "CHANGED").otherwise(F.col("legal_status")).alias("v"))
+    was = u.where("legal_status <> 'PENDING'").select("id", F.col("legal_status").alias("v"))
+    now = u.where("effective_to is null").select("id", F.when(F.col("label") == "Article", "CHANGED").otherwise(F.col("legal_status")).alias("v"))
     return joins.snapshot_diff(was, now, "id", "v")
 
 
-@query("""WITH s AS (SELECT vec_id, md5(label::VARCHAR) AS h FROM embeddings WHERE vec_id % 3 <> 0), x AS (SELECT vec_id, md5((label + CASE WHEN vec_id % 4 = 0 THEN 1 ELSE 0 END)::VARCHAR) AS h FROM embeddings)
+@query("""WITH s AS (SELECT vec_id, md5(label::VARCHAR) AS h FROM embeddings WHERE label <> 0), x AS (SELECT vec_id, md5((label + CASE WHEN vec_id % 4 = 0 THEN 1 ELSE 0 END)::VARCHAR) AS h FROM embeddings)
 SELECT x.vec_id, s.h IS NULL AS never_embedded FROM x LEFT JOIN s USING (vec_id) WHERE s.h IS DISTINCT FROM x.h""")
 def jon19_stale_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    stored = e.where("vec_id % 3 <> 0").select("vec_id", F.md5(F.col("label").cast("string").cast("binary")).alias("h"))
+    stored = e.where("label <> 0").select("vec_id", F.md5(F.col("label").cast("string").cast("binary")).alias("h"))
     wanted = e.select("vec_id", F.md5((F.col("label") + F.when(F.col("vec_id") % 4 == 0, 1).otherwise(0)).cast("string").cast("binary")).alias("h"))
     return joins.stale(wanted, stored, "vec_id", "h").select("vec_id", "never_embedded")
 
 
-@query("""WITH done AS (SELECT doc_id, sha256(text || ':v1') AS fp FROM documents WHERE doc_id % 2 = 0) SELECT d.doc_id, sha256(d.text || ':v1') AS fingerprint FROM documents d WHERE NOT EXISTS (SELECT 1 FROM done WHERE done.doc_id = d.doc_id AND done.fp = sha256(d.text || ':v1'))""")
+@query("""WITH done AS (SELECT doc_id, sha256(text || ':v1') AS fp FROM documents WHERE lang = 'en') SELECT d.doc_id, sha256(d.text || ':v1') AS fingerprint FROM documents d WHERE NOT EXISTS (SELECT 1 FROM done WHERE done.doc_id = d.doc_id AND done.fp = sha256(d.text || ':v1'))""")
 def jon20_checkpoint_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.concat("text", F.lit(":v1")).cast("binary"), 256).alias("fingerprint"))
-    return d.join(d.where("doc_id % 2 = 0"), ["doc_id", "fingerprint"], "left_anti")
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.sha2(F.concat("text", F.lit(":v1")).cast("binary"), 256).alias("fingerprint"))
+    return d.drop("lang").join(d.where("lang = 'en'").drop("lang"), ["doc_id", "fingerprint"], "left_anti")
 
 
 @query("""SELECT t.conv_id, t.turn, t.text FROM conversations t JOIN (SELECT conv_id, max(turn) AS last FROM conversations GROUP BY conv_id) c ON c.conv_id = t.conv_id AND t.turn < c.last WHERE t.role = 'user'""")

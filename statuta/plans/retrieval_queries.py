@@ -229,11 +229,11 @@ def rte1_intent_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("conv_id", "turn", F.coalesce(classify(F.col("text"), rules), F.when((F.col("role") == "user") & F.contains("text", F.lit("?")), "FACTUAL_HIGH"), F.lit("FACTUAL")).alias("intent"))
 
 
-@query(f"""WITH {UNITS_SQL}, s AS (SELECT DISTINCT document_id, effective_from AS s, coalesce(effective_to, effective_from + 30) AS e FROM units WHERE label = 'Article' AND effective_to IS NOT NULL AND document_id IN ('d1', 'd2', 'd3', 'd4', 'd5', 'd7')),
+@query(f"""WITH {UNITS_SQL}, s AS (SELECT DISTINCT document_id, effective_from AS s, coalesce(effective_to, effective_from + 30) AS e FROM units WHERE label = 'Article' AND effective_to IS NOT NULL),
 days AS (SELECT document_id, (DATE '1992-01-01' + i::INT)::DATE AS day FROM (SELECT DISTINCT document_id FROM s), range(0, 2922) t(i)), free AS (SELECT * FROM days d WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.document_id = d.document_id AND s.s <= day AND day < s.e))
 SELECT document_id, count(*) AS free_days FROM free GROUP BY document_id""")
 def set7_interval_subtraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = units(spark, sf_dir).where("label = 'Article' and effective_to is not null").where(F.col("document_id").isin("d1", "d2", "d3", "d4", "d5", "d7"))
+    u = units(spark, sf_dir).where("label = 'Article' and effective_to is not null")
     day0 = F.lit("1992-01-01").cast("date")
     spans = u.select("document_id", F.datediff("effective_from", day0).alias("s"), F.datediff("effective_to", day0).alias("e")).distinct()
     order = Window.partitionBy("document_id").orderBy("s", "e")

@@ -19,12 +19,12 @@ def snk1_node_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert.merged(old, new, "c_custkey")
 
 
-@query(f"""WITH {UNITS_SQL}, e AS (SELECT l_orderkey AS bundle, 'd' || (l_suppkey * 3) AS tail_id, l_linenumber FROM lineitem), c AS (SELECT bundle, count(*) AS n FROM e GROUP BY bundle), d AS (SELECT DISTINCT id FROM units WHERE label = 'Document' AND number::BIGINT % 9 <> 0),
+@query(f"""WITH {UNITS_SQL}, e AS (SELECT l_orderkey AS bundle, 'd' || (l_suppkey * 3) AS tail_id, l_linenumber FROM lineitem), c AS (SELECT bundle, count(*) AS n FROM e GROUP BY bundle), d AS (SELECT DISTINCT id FROM units WHERE label = 'Document' AND legal_status <> 'PENDING'),
 f AS (SELECT e.bundle FROM e LEFT JOIN d ON d.id = e.tail_id GROUP BY e.bundle HAVING count(*) = count(d.id)) SELECT bundle, tail_id, l_linenumber FROM e WHERE bundle IN (SELECT bundle FROM f)""")
 def snk3_atomic_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("bundle"), F.concat(F.lit("d"), (F.col("l_suppkey") * 3).cast("string")).alias("tail_id"), "l_linenumber")
     counted = e.join(e.groupBy("bundle").agg(F.count(F.lit(1)).alias("expected")), "bundle")
-    nodes = units(spark, sf_dir).where((F.col("label") == "Document") & (F.col("number").cast("long") % 9 != 0))
+    nodes = units(spark, sf_dir).where("label = 'Document' and legal_status <> 'PENDING'")
     return upsert.whole_bundles(counted, nodes, "bundle", "expected").select("bundle", "tail_id", "l_linenumber")
 
 

@@ -51,8 +51,8 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     clause = F.concat(article, F.lit("_cl"), F.col("l_linenumber").cast("string"))
     has = o.select(owner.alias("head_id"), F.lit("CONTAINS").alias("type"), article.alias("tail_id"), none_d.alias("effective_from"), none_s.alias("citation_text"))
     deeper = lines.select(article.alias("head_id"), F.lit("CONTAINS").alias("type"), clause.alias("tail_id"), none_d.alias("effective_from"), none_s.alias("citation_text"))
-    refers = lines.where(F.col("l_partkey") % 7 == 0).select(clause.alias("head_id"), F.lit("REFERS_TO").alias("type"), F.concat(F.lit("d"), F.col("l_suppkey").cast("string")).alias("tail_id"), none_d.alias("effective_from"), F.concat(F.lit("Part "), F.col("l_partkey").cast("string")).alias("citation_text"))
-    amends = o.where(F.col("o_orderkey") % 11 == 0).select(article.alias("head_id"), F.lit("AMENDS").alias("type"), F.concat(F.lit("d"), ((F.col("o_custkey") * 7) % 97 + 1).cast("string")).alias("tail_id"), F.col("o_orderdate").cast("date").alias("effective_from"), none_s.alias("citation_text"))
+    refers = lines.where("l_returnflag = 'R'").select(clause.alias("head_id"), F.lit("REFERS_TO").alias("type"), F.concat(F.lit("d"), F.col("l_suppkey").cast("string")).alias("tail_id"), none_d.alias("effective_from"), F.concat(F.lit("Part "), F.col("l_partkey").cast("string")).alias("citation_text"))
+    amends = o.where("o_orderpriority like '1%'").select(article.alias("head_id"), F.lit("AMENDS").alias("type"), F.concat(F.lit("d"), ((F.col("o_custkey") * 7) % 97 + 1).cast("string")).alias("tail_id"), F.col("o_orderdate").cast("date").alias("effective_from"), none_s.alias("citation_text"))
     return has.unionByName(deeper).unionByName(refers).unionByName(amends)
 
 
@@ -77,6 +77,6 @@ edges AS (
  UNION ALL
  SELECT 'd' || o_custkey || '_art' || o_orderkey, 'CONTAINS', 'd' || o_custkey || '_art' || o_orderkey || '_cl' || l_linenumber, NULL, NULL FROM lineitem JOIN orders ON l_orderkey = o_orderkey
  UNION ALL
- SELECT 'd' || o_custkey || '_art' || o_orderkey || '_cl' || l_linenumber, 'REFERS_TO', 'd' || l_suppkey, NULL, 'Part ' || l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey % 7 = 0
+ SELECT 'd' || o_custkey || '_art' || o_orderkey || '_cl' || l_linenumber, 'REFERS_TO', 'd' || l_suppkey, NULL, 'Part ' || l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R'
  UNION ALL
- SELECT 'd' || o_custkey || '_art' || o_orderkey, 'AMENDS', 'd' || ((o_custkey * 7) % 97 + 1), o_orderdate::DATE, NULL FROM orders WHERE o_orderkey % 11 = 0)"""
+ SELECT 'd' || o_custkey || '_art' || o_orderkey, 'AMENDS', 'd' || ((o_custkey * 7) % 97 + 1), o_orderdate::DATE, NULL FROM orders WHERE o_orderpriority LIKE '1%')"""
