@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from statuta.plans import aggregate_queries, document_queries, filter_queries, path_queries, retrieval_queries, stream_queries, write_queries
+from statuta.plans import aggregate_queries, document_queries, filter_queries, path_queries, record_queries, retrieval_queries, stream_queries, write_queries
 from statuta.plans.registry import ORACLES, QUERIES, Query
 
-__all__ = ["aggregate_queries", "document_queries", "filter_queries", "flagship", "oracle_sql", "path_queries", "queries", "retrieval_queries", "stream_queries", "write_queries"]
+__all__ = ["aggregate_queries", "document_queries", "filter_queries", "flagship", "oracle_sql", "path_queries", "queries", "record_queries", "retrieval_queries", "stream_queries", "write_queries"]
 
 
 def queries() -> dict[str, Query]:
