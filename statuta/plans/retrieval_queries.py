@@ -111,6 +111,17 @@ def grf1_bounded_trails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.trails(e, seeds, 2).select(F.array_join("nodes", ">").alias("nodes"), F.array_join("types", ">").alias("types"))
 
 
+@query(f"""WITH {EDGES_SQL}, {UNITS_SQL}, e AS (SELECT *, sha1(head_id || '|' || type || '|' || tail_id || '|' || coalesce(citation_text, '')) AS relation_id FROM (SELECT DISTINCT * FROM edges) WHERE type <> 'CONTAINS'), seeds AS (SELECT DISTINCT id FROM units WHERE label = 'Document'),
+side AS (SELECT head_id AS a, tail_id AS b, type, relation_id FROM e UNION ALL SELECT tail_id, head_id, type, relation_id FROM e WHERE head_id <> tail_id),
+p1 AS (SELECT b AS last, [id, b] AS nodes, [relation_id] AS ids, [type] AS types FROM seeds JOIN side ON a = id), p2 AS (SELECT b, list_append(nodes, b), list_append(ids, relation_id), list_append(types, type) FROM p1 JOIN side ON a = last WHERE NOT list_contains(ids, relation_id))
+SELECT array_to_string(nodes, '>') AS nodes, array_to_string(types, '>') AS types FROM p1 UNION ALL SELECT array_to_string(c1, '>'), array_to_string(c3, '>') FROM p2 t(c0, c1, c2, c3)""")
+def grf1_all_trails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trails of grf1_bounded_trails from every document."""
+    e = edges(spark, sf_dir).where("type <> 'CONTAINS'").distinct().withColumn("relation_id", graph.relation_id(F.col("citation_text")))
+    seeds = units(spark, sf_dir).where("label = 'Document'").select("id").distinct()
+    return graph.trails(e, seeds, 2).select(F.array_join("nodes", ">").alias("nodes"), F.array_join("types", ">").alias("types"))
+
+
 @query(f"""WITH {EDGES_SQL}, e AS (SELECT head_id, tail_id, type FROM edges WHERE type = 'AMENDS') SELECT head_id, 'path_' || substr(sha256('{{"edges":["' || type || '"],"node_ids":["' || head_id || '","' || tail_id || '"]}}'), 1, 20) AS fingerprint, head_id || ' -[AMENDS]-> ' || tail_id AS description FROM e""")
 def grf5_path_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, types = F.array("head_id", "tail_id"), F.array("type")
