@@ -13,7 +13,8 @@ from statuta.llm.text import id_and_text, slices
 
 TOKEN = re.compile(r"<!--(?:.*?(?:-->|\Z))|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
-RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+CSS = re.compile(r"""/\*.*?(?:\*/|\Z)|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[{};]""", re.S)
+MEDIA = re.compile(r"(?:(only|not)\s+)?([a-z]+)", re.I)
 GONE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
 SIMPLE = re.compile(r"([a-z][a-z0-9]*)?([.#][\w-]+)?", re.I)
 BLANK = re.compile(r"[ \t\n\r\f]+")
@@ -25,7 +26,15 @@ WIDEST, MOST_SPAN = 60, 1000
 # Element names of the HTML standard by how they are parsed and shown.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("script style title template noscript iframe noembed noframes object audio video canvas datalist svg math select".split())
+UNSEEN = frozenset("script style title template noscript iframe noembed noframes object audio video canvas datalist".split())
+#: Inside svg and math: what isn't drawn where it stands; and the math elements whose parts stand apart.
+UNDRAWN = frozenset("defs symbol clippath mask pattern marker metadata desc filter lineargradient radialgradient".split())
+NO_MATH = frozenset("annotation annotation-xml mphantom".split())
+APART = frozenset("mfrac msub msup msubsup munder mover munderover mroot mmultiscripts mtable mtr mtd".split())
+#: Where elements are svg's or math's, where HTML begins again inside, and the HTML elements that end svg and math.
+FOREIGN = frozenset("svg math".split())
+AGAIN_HTML = frozenset("foreignobject desc mi mo mn ms mtext annotation-xml".split())
+BREAKS_OUT = frozenset("b big blockquote br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul xmp li dd dt".split())
 BLOCK = CLOSES_P | frozenset("html body caption legend option optgroup tr thead tbody tfoot".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dir dl blockquote pre table figure fieldset hr".split())
@@ -82,12 +91,26 @@ def parse(html: str) -> tuple[Node, list[str]]:
                 return None
         return None
 
+    def foreign() -> int:
+        """Where the svg or math on the stack is whose elements come next, 0 for none."""
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].tag in FOREIGN:
+                return i
+            if stack[i].tag in AGAIN_HTML:
+                return 0
+        return 0
+
     while at < length:
         found = TOKEN.search(html, at)
         if found is None:
             break
         if found.start() > at:
             stack[-1].children.append(unescape(html[at : found.start()]))
+        if html.startswith("<![CDATA[", found.start()) and foreign():
+            end = html.find("]]>", found.start())
+            stack[-1].children.append(html[found.start() + 9 : end if end >= 0 else length])
+            at = end + 3 if end >= 0 else length
+            continue
         at = found.end()
         ending, tag, source = found.groups()
         if tag:
@@ -96,6 +119,11 @@ def parse(html: str) -> tuple[Node, list[str]]:
                 if tag != "head" and source:
                     root.attrs = {**attributes(source), **root.attrs}
                 continue
+            if tag in BREAKS_OUT and (outer := foreign()):
+                del stack[outer:]
+            if source.endswith("/") and tag not in VOID and (tag in FOREIGN or foreign()):
+                stack[-1].children.append(Node(tag, attributes(source[:-1])))
+                continue
             if tag in CLOSES_P:
                 close({"p"}, SCOPES)
             if tag in CLOSED_BY:
@@ -114,7 +142,8 @@ def parse(html: str) -> tuple[Node, list[str]]:
                 at = html.find(">", end.start()) + 1 if end else length
                 at = at or length
                 if tag == "style":
-                    styles.append(content)
+                    if on_screen(node.attrs.get("media", "")):
+                        styles.append(content)
                 elif tag in ("textarea", "xmp"):
                     node.children.append(unescape(content) if tag == "textarea" else content)
             elif tag not in VOID:
@@ -142,13 +171,60 @@ def parse(html: str) -> tuple[Node, list[str]]:
     return root, styles
 
 
+def on_screen(media: str) -> bool:
+    """Whether a media query list holds on every screen; conditions on the screen's features don't."""
+    for one in media.split(","):
+        m = MEDIA.fullmatch(one.strip())
+        if not one.strip() or (m and (m[2].lower() in ("all", "screen")) != ((m[1] or "").lower() == "not")):
+            return True
+    return False
+
+
+def style_rules(css: str) -> Iterator[tuple[str, str]]:
+    """``(selectors, declarations)`` of the rules that hold on every screen, without the rules nested in them."""
+    css = CSS.sub(lambda m: "" if m[0][:2] == "/*" else m[0], css)
+    #: Open blocks: selectors (None for an at-rule), whether it holds, its own declarations.
+    blocks: list[tuple[str | None, bool, list[str]]] = []
+    start = 0
+
+    def closed(end: int) -> Iterator[tuple[str, str]]:
+        selectors, holds, own = blocks.pop()
+        if selectors is not None and holds:
+            yield selectors, "".join([*own, css[start:end]])
+
+    for mark in CSS.finditer(css):
+        kind, begin = mark[0], css[start : mark.start()].strip()
+        if kind == "{":
+            holds = not blocks or (blocks[-1][0] is None and blocks[-1][1])
+            if begin[:1] == "@":
+                name, _, media = re.sub(r"^(@[\w-]+)", r"\1 ", begin).partition(" ")
+                holds = holds and (name.lower() == "@layer" or (name.lower() == "@media" and on_screen(media)))
+                blocks.append((None, holds, []))
+            else:
+                blocks.append((begin, holds, []))
+        elif kind == "}":
+            if blocks:
+                yield from closed(mark.start())
+        elif kind == ";":
+            if blocks and blocks[-1][0] is not None:
+                blocks[-1][2].append(css[start : mark.end()])
+            elif begin[:1] != "@":
+                continue
+        else:
+            continue
+        start = mark.end()
+    while blocks:
+        yield from closed(len(css))
+        start = len(css)
+
+
 def hidden_selectors(styles: list[str]) -> set[tuple[str, str]]:
-    """``(element, .class or #id)`` of the simple selectors that style sheets hide."""
+    """``(element, .class or #id)`` of the simple selectors that style sheets hide on every screen."""
     out = set()
     for style in styles:
         if "none" not in style and "hidden" not in style:
             continue
-        for selectors, body in RULE.findall(re.sub(r"/\*.*?\*/", "", style, flags=re.S)):
+        for selectors, body in style_rules(style):
             if GONE.search(body):
                 for one in selectors.split(","):
                     m = SIMPLE.fullmatch(one.strip())
@@ -260,6 +336,12 @@ class Layout:
             self.flush(keep=bool("".join(self.line)))
             self.pre -= 1
             self.block(tag == "pre")
+        elif tag == "select":
+            self.select(node)
+        elif tag == "svg":
+            self.svg(node, False)
+        elif tag == "math":
+            self.math(node)
         elif tag in BLOCK:
             spaced, inner = tag in SPACED, self.indent
             self.block(spaced)
@@ -276,6 +358,62 @@ class Layout:
             if tag in ("td", "th"):
                 self.text(" ")
 
+    def svg(self, node: Node, drawn: bool) -> None:
+        """The text elements of a drawing, each apart; texts drawn through ``use`` only aren't followed."""
+        for child in node.children:
+            if isinstance(child, str):
+                if drawn:
+                    self.text(child)
+                continue
+            tag, attrs = child.tag, child.attrs
+            if tag in UNDRAWN or not self.visible(child) or attrs.get("display", "").strip() == "none" or attrs.get("visibility", "").strip() in ("hidden", "collapse"):
+                continue
+            apart = tag in ("text", "foreignobject") or (tag == "tspan" and not attrs.keys().isdisjoint(("x", "y", "dy")))
+            if apart:
+                self.text(" ")
+            self.children(child) if tag == "foreignobject" else self.svg(child, drawn or tag == "text")
+            if apart:
+                self.text(" ")
+
+    def math(self, node: Node) -> None:
+        for child in node.children:
+            if isinstance(child, str):
+                self.text(child.strip())
+            elif child.tag not in NO_MATH and self.visible(child):
+                self.children(child) if child.tag in AGAIN_HTML else self.math(child) if child.tag[:1] == "m" or child.tag == "semantics" else self.element(child)
+            if node.tag in APART:
+                self.text(" ")
+
+    def select(self, node: Node) -> None:
+        """The option that a closed menu shows; all options, one a line, of a list box."""
+        size = node.attrs.get("size", "").strip()
+        box = "multiple" in node.attrs or (size.isdecimal() and len(size) < 9 and int(size) > 1)
+        options: list[tuple[Node, bool]] = []
+
+        def words(part: Node) -> str:
+            return "".join(c if isinstance(c, str) else words(c) for c in part.children if isinstance(c, str) or self.visible(c))
+
+        def gather(part: Node, off: bool) -> None:
+            for child in part.children:
+                if isinstance(child, str) or not self.visible(child):
+                    continue
+                if child.tag == "option":
+                    options.append((child, off or "disabled" in child.attrs))
+                else:
+                    if child.tag == "optgroup" and box:
+                        options.append((child, True))
+                    gather(child, off or (child.tag == "optgroup" and "disabled" in child.attrs))
+
+        gather(node, False)
+        if not box:
+            options = [x for x in options if "selected" in x[0].attrs][-1:] or [x for x in options if not x[1]][:1]
+        for option, _ in options:
+            if box:
+                self.flush()
+            self.text(f" {option.attrs.get('label') or (words(option) if option.tag == 'option' else '')} ")
+        if box:
+            self.flush()
+
     def list(self, node: Node) -> None:
         nested = bool(self.indent or self.marker)
         self.block(not nested)

@@ -162,6 +162,26 @@ def test_html_cases(html, text):
     assert html_text.render(html)[0] == text
 
 
+@pytest.mark.parametrize(("css", "shown"), [
+    ("@media print{.ad,nav{display:none}}", "a b"), ("@media (max-width:9px){.ad{display:none}} nav{color:red}", "a b"), ("@media screen{.ad{display:none}}", "b"),
+    ("@media print{p{x:y} .ad{display:none}} nav{display:none}", "a"), ("@media not print{.ad{display:none}}", "b"), ("@media print,all{nav{display:none}}", "a"), ("@import url(x);.ad{display:none}", "b"),
+    ("@media screen and (color){nav{display:none}}", "a b"), ("@supports (x:y){nav{display:none}}", "a b"), (".x::after{content:'}{'} .ad{display:none}", "b"), (".x{color:red;nav{display:none}}", "a b"), ("@layer q{@media print{nav{display:none}}.ad{display:none", "b"),
+])
+def test_html_style_rules_for_other_media_hide_nothing(css, shown):
+    assert html_text.render(f"<style>{css}</style><span class=ad>a</span> <nav style='x:y'>b</nav>")[0].split() == shown.split()
+    assert html_text.render("<style media=print>i{display:none}</style><i>a</i>")[0] == "a"
+
+
+@pytest.mark.parametrize(("html", "shown"), [
+    ("a<svg><title>no</title><defs><text>no</text></defs><g><path d='x'/><text x=1>b<tspan dy=1>c</tspan></text><text display=none>no</text><text><![CDATA[d>e]]></text></g></svg>f", "a b c d>e f"),
+    ("<svg>" + "<path/>" * 300 + "</svg><p>a</p>b", "a\n\nb"), ("<svg><p>a", "a"), ("<svg><foreignObject><p>a</p></foreignObject></svg>b", "a\n\nb"),
+    ("a <math><semantics><mrow><mi>x</mi> <mo>=</mo> <mfrac><mn>1</mn><mn>2</mn></mfrac></mrow><annotation>no</annotation></semantics></math> b", "a x=1 2 b"),
+    ("a<select><option>no<option selected>yes<option>no</select>b", "a yes b"), ("<select><option disabled>no<optgroup label=no><option label=yes>no</select>", "yes"), ("<select multiple><optgroup label=g><option>a<option>b</select>", "g\na\nb"), ("a<select></select>b", "ab"),
+])
+def test_html_shows_svg_math_and_select(html, shown):
+    assert html_text.render(html)[0] == shown
+
+
 def test_html_keeps_visible_words(spark, small):
     """Against a flat reading by the standard library's parser."""
     from html.parser import HTMLParser
