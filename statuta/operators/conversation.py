@@ -36,6 +36,13 @@ def open_quote(prefix: Column) -> Column:
     return (opened > 0) & ((closed == 0) | (opened < closed))
 
 
+def quote_states(text: Column, step: int) -> Column:
+    """``(at, open)`` of the prefixes that end at every ``step``-th character and at the end: array, null for a null text."""
+    size = F.length(text)
+    at = F.concat(F.filter(F.sequence(F.lit(0), size, F.lit(step)), lambda o: (o > 0) & (o < size)), F.array(size))
+    return F.transform(at, lambda o: F.struct(o.cast("long").alias("at"), open_quote(F.substring(text, F.lit(1), o)).alias("open")))
+
+
 def anchors_kept(rewritten: Column, anchors: Column) -> Column:
     """Whether a rewritten question still holds every anchor."""
     return F.forall(anchors, lambda a: F.contains(rewritten, a))

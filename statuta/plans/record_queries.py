@@ -50,6 +50,14 @@ def win15_quote_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", conversation.open_quote(prefix).alias("open"))
 
 
+@query("""WITH q AS (SELECT conv_id, turn, translate(text, 'ae', '“”') AS t FROM conversations), p AS (SELECT conv_id, turn, t, unnest(list_append(range(40, length(t), 40), length(t))) AS place FROM q),
+i AS (SELECT conv_id, turn, place, strpos(reverse(substr(t, 1, place)), '“') AS o, strpos(reverse(substr(t, 1, place)), '”') AS c FROM p) SELECT conv_id, turn, place::BIGINT AS place, o > 0 AND (c = 0 OR o < c) AS open FROM i""")
+def win15_quote_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a quote is open at every 40th character of a turn and at its end."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.translate("text", "ae", "“”").alias("t"))
+    return t.select("conv_id", "turn", F.explode(conversation.quote_states(F.col("t"), 40)).alias("s")).select("conv_id", "turn", F.col("s.at").alias("place"), F.col("s.open").alias("open"))
+
+
 @query("""WITH f AS (SELECT conv_id, role, min(turn) AS first FROM conversations GROUP BY ALL) SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY first, role) AS place FROM f""")
 def win5_stable_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = table(spark, sf_dir, "conversations").groupBy("conv_id", "role").agg(F.min("turn").alias("first"))
@@ -193,6 +201,15 @@ def src12_unique_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", F.when(status == "unique", (at - 1).cast("long")).alias("start"), status.alias("status"))
 
 
+@query("""SELECT page_id, CASE WHEN strpos(html, m) > 0 AND len(string_split(html, m)) = 2 THEN strpos(html, m) - 1 END AS start, CASE WHEN m IS NULL OR m = '' OR strpos(html, m) = 0 THEN 'missing' WHEN len(string_split(html, m)) = 2 THEN 'unique' ELSE 'repeated' END AS status FROM (SELECT page_id, html, substr(html, greatest(length(html) // 2, 1), 6) AS m FROM pages)""")
+def src12_all_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans of src12_unique_spans of all pages; null and empty ones have none."""
+    p = table(spark, sf_dir, "pages").select("page_id", "html", F.expr("substr(html, cast(greatest(length(html) div 2, 1) as int), 6)").alias("m"))
+    at, n = F.position(F.col("m"), F.col("html")), (F.length("html") - F.length(F.replace("html", F.col("m"), F.lit("")))) / F.length("m")
+    status = F.when(F.coalesce(F.length("m"), F.lit(0)) == 0, "missing").when(at == 0, "missing").when(n == 1, "unique").otherwise("repeated")
+    return p.select("page_id", F.when(status == "unique", (at - 1).cast("long")).alias("start"), status.alias("status"))
+
+
 @query("""SELECT source, arg_max(doc_id, (CASE WHEN contains(text, '. ') THEN 1 ELSE 0 END) * 1000000000000 + n_chars * 100000 + 99999 - doc_id % 100000) AS body, max(CASE WHEN contains(text, '. ') THEN 1 ELSE 0 END) = 1 AS has_heading FROM documents WHERE text IS NOT NULL GROUP BY source""")
 def src11_body_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").where("text is not null").withColumn("has", F.contains("text", F.lit(". ")).cast("int"))

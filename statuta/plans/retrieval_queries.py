@@ -22,6 +22,14 @@ def str_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", strings.slug(F.substring(t, 1, 80)).alias("slug"), strings.squeeze(F.substring(t, 1, 200)).alias("squeezed"), strings.document_number(F.substring(t, 1, 40)).alias("number"), strings.redact(t).alias("redacted"))
 
 
+@query(f"""SELECT doc_id, regexp_replace(regexp_replace(translate(lower(text), '{MARKS}', '{BASES}'), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug,
+trim(regexp_replace(text, '\\s+', ' ', 'g')) AS squeezed, nullif(upper(replace(regexp_replace(text, '\\s+', '', 'g'), 'ß', 'SS')), '') AS number FROM documents""")
+def str_normalised_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forms of str_normalised, of whole texts."""
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", strings.slug(t).alias("slug"), strings.squeeze(t).alias("squeezed"), strings.document_number(t).alias("number"))
+
+
 @query("""WITH n AS (SELECT o_orderkey, o_orderkey % 3999 + 1 AS v FROM orders), r AS (SELECT o_orderkey, v, repeat('M', (v // 1000)::INT) || ['', 'C', 'CC', 'CCC', 'CD', 'D', 'DC', 'DCC', 'DCCC', 'CM'][(v // 100) % 10 + 1] || ['', 'X', 'XX', 'XXX', 'XL', 'L', 'LX', 'LXX', 'LXXX', 'XC'][(v // 10) % 10 + 1] || ['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'][v % 10 + 1] AS numeral FROM n)
 SELECT o_orderkey, numeral, v::BIGINT AS value FROM r""")
 def str2_roman_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +58,14 @@ def str33_line_at_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where(F.length(t) > 60).select("doc_id", F.substring_index(F.substring_index(t, "\n", 1), " ", 1).alias("first_word"), strings.line_at(t, F.lit(50)).alias("line"))
 
 
+@query("""WITH o AS (SELECT doc_id, text, (doc_id * 7919 % greatest(length(text), 1))::BIGINT AS place FROM documents)
+SELECT doc_id, place, string_split(substr(text, 1, place), chr(10))[-1] || string_split(substr(text, place + 1), chr(10))[1] AS line FROM o""")
+def str33_line_at_any_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line at an offset of each document's own, anywhere in its text; an empty text has an empty line."""
+    place = (F.col("doc_id") * 7919 % F.greatest(F.length("text"), F.lit(1))).cast("long")
+    return table(spark, sf_dir, "documents").withColumn("place", place).select("doc_id", "place", strings.line_at(F.col("text"), F.col("place").cast("int")).alias("line"))
+
+
 @query("""WITH q AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'valid on ' || strftime(o_orderdate, '%d/%m/%Y') || ' hiện hành' WHEN 1 THEN 'currently in force' WHEN 2 THEN 'month ' || strftime(o_orderdate, '%m/%Y') WHEN 3 THEN 'in ' || strftime(o_orderdate, '%Y') ELSE 'no date 31/02/2020' END AS question, o_orderdate::DATE AS d FROM orders)
 SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'day' WHEN 1 THEN 'current' WHEN 2 THEN 'month' WHEN 3 THEN 'year' ELSE 'none' END AS granularity,
 CASE o_orderkey % 5 WHEN 0 THEN d WHEN 2 THEN date_trunc('month', d)::DATE WHEN 3 THEN date_trunc('year', d)::DATE END AS range_start, CASE o_orderkey % 5 WHEN 0 THEN d WHEN 2 THEN last_day(d) WHEN 3 THEN make_date(year(d)::INT, 12, 31) END AS range_end FROM q""")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from statuta import catalog
+from statuta.operators import conversation
 
 
 def test_trails_start_from_every_document(spark, small):
@@ -12,3 +15,27 @@ def test_trails_start_from_every_document(spark, small):
     want = {f"d{r[0]}" for r in c.select("c_custkey").collect() if r[0] in ends}
     got = {r.nodes.split(">")[0] for r in catalog.queries()["grf1_all_trails"](spark, small).collect()}
     assert len(want) > 2 and got == want
+
+
+def test_forms_and_lines_reach_past_prefixes(spark, tmp_path):
+    texts = {1: "Đ " * 60 + "End\n" + "x" * 300 + "\nlast\tLINE", 2: "", 3: "ab", 4: " \n "}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: tuple(r)[1:] for r in catalog.queries()["str_normalised_whole"](spark, str(tmp_path)).collect()}
+    assert got == {1: ("d_" * 60 + "end_" + "x" * 300 + "_last_line", "Đ " * 60 + "End " + "x" * 300 + " last LINE", "Đ" * 60 + "END" + "X" * 300 + "LASTLINE"), 2: ("", "", None), 3: ("ab", "ab", "AB"), 4: ("", "", None)}
+    lines = {r.doc_id: (r.place, r.line) for r in catalog.queries()["str33_line_at_any_offset"](spark, str(tmp_path)).collect()}
+    assert lines[2] == (0, "") and lines[3] == (7919 * 3 % 2, "ab") and len(lines) == 4
+    for k, t in texts.items():
+        at = lines[k][0]
+        assert lines[k][1] == t[t.rfind("\n", 0, at) + 1 :].split("\n")[0]
+
+
+def test_quote_states_run_to_the_end(spark):
+    df = spark.createDataFrame([(1, "a" * 45 + "“" + "b" * 40 + "”"), (2, ""), (3, "“x"), (4, None)], "id int, t string")
+    got = {r.id: r.s and [tuple(x) for x in r.s] for r in df.select("id", conversation.quote_states(F.col("t"), 40).alias("s")).collect()}
+    assert got == {1: [(40, False), (80, True), (87, False)], 2: [(0, False)], 3: [(2, True)], 4: None}
+
+
+def test_short_pages_have_spans(spark, tmp_path):
+    spark.createDataFrame([(1, "abcdefgh"), (2, "aa"), (3, ""), (4, None), (5, "<p>" * 9)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.start, r.status) for r in catalog.queries()["src12_all_spans"](spark, str(tmp_path)).collect()}
+    assert got == {1: (3, "unique"), 2: (0, "unique"), 3: (None, "missing"), 4: (None, "missing"), 5: (None, "repeated")}
