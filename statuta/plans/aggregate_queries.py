@@ -64,6 +64,14 @@ def agg13_distinct_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").where("l_quantity > 45").groupBy("l_suppkey", "l_returnflag").agg(F.array_join(F.array_sort(F.collect_set(F.lpad(F.col("l_partkey").cast("string"), 8, "0"))), ",").alias("parts"))
 
 
+@query("SELECT l_suppkey, l_returnflag, array_to_string(list_sort(list(DISTINCT CASE WHEN length(l_partkey::VARCHAR) < 8 THEN lpad(l_partkey::VARCHAR, 8, '0') ELSE l_partkey::VARCHAR END)), ',') AS parts FROM lineitem GROUP BY ALL")
+def agg13_all_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of agg13_distinct_collect of all lines; repeats go before anything is collected."""
+    key = F.col("l_partkey").cast("string")
+    each = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_returnflag", F.when(F.length(key) < 8, F.lpad(key, 8, "0")).otherwise(key).alias("part")).distinct()
+    return each.groupBy("l_suppkey", "l_returnflag").agg(F.array_join(F.array_sort(F.collect_list("part")), ",").alias("parts"))
+
+
 @query("WITH b AS (SELECT l_orderkey AS bundle, count(*) AS n, count(DISTINCT l_quantity::INTEGER % 4) AS kinds, max(l_quantity::INTEGER % 4) AS expected FROM lineitem GROUP BY l_orderkey) SELECT bundle, n, CASE WHEN kinds <> 1 THEN 'conflict' WHEN expected < 1 THEN 'invalid' WHEN expected <> n THEN 'incomplete' ELSE 'complete' END AS status FROM b")
 def agg15_bundle_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("bundle"), (F.col("l_quantity").cast("int") % 4).alias("expected"))

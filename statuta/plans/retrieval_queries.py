@@ -117,6 +117,14 @@ def val15_type_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.join(kinds, "p_brand").select("p_partkey", F.when(F.col("kinds") > 1, "review").otherwise("accepted").alias("decision"))
 
 
+@query("""WITH t AS (SELECT p_brand AS entity, count(DISTINCT p_type) AS kinds FROM part GROUP BY p_brand) SELECT p_partkey, CASE WHEN kinds > 1 THEN 'review' ELSE 'accepted' END AS decision FROM part LEFT JOIN t ON entity = p_brand""")
+def val15_all_type_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The decisions of val15_type_conflict from all parts; parts without a brand are accepted."""
+    p = table(spark, sf_dir, "part")
+    kinds = p.groupBy("p_brand").agg(F.count_distinct("p_type").alias("kinds"))
+    return p.join(kinds, "p_brand", "left").select("p_partkey", F.when(F.col("kinds") > 1, "review").otherwise("accepted").alias("decision"))
+
+
 @query(f"""WITH {UNITS_SQL}, {EDGES_SQL}, e AS (SELECT *, sha1(head_id || '|' || type || '|' || tail_id || '|' || coalesce(citation_text, '')) AS relation_id FROM (SELECT DISTINCT * FROM edges) WHERE type <> 'CONTAINS'), seeds AS (SELECT id FROM units WHERE label = 'Document' AND number::BIGINT <= 2),
 side AS (SELECT head_id AS a, tail_id AS b, type, relation_id FROM e UNION ALL SELECT tail_id, head_id, type, relation_id FROM e WHERE head_id <> tail_id),
 p1 AS (SELECT b AS last, [id, b] AS nodes, [relation_id] AS ids, [type] AS types FROM seeds JOIN side ON a = id), p2 AS (SELECT b, list_append(nodes, b), list_append(ids, relation_id), list_append(types, type) FROM p1 JOIN side ON a = last WHERE NOT list_contains(ids, relation_id))

@@ -39,3 +39,17 @@ def test_short_pages_have_spans(spark, tmp_path):
     spark.createDataFrame([(1, "abcdefgh"), (2, "aa"), (3, ""), (4, None), (5, "<p>" * 9)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r.page_id: (r.start, r.status) for r in catalog.queries()["src12_all_spans"](spark, str(tmp_path)).collect()}
     assert got == {1: (3, "unique"), 2: (0, "unique"), 3: (None, "missing"), 4: (None, "missing"), 5: (None, "repeated")}
+
+
+def test_parts_of_small_quantities_are_collected(spark, tmp_path):
+    lines = [(1, "A", 7, 1.0), (1, "A", 7, 50.0), (1, "A", 3, 10.0), (1, "B", 123456789, 45.0)]
+    spark.createDataFrame(lines, "l_suppkey long, l_returnflag string, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {(r.l_suppkey, r.l_returnflag): r.parts for r in catalog.queries()["agg13_all_parts"](spark, str(tmp_path)).collect()}
+    assert got == {(1, "A"): "00000003,00000007", (1, "B"): "123456789"}
+
+
+def test_type_conflicts_of_small_parts_count(spark, tmp_path):
+    parts = [(1, "x", "t", 1), (2, "x", "u", 2), (3, "y", "t", 3), (4, "y", "t", 50), (5, None, "t", 1), (6, None, "u", 1)]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.p_partkey: r.decision for r in catalog.queries()["val15_all_type_conflicts"](spark, str(tmp_path)).collect()}
+    assert got == {1: "review", 2: "review", 3: "accepted", 4: "accepted", 5: "accepted", 6: "accepted"}
