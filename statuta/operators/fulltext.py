@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from statuta.functions import strings
 from statuta.operators.ranking import top_k
 
 #: Words of lower-cased text.
@@ -60,3 +61,22 @@ def chunks(text: Column, size: int = 160) -> Column:
 
 def best_per_unit(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score")))).where("_n = 1").drop("_n")
+
+
+def grounded_quotes(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Distinct ``doc_id, item_id``: the items whose text stands in a document, white space and case aside.
+
+    A quote's words but the first and last are whole words of the text, so candidates share its rarest one;
+    quotes of one or two words, which may begin and end inside words, are tried against every document.
+    """
+    d = docs.select("doc_id", F.lower(strings.squeeze(F.col("text"))).alias("_text"))
+    q = items.select("item_id", F.lower(strings.squeeze(F.col("text"))).alias("_quote")).where("_quote <> ''").distinct()
+    q = q.withColumn("_inner", F.expr("slice(split(_quote, ' '), 2, greatest(size(split(_quote, ' ')) - 2, 0))"))
+    words = q.select("_quote", F.explode("_inner").alias("_word")).distinct()
+    seen = d.select("doc_id", F.explode(F.array_distinct(F.split("_text", " "))).alias("_word")).join(words.select("_word").distinct(), "_word", "left_semi")
+    often = seen.groupBy("_word").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = words.join(often, "_word", "left").groupBy("_quote").agg(F.min_by("_word", F.struct(F.coalesce("_n", F.lit(0)), "_word")).alias("_word"))
+    near = rarest.join(seen, "_word").select("_quote", "doc_id").distinct()
+    long = near.join(d, "doc_id").where(F.contains("_text", F.col("_quote"))).select("doc_id", "_quote").join(q, "_quote")
+    short = d.crossJoin(q.where(F.size("_inner") == 0)).where(F.contains("_text", F.col("_quote")))
+    return long.select("doc_id", "item_id").unionByName(short.select("doc_id", "item_id")).distinct()

@@ -223,6 +223,12 @@ def gen6_verbatim_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(b, "item_id").select("doc_id", "item_id", strings.contains_quote(F.col("text"), F.col("quote")).alias("grounded"))
 
 
+@query("""WITH d AS (SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t FROM documents), b AS (SELECT item_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS q FROM benchmark) SELECT DISTINCT doc_id, item_id FROM d JOIN b ON q <> '' AND contains(t, q)""")
+def gen6_grounded_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with every benchmark item whose text it quotes verbatim."""
+    return fulltext.grounded_quotes(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 GOLD_SQL = f"""WITH {VECTORS_SQL}, ranked AS (SELECT query_id, id, rank FROM vtop WHERE rank <= 10), gold AS (SELECT q.vec_id AS query_id, v.vec_id AS id, 1 + v.vec_id % 3 AS relevance FROM embeddings v JOIN embeddings q ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id AND v.label = q.label),
 h AS (SELECT g.query_id, g.id, relevance, rank FROM gold g LEFT JOIN ranked USING (query_id, id)), i AS (SELECT query_id, relevance, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, id) AS i FROM gold),
 best AS (SELECT query_id, sum(1.0 / log2(i + 1)) AS b, sum((2 ** relevance - 1) / log2(i + 1)) AS g FROM i WHERE i <= 10 GROUP BY query_id),

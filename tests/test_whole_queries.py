@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from statuta import catalog
-from statuta.operators import conversation
+from statuta.operators import conversation, fulltext
 
 
 def test_trails_start_from_every_document(spark, small):
@@ -53,3 +53,9 @@ def test_type_conflicts_of_small_parts_count(spark, tmp_path):
     spark.createDataFrame(parts, "p_partkey long, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
     got = {r.p_partkey: r.decision for r in catalog.queries()["val15_all_type_conflicts"](spark, str(tmp_path)).collect()}
     assert got == {1: "review", 2: "review", 3: "accepted", 4: "accepted", 5: "accepted", 6: "accepted"}
+
+
+def test_quotes_of_any_item_are_found(spark):
+    items = spark.createDataFrame([(7, "the rare  Word stands"), (150, "the rare word stands"), (151, "are"), (152, "c d"), (153, " "), (154, None), (155, "no such word here")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "xthe RARE\nword standsy and more"), (2, "rare word"), (3, "abc de"), (4, None), (5, "")], "doc_id long, text string")
+    assert sorted(map(tuple, fulltext.grounded_quotes(docs, items).collect())) == [(1, 7), (1, 150), (1, 151), (2, 151), (3, 152)]
