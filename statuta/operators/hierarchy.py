@@ -5,13 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statuta.functions.strings import heading_kind
+from statuta.functions.strings import heading_kind, slug
+from statuta.runtime import checkpointed
 from statuta.sources.lines import source_lines
 
 #: From the outermost level in; a heading closes all levels inside its own.
 LEVELS = ("Chapter", "Section", "Article", "Clause", "Point")
 SUFFIX = {"Chapter": "ch", "Section": "sec", "Article": "art", "Clause": "cl", "Point": "p"}
 
+# What contains what, and the parents whose children are all of one kind.
+_GROUPS = {"Part", "Chapter", "Section", "Article"}
+PAIRS = {
+    "Document": _GROUPS | {"Appendix", "AttachedInstrument"}, "AttachedInstrument": _GROUPS | {"Appendix"}, "Appendix": _GROUPS, "Part": _GROUPS - {"Part"},
+    "Chapter": {"Section", "Article"}, "Section": {"Subsection", "Article"}, "Subsection": {"Article"}, "Article": {"Clause"}, "Clause": {"Point"},
+}
+MODES = {"Chapter": {"Section", "Article"}, "Section": {"Subsection", "Article"}}
+
 
 def _number(line: Column) -> Column:
     worded = F.regexp_extract(line, r"(?iu)^(?:điều|chương|mục)\s+([0-9]+[a-z]?|[IVXLC]+)", 1)
@@ -75,3 +84,60 @@ def problems(edges: DataFrame) -> DataFrame:
     back = edges.select(F.col("tail_id").alias("head_id"), F.col("head_id").alias("tail_id"))
     loop = edges.where("head_id <> tail_id").join(back, ["head_id", "tail_id"], "left_semi").select(F.col("tail_id").alias("id"), F.lit("cycle").alias("problem"))
     return many.unionByName(own).unionByName(loop).distinct()
+
+
+def order_key(number: Column) -> Column:
+    """Orders legal numbers naturally: their runs of digits by value, before their runs of letters."""
+    runs = F.regexp_extract_all(slug(number), F.lit("[0-9]+|[a-z]+"), F.lit(0))
+    return F.transform(runs, lambda x: F.struct(x.rlike("[a-z]").alias("word"), F.when(x.rlike("^[0-9]"), x).cast("decimal(38,0)").alias("n"), x.alias("text")))
+
+
+def under_cycles(edges: DataFrame) -> DataFrame:
+    """Distinct ``id`` of the nodes on a cycle of any length, or below one: heads without a parent go until none does."""
+    left = checkpointed(edges.select("head_id", "tail_id").distinct())
+    n = left.count()
+    while n:
+        left = checkpointed(left.join(left.select(F.col("tail_id").alias("head_id")).distinct(), "head_id", "left_semi"))
+        n, before = left.count(), n
+        if n == before:
+            break
+    return left.select(F.col("tail_id").alias("id")).distinct()
+
+
+def structure_problems(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``id, problem`` of ``nodes(id, label, number)`` in a containment table ``edges(head_id, tail_id)`` between them.
+
+    invalid_pair names the child; no_parent and several_parents count valid pairs, repeated ones too; cycle names the
+    nodes on or below one; mixed_children a Section with Subsections and Articles.  In a Chapter with Sections and
+    Articles its own Articles come before those of its Sections (order); numbers may be missing (order_unknown).
+    """
+    kinds = [k for k in {*PAIRS, *(x for v in PAIRS.values() for x in v)} if k != "Document"]
+    labels = nodes.select("id", "label", "number")
+    known = edges.join(labels.select(F.col("id").alias("head_id"), F.col("label").alias("head")), "head_id").join(labels.select(F.col("id").alias("tail_id"), F.col("label").alias("tail"), "number"), "tail_id")
+    fits = F.coalesce(F.concat_ws(">", "head", "tail").isin([f"{a}>{b}" for a, bs in PAIRS.items() for b in bs]), F.lit(False))
+    valid = known.where(fits)
+
+    def named(rows: DataFrame, id_col: str, problem: str | Column) -> DataFrame:
+        return rows.select(F.col(id_col).alias("id"), (F.lit(problem) if isinstance(problem, str) else problem).alias("problem"))
+
+    counts = valid.groupBy(F.col("tail_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    parents = labels.where(F.col("label").isin(kinds)).join(counts, "id", "left").where("coalesce(n, 0) <> 1")
+    out = named(known.where(~fits), "tail_id", "invalid_pair").unionByName(named(parents, "id", F.when(F.col("n").isNull(), "no_parent").otherwise("several_parents")))
+    out = out.unionByName(named(under_cycles(known), "id", "cycle"))
+    modes = F.concat_ws(">", "head", "tail").isin([f"{a}>{b}" for a, bs in MODES.items() for b in bs])
+    mixed = valid.where(modes).groupBy("head_id", "head").agg(F.count_distinct("tail").alias("n")).where("n > 1").select("head_id", "head")
+    out = out.unionByName(named(mixed.where("head = 'Section'"), "head_id", "mixed_children"))
+    chapters = mixed.where("head = 'Chapter'").select(F.col("head_id").alias("chapter"))
+    step = valid.select("head_id", "tail_id", "tail", "number")
+    first = chapters.join(step, F.col("chapter") == F.col("head_id")).select("chapter", F.col("tail_id").alias("at"), "tail", "number")
+    own = first.where("tail = 'Article'").select("chapter", "number", F.lit(True).alias("direct"))
+    second = first.where("tail = 'Section'").select("chapter", "at").join(step, F.col("at") == F.col("head_id")).select("chapter", F.col("tail_id").alias("at"), "tail", "number")
+    third = second.where("tail = 'Subsection'").select("chapter", "at").join(step, F.col("at") == F.col("head_id")).select("chapter", "tail", "number")
+    inner = second.select("chapter", "tail", "number").unionByName(third).where("tail = 'Article'").select("chapter", "number", F.lit(False).alias("direct"))
+    key = order_key(F.col("number"))
+    judged = own.unionByName(inner).groupBy("chapter").agg(
+        F.max(F.when(F.col("direct"), key)).alias("latest"), F.min(F.when(~F.col("direct"), key)).alias("first"),
+        F.max(F.coalesce(F.col("number") == "", F.lit(True))).alias("missing"), F.max(~F.col("direct")).alias("inner"),
+    )
+    wrong = F.when(F.col("missing") | ~F.col("inner"), "order_unknown").when(F.col("latest") >= F.col("first"), "order")
+    return out.unionByName(named(judged, "chapter", wrong).where("problem is not null")).distinct()

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from statuta import catalog
-from statuta.operators import conversation, fulltext
+from statuta.operators import conversation, fulltext, hierarchy
 
 
 def test_trails_start_from_every_document(spark, small):
@@ -59,3 +60,18 @@ def test_quotes_of_any_item_are_found(spark):
     items = spark.createDataFrame([(7, "the rare  Word stands"), (150, "the rare word stands"), (151, "are"), (152, "c d"), (153, " "), (154, None), (155, "no such word here")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "xthe RARE\nword standsy and more"), (2, "rare word"), (3, "abc de"), (4, None), (5, "")], "doc_id long, text string")
     assert sorted(map(tuple, fulltext.grounded_quotes(docs, items).collect())) == [(1, 7), (1, 150), (1, 151), (2, 151), (3, 152)]
+
+
+KINDS = {"d": "Document", "h": "Chapter", "s": "Section", "u": "Subsection", "a": "Article", "c": "Clause"}
+
+
+@pytest.mark.parametrize(("edges", "problems"), [
+    ("d>a1 a1>c1", ""), ("d>a1 d>a1", "a1:several_parents"), ("d>h1 h1>a1 h1>s1 s1>a2", ""), ("d>h1 h1>a9 h1>s1 s1>u1 u1>a10", ""), ("d>h1 h1>a3 h1>s1 s1>u1 u1>a2", "h1:order"), ("d>h1 h1>a1 h1>s1", "h1:order_unknown"),
+    ("d>s1 s1>a1 s1>u1 u1>a2", "s1:mixed_children"), ("d>s1 s1>a1 s1>a2", ""), ("a1>c1 d>s1", "a1:no_parent"),
+    ("c1>c2 c2>c3 c3>c1 c3>c4 d>a1", " ".join(f"c{i}:{x}" for i in (1, 2, 3, 4) for x in ("cycle", "invalid_pair", "no_parent"))),
+])
+def test_structure_problems(spark, edges, problems):
+    pairs = [tuple(x.split(">")) for x in edges.split()]
+    nodes = [(i, KINDS[i[0]], i[1:]) for i in sorted({x for p in pairs for x in p})]
+    got = hierarchy.structure_problems(spark.createDataFrame(nodes, "id string, label string, number string"), spark.createDataFrame(pairs, "head_id string, tail_id string")).collect()
+    assert sorted(f"{r.id}:{r.problem}" for r in got) == sorted(problems.split())
