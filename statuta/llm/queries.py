@@ -22,7 +22,7 @@ def held_out(column: str = "doc_id") -> F.Column:
 
 
 def op1_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segmentations.sample_segmentations(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), k=2, with_ids=False)
+    return segmentations.sample_segmentations(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), k=2)
 
 
 def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,6 +65,17 @@ def times_gold(n: int) -> np.uint64:
     return np.uint64(n * int(_gold) % (1 << 64))
 
 
+class Numbers(dict):
+    """Words' first nodes; a word asked for that isn't there is noted, and its number is minus its place among those."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.missing: dict[str, int] = {}
+
+    def __missing__(self, word: str) -> int:
+        return self.missing.setdefault(word, -1 - len(self.missing))
+
+
 class Pool:
     """Word lattices side by side: edges by node, likeliest first.
 
@@ -73,7 +84,7 @@ class Pool:
     """
 
     def __init__(self) -> None:
-        self.word: dict[str, int] = {}
+        self.word = Numbers()
         self.release()
 
     def release(self) -> None:
@@ -190,6 +201,9 @@ class PieceLattice:
             self.bytes[i] = p.replace(SPACE, " ").encode()
         for b, i in enumerate(self.byte):
             self.bytes[i] = bytes([b])
+        self.spelling = np.frombuffer(b"".join(self.bytes), np.uint8)
+        self.spelt_in = np.array([len(b) for b in self.bytes], np.int64)
+        self.spelt_at = np.cumsum(self.spelt_in) - self.spelt_in
         self.pool = Pool()
 
     def decode(self, ids: list[int]) -> str:
@@ -197,8 +211,16 @@ class PieceLattice:
         text = b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
-    def _learn(self, words: list[str]) -> None:
-        """Puts the lattices of new words into the pool: edges from the prefix table, then backward sums."""
+    def spellings(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The UTF-8 bytes of segmentations that stand one after another in ``ids`` and end at ``ends``."""
+        size = self.spelt_in[ids]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        text = self.spelling[np.repeat(self.spelt_at[ids] - upto[:-1], size) + np.arange(upto[-1])].tobytes()
+        cuts = upto[np.concatenate([[0], ends])].tolist()
+        return [text[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def _learn(self, words: list[str]) -> np.ndarray:
+        """Puts the lattices of new words into the pool, edges from the prefix table, then backward sums; their first nodes."""
         pool = self.pool
         sizes = np.array([len(w) for w in words], np.int64)
         ends = np.cumsum(sizes)
@@ -249,8 +271,10 @@ class PieceLattice:
         run = np.cumsum(p)
         upto = run - (run[first] - p[first])[at_]
         upto[first + degree - 1] = 2.0
-        pool.word.update(zip(words, (pool.n_nodes + ends - sizes).tolist(), strict=True))
+        firsts = pool.n_nodes + ends - sizes
+        pool.word.update(zip(words, firsts.tolist(), strict=True))
         pool.extend(degree, to=np.where(stop, -1, pool.n_nodes + to), id=ids, lp=lp, rest=rest, upto=upto)
+        return firsts
 
     def _walk(self, node: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A drawn way through each word from its first node: the edges of all words in order, and each word's first."""
@@ -319,11 +343,14 @@ class PieceLattice:
         each = [self.words(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         if pool.n_edges > MOST_EDGES or not len(pool.lp):
             pool.clear()
-        missing = set().union(*each).difference(pool.word)
-        if missing:
-            self._learn(list(missing))
         sizes = np.array([len(w) for w in each], np.int64)
         base = np.fromiter(map(pool.word.__getitem__, chain.from_iterable(each)), np.int64, int(sizes.sum()))
+        if pool.word.missing:
+            new = list(pool.word.missing)
+            pool.word.missing.clear()
+            firsts = self._learn(new)
+            unknown = np.flatnonzero(base < 0)
+            base[unknown] = firsts[-1 - base[unknown]]
         start = np.concatenate([[0], np.cumsum(sizes)])
         inside = (np.arange(len(base)) - np.repeat(start[:-1], sizes)).astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
         root = mixed(keys.astype(np.int64).view(np.uint64) + np.uint64(1))
@@ -428,29 +455,33 @@ def sample_segmentations(docs: DataFrame, model_path: str, k: int = 2, alpha: fl
     """Up to k rows for each row: doc_id, sample (from 1), n_tokens, log_prob, perturbed, inclusion, round_trip, ids_crc32 and, if asked, ids.
 
     ``round_trip`` tells whether decoding gives the text back (with U+2581 read as a space).  Null and empty
-    texts have one segmentation without tokens.  Noise is seeded by doc_id (null: zero), so repeated rows
-    repeat their samples, and a text with fewer than k segmentations gives all of them.
+    texts have one segmentation without tokens; very long texts are segmented whole.  Noise is seeded by doc_id (null: zero), so
+    repeated rows repeat their samples, and a text with fewer than k segmentations gives all of them.  Other columns
+    are not read, and no rows give no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = lattice(model_path, alpha)
         for batch in slices(batches, 192 << 10):
             texts, keys = batch.column("text").to_pylist(), batch.column("doc_id").fill_null(0).to_numpy()
-            ids = batch.column("doc_id").to_pylist()
-            rows: dict[str, list] = {n: [] for n in ("doc_id", "sample", "n_tokens", "log_prob", "perturbed", "inclusion", "round_trip", "ids_crc32")}
-            kept = []
-            for doc_id, text, found in zip(ids, texts, model.samples(texts, keys, k), strict=True):
-                plain = (text or "").replace(SPACE, " ")
-                for n, (tokens, lp, g, q) in enumerate(found, 1):
-                    for name, x in zip(rows, (doc_id, n, len(tokens), lp, g, q, model.decode(tokens.tolist()) == plain, zlib.crc32(tokens.astype("<u4").tobytes())), strict=True):
-                        rows[name].append(x)
-                    if with_ids:
-                        kept.append(tokens)
-            columns = [pa.array(v, t) for v, t in zip(rows.values(), (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.int64()), strict=True)]
-            names = list(rows)
+            found = model.samples(texts, keys, k)
+            each = [x for f in found for x in f]
+            of = np.repeat(np.arange(len(texts)), [len(f) for f in found])
+            sample = np.concatenate([np.arange(1, len(f) + 1) for f in found])
+            flat = np.concatenate([x[0] for x in each]).astype("<i4")
+            ends = np.cumsum([len(x[0]) for x in each])
+            offsets = np.concatenate([[0], ends])
+            plain = [(" " + t.replace(SPACE, " ")).encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+            same = [plain[d] == s for d, s in zip(of.tolist(), model.spellings(flat, ends), strict=True)]
+            data = memoryview(flat).cast("B")
+            crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(offsets[:-1].tolist(), ends.tolist(), strict=True)]
+            columns = [
+                batch.column("doc_id").take(pa.array(of)), pa.array(sample.astype(np.int32)), pa.array(np.diff(offsets)),
+                *(pa.array([x[n] for x in each], pa.float64()) for n in (1, 2, 3)), pa.array(same, pa.bool_()), pa.array(crc, pa.int64()),
+            ]
+            names = ["doc_id", "sample", "n_tokens", "log_prob", "perturbed", "inclusion", "round_trip", "ids_crc32"]
             if with_ids:
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in kept])]).astype(np.int32)
-                columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(kept).astype(np.int32))))
+                columns.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat)))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
         model.pool.release()
