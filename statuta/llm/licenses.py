@@ -3,7 +3,7 @@
 Every rolling word k-gram of a text that occurs in a template votes for the diagonal ``word position
 - template position``.  A phrase is found where one diagonal has all its votes.  For longer notices,
 neighbouring diagonals (words added or lost in between) are merged, and a merged run counts when it
-covers enough of the notice within a span of about its length.
+covers enough of the notice within a span of about its length.  Only grams whose first word begins a template's gram are joined: others can't vote.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 K = 2
 #: How far apart diagonals may be to be merged, which share of a notice must be covered, and how long its span may be.
 SLACK, COVER, STRETCH = 4, 0.6, 1.5
-#: Java's and DuckDB's pattern of what separates words, after lower-casing.
+#: Lower-casing is of A-Z alone; Java's and DuckDB's pattern of what separates words after it.
+A_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 # Phrases and the opening words of public license notices, lower-cased.
@@ -61,11 +62,12 @@ def scan_licenses(docs: DataFrame, k: int = K, slack: int = SLACK, cover: float
     """Per row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_notices.
 
     ``score`` is 1 where a phrase stands, else the largest covered share of a notice, 0 without votes.
-    Null and empty texts have no words: zero counts, null places and empty labels.  Rows are told apart by
-    doc_id (null included) and text, so repeated rows each give the same result.
+    Null and empty texts have no words: zero counts, null places and empty labels.  Very long texts are scanned whole.
+    Rows are told apart by doc_id (null included) and text, so repeated rows each give the same result, and
+    other columns, whatever their names, are not read.  No rows give no rows.
     """
     spark = docs.sparkSession
-    text = F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    text = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), A_Z, A_Z.lower())
     words = F.array_remove(F.split(text, GAP), "")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), words.alias("words"))
     firsts = sorted({g[0].split()[0] for g in gram_rows(k)})
@@ -117,7 +119,7 @@ def oracle(k: int = K, slack: int = SLACK, cover: float = COVER, stretch: float
     """The same in DuckDB SQL."""
     return f"""
 WITH grams(t_gram, template, place, n_grams, label, phrase) AS (VALUES {values_sql(k)}),
-d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{GAP}'), lambda x: x <> '') AS words FROM documents),
+d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{A_Z}', '{A_Z.lower()}'), '{GAP}'), lambda x: x <> '') AS words FROM documents),
 w AS (SELECT doc_id, words, unnest(range(len(words))) AS pos FROM d),
 votes AS (SELECT DISTINCT doc_id, template, label, phrase, n_grams, pos - place AS diagonal, place
   FROM w JOIN grams ON t_gram = array_to_string(words[pos + 1 : pos + {k}], ' ')),
