@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from statuta.llm.text import as_bytes, id_and_text, slices, text_rows
 
 BITS = 17
-#: Bound of the labelled sample that a model is fitted on.
-MOST_ROWS = 5000
+#: Bounds of the labelled sample that a model is fitted on: rows, and indicators of all of them.
+MOST_ROWS, MOST_INDICATORS = 5000, 50_000_000
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 _mult = np.uint32(0x9E3779B1)
@@ -149,11 +149,13 @@ def fit(index: list[np.ndarray], label: np.ndarray, bits: int = BITS, smoothing:
     return QualityModel(model.weight, ratio, bias, slope, offset)
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
+def fit_quality(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_indicators: int = MOST_INDICATORS, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
     """A model of the documents that ``labels`` marks with 0 or 1.
 
-    It is fitted on at most ``most_rows`` labelled ids, the first by hash of the id; an id marked more
-    than once has the rounded mean of its marks.  Without labelled documents every text scores 0.5.
+    It is fitted on at most ``most_rows`` labelled ids, the first by hash of the id, and on no more of them than have
+    ``most_indicators`` indicators together (8 bytes each in the task that fits), whatever the length of the texts.
+    An id marked more than once has the rounded mean of its marks; of rows that repeat an id one counts.
+    Without labelled documents every text scores 0.5.
     """
     marks = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     taken = marks.groupBy("id").agg(F.round(F.avg("label")).cast("int").alias("label")).orderBy(F.xxhash64("id"), "id").limit(most_rows)
@@ -166,7 +168,15 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS,
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(index)))], ["id", "label", "index"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
+        parts, left = [], most_indicators
+        for b in batches:
+            ends = b.column("index").offsets.to_numpy()[1:] - b.column("index").offsets[0].as_py()
+            n = int(np.searchsorted(ends, left, "right"))
+            if n:
+                parts.append(b.slice(0, n))
+                left -= int(ends[n - 1])
+            if n < b.num_rows:
+                break
         if not parts:
             return
         whole = pa.Table.from_batches(parts).combine_chunks()
@@ -179,7 +189,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS,
         packed = [pa.array([x.astype(np.float32).tobytes()], pa.binary()) for x in (m.weight, m.ratio)]
         yield pa.RecordBatch.from_arrays([*packed, *numbers], ["weight", "ratio", "bias", "slope", "offset"])
 
-    sample = rows.mapInArrow(run, "id long, label int, index array<int>").repartition(1)
+    sample = rows.mapInArrow(run, "id long, label int, index array<int>").repartition(1).sortWithinPartitions(F.xxhash64("id"), "id")
     found = sample.mapInArrow(train, "weight binary, ratio binary, bias double, slope double, offset double").first()
     if found is None:
         return fit([], np.zeros(0), bits)
@@ -187,7 +197,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS,
 
 
 def rate(docs: DataFrame, model: QualityModel, keep: list[str] | None = None, text_col: str = "text", column: str = "score") -> DataFrame:
-    """The columns ``keep`` of each row and its ``score``, 0 to 1; null and empty texts score by the bias alone."""
+    """The columns ``keep`` of each row and its ``score``, 0 to 1.
+
+    Null and empty texts score by the bias alone, very long texts are read whole, repeated rows each give their row,
+    kept columns may have any name, and no rows give no rows.
+    """
     keep = docs.columns if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast(model)
     bits = len(model.weight).bit_length() - 1
