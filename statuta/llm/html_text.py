@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import sys
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -16,12 +18,14 @@ ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?"""
 CSS = re.compile(r"""/\*.*?(?:\*/|\Z)|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[{};]""", re.S)
 MEDIA = re.compile(r"(?:(only|not)\s+)?([a-z]+)", re.I)
 GONE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
-SIMPLE = re.compile(r"([a-z][a-z0-9]*)?([.#][\w-]+)?", re.I)
+#: Selectors: compounds of an element, classes, ids and attributes, with what stands between them: a space or ``>``.
+COMPOUND = re.compile(r"""(\*|[a-z][\w-]*)?((?:[.#][\w-]+|\[\s*[\w-]+\s*(?:=\s*(?:"[^"]*"|'[^']*'|[\w-]+)\s*)?\])*)""", re.I)
+PART = re.compile(r"""([.#])([\w-]+)|\[\s*([\w-]+)\s*(?:=\s*("[^"]*"|'[^']*'|[\w-]+)\s*)?\]""")
+BETWEEN = re.compile(r"\s*(>)\s*|\s+")
 BLANK = re.compile(r"[ \t\n\r\f]+")
-#: Elements may nest so deep; deeper ones become children of the last that may.
-DEEPEST = 200
-#: Cells count for the width of their column up to so many characters; and the largest column span.
-WIDEST, MOST_SPAN = 60, 1000
+#: The largest column span that HTML allows.  Indentation grows up to so many columns and alignment pads a table by at most so
+#: many characters (beyond them the widest columns stand unaligned), which bounds the memory of a page; text is always whole.
+MOST_SPAN, MOST_INDENT, MOST_PADDING = 1000, 2000, 1 << 24
 
 # Element names of the HTML standard by how they are parsed and shown.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -61,10 +65,10 @@ TABLE_STOP = dict.fromkeys(("td", "th", "tr", "tbody", "thead", "tfoot", "captio
 
 
 class Node:
-    __slots__ = ("attrs", "children", "tag")
+    __slots__ = ("attrs", "children", "styled_away", "tag")
 
     def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.children = tag, attrs, []
+        self.tag, self.attrs, self.children, self.styled_away = tag, attrs, [], False
 
 
 def attributes(source: str) -> dict[str, str]:
@@ -77,22 +81,39 @@ def attributes(source: str) -> dict[str, str]:
     return out
 
 
-def parse(html: str) -> tuple[Node, list[str]]:
-    """The element tree, and the texts of its style sheets."""
+def parse(html: str) -> tuple[Node, list[str], int]:
+    """The element tree, the texts of its style sheets, and how deep elements nest."""
     root = Node("html", {})
-    stack, styles, at, length, too_deep = [root], [], 0, len(html), 0
+    stack, styles, at, length, deepest = [root], [], 0, len(html), 1
+    is_open: Counter[str] = Counter()
+
+    def push(node: Node) -> None:
+        nonlocal deepest
+        stack.append(node)
+        is_open[node.tag] += 1
+        deepest = max(deepest, len(stack))
+
+    def cut(i: int) -> None:
+        for node in stack[i:]:
+            is_open[node.tag] -= 1
+        del stack[i:]
 
     def close(tags: set[str], until: set[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                del stack[i:]
-                return close(tags, until)
-            if stack[i].tag in until:
-                return None
-        return None
+        i = len(stack) - 1
+        left = sum(is_open[t] for t in tags)
+        while left and i > 0:
+            tag = stack[i].tag
+            if tag in tags:
+                cut(i)
+                left = sum(is_open[t] for t in tags)
+            elif tag in until:
+                return
+            i -= 1
 
     def foreign() -> int:
         """Where the svg or math on the stack is whose elements come next, 0 for none."""
+        if not (is_open["svg"] or is_open["math"]):
+            return 0
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in FOREIGN:
                 return i
@@ -120,7 +141,7 @@ def parse(html: str) -> tuple[Node, list[str]]:
                     root.attrs = {**attributes(source), **root.attrs}
                 continue
             if tag in BREAKS_OUT and (outer := foreign()):
-                del stack[outer:]
+                cut(outer)
             if source.endswith("/") and tag not in VOID and (tag in FOREIGN or foreign()):
                 stack[-1].children.append(Node(tag, attributes(source[:-1])))
                 continue
@@ -128,12 +149,12 @@ def parse(html: str) -> tuple[Node, list[str]]:
                 close({"p"}, SCOPES)
             if tag in CLOSED_BY:
                 close(*CLOSED_BY[tag])
-                if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot") and len(stack) < DEEPEST:
+                if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
                     row = Node("tr", {})
                     stack[-1].children.append(row)
-                    stack.append(row)
+                    push(row)
             elif tag in ("h1", "h2", "h3", "h4", "h5", "h6") and stack[-1].tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-                stack.pop()
+                cut(len(stack) - 1)
             node = Node(tag, attributes(source) if source.strip(" /\n\t") else {})
             stack[-1].children.append(node)
             if tag in RAW:
@@ -147,28 +168,24 @@ def parse(html: str) -> tuple[Node, list[str]]:
                 elif tag in ("textarea", "xmp"):
                     node.children.append(unescape(content) if tag == "textarea" else content)
             elif tag not in VOID:
-                if len(stack) < DEEPEST:
-                    stack.append(node)
-                else:
-                    too_deep += 1
+                push(node)
         elif ending:
             ending = ending.lower()
             if ending == "br":
                 stack[-1].children.append(Node("br", {}))
                 continue
-            if too_deep and len(stack) >= DEEPEST:
-                too_deep -= 1
+            if not is_open[ending]:
                 continue
             stop = TABLE_STOP.get(ending, SCOPES)
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == ending:
-                    del stack[i:]
+                    cut(i)
                     break
                 if stack[i].tag in stop:
                     break
     if at < length:
         stack[-1].children.append(unescape(html[at:]))
-    return root, styles
+    return root, styles, deepest
 
 
 def on_screen(media: str) -> bool:
@@ -218,26 +235,85 @@ def style_rules(css: str) -> Iterator[tuple[str, str]]:
         start = len(css)
 
 
-def hidden_selectors(styles: list[str]) -> set[tuple[str, str]]:
-    """``(element, .class or #id)`` of the simple selectors that style sheets hide on every screen."""
-    out = set()
+#: One compound of a selector: element ("" for any), attributes with their values (None for any), classes, and whether its
+#: ancestor in the selector must be its parent.
+Compound = tuple[str, list[tuple[str, str | None]], set[str], bool]
+
+
+def selector(source: str) -> list[Compound] | None:
+    """The compounds of a selector, or None if it holds anything else (states, generated content, siblings)."""
+    out, at, child = [], 0, False
+    while at < len(source):
+        m = COMPOUND.match(source, at)
+        if m is None or not m[0]:
+            return None
+        classes, wanted = set(), []
+        for kind, name, attribute, value in PART.findall(m[2]):
+            if kind == ".":
+                classes.add(name)
+            elif kind == "#":
+                wanted.append(("id", name))
+            else:
+                wanted.append((attribute.lower(), value.strip("\"'") if value else None))
+        out.append(("" if m[1] in (None, "*") else m[1].lower(), wanted, classes, child))
+        at = m.end()
+        if at < len(source):
+            m = BETWEEN.match(source, at)
+            if m is None:
+                return None
+            child, at = m[1] is not None, m.end()
+    return out or None
+
+
+def hidden_selectors(styles: list[str]) -> list[list[Compound]]:
+    """The selectors that style sheets hide on every screen.  Of rules that contradict each other the hiding one counts."""
+    out = []
     for style in styles:
-        if "none" not in style and "hidden" not in style:
+        if "none" not in style and "hidden" not in style and "collapse" not in style:
             continue
         for selectors, body in style_rules(style):
             if GONE.search(body):
-                for one in selectors.split(","):
-                    m = SIMPLE.fullmatch(one.strip())
-                    if m and (m[1] or m[2]):
-                        out.add(((m[1] or "").lower(), m[2] or ""))
+                out += [found for one in selectors.split(",") if (found := selector(one.strip()))]
     return out
 
 
+def fits(node: Node, one: Compound) -> bool:
+    tag, wanted, classes, _ = one
+    if tag and tag != node.tag:
+        return False
+    if classes and not classes.issubset(node.attrs.get("class", "").split()):
+        return False
+    return all(name in node.attrs and (value is None or node.attrs[name] == value) for name, value in wanted)
+
+
+def style_away(root: Node, rules: list[list[Compound]]) -> None:
+    """Marks the elements that the rules hide."""
+
+    def under(path: list[Node], compounds: list[Compound], end: int) -> bool:
+        """Whether the ancestors path[:end] fit all compounds but the last."""
+        if len(compounds) == 1:
+            return True
+        want, child = compounds[-2], compounds[-1][3]
+        for i in range(end - 1, max(end - 2, -1) if child else -1, -1):
+            if fits(path[i], want) and under(path, compounds[:-1], i):
+                return True
+        return False
+
+    path: list[Node] = []
+    todo: list[tuple[Node, int]] = [(root, 0)]
+    while todo:
+        node, depth = todo.pop()
+        del path[depth:]
+        node.styled_away = any(fits(node, rule[-1]) and under(path, rule, depth) for rule in rules)
+        if not node.styled_away:
+            path.append(node)
+            todo += [(child, depth + 1) for child in node.children if isinstance(child, Node)]
+
+
 class Layout:
     """Lines of text of a subtree."""
 
-    def __init__(self, hidden: set[tuple[str, str]]):
-        self.hidden = hidden
+    def __init__(self) -> None:
         self.lines: list[str] = []
         self.line: list[str] = []
         self.open_space = False
@@ -247,17 +323,13 @@ class Layout:
 
     def visible(self, node: Node) -> bool:
         tag, attrs = node.tag, node.attrs
-        if tag in UNSEEN or (tag == "dialog" and "open" not in attrs):
+        if node.styled_away or tag in UNSEEN or (tag == "dialog" and "open" not in attrs):
             return False
         if attrs:
             if "hidden" in attrs or ("style" in attrs and GONE.search(attrs["style"])):
                 return False
             if tag == "input" and attrs.get("type", "").lower() == "hidden":
                 return False
-        if self.hidden:
-            marks = [f".{c}" for c in attrs.get("class", "").split()] + ([f"#{attrs['id']}"] if "id" in attrs else []) + [""]
-            if any((t, m) in self.hidden for m in marks for t in ("", tag)):
-                return False
         return True
 
     def text(self, value: str) -> None:
@@ -346,7 +418,7 @@ class Layout:
             spaced, inner = tag in SPACED, self.indent
             self.block(spaced)
             if tag in ("blockquote", "dd"):
-                self.indent += "  "
+                self.indent = deeper(self.indent, 2)
             self.children(node)
             self.flush()
             self.indent = inner
@@ -391,7 +463,14 @@ class Layout:
         options: list[tuple[Node, bool]] = []
 
         def words(part: Node) -> str:
-            return "".join(c if isinstance(c, str) else words(c) for c in part.children if isinstance(c, str) or self.visible(c))
+            out, todo = [], [part]
+            while todo:
+                one = todo.pop()
+                if isinstance(one, str):
+                    out.append(one)
+                elif one is part or self.visible(one):
+                    todo += reversed(one.children)
+            return "".join(out)
 
         def gather(part: Node, off: bool) -> None:
             for child in part.children:
@@ -434,7 +513,7 @@ class Layout:
                 mark = f"{number}. " if node.tag == "ol" else "- "
                 number += 1
                 self.n_items += 1
-                self.marker, self.indent = outer + mark, outer + " " * len(mark)
+                self.marker, self.indent = outer + mark, deeper(outer, len(mark))
                 self.children(child)
                 self.flush()
                 if self.marker:
@@ -481,14 +560,14 @@ class Layout:
                     continue
                 while taken.get(column, 0) > 0:
                     column += 1
-                inner = Layout(self.hidden)
+                inner = Layout()
                 inner.children(cell) if cell.tag in ("td", "th") else inner.element(cell)
                 inner.flush()
                 self.n_items += inner.n_items
                 self.n_tables += inner.n_tables
                 span = [self.span(cell, "colspan"), self.span(cell, "rowspan")]
                 width = max(map(len, inner.lines), default=0)
-                if span[0] == 1 and width <= WIDEST:
+                if span[0] == 1:
                     widths[column] = max(widths.get(column, 0), width)
                 line.append((column, inner.lines))
                 for c in range(column, column + span[0]):
@@ -497,6 +576,10 @@ class Layout:
                 column += span[0]
             taken = {c: n - 1 for c, n in taken.items() if n > 1}
             grid.append(line)
+        for column in sorted(widths, key=widths.__getitem__, reverse=True):
+            if sum(widths.values()) * len(grid) <= MOST_PADDING:
+                break
+            widths[column] = 0
         starts, place = {}, 0
         for column in range(max((c for line in grid for c, _ in line), default=-1) + 1):
             starts[column] = place
@@ -518,12 +601,21 @@ class Layout:
         return max(1, min(int(value), MOST_SPAN)) if value.isdecimal() and len(value) < 9 else 1
 
 
+def deeper(indent: str, by: int) -> str:
+    return indent + " " * min(by, MOST_INDENT - len(indent))
+
+
 def render(html: str | None) -> tuple[str, int, int]:
     """``(text, list items, tables)`` of a page."""
     if not html:
         return "", 0, 0
-    root, styles = parse(html)
-    page = Layout(hidden_selectors(styles))
+    root, styles, deepest = parse(html)
+    rules = hidden_selectors(styles)
+    if rules:
+        style_away(root, rules)
+    # the layout calls itself for each level, a few frames a level
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 6 * deepest + 1000))
+    page = Layout()
     if page.visible(root):
         page.children(root)
         page.flush()
@@ -533,8 +625,8 @@ def render(html: str | None) -> tuple[str, int, int]:
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """Per row: page_id, text, n_chars, n_lines, n_items, n_tables.
 
-    Null and empty pages, and pages that show nothing, have empty text; bytes that are no markup are text.
-    Repeated rows each give their row.
+    Null and empty pages, and pages that show nothing, have empty text; bytes that are no markup are text.  Pages of any
+    length and depth are read whole.  Repeated rows each give their row, other columns are not read, and no pages give no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
