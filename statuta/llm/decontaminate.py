@@ -4,19 +4,23 @@ The automaton accepts every word sequence that occurs inside an item.  A trainin
 streamed through it once, keeping the longest match that ends at each word.  A match of at
 least ``window`` words ends an occurrence of a window; a shorter item is one window as a whole.
 
-The items are broadcast only up to ``block_bytes`` of text; more are dealt by hash into blocks of that
-size, and the texts pass through one automaton after another, carrying the spans found so far.
+The items are broadcast only up to ``block_bytes`` of text; more are dealt into blocks of that size, whose
+automata scan the texts one job after another.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statuta.llm.text import WORD, as_bytes, id_and_text, slices, text_rows, words
+from statuta.runtime import checkpointed, shared_dir
 
 WINDOW = 10
 BLOCK_BYTES = 1 << 20
@@ -26,7 +30,7 @@ Span = tuple[int, int]
 class ItemAutomaton:
     """Suffix automaton of several word sequences, with the items that own each window."""
 
-    def __init__(self, items: list[tuple[int | None, bytes | None]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, bytes | None]], window: int = WINDOW):
         self.window = window
         self.step: list[dict[bytes, int]] = [{}]
         self.link, self.length = [-1], [0]
@@ -154,50 +158,129 @@ def without_spans(text: bytes, spans: list[Span], least_words: int) -> bytes:
 FOUND = "array<struct<a:int,b:int>>"
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int, id_col: str, text_col: str) -> Iterator[list[tuple]]:
-    rows = benchmark.select(F.col(id_col).alias("item"), F.col(text_col).cast("binary").alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    n = -(-int(total) // block_bytes)
-    for k in range(n):
-        yield [(r["item"], None if r["text"] is None else bytes(r["text"])) for r in rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).collect()]
+def pieces(text: bytes, window: int, most_bytes: int) -> list[bytes]:
+    """A long item's words in pieces that overlap so that each window lies in one of them whole; others as they are."""
+    if len(text) <= most_bytes:
+        return [text]
+    w = words(text)
+    if len(w) <= window:
+        return [b" ".join(w)]
+    out, start, size, last = [], 0, 0, 0
+    for i, word in enumerate(w):
+        size += len(word) + 1
+        if size > most_bytes and i + 1 - start >= window and i >= last:
+            out.append(b" ".join(w[start : i + 1]))
+            last = i + 1
+            start = last - (window - 1)
+            size = sum(len(x) + 1 for x in w[start:last])
+    if last < len(w):
+        out.append(b" ".join(w[start:]))
+    return out
+
+
+def _blocks(benchmark: DataFrame, window: int, block_bytes: int, id_col: str, text_col: str) -> Iterator[list[tuple]]:
+    """The distinct items in blocks of at most about ``block_bytes``, one at a time on the driver.
+
+    Long items are cut into pieces, pieces are dealt by hash to buckets of about an eighth of a block, and buckets are packed
+    into blocks by their counted sizes.  More than one block are kept in the shared folder, a folder each.
+    """
+    spark = benchmark.sparkSession
+    most = max(1, block_bytes // 16)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                parts = pieces(text, window, most)
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(parts), pa.string()), pa.array(parts, pa.binary())], ["item", "text"])
+
+    rows = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("binary").alias("text")).where("text is not null")
+    weight = F.octet_length("text") + 64
+    total = rows.agg(F.sum(weight)).first()[0] or 0
+    if total <= block_bytes:
+        yield [(r["item"], bytes(r["text"])) for r in rows.collect()]
+        return
+    cut_up = rows.distinct().mapInArrow(cut, "item string, text binary")
+    kept = checkpointed(cut_up.withColumn("bucket", F.pmod(F.xxhash64("item", "text"), F.lit(8 * -(-total // block_bytes))).cast("int")))
+    block, size, place = 0, 0, []
+    for r in kept.groupBy("bucket").agg(F.sum(weight).alias("n")).orderBy("bucket").collect():
+        if size and size + r["n"] > block_bytes:
+            block, size = block + 1, 0
+        size += r["n"]
+        place.append((r["bucket"], block))
+    folder = f"{shared_dir(spark)}/benchmark-blocks-{uuid.uuid4().hex}"
+    kept.join(F.broadcast(spark.createDataFrame(place, "bucket int, block int")), "bucket").select("block", "item", "text").repartition("block").write.partitionBy("block").parquet(folder)
+    stored = spark.read.parquet(folder)
+    for k in range(block + 1):
+        yield [(r["item"], bytes(r["text"])) for r in stored.where(F.col("block") == k).collect()]
+
+
+def _marked(docs: DataFrame, automaton: Broadcast) -> DataFrame:
+    """``docs`` with ``n_words``, ``spans`` and ``items`` of one automaton."""
+    schema = docs.withColumns({"n_words": F.lit(None).cast("long"), "spans": F.array().cast(FOUND), "items": F.array().cast("array<string>")}).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = automaton.value
+        for batch in slices(batches):
+            counts, spans, items = [], [], []
+            for text in as_bytes(batch.column("text")):
+                w = words(text)
+                found, owners = a.scan(w)
+                counts.append(len(w))
+                spans.append([{"a": x, "b": y} for x, y in found])
+                items.append(sorted(x for x in owners if x is not None))
+            new = [pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), pa.array(items, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def _joined(docs: DataFrame) -> DataFrame:
+    """``docs`` with the words counted and the spans of all blocks merged."""
+    schema = docs.withColumn("n_words", F.lit(None).cast("long")).schema
+    at = docs.columns.index("spans")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            columns = list(batch.columns)
+            spans = [[{"a": x, "b": y} for x, y in merged([(x["a"], x["b"]) for x in s or []])] for s in columns[at].to_pylist()]
+            columns[at] = pa.array(spans, columns[at].type)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([len(words(t)) for t in as_bytes(batch.column("text"))], pa.int64())], schema.names)
+
+    return docs.mapInArrow(run, schema)
 
 
 def scanned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``docs`` with ``n_words int``, ``spans`` (word spans) and ``items array<string>`` (sorted) added.
+    """``docs`` with ``n_words long``, ``spans`` (word spans) and ``items array<string>`` (sorted) added.
 
     ``docs`` needs a ``text`` column; its other columns pass through.  Null and empty texts have no
     words.  An empty benchmark marks nothing; items without an id mark words but aren't named.
+
+    Items of up to ``block_bytes`` take one scan.  More take a scan for each block, one job after another with one automaton
+    broadcast at a time; a scan writes only the texts' digests and what it found in them, which is joined to the texts at the end.
     """
     spark = docs.sparkSession
-    out = docs.withColumns({"n_words": F.lit(None).cast("long"), "spans": F.array().cast(FOUND), "items": F.array().cast("array<string>")})
-    schema = out.schema
-    names = schema.names
-    for automaton in [spark.sparkContext.broadcast(ItemAutomaton(b, window)) for b in _blocks(benchmark, block_bytes, item_col, item_text)] or [spark.sparkContext.broadcast(ItemAutomaton([], window))]:
-
-        def run(batches: Iterator[pa.RecordBatch], automaton=automaton) -> Iterator[pa.RecordBatch]:
-            a = automaton.value
-            for batch in slices(batches):
-                counts, spans, items = [], [], []
-                before = zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True)
-                for text, (was, whose) in zip(as_bytes(batch.column("text")), before, strict=True):
-                    w = words(text)
-                    found, owners = a.scan(w)
-                    counts.append(len(w))
-                    spans.append([{"a": x, "b": y} for x, y in merged([*((x["a"], x["b"]) for x in was), *found])])
-                    items.append(sorted({*whose, *(str(x) for x in owners if x is not None)}))
-                new = {"n_words": counts, "spans": spans, "items": items}
-                types = batch.schema
-                yield pa.RecordBatch.from_arrays([pa.array(new[c], types.field(c).type) if c in new else batch.column(c) for c in names], schema=types)
-
-        out = out.mapInArrow(run, schema)
-    return out
+    blocks = _blocks(benchmark, window, block_bytes, item_col, item_text)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return _marked(docs, spark.sparkContext.broadcast(ItemAutomaton(first, window)))
+    keyed = docs.withColumn("text_key", F.md5(F.col("text").cast("binary")))
+    folder = f"{shared_dir(spark)}/benchmark-hits-{uuid.uuid4().hex}"
+    for block in chain([first, second], blocks):
+        automaton = spark.sparkContext.broadcast(ItemAutomaton(block, window))
+        _marked(keyed.select("text_key", "text"), automaton).where(F.size("spans") > 0).select("text_key", "spans", "items").dropDuplicates(["text_key"]).write.mode("append").parquet(folder)
+        automaton.destroy()
+    hits = spark.read.parquet(folder).groupBy("text_key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    none = F.array().cast("array<string>")
+    found = _joined(keyed.join(hits, "text_key", "left").withColumn("items", F.coalesce("items", none)))
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns], "n_words", "spans", "items")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_words: int = WINDOW, most_coverage: float = 0.5, block_bytes: int = BLOCK_BYTES, text_col: str = "text") -> DataFrame:
     """``docs`` without the benchmark's passages, same columns.
 
     Spans of ``least_words`` words or more are cut from the text; a document of whose words spans cover more
-    than ``most_coverage`` goes as a whole.  Null and empty texts stay as they are.
+    than ``most_coverage`` goes as a whole.  Null and empty texts stay as they are, very long ones are scanned whole, repeated
+    rows fare alike, columns may have any name, and no rows give no rows.
     """
     names = docs.columns
     packed = text_rows(docs, F.struct(*[F.col(f"`{c}`") for c in names if c != text_col]).alias("rest"), F.col(text_col).cast("string").alias("text"))
@@ -218,7 +301,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, l
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+
+    Null and empty texts have no words and no hits, very long ones are scanned whole, repeated rows each give their row,
+    other columns are not read, and no rows give no rows.
+    """
     rows = id_and_text(docs, id_col, text_col)
     found = scanned(rows, benchmark, window, block_bytes)
     hit = F.aggregate("spans", F.lit(0), lambda n, s: n + s["b"] - s["a"]).cast("long")
