@@ -8,6 +8,7 @@ fits a dictionary page), or delta coded if asked for.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
@@ -32,13 +33,35 @@ PRE_TOKEN = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\sa-zß-
 LOWER = b"".join((" " if c in "\t\n\r" else c.lower() if PLAIN.fullmatch(c) else c).encode("latin-1") for c in map(chr, range(256)))
 KIND = bytes(ord("?" if not PLAIN.fullmatch(c) else " " if c.isspace() else "." if c in ".," else "a" if re.fullmatch("[a-zß-öø-ÿ0-9]", c.lower()) else "!") for c in map(chr, range(256)))
 WORD_END = "</w>"
+# The parts of a tokenizer file that all this holds for; texts of any other file go to the library whole.
+NORMAL_FORM = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
 #: Words kept before the table starts anew, and its slots.
 MOST_KEPT, SLOTS = 500_000, 1 << 20
 _open: dict[str, WordEncoder] = {}
 
 
+def words_apart(path: str) -> bool:
+    """Whether a tokenizer file cuts and encodes pre-tokens as this module takes for granted."""
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    model = file["model"]
+    cut = [{k: v for k, v in p.items() if k != "trim_offsets"} for p in (file.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+    return (
+        (file.get("normalizer") or {}).get("normalizers") == NORMAL_FORM
+        and cut == [SPLIT, BYTES]
+        and model["type"] == "BPE"
+        and model.get("end_of_word_suffix") == WORD_END
+        and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+        and not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in file["added_tokens"])
+        and not file.get("truncation")
+        and not file.get("padding")
+    )
+
+
 class WordTable:
-    """Ids by 64-bit word hash: an open-address table and one array of ids, asked for all words of a batch at once.
+    """Ids by 64-bit word hash: an open-address table, the words' bytes and ids, asked for all words of a batch at once.
 
     A word's hash sums a random number for each byte times a power for its place, so words of a batch are hashed by
     one running sum, divided by the power of their start.
@@ -56,6 +79,7 @@ class WordTable:
         self.key, self.at = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)
         self.n, self.n_ids = 0, 0
         self.first, self.count, self.ids = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
+        self.at_byte, self.size, self.bytes, self.n_bytes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 19, np.uint8), 0
 
     def hashes(self, text: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         if len(self.up) < len(text):
@@ -88,10 +112,23 @@ class WordTable:
         slot = self._slots(h)
         return np.where(self.key[slot] == h, self.at[slot], -1)
 
-    def put(self, h: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
-        """Keeps new words (distinct hashes) with their ids one after another."""
+    def same(self, number: np.ndarray, size: np.ndarray, text: np.ndarray) -> bool:
+        """Whether the words kept under these numbers are those that stand one after another in ``text``."""
+        if (self.size[number] != size).any():
+            return False
+        ends = np.cumsum(size)
+        place = np.repeat((self.at_byte[number] - (ends - size)).astype(np.int32), size)
+        place += np.arange(len(text), dtype=np.int32)
+        return bool((self.bytes[place] == text).all())
+
+    def put(self, h: np.ndarray, words: list[bytes], counts: np.ndarray, ids: np.ndarray) -> None:
+        """Keeps new words (distinct hashes) with their bytes and ids one after another."""
         numbers = np.arange(self.n, self.n + len(h))
-        for name, at, values in (("first", self.n, self.n_ids + np.cumsum(counts) - counts), ("count", self.n, counts), ("ids", self.n_ids, ids)):
+        sizes, text = np.array([len(w) for w in words], np.int64), np.frombuffer(b"".join(words), np.uint8)
+        for name, at, values in (
+            ("first", self.n, self.n_ids + np.cumsum(counts) - counts), ("count", self.n, counts), ("ids", self.n_ids, ids),
+            ("at_byte", self.n, self.n_bytes + np.cumsum(sizes) - sizes), ("size", self.n, sizes), ("bytes", self.n_bytes, text),
+        ):
             array = getattr(self, name)
             if at + len(values) > len(array):
                 setattr(self, name, array := np.concatenate([array, np.zeros(max(len(array), len(values)), array.dtype)]))
@@ -101,14 +138,14 @@ class WordTable:
             slot = self._slots(h[left])
             self.key[slot], self.at[slot] = h[left], numbers[left]
             left = left[self.key[slot] != h[left]]
-        self.n, self.n_ids = self.n + len(h), self.n_ids + len(ids)
+        self.n, self.n_ids, self.n_bytes = self.n + len(h), self.n_ids + len(ids), self.n_bytes + len(text)
 
 
 class WordEncoder:
     """Ids of whole texts by the tokenizers library, asked once for each pre-token that recurs.
 
-    The tokenizer drops white space and never merges across pre-tokens, so a text's ids are those of its
-    pre-tokens in turn.  Text outside PLAIN, and special strings, go to the library as they are.
+    Where ``words_apart`` finds that the tokenizer drops white space and never merges across pre-tokens, a text's ids are those
+    of its pre-tokens in turn.  Text outside PLAIN, special strings, and all texts of other tokenizers go to the library as they are.
     """
 
     def __init__(self, path: str):
@@ -116,6 +153,9 @@ class WordEncoder:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
+        self.by_words = words_apart(path)
+        if not self.by_words:
+            return
         # the same model for ready pre-tokens, which need no normalising and stand apart by spaces
         self.by_space = Tokenizer.from_file(path)
         self.by_space.normalizer = normalizers.Sequence([])
@@ -144,6 +184,8 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
+        if not self.by_words:
+            return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
         plain = [self._words(t or "") for t in texts]
         out = self._encode_words([x if x is not None else b"" for x in plain])
         for n, x in enumerate(plain):
@@ -166,8 +208,11 @@ class WordEncoder:
         if len(lost := np.flatnonzero(number < 0)):
             new, first = np.unique(h[lost], return_index=True)
             at = lost[first]
-            table.put(new, *self._learn([data[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]))
+            words = [data[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
+            table.put(new, words, *self._learn(words))
             number[lost] = table.find(h[lost])
+        if not table.same(number, end - start, text[~gap]):  # two words share a hash
+            return [self._whole(t.decode("latin-1")) for t in texts]
         count = table.count[number]
         total = np.concatenate([[0], np.cumsum(count)])
         ids = table.ids[np.repeat(table.first[number] - total[:-1], count) + np.arange(total[-1])].astype("<u4", copy=False).tobytes()
@@ -211,7 +256,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int | None
     """Encodes whole texts (null: empty) and writes ``doc_id, part, local_start, n_tokens, ids`` in ascending doc_id order.
 
     ``part`` numbers the ranges in order and ``local_start`` counts the ids before a document in its part.
-    Rows that share a doc_id follow each other in order of text; a null doc_id comes first.
+    Rows that share a doc_id follow each other in order of text; a null doc_id comes first.  Very long texts are encoded
+    whole, other columns are not read, and no rows give files without rows.
     """
     if encoding not in ("dictionary", "delta"):
         raise ValueError("encoding is dictionary or delta")
