@@ -1,13 +1,13 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-The log-probability matrix (buckets x languages, a fixed size) is broadcast; texts are scored in
-sparse batches in numpy.
+The log-probability matrix (buckets x languages) is broadcast; texts are scored in sparse batches in numpy.
+It grows with the number of languages in the labels, not with the rows: 128 kB for each.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +20,8 @@ from statuta.llm.text import slices, text_rows
 LETTER = regex.compile(r"\p{L}")
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
-#: Bounds of the sample that a model is fitted on.
-MOST_PER_LANGUAGE, MOST_LANGUAGES = 1500, 512
+#: Bound of the sample of each language that a model is fitted on.
+MOST_PER_LANGUAGE = 1500
 UNKNOWN = "und"
 
 
@@ -47,7 +47,6 @@ class LanguageModel:
     log_prob: np.ndarray  # buckets x languages, float32
     prior: np.ndarray
     orders: tuple[int, ...] = ORDERS
-    broadcasts: list = field(default_factory=list, compare=False)
 
     def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """The likeliest language of each text, ties to the first by name, and its posterior."""
@@ -59,39 +58,41 @@ class LanguageModel:
                 continue
             total = self.prior.astype(np.float64)
             h = grams(text, self.orders, len(self.log_prob))
-            for start in range(0, len(h), 1 << 16):
-                total = total + self.log_prob[h[start : start + (1 << 16)]].sum(axis=0, dtype=np.float64)
+            step = min(1 << 16, max(256, (1 << 22) // len(self.languages)))
+            for start in range(0, len(h), step):
+                total = total + self.log_prob[h[start : start + step]].sum(axis=0, dtype=np.float64)
             best = int(total.argmax())
             names.append(self.languages[best])
             values.append(float(1 / np.exp(total - total[best]).sum()))
         return names, values
 
 
-def fit_language(docs: DataFrame, per_language: int = MOST_PER_LANGUAGE, most_languages: int = MOST_LANGUAGES, orders: tuple[int, ...] = ORDERS, buckets: int = BUCKETS, smoothing: float = 0.1, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+def fit_language(docs: DataFrame, per_language: int = MOST_PER_LANGUAGE, orders: tuple[int, ...] = ORDERS, buckets: int = BUCKETS, smoothing: float = 0.1, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """A model of the rows that have text and a language.
 
-    It is fitted on a bounded sample: about ``per_language`` rows of each language, taken by hash of the
-    id, and the ``most_languages`` commonest languages.
+    It is fitted on a bounded sample of every language that occurs: about ``per_language`` rows of each, taken by hash of
+    the id.  Rows with a null id are never taken but count for the languages' shares.
     """
     rows = text_rows(docs, F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    sizes = rows.groupBy("lang").count().collect()
     if not sizes:
         return LanguageModel([], np.zeros((buckets, 0), np.float32), np.zeros(0), orders)
     sizes = {r["lang"]: r["count"] for r in sizes}
     languages = sorted(sizes)
-    place = {x: i for i, x in enumerate(languages)}
-    share = F.create_map(*[F.lit(v) for x in languages for v in (x, min(1.0, per_language / sizes[x]))])
-    taken = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < F.coalesce(F.try_element_at(share, "lang"), F.lit(0.0)) * float(1 << 40))
+    shares = rows.sparkSession.createDataFrame([(x, i, min(1.0, per_language / sizes[x])) for i, x in enumerate(languages)], "lang string, at int, share double")
+    taken = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < F.col("share") * float(1 << 40))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(languages), buckets), np.int64)
+        total: dict[int, np.ndarray] = {}
         for batch in slices(batches):
-            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-                total[place[lang]] += np.bincount(grams(text, orders, buckets), minlength=buckets)
-        at, bucket = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(total[at, bucket])], ["at", "bucket", "n"])
-
-    cells = taken.select("text", "lang").mapInArrow(count, "at int, bucket int, n long").groupBy("at", "bucket").agg(F.sum("n").alias("n")).toArrow()
+            for text, at in zip(batch.column("text").to_pylist(), batch.column("at").to_pylist(), strict=True):
+                n = np.bincount(grams(text, orders, buckets), minlength=buckets)
+                total[at] = total[at] + n if at in total else n
+        for at, n in total.items():
+            bucket = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bucket), at, np.int32)), pa.array(bucket.astype(np.int32)), pa.array(n[bucket])], ["at", "bucket", "n"])
+
+    cells = taken.select("text", "at").mapInArrow(count, "at int, bucket int, n long").groupBy("at", "bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.full((buckets, len(languages)), smoothing)
     counts[cells["bucket"].to_numpy(), cells["at"].to_numpy()] += cells["n"].to_numpy()
     total = sum(sizes.values())
@@ -103,7 +104,8 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = Non
     """The columns ``keep`` of each row, then ``lang_pred`` and ``score`` (0 to 1).
 
     Null and empty texts and texts without a letter give ``und`` with score 0, and so does every text when
-    the model saw no language.
+    the model saw no language.  Very long texts are read whole, in pieces.  Ties go to the first language by name,
+    repeated rows each give their row, kept columns may have any name, and no rows give no rows.
     """
     keep = docs.columns if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast(model)
