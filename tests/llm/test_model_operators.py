@@ -6,6 +6,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import xxhash
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from statuta.llm import language, nearest, quality, segmentations, simhash
 from statuta.llm.queries import PASS, held_out, queries
+from statuta.llm.text import words
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 LARGER = "/root/testdata/sf0.01"
@@ -100,13 +102,32 @@ def test_nearest_recall(spark):
     assert np.mean([len({a for a, _ in got[q]} & {a for a, _ in want[q]}) / 20 for q in want]) >= 0.9
 
 
+def test_nearest_recall_where_a_share_is_verified(spark):
+    """Shards of over a thousand rows, of which 14 % are verified."""
+    r = np.random.default_rng(4)
+    centres = r.standard_normal((40, 64))
+    v = centres[r.integers(0, 40, 18_000)] + 0.6 * r.standard_normal((18_000, 64))
+    ids = np.arange(1, 18_001)
+    vectors = spark.createDataFrame(pd.DataFrame({"vec_id": ids, "embedding": v.tolist()}))
+    asked = ids[ids % 600 == 0]
+    got: dict[int, set] = {}
+    for x in nearest.search(vectors, vectors.where(F.col("vec_id") % 600 == 0)).collect():
+        got.setdefault(x.query_id, set()).add(x.vec_id)
+    hits = []
+    for q in asked.tolist():
+        s = v @ v[q - 1]
+        s[q - 1] = -np.inf
+        hits.append(len(got[q] & set((np.argsort(-s)[:20] + 1).tolist())) / 20)
+    assert np.mean(hits) >= 0.9
+
+
 def test_nearest_edges(spark):
     same = [1.0, 2.0, 0.0]
     rows = [(0, same), (5, same), (3, same), (3, same), (20, [0.5, 0.0, 9.0]), (7, None), (8, [0.0, 0.0, 0.0]), (9, [1.0, float("nan"), 1.0]), (10, [1.0, None, 1.0]), (11, [float("inf"), 1.0, 1.0]), (40, [1.0, 1.0]), (None, same), (60, [0.0, 0.0, 0.0])]
     vectors = spark.createDataFrame([(*r, "c") for r in rows], "vec_id long, embedding array<double>, score string")
     got = [tuple(r) for r in nearest.search(vectors, vectors.where("vec_id % 20 = 0"), 2).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 3, 5.0), (0, 2, 5, 5.0), (20, 1, 0, 0.5), (20, 2, 3, 0.5)]
-    assert nearest.search(vectors.limit(0), vectors, 2).count() == 0
+    assert nearest.search(vectors.limit(0), vectors, 2).count() == 0 and nearest.search(vectors, vectors.limit(0), 2).count() == 0
 
 
 def test_quality_on_held_out_documents(spark):
@@ -121,6 +142,82 @@ def test_quality_on_held_out_documents(spark):
         assert abs(r.score - model.score(quality.features(text[r.doc_id].encode()))) < 1e-9
 
 
+def plain_features(text: bytes, bits: int) -> set[int]:
+    m32, mult, out = (1 << 32) - 1, int(quality._mult), set()
+
+    def single(h: int) -> None:
+        out.add((h * mult & m32) >> (32 - bits))
+
+    for n in (3, 4):
+        for i in range(len(text) - n + 1):
+            h = n
+            for c in text[i : i + n]:
+                h = (h * 0x01000193 & m32) ^ c
+            single(h)
+    hashes = []
+    for w in text.replace(b"\t", b" ").replace(b"\n", b" ").replace(b"\r", b" ").split(b" "):
+        if w:
+            total = 0
+            for k, c in enumerate(w):
+                x = (c + 1) * (2 * k + 1) * mult & m32
+                total = (total + (x ^ (x >> 15))) & m32
+            hashes.append(total)
+    for h in hashes:
+        single(h ^ 0x5BD1E995)
+    for a, b in zip(hashes, hashes[1:]):
+        single((a * 31 + b) & m32)
+    same = [int(a == b) for a, b in zip(hashes, hashes[1:])]
+    for n in (1, 2, 3):
+        for i in range(len(same) - n + 1):
+            h = 77 + n
+            for x in same[i : i + n]:
+                h = (h * 2 + x) & m32
+            single(h * mult & m32)
+    return out
+
+
+def test_quality_against_a_plain_version(spark):
+    """Features as sets, ratios as dict counts, and the hinge loss by projected gradient over all dual variables at once."""
+    r, bits = np.random.default_rng(2), 12
+    good = [" ".join(r.choice("the cat sat on a mat and saw it".split(), 12)) for _ in range(20)]
+    bad = [" ".join(np.repeat(r.choice("buy now!! CLICK $$$ the".split(), 5), 2)) for _ in range(20)]
+    texts, label = [*good, *bad], np.array([1] * 20 + [0] * 20)
+    index = [quality.features(t.encode(), bits) for t in texts]
+    assert [set(i.tolist()) for i in index] == [plain_features(t.encode(), bits) for t in texts]
+    counts = [Counter(), Counter()]
+    for i, y in zip(index, label, strict=True):
+        counts[y].update(i.tolist())
+    total = [sum(c.values()) + (1 << bits) for c in counts]
+    model = quality.fit(index, label, bits)
+    for b in range(1 << bits):
+        assert abs(model.ratio[b] - (math.log((counts[1][b] + 1) / total[1]) - math.log((counts[0][b] + 1) / total[0]))) < 1e-9
+    x = np.zeros((40, (1 << bits) + 1))
+    for n, i in enumerate(index):
+        x[n, i] = model.ratio[i] / np.linalg.norm(model.ratio[i])
+    x[:, -1] = 1
+    sign = np.where(label > 0, 1.0, -1.0)
+    q = (x @ x.T) * np.outer(sign, sign)
+    alpha = np.zeros(40)
+    for _ in range(20_000):
+        alpha = np.clip(alpha - (q @ alpha - 1) / np.linalg.norm(q, 2), 0, 1)
+    want = x.T @ (alpha * sign)
+    got = quality.dual_coordinate_descent(index, [x[n, i] for n, i in enumerate(index)], sign, 1 << bits, epochs=3000)
+    loss = [0.5 * w @ w + np.maximum(0, 1 - sign * (x @ w)).sum() for w in (want, got)]
+    assert abs(loss[0] - loss[1]) < 1e-2 * loss[0]
+    margins = [model.margin(i) for i in index]
+    assert min(margins[:20]) > max(margins[20:])
+
+
+def test_quality_of_very_long_texts_and_bounded_fits(spark):
+    docs = spark.createDataFrame([(i, ("good calm prose " if i % 2 else "BAD!! ") * (60_000 if i < 2 else 40)) for i in range(24)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(24)], "doc_id long, quality int")
+    few = quality.fit_quality(docs, labels, most_indicators=200)
+    assert few.weight.any()
+    for model in (quality.fit_quality(docs, labels), few):
+        score = {r.doc_id: r.score for r in quality.rate(docs, model).collect()}
+        assert min(score[i] for i in range(1, 24, 2)) > max(score[i] for i in range(0, 24, 2))
+
+
 def test_quality_edges(spark):
     docs = spark.createDataFrame([(1, None, "c"), (2, "", "c"), (None, "text", "c"), (3, "good text", "c"), (4, "BAD!! BAD!!", "c"), (4, "BAD!! BAD!!", "c")], "doc_id long, text string, score string")
     labels = spark.createDataFrame([(3, 1), (4, 0), (4, 0), (9, None), (None, 1)], "doc_id long, quality int")
@@ -139,6 +236,48 @@ def test_language_on_held_out_documents(spark):
     assert np.mean([r.lang == r.lang_pred for r in got]) >= 0.97
 
 
+def plain_language(rows: list[tuple[str, str]], text: str, buckets: int = 1 << 15) -> tuple[str, float]:
+    """Multinomial naive Bayes in dicts."""
+
+    def grams(t: str) -> list[int]:
+        out, c = [], [ord(x) for x in t.lower()]
+        for n in (1, 2, 3):
+            for i in range(len(c) - n + 1):
+                h = n
+                for x in c[i : i + n]:
+                    h = (h * 0x01000193 & 0xFFFFFFFF) ^ x
+                out.append((h * 0x9E3779B1 & 0xFFFFFFFF) >> 17)
+        return out
+
+    counts: dict[str, Counter] = {}
+    for t, lang in rows:
+        counts.setdefault(lang, Counter()).update(grams(t))
+    total = {}
+    for lang, c in counts.items():
+        n = sum(c.values()) + 0.1 * buckets
+        total[lang] = math.log(sum(x == lang for _, x in rows) / len(rows)) + sum(math.log((c[g] + 0.1) / n) for g in grams(text))
+    best = min(total, key=lambda k: (-total[k], k))
+    return best, 1 / sum(math.exp(x - total[best]) for x in total.values())
+
+
+def test_language_against_a_plain_version(spark):
+    rows = [("the cat sat", "en"), ("a dog and the fox", "en"), ("le chat est là", "fr"), ("un chien", "fr"), ("der Hund läuft", "de")]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string")
+    model = language.fit_language(docs)
+    texts = ["the dog", "LE CHIEN", "Hund", "x", "là là", "fox " * 3]
+    for t, name, score in zip(texts, *model.score(texts), strict=True):
+        want = plain_language(rows, t)
+        assert name == want[0] and abs(score - want[1]) < 1e-3
+
+
+def test_hundreds_of_languages_and_very_long_texts(spark):
+    docs = spark.createDataFrame([(i, f"{chr(0x4E00 + i)}{chr(0x6E00 + i)} " * 3, f"l{i:03}") for i in range(600)], "doc_id long, text string, lang string")
+    model = language.fit_language(docs)
+    assert len(model.languages) == 600 and {r.doc_id for r in language.identify(docs, model).where("lang <> lang_pred").collect()} == set()
+    long = spark.createDataFrame([(1, docs.first().text * 100_000)], "doc_id long, text string")
+    assert language.identify(long, model).first().lang_pred == docs.first().lang
+
+
 def test_language_edges(spark):
     docs = spark.createDataFrame([(1, "abc abc", "xx", 1), (2, "ñandú ñu", "yy", 1), (3, None, "xx", 1), (4, "123 !?", None, 1), (5, "", "yy", 1), (None, "abc", None, 1)], "doc_id long, text string, lang string, score int")
     model = language.fit_language(docs)
@@ -218,36 +357,57 @@ def test_near_duplicates_against_brute_force(spark):
     assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == want
     assert {r.component_id for r in got if r.doc_id is None} == {want[44], None}
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+    long = "many words in a row make a long text " * 60_000
+    pair = spark.createDataFrame([(1, long), (2, long + "end"), (3, "else")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(pair).collect()} == {1: 1, 2: 1, 3: 3}
 
 
 def test_pipeline_stages_against_plain_versions(spark, small, tmp_path):
     docs = spark.read.parquet(f"{small}/documents.parquet")
-    plain = docs
-    names = [n for n, _ in corpus_pipeline.STAGES]
-    assert names == ["quality", "language", "near_duplicates", "decontaminate", "encode"]
-    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        out = stage(spark, plain, small)
-        if k < 4:
-            assert out.columns == docs.columns
-            out.write.parquet(str(tmp_path / str(k)))
-            after = spark.read.parquet(str(tmp_path / str(k)))
-            assert set(r.doc_id for r in after.collect()) <= set(r.doc_id for r in plain.collect())
-            if k == 0:
-                judged = queries()["op4_quality"](spark, small).where("predicted = 1")
-            elif k == 2:
-                judged = simhash.near_duplicates(plain).where("doc_id = component_id")
-            else:
-                judged = None
-            if judged is not None:
-                assert sorted(r.doc_id for r in after.collect()) == sorted(r.doc_id for r in judged.collect())
-            plain = after
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "language", "near_duplicates", "decontaminate", "encode"]
+    items = [(r.item_id, words((r.text or "").encode())) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    windows = {tuple(w[i : i + 10]) for _, w in items for i in range(max(1, len(w) - 9))} - {()}
+    sizes = {len(x) for x in windows}
+    before = docs
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, before, small)
+        out.write.parquet(str(tmp_path / str(k)))
+        after = spark.read.parquet(str(tmp_path / str(k)))
+        rows = {r.doc_id: r.text for r in before.collect()}
+        if name == "encode":
+            model = segmentations.lattice(PIECES)
+            for d, text in rows.items():
+                want = model.samples([text], np.array([d]), 2)[0]
+                got = after.where(F.col("doc_id") == d).orderBy("sample").collect() if d % 10 == 0 else []
+                assert not got or [(r.ids, round(r.perturbed, 6)) for r in got] == [(x[0].tolist(), round(x[2], 6)) for x in want]
+            assert after.select("doc_id").distinct().count() == len(rows) and after.where("not round_trip").count() == 0
+            break
+        assert after.columns == docs.columns
+        kept = {r.doc_id: r.text for r in after.collect()}
+        if name == "quality":
+            assert set(kept) == {r.doc_id for r in queries()["op4_quality"](spark, small).where("predicted = 1").collect()}
+        elif name == "language":
+            assert set(kept) == {d for d, t in rows.items() if t and any(c.isalpha() for c in t)}
+        elif name == "near_duplicates":
+            assert set(kept) == {r.doc_id for r in simhash.near_duplicates(before).where("doc_id = component_id").collect()}
         else:
-            assert out.select("doc_id").distinct().count() == plain.count()
+            for d, text in rows.items():
+                w, hit = words((text or "").encode()), set()
+                for i in range(len(w)):
+                    for n in sizes:
+                        if tuple(w[i : i + n]) in windows:
+                            hit.update(range(i, i + n))
+                if 2 * len(hit) > len(w):
+                    assert d not in kept
+                else:
+                    assert words((kept[d] or "").encode()) == [x for i, x in enumerate(w) if i not in hit]
+            assert any(kept.get(d) != t for d, t in rows.items())
+        before = after
 
 
 def test_pipeline_takes_odd_documents(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").limit(30).withColumn("_score", F.lit("c"))
-    odd = spark.createDataFrame([(None, None, None, None, None, "c"), (1, "", "en", "s", 0, "c"), (1, "", "en", "s", 0, "c")], docs.schema)
+    odd = spark.createDataFrame([(None, None, None, None, None, "c"), (1, "", "en", "s", 0, "c"), (1, "", "en", "s", 0, "c"), (2, "a very long text of many words " * 50_000, "en", "s", 0, "c")], docs.schema)
     for _, stage in corpus_pipeline.STAGES[:4]:
         assert stage(spark, docs.unionByName(odd), small).columns == docs.columns
         assert stage(spark, docs.limit(0), small).count() == 0

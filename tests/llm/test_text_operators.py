@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -38,6 +39,25 @@ def test_word_encoder_matches_library():
     assert own.encode(texts) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
+def test_word_encoder_leaves_other_tokenizers_to_the_library(spark, docs):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, own = Tokenizer.from_file(path), token_files.WordEncoder(path)
+    texts = odd_texts(300, 30, 7)
+    assert not own.by_words and own.encode([*texts, None]) == [*(np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts), b""]
+    want = Counter(zlib.crc32(np.array([*library.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4").tobytes()) for r in docs.collect())
+    assert Counter(r.ids_crc32 for r in token_files.encoded_digests(docs, path).collect()) == want
+
+
+def test_words_that_share_a_hash_are_told_apart(monkeypatch):
+    own = token_files.WordEncoder(WORDS)
+    want = [own.encode([t])[0] for t in ("ab cd", "cd ab ef", "x")]
+    monkeypatch.setattr(token_files.WordTable, "hashes", lambda self, text, start, end: (end - start).astype(np.uint64))
+    own.table.clear()
+    assert [own.encode([t])[0] for t in ("ab cd", "cd ab ef", "x")] == want and own.encode(["ab cd", "cd ab ef", "x"]) == want
+
+
 def test_word_encoder_with_a_full_cache(monkeypatch):
     monkeypatch.setattr(token_files, "MOST_KEPT", 3)
     own = token_files.WordEncoder(WORDS)
@@ -99,6 +119,8 @@ def test_licenses_match_sql(docs):
 
 
 def test_licenses_repeats_nulls_and_no_rows(docs):
+    kelvin = licenses.scan_licenses(docs.sparkSession.createDataFrame([(1, "This wor\u212a is licensed under a creative commons")], "doc_id long, text string")).first()
+    assert kelvin.n_words == 8 and kelvin.score == 5 / 8
     got = licenses.scan_licenses(docs)
     assert got.count() == docs.count() and licenses.scan_licenses(docs.limit(0)).count() == 0
     assert [r.n_base for r in got.where("doc_id = 4").collect()] == [2, 2]
@@ -135,6 +157,39 @@ def test_decontamination_against_brute_force(spark, window, block):
     assert decontaminate.report(docs.limit(0), bench, window).count() == 0
 
 
+def test_many_blocks_of_items(spark):
+    """Each block is a scan of its own; the result has one Python stage for the scan's merge, however many blocks there are."""
+    r = random.Random(5)
+    items = [(i, " ".join(r.choice("a b c d e f g h".split()) + str(r.randint(0, 9)) for _ in range(r.choice([3, 6, 12, 300])))) for i in range(60)]
+    items += [(7, items[7][1])] * 40 + [(None, items[8][1])]
+    texts = [" ".join(f"z{r.randint(0, 9)}" for _ in range(r.randint(0, 9))) + " " + (t if (k := r.random()) < 0.4 else " ".join(t.split()[3:40]) if k < 0.8 else "") + " tail" for _, t in items] + [None, "", items[3][1] * 2]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(0, texts[0])], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.report(docs, bench, 5, block_bytes=1000)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") <= 2
+    got = sorted(tuple(x) for x in found.collect())
+    named = [x for x in items if x[0] is not None]
+    assert got == sorted((i, *brute(t, named, 5)) for i, t in [*enumerate(texts), (0, texts[0])])
+
+
+def test_long_items_are_cut_at_whole_windows():
+    w = [f"w{i}".encode() for i in range(200)]
+    for most in (1, 30, 100, 5000):
+        parts = [words(p) for p in decontaminate.pieces(b" ".join(w), 10, most)]
+        assert {tuple(p[i : i + 10]) for p in parts for i in range(len(p) - 9)} == {tuple(w[i : i + 10]) for i in range(191)} and all(len(p) >= 10 for p in parts)
+
+
+def test_very_long_texts(spark):
+    long = "word and more " * 200_000
+    docs = spark.createDataFrame([(1, long + "a b c d e f g h i j k"), (2, "short")], "doc_id long, text string")
+    bench = spark.createDataFrame(ITEMS[:2], "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit) for r in decontaminate.report(docs, bench).collect()}
+    assert got == {1: (600_011, 11), 2: (1, 0)}
+    page = "<p>" + "<b>x</b> y " * 300_000 + "</p>" + "<div><ul><li>" * 1000 + "deep"
+    shown = html_text.extract_text(spark.createDataFrame([(1, page)], "page_id long, html string")).first()
+    assert shown.n_items == 1000 and shown.text.startswith("x y x y") and shown.text.endswith("deep") and shown.text.count("x y") == 300_000
+
+
 def test_decontaminate_cuts_and_drops(spark):
     docs = spark.createDataFrame([(1, "Keep this. A b c d E f g h i j, and that " + "w " * 20, 7), (2, "a b c d e f g h i j k", 7), (3, None, 7), (4, "clean", None)], "doc_id long, text string, spans int")
     bench = spark.createDataFrame(ITEMS[:2], "item_id long, text string")
@@ -162,6 +217,29 @@ def test_html_cases(html, text):
     assert html_text.render(html)[0] == text
 
 
+def test_wide_cells_align_and_deep_pages_keep_their_layout():
+    lines = html_text.render("<table><tr><td>" + "a" * 200 + "<td>x<tr><td>b<td>y</table>")[0].split("\n")
+    assert [x.index(c) for x, c in zip(lines, "xy", strict=True)] == [202, 202]
+    assert html_text.render("<div>" * 1000 + "<p>a<p>b" + "</div>" * 1000 + "z")[0] == "a\n\nb\n\nz"
+    deep = html_text.render("<ul><li>" * 1000 + "x")[0].split("\n")
+    assert len(deep) == 1000 and deep[500] == " " * 1000 + "-" and deep[-1] == " " * 1998 + "- x"
+    assert html_text.render("<table><tr><td>" * 1000 + "x")[0] == "x"
+
+
+def test_padding_is_bounded(monkeypatch):
+    monkeypatch.setattr(html_text, "MOST_PADDING", 100)
+    rows = "<tr><td>" + "a" * 50 + "<td>b<td>c" + "<tr><td>a<td>bb<td>c" * 4
+    assert html_text.render(f"<table>{rows}</table>")[0].split("\n")[1:] == ["a  bb  c"] * 4
+
+
+@pytest.mark.parametrize(("rule", "shown"), [
+    (".a .b", "2 3 4"), (".a > .b", "1 2 3 4"), ("i > .b", "2 3 4"), ("div.a.x i", "3 4"), ("div i *", "2 3 4"), ("#q[role=x]", "1 2 3"), ("[role]", "1 2 3"), ("i:hover", "1 2 3 4"), (".b + u", "1 2 3 4"), ("u, .none", "1 2 4"), ("div.a.y i", "1 2 3 4"),
+])
+def test_html_selectors(rule, shown):
+    page = "<div class='a x'><i><b class=b>1</b> 2</i></div> <u class=b>3</u> <s id=q role=x>4</s>"
+    assert html_text.render(f"<style>{rule}{{display:none}}</style>{page}")[0].split() == shown.split()
+
+
 @pytest.mark.parametrize(("css", "shown"), [
     ("@media print{.ad,nav{display:none}}", "a b"), ("@media (max-width:9px){.ad{display:none}} nav{color:red}", "a b"), ("@media screen{.ad{display:none}}", "b"),
     ("@media print{p{x:y} .ad{display:none}} nav{display:none}", "a"), ("@media not print{.ad{display:none}}", "b"), ("@media print,all{nav{display:none}}", "a"), ("@import url(x);.ad{display:none}", "b"),
