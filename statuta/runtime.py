@@ -23,13 +23,15 @@ def local_session(cores: str = "*", app: str = "statuta", **conf: str) -> SparkS
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (local tests) a temporary folder is made.
+    Only where that setting is absent in a local session (tests) a temporary folder is made; a cluster must name one.
     Also makes ``DataFrame.checkpoint()`` usable.
     """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="statuta-checkpoint-")
+    if not folder and not (folder := sc.getCheckpointDir()):
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="statuta-checkpoint-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
     return folder
