@@ -77,7 +77,7 @@ def contains_quote(text: Column, quote: Column) -> Column:
 
 
 def escape_markdown(text: Column) -> Column:
-    return F.regexp_replace(text, r"([\\`*_{}\[\]()#+\-.!|])", r"\\$1")
+    return F.regexp_replace(text, r"([\\`*_<>{}\[\]#])", r"\\$1")
 
 
 def redact(text: Column, preview: int = 12) -> Column:

@@ -2,35 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statuta.functions import strings
 from statuta.operators.ranking import top_k
 
 #: Words of lower-cased text.
-GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+GAP, WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), GAP), "")
 
 
-def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``term, id, tf, len``."""
-    words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w"))
-    return words.select("id", F.size("w").alias("len"), F.explode("w").alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
+def postings(docs: DataFrame, asked: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``term, id, tf, len`` of the terms in ``asked(term)`` alone; the others go before anything is grouped."""
+    words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w")).select("id", F.size("w").alias("len"), F.explode("w").alias("term"))
+    return words.join(asked, "term", "left_semi").groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``query_id, id, score, rank``: the k best documents of ``queries(query_id, text)`` by BM25.
 
-    Only the postings of terms that some question asks for are scored.  Corpus counts are one row.
+    Only the postings of terms that some question asks for are made and scored.  Corpus counts are one row.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    asked = terms.select("term").distinct()
-    hits = postings(docs, id_col, text_col).join(asked, "term", "left_semi")
-    corpus = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size(tokens(F.col(text_col)))).alias("mean_len"))
+    hits = postings(docs, terms.select("term").distinct(), id_col, text_col)
+    n_words = F.regexp_count(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(WORD))
+    corpus = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(n_words).alias("mean_len"))
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1.0 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * (1.0 - b + b * F.col("len") / F.col("mean_len")))
@@ -39,18 +41,43 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float
     return top_k(scores, k, ["query_id"], [F.round("score", 9).desc(), "id"])
 
 
-def cosine(a: Column, b: Column) -> Column:
-    def dot(x: Column, y: Column) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+def vector_candidates(vectors: DataFrame, queries: DataFrame, k: int, group: str | None = None, own: bool = False, shard_rows: int = 65_536, block: int = 1024) -> DataFrame:
+    """``query_id, id, score, rank``: exact cosine of ``vectors(id, v[, group])`` and ``queries(query_id, q)``, k best for each query and group.
 
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    Rows in shards meet queries in blocks as matrix products, and each meeting gives back k rows a query.  ``own``
+    keeps a query's own id.  Scores are rounded to 12 digits, ties go to the smaller id.
+    """
+    n, m = vectors.count(), queries.count()
+    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-m // block))
+    kind = F.col(group).cast("string") if group else F.lit("")
+    left = vectors.select("id", F.transform("v", lambda x: x.cast("double")).alias("v"), kind.alias("kind"), F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = queries.select("query_id", F.transform("q", lambda x: x.cast("double")).alias("q"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+
+    def unit(rows: pd.Series) -> np.ndarray:
+        x = np.stack(rows.to_numpy())
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(a) and len(b):
+            q = unit(b["q"])
+            for name, part in a.groupby("kind"):
+                ids, v = part["id"].to_numpy(), unit(part["v"])
+                for query, scores in zip(b["query_id"].to_numpy(), q @ v.T, strict=True):
+                    s = np.round(scores, 12)
+                    ok = np.arange(len(ids)) if own else np.flatnonzero(ids != query)
+                    best = ok[np.lexsort((ids[ok], -s[ok]))[:k]]
+                    out.append(pd.DataFrame({"query_id": query, "kind": name, "id": ids[best], "score": s[best]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "kind": [], "id": [], "score": []})
+
+    near = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(nearest, "query_id long, kind string, id long, score double")
+    return top_k(near, k, ["query_id", "kind"], [F.desc("score"), "id"])
 
 
 def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``query_id, id, score, rank``: exact cosine for a stated, small set of questions against all vectors."""
-    q = queries.select("query_id", F.col(vector_col).alias("q"))
-    scored = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).join(F.broadcast(q), F.col("query_id") != F.col("id")).select("query_id", "id", cosine(F.col("v"), F.col("q")).alias("score"))
-    return top_k(scored, k, ["query_id"], [F.desc("score"), "id"])
+    """``query_id, id, score, rank``: exact cosine of all vectors for each question, its own id aside."""
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
+    return vector_candidates(rows, queries.select("query_id", F.col(vector_col).alias("q")), k).select("query_id", "id", "score", "rank")
 
 
 def chunks(text: Column, size: int = 160) -> Column:
@@ -59,10 +86,6 @@ def chunks(text: Column, size: int = 160) -> Column:
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(text, i * size + 1, F.lit(size)))
 
 
-def best_per_unit(rows: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score")))).where("_n = 1").drop("_n")
-
-
 def grounded_quotes(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Distinct ``doc_id, item_id``: the items whose text stands in a document, white space and case aside.
 
