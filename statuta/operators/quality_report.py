@@ -62,12 +62,17 @@ def bundle_completeness(rows: DataFrame, bundle: str, expected: str) -> DataFram
 
 def latency(rows: DataFrame, key: str, value: str) -> DataFrame:
     """Median and both reports' 95th percentiles: at index floor(.95 n) and ceil(.95 n), from 1."""
-    order = Window.partitionBy(key).orderBy(value)
-    at = rows.withColumns({"_i": F.row_number().over(order), "_n": F.count(F.lit(1)).over(Window.partitionBy(key))})
+    # equal values are counted first, so that a common key's rows are not sorted one by one
+    counted = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_c"))
+    upto = Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = counted.withColumns({"_upto": F.sum("_c").over(upto), "_n": F.sum("_c").over(Window.partitionBy(key))})
+
     def pick(i: Column) -> Column:
-        return F.max(F.when(F.col("_i") == i, F.col(value)))
+        return F.min(F.when(F.col("_upto") >= i, F.col(value)))
 
-    return at.groupBy(key).agg(F.median(value).alias("p50"), pick(F.greatest(F.lit(1), F.floor(F.col("_n") * 0.95))).alias("p95_floor"), pick(F.ceil(F.col("_n") * 0.95)).alias("p95_ceil"))
+    n = F.col("_n")
+    median = (pick(F.floor((n + 1) / 2)) + pick(F.ceil((n + 1) / 2))) / 2
+    return at.groupBy(key).agg(median.alias("p50"), pick(F.greatest(F.lit(1), F.floor(n * 0.95))).alias("p95_floor"), pick(F.ceil(n * 0.95)).alias("p95_ceil"))
 
 
 def set_hash(value: Column) -> Column:

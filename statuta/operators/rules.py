@@ -283,3 +283,50 @@ def owner_scoped(units: DataFrame, owner: str) -> DataFrame:
 def best_focus(rows: DataFrame, key: str, order: list) -> DataFrame:
     """The first row of each key."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def readiness_errors(row: dict[str, Column], manifest: dict[str, Column]) -> Column:
+    """What keeps a document's metadata from being used, each as its field: a mismatch with the manifest, or a required field that is missing."""
+    differs = [F.when((F.coalesce(row[c], F.lit("")) != "") & (F.coalesce(manifest[c], F.lit("")) != "") & (row[c] != manifest[c]), F.lit(f"mismatch:{c}")) for c in manifest]
+    lacks = [F.when(F.coalesce(row[c], F.lit("")) == "", F.lit(f"missing:{c}")) for c in row if c not in manifest]
+    return F.array_compact(F.array(*differs, *lacks))
+
+
+def extraction_readiness(counts: dict[str, Column], complete: Column, version: Column, current: str, entities: Column) -> Column:
+    """Null for an extraction that can be written, else the first thing wrong with it."""
+    return (
+        F.when(version != current, "ontology_version").when(~complete, "smoke_subset").when(counts["extract"] != counts["accepted"] + counts["review"] + counts["rejected"], "counts_differ").when(counts["accepted"] == 0, "nothing_accepted").when(entities == 0, "no_entities")
+    )
+
+
+def provider_batch_errors(rows: DataFrame) -> DataFrame:
+    """``relation_id, error`` of a provider's temporal relations ``relation_id, candidate_id, wrapped_id, type, head, tail, effective_from``, every fault a row."""
+    one = F.array_compact(F.array(
+        F.when(~F.col("type").isin("AMENDS", "REPEALS"), "type"), F.when(~F.col("head").isin(UNITS), "head"), F.when(~F.col("tail").isin(UNITS), "tail"), F.when(F.coalesce("candidate_id", F.lit("")) == "", "no_candidate"),
+        F.when(~F.col("candidate_id").eqNullSafe(F.col("wrapped_id")), "wrapper"), F.when(F.col("effective_from").isNull(), "effective_from"),
+    ))
+    own = rows.select("relation_id", F.explode(one).alias("error"))
+    again = [rows.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n"), F.min("relation_id").alias("r")).where("n > 1").select(F.col("r").alias("relation_id"), F.lit(f"duplicate_{c}").alias("error")) for c in ("relation_id", "candidate_id")]
+    return own.unionByName(again[0]).unionByName(again[1])
+
+
+def diagram_record(relation: Column, method: Column, head_resolved: Column, tail_resolved: Column, head_type: Column, tail_type: Column, current_head: Column, effective: Column, document_effective: Column, guides: list[tuple[str, str]]) -> Column:
+    """``state, reason, effective_from`` of a relation between documents that a diagram shows."""
+    def out(state: str, reason: str | None) -> Column:
+        return F.struct(F.lit(state).alias("state"), F.lit(reason).cast("string").alias("reason"))
+
+    day = F.coalesce(effective, F.when(current_head, document_effective))
+    pair = F.concat_ws(">", head_type, tail_type).isin([f"{a}>{b}" for a, b in guides])
+    state = (
+        F.when(~head_resolved | ~tail_resolved, out("review", "unresolved_diagram_target")).when((method != "DIAGRAM") | ~relation.isin("GUIDES", *TEMPORAL), out("rejected", "unsupported_diagram_relation"))
+        .when(relation.isin(TEMPORAL) & day.isNull(), out("review", "temporal_metadata_incomplete")).when((relation == "GUIDES") & ~F.coalesce(pair, F.lit(False)), out("rejected", "guides_pair")).otherwise(out("valid", None))
+    )
+    return F.struct(state.alias("s"), F.when(relation.isin(TEMPORAL) & (state["state"] == "valid"), day).alias("effective_from"))
+
+
+def rewritten(question: Column, label: Column, keep: Column) -> Column:
+    """A question with its first "that article" and the like replaced by the label, unless an anchor that must stay would be lost; then as it was."""
+    back = r"(?iu)(?:khoản|điều|luật|văn bản|nghị định)\s+(?:này|đó|ấy|trên)"
+    new = F.regexp_replace(question, f"(?s)^(.*?){back}", F.concat(F.lit("$1"), F.regexp_replace(label, r"([$\\])", r"\\$1")))
+    lost = F.exists(keep, lambda k: ~F.contains(new, k))
+    return F.when(label.isNull() | lost, question).otherwise(new)

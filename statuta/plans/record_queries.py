@@ -44,10 +44,9 @@ def win13_merged_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("doc_id"), F.lower("o_orderstatus").alias("label")).agg(F.array_join(F.transform(listed, lambda x: x["t"]), " ").alias("content"))
 
 
-@query("""WITH q AS (SELECT conv_id, turn, substr(translate(text, 'ae', '“”'), 1, 40) AS p FROM conversations), i AS (SELECT *, strpos(reverse(p), '“') AS o, strpos(reverse(p), '”') AS c FROM q) SELECT conv_id, turn, o > 0 AND (c = 0 OR o < c) AS open FROM i""")
+@query("""WITH q AS (SELECT conv_id, turn, translate(text, 'ae', '“”') AS p FROM conversations), i AS (SELECT *, strpos(reverse(p), '“') AS o, strpos(reverse(p), '”') AS c FROM q) SELECT conv_id, turn, o > 0 AND (c = 0 OR o < c) AS open FROM i""")
 def win15_quote_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prefix = F.substring(F.translate("text", "ae", "“”"), 1, 40)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", conversation.open_quote(prefix).alias("open"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", conversation.open_quote(F.translate("text", "ae", "“”")).alias("open"))
 
 
 @query("""WITH q AS (SELECT conv_id, turn, translate(text, 'ae', '“”') AS t FROM conversations), p AS (SELECT conv_id, turn, t, unnest(list_append(range(40, length(t), 40), length(t))) AS place FROM q),
@@ -193,12 +192,10 @@ def ing3_source_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.groupBy("doc_id", region.alias("region")).agg(F.count(F.lit(1)).alias("n_lines"))
 
 
-@query("""SELECT page_id, CASE WHEN strpos(html, m) > 0 AND len(string_split(html, m)) = 2 THEN strpos(html, m) - 1 END AS start, CASE WHEN strpos(html, m) = 0 THEN 'missing' WHEN len(string_split(html, m)) = 2 THEN 'unique' ELSE 'repeated' END AS status FROM (SELECT page_id, html, substr(html, length(html) // 2, 6) AS m FROM pages) WHERE length(html) > 20""")
+@query("""SELECT page_id, CASE WHEN strpos(html, m) > 0 AND len(string_split(html, m)) = 2 THEN strpos(html, m) - 1 END AS start, CASE WHEN m IS NULL OR m = '' OR strpos(html, m) = 0 THEN 'missing' WHEN len(string_split(html, m)) = 2 THEN 'unique' ELSE 'repeated' END AS status FROM (SELECT page_id, html, substr(html, greatest(length(html) // 2, 1), 6) AS m FROM pages)""")
 def src12_unique_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").where("length(html) > 20").select("page_id", "html", F.expr("substr(html, cast(length(html) div 2 as int), 6)").alias("m"))
-    at, n = F.position(F.col("m"), F.col("html")), (F.length("html") - F.length(F.replace("html", F.col("m"), F.lit("")))) / F.length("m")
-    status = F.when(at == 0, "missing").when(n == 1, "unique").otherwise("repeated")
-    return p.select("page_id", F.when(status == "unique", (at - 1).cast("long")).alias("start"), status.alias("status"))
+    """The one place of each page's six middle characters."""
+    return src12_all_spans(spark, sf_dir)
 
 
 @query("""SELECT page_id, CASE WHEN strpos(html, m) > 0 AND len(string_split(html, m)) = 2 THEN strpos(html, m) - 1 END AS start, CASE WHEN m IS NULL OR m = '' OR strpos(html, m) = 0 THEN 'missing' WHEN len(string_split(html, m)) = 2 THEN 'unique' ELSE 'repeated' END AS status FROM (SELECT page_id, html, substr(html, greatest(length(html) // 2, 1), 6) AS m FROM pages)""")

@@ -290,14 +290,14 @@ def grf9_payload_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.select(F.xxhash64("id").alias("node")).join(parts, "node", "left").agg(F.count_distinct(F.coalesce("component", "node")).alias("components"), F.count(F.lit(1)).alias("nodes"))
 
 
-@query(f"""WITH k AS (SELECT {KEY}, CASE {KEY} % 3 WHEN 0 THEN {KEY} || 'a' WHEN 1 THEN 'B' || {KEY} ELSE {KEY}::VARCHAR END AS number FROM supplier)
-SELECT {KEY}, number, row_number() OVER (ORDER BY CASE WHEN {KEY} % 3 = 1 THEN 1000000000 ELSE {KEY} END, lower(number), {KEY}) AS rank FROM k""")
+@query(f"""WITH k AS (SELECT {KEY}, CASE {KEY} % 3 WHEN 0 THEN {KEY} || 'a' WHEN 1 THEN 'B' || {KEY} ELSE {KEY}::VARCHAR END AS number, s_nationkey AS nation FROM supplier)
+SELECT {KEY}, number, row_number() OVER (PARTITION BY nation ORDER BY CASE WHEN {KEY} % 3 = 1 THEN 1000000000 ELSE {KEY} END, lower(number), {KEY}) AS rank FROM k""")
 def top12_browser_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TOP12: numbers by their leading digits, those without last, then by text."""
     k, n = F.col(KEY) % 3, F.col(KEY).cast("string")
-    rows = table(spark, sf_dir, "supplier").select(KEY, F.when(k == 0, F.concat(n, F.lit("a"))).when(k == 1, F.concat(F.lit("B"), n)).otherwise(n).alias("number"))
+    rows = table(spark, sf_dir, "supplier").select(KEY, "s_nationkey", F.when(k == 0, F.concat(n, F.lit("a"))).when(k == 1, F.concat(F.lit("B"), n)).otherwise(n).alias("number"))
     lead = F.regexp_extract("number", r"^(\d+)", 1)
-    order = Window.partitionBy(F.lit(0)).orderBy(F.when(lead != "", lead.cast("long")).otherwise(10**9), F.lower("number"), KEY)
+    order = Window.partitionBy("s_nationkey").orderBy(F.when(lead != "", lead.cast("long")).otherwise(10**9), F.lower("number"), KEY)
     return rows.select(KEY, "number", F.row_number().over(order).alias("rank"))
 
 

@@ -13,13 +13,13 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def keyed_json(spark: SparkSession, path: str, value: str) -> DataFrame:
     """``key, value`` of one JSON object of objects."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.explode(F.from_json("value", f"map<string,{value}>")))
 
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     """``path, text`` with LF newlines, a row for each file."""
-    return spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.regexp_replace("value", "\r\n?", "\n").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.regexp_replace("value", "\r\n?", "\n").alias("text"))
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
