@@ -68,7 +68,8 @@ def vector_candidates(vectors: DataFrame, queries: DataFrame, k: int, group: str
                     ok = np.arange(len(ids)) if own else np.flatnonzero(ids != query)
                     best = ok[np.lexsort((ids[ok], -s[ok]))[:k]]
                     out.append(pd.DataFrame({"query_id": query, "kind": name, "id": ids[best], "score": s[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "kind": [], "id": [], "score": []})
+        nothing = pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "kind": pd.Series([], dtype="object"), "id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
+        return pd.concat(out) if out else nothing
 
     near = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(nearest, "query_id long, kind string, id long, score double")
     return top_k(near, k, ["query_id", "kind"], [F.desc("score"), "id"])

@@ -28,8 +28,8 @@ def whole_bundles(edges: DataFrame, nodes: DataFrame, bundle: str, expected: str
 
 
 def write_decisions(rows: DataFrame, path: str) -> None:
-    """One folder of JSON lines for each decision."""
-    rows.write.mode("overwrite").partitionBy("decision").json(path)
+    """Adds rows to a folder of JSON lines for each decision; what is there stays."""
+    rows.write.mode("append").partitionBy("decision").json(path)
 
 
 def publish(rows: DataFrame, root: str, run_id: str) -> str:
