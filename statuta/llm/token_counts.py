@@ -29,6 +29,8 @@ def stable_vocabulary(model) -> bool:
 
 def opened(path: str) -> tuple:
     """The model, and whether its vocabulary allows splicing."""
+    if not path.endswith(".model"):
+        raise ValueError(f"token counts take SentencePiece .model files, not {path}")
     if path not in _open:
         from sentencepiece import SentencePieceProcessor
 
@@ -82,7 +84,13 @@ def count_tokens(model, text: str | None, stable: bool = True, chunk: int = CHUN
 
 
 def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, chunk: int = CHUNK, overlap: int = OVERLAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_bytes, n_tokens, over_limit.  Null and empty texts have no bytes and no tokens."""
+    """Per row: doc_id, n_bytes, n_tokens, over_limit.
+
+    Null and empty texts have no bytes and no tokens, texts of any length are counted whole, repeated rows each give their
+    row, other columns are not read, and no rows give no rows.  Only SentencePiece ``.model`` files are taken.
+    """
+    if not model_path.endswith(".model"):
+        raise ValueError(f"token counts take SentencePiece .model files, not {model_path}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, stable = opened(model_path)

@@ -72,6 +72,16 @@ def test_samples_do_not_depend_on_the_batch():
         assert [(x[0].tolist(), round(x[2], 6), round(x[3], 6)) for x in alone] == [(x[0].tolist(), round(x[2], 6), round(x[3], 6)) for x in together[i]]
 
 
+def test_decoding_is_the_librarys():
+    from sentencepiece import SentencePieceProcessor
+
+    library, model = SentencePieceProcessor(model_file=PIECES), segmentations.lattice(PIECES)
+    for n, text in enumerate(["the cats sat", " two  spaces", "a\n漢 é 😀", "x" * 40, "don't, stop.", "tab\tend "]):
+        for ids, *_ in model.samples([text], np.array([n]), 5)[0]:
+            assert model.decode(ids.tolist()) == library.decode(ids.tolist()) == text
+            assert model.spellings(ids, np.array([len(ids)]))[0].decode() == " " + text
+
+
 def test_sampling_rows(spark):
     docs = spark.createDataFrame([(1, "hello there", 1), (1, "hello there", 1), (2, None, 1), (None, "", 1), (3, "long " * 5000, 1)], "doc_id long, text string, ids int")
     got = segmentations.sample_segmentations(docs, PIECES, 2)

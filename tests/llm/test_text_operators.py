@@ -98,6 +98,12 @@ def test_token_counts(docs):
         assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+def test_token_counts_refuse_other_files(docs):
+    with pytest.raises(ValueError, match="model"):
+        token_counts.token_counts(docs, WORDS)
+    assert token_counts.token_counts(docs.limit(0), PIECES).count() == 0
+
+
 def test_token_counts_widen_overlaps():
     model, _ = token_counts.opened(PIECES)
     for text in (" " * 500, "a" * 500, "漢" * 300, "ab " * 300, "a" + " " * 400 + "b", "▁ x▁▁ y " * 90, "b▁ " * 200, *odd_texts(300, 200, 5)):
