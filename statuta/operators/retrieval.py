@@ -142,7 +142,7 @@ def expansion(requests: DataFrame, entries: DataFrame, edges: DataFrame, units:
     for step in range(1, max(d for _, d, _ in POLICIES.values()) + 1):
         allowed = rules.where(F.col("depth") >= step)
         level = (
-            level.withColumnRenamed("since", "last").join(sides, F.col("at") == F.col("a")).join(F.broadcast(allowed), ["query_id", "type"]).where("way = 'both' or forward")
+            level.withColumnRenamed("since", "last").join(sides, F.col("at") == F.col("a")).join(allowed, ["query_id", "type"]).where("way = 'both' or forward")
             .where(~F.array_contains("edge_ids", F.col("relation_id")))
             .select("query_id", F.col("b").alias("at"), F.array_append("nodes", F.col("b")).alias("nodes"), F.array_append("edge_ids", F.col("relation_id")).alias("edge_ids"), F.array_append("types", F.col("type")).alias("types"), F.array_append("heads", F.when(F.col("forward"), F.col("a")).otherwise(F.col("b"))).alias("heads"), F.greatest("last", "since").alias("since"))
         )

@@ -28,11 +28,17 @@ STRUCTURAL = f"{_status('legal_status')} AND {_valid('effective_from', 'effectiv
 
 @query(f"""WITH {corpus.CORPUS_SQL} SELECT query_id, count(*) FILTER ({SEED}) AS seeds, count(*) FILTER ({ANCHOR}) AS anchors, count(*) FILTER ({STRUCTURAL}) AS structural, count(*) FILTER ({SCOPE}) AS identity FROM r, u GROUP BY query_id""")
 def flt2_filter_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FLT1 to FLT6: how many passages each request's four filters pass; requests are the fixed benchmark."""
-    r, u = corpus.requests(spark, sf_dir).drop("vector", "text"), corpus.passages(spark, sf_dir)
+    """FLT1 to FLT6: how many passages each request's four filters pass; passages meet each combination of filters once, of which there are few."""
+    asked, u = corpus.requests(spark, sf_dir).drop("vector", "text"), corpus.passages(spark, sf_dir)
+    filters = ["query_date", "document_ids", "doc_types", "legal_statuses"]
+    r = asked.select(*filters).distinct()
     kinds = {"seeds": retrieval.seed_filter(), "anchors": retrieval.anchor_filter(), "structural": retrieval.structural_filter(), "identity": retrieval.in_scope()}
     retrieval.filter_values(["Law", " Decree"])
-    return u.crossJoin(r).groupBy("query_id").agg(*[F.count_if(c).alias(n) for n, c in kinds.items()])
+    counts = u.crossJoin(r).groupBy(*filters).agg(*[F.count_if(c).alias(n) for n, c in kinds.items()])
+    same = F.lit(True)
+    for c in filters:
+        same = same & asked[c].eqNullSafe(counts[c])
+    return asked.select("query_id", *filters).join(counts, same).select("query_id", *kinds)
 
 
 WORDS_SQL = """w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents),

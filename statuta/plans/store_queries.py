@@ -42,14 +42,14 @@ def src3_keyed_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.keyed_json(spark, path, "struct<nation:bigint,region:bigint>").select("key", "value.nation", "value.region")
 
 
-RAW = [("Luật Đất đai {n}", "{n}/2020/QH14", "{n}_2020_qh14", "Law"), ("Nghị định về thuế {n}", None, "nghi_dinh_ve_thue_{n}", "Decree"), (None, None, "ltv_{n}", None), ("Quyết định dài về việc quản lý các khu công nghiệp và khu chế xuất", " ", "quyet_dinh_dai_ve_viec_quan_ly_cac_khu_c", "Decision")]
+RAW = [("Luật Đất đai {n}", "{n}/2020/QH14", "{n}_2020_qh14", "Law"), ("Nghị định về thuế {n}", None, "nghi_dinh_ve_thue_{n}", "Decree"), (None, None, "raw_{n}", None), ("Quyết định dài về việc quản lý các khu công nghiệp và khu chế xuất", " ", "quyet_dinh_dai_ve_viec_quan_ly_cac_khu_c", "Decision")]
 
 
-@query(f"SELECT 'LTV_' || {KEY} AS code, {T.sql([r[2] for r in RAW], KEY)} AS graph_id, coalesce({T.sql([r[3] for r in RAW], KEY)}, 'Circular') AS doc_type FROM supplier")
+@query(f"SELECT 'RAW_' || {KEY} AS code, {T.sql([r[2] for r in RAW], KEY)} AS graph_id, coalesce({T.sql([r[3] for r in RAW], KEY)}, 'Circular') AS doc_type FROM supplier")
 def src6_folder_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC6, STR25: a folder of metadata for each document, scanned into a manifest with inferred ids and kinds."""
     path = stores.new_folder(spark, "raw-documents")
-    rows = table(spark, sf_dir, "supplier").select(F.concat(F.lit("LTV_"), F.col(KEY).cast("string")).alias("code"), T.text([r[0] for r in RAW], KEY).alias("title"), T.text([r[1] for r in RAW], KEY).alias("number"))
+    rows = table(spark, sf_dir, "supplier").select(F.concat(F.lit("RAW_"), F.col(KEY).cast("string")).alias("code"), T.text([r[0] for r in RAW], KEY).alias("title"), T.text([r[1] for r in RAW], KEY).alias("number"))
     rows.repartition(1).write.partitionBy("code").option("ignoreNullFields", "false").json(path)
     read = spark.read.schema("code string, title string, number string").json(path)
     return stores.inferred_manifest(read).select("code", "graph_id", F.coalesce("doc_type", F.lit("Circular")).alias("doc_type"))
