@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statuta.llm import decontaminate, html_text, language, licenses, nearest, quality, segmentations, simhash, token_counts, token_files
+from statuta.llm import conversation_repair, decontaminate, html_text, language, licenses, nearest, periodic_runs, quality, secrets, segmentations, simhash, token_counts, token_files
 from statuta.runtime import table
 
 PIECES = "piece_bpe_32k.model"
@@ -66,10 +66,22 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.report(conversation_repair.damaged(table(spark, sf_dir, "conversations")), present_col="present")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.periodic_runs(periodic_runs.with_planted_runs(table(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_segmentations, op2_nearest, op3_licenses, op4_quality, op5_html_text, op6_decontaminate, op7_token_files, op8_token_counts, op9_language, op10_simhash)
+    own = (op1_segmentations, op2_nearest, op3_licenses, op4_quality, op5_html_text, op6_decontaminate, op7_token_files, op8_token_counts, op9_language, op10_simhash, op11_secrets, op12_conversation_repair, op13_periodic_runs)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_licenses": licenses.oracle()}
+    return {"op3_licenses": licenses.oracle(), "op12_conversation_repair": conversation_repair.ORACLE}
