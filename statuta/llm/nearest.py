@@ -1,88 +1,163 @@
 """Approximate nearest neighbours by collision-counting hashing.
 
 Vectors are put on the unit sphere, one coordinate longer, so that the largest inner product is the nearest point.
-The rows are dealt into shards.  A shard keeps one sorted array for each random projection; a query opens a
-window around its own projection in every array, widens all windows in steps (virtual rehashing: a wider
-window is a union of the buckets of a coarser grid centred at the query) and counts for each vector in how many windows it
-lies.  Vectors with enough collisions are verified by their inner product, until enough are found.
+The rows are dealt into shards.  A shard keeps one sorted array for each of many random projections.  A query uses the
+projections in which it lies farthest out: there its windows hold few vectors and its neighbours are most frequent among them.  It opens a window around
+its own projection in each, widens all windows in steps (virtual rehashing: a wider window is a union of the buckets of a
+coarser grid centred at the query) and counts for each vector in how many windows it lies.
+
+What a neighbour of similarity s collides in is known beforehand: given the query's projection c, that of the neighbour is
+normal around s c, independently for each projection.  So a count that a neighbour falls short of with a probability of ``MISS`` at most follows from s, the
+windows and no property of the data.  Vectors with that count for the k-th best similarity verified so far are verified, those with most
+collisions first, and the count needed rises as better ones are found.  Windows are widened while that saves more verifications than it costs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import erf, sqrt
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Projections; share of them in which a vector must collide; half-width of the first windows, in typical
-#: projections of a unit vector; growth of the windows; share of a shard (and rows at least) that is verified.
-PROJECTIONS, COLLISIONS, WIDTH, GROWTH, VERIFY, VERIFY_LEAST = 72, 0.79, 1.3, 1.1, 0.14, 100
+#: Projections; how many of them a query uses; half-width of the first windows, in typical projections of a unit vector; growth of the
+#: windows; probability of missing a vector as good as the k-th one found.
+PROJECTIONS, USED, WIDTH, GROWTH, MISS = 512, 32, 0.9, 1.25, 0.08
 SHARDS, SHARD_ROWS, QUERY_BLOCK = 16, 8192, 4096
 
+_GRID = np.linspace(-8.0, 8.0, 4097)
+_PHI = np.array([0.5 * (1.0 + erf(x / sqrt(2.0))) for x in _GRID])
+
+
+def normal_share(x: np.ndarray) -> np.ndarray:
+    """The share of a normal variable below x."""
+    return np.interp(x, _GRID, _PHI)
+
 
 def directions(dim: int, n: int, seed: int = 1) -> np.ndarray:
     d = np.random.default_rng([seed, dim]).standard_normal((n, dim))
     return d / np.linalg.norm(d, axis=1, keepdims=True)
 
 
+def needed_collisions(centres: np.ndarray, radius: float, similarity: float, dim: int, miss: float) -> float:
+    """The count that a vector of this similarity reaches with a probability of ``1 - miss``."""
+    spread = sqrt(max(1.0 - similarity * similarity, 1e-12) / dim)
+    off = centres * (1.0 - similarity)
+    p = normal_share((off + radius) / spread) - normal_share((off - radius) / spread)
+    return float(p.sum() - np.interp(1.0 - miss, _PHI, _GRID) * np.sqrt((p * (1.0 - p)).sum()))
+
+
 class CollisionIndex:
-    """The sorted projections of one shard."""
+    """The sorted projections of one shard; ``increments`` and ``verified`` tell what searches have cost."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, projections: int = PROJECTIONS, seed: int = 1):
-        self.ids, self.vectors = ids, vectors
-        scaled = vectors / np.linalg.norm(vectors, axis=1).max()
+        self.ids, self.vectors, self.increments, self.verified = ids, vectors, 0, 0
+        self.longest = np.linalg.norm(vectors, axis=1).max()
+        scaled = vectors / self.longest
         extra = np.sqrt(np.maximum(0.0, 1.0 - (scaled * scaled).sum(axis=1)))
         self.axes = directions(vectors.shape[1] + 1, projections, seed)
         values = self.axes[:, :-1] @ scaled.T + self.axes[:, -1:] * extra
         self.order = np.argsort(values, axis=1, kind="stable")
         self.sorted = np.take_along_axis(values, self.order, axis=1)
 
-    def windows(self, centres: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-        """Queries x projections: where the windows of this radius begin and end in the sorted arrays."""
-        lo = [np.searchsorted(v, c - radius, "left") for v, c in zip(self.sorted, centres, strict=True)]
-        hi = [np.searchsorted(v, c + radius, "right") for v, c in zip(self.sorted, centres, strict=True)]
-        return np.stack(lo, axis=1), np.stack(hi, axis=1)
-
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, need: int, width: float, growth: float, verify: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def windows(self, axes: np.ndarray, centres: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+        """Queries x used projections: where the windows of this radius begin and end in the sorted arrays."""
+        lo, hi = np.empty(axes.shape, np.int64), np.empty(axes.shape, np.int64)
+        flat, at = axes.ravel(), np.argsort(axes, axis=None, kind="stable")
+        cuts = np.flatnonzero(np.diff(flat[at])) + 1
+        for same in np.split(at, cuts):
+            values, c = self.sorted[flat[same[0]]], centres.ravel()[same]
+            lo.ravel()[same], hi.ravel()[same] = np.searchsorted(values, c - radius, "left"), np.searchsorted(values, c + radius, "right")
+        return lo, hi
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, used: int = USED, width: float = WIDTH, growth: float = GROWTH, miss: float = MISS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``(query, position, score)`` of each query's k best verified vectors, without its own row."""
-        n, m = self.sorted.shape[1], len(self.axes)
-        centres = self.axes[:, :-1] @ (queries / np.linalg.norm(queries, axis=1, keepdims=True)).T
-        counts = np.zeros((len(queries), n), np.uint16)
-        radius, open_ = width / np.sqrt(self.axes.shape[1]), np.arange(len(queries))
-        start = end = [[0] * m] * len(queries)
-        start, end = list(start), list(end)
-        out: list[tuple] = []
+        dim, used = self.axes.shape[1], min(used, len(self.axes))
+        all_centres = (queries / np.linalg.norm(queries, axis=1, keepdims=True)) @ self.axes[:, :-1].T
+        axes = np.argpartition(-np.abs(all_centres), used - 1, axis=1)[:, :used]
+        centres = np.take_along_axis(all_centres, axes, axis=1)
+        asked = [_Asked(self, i, q, k) for i, q in zip(query_ids, queries, strict=True)]
+        radius, open_ = width / sqrt(dim), np.arange(len(queries))
         while len(open_):
-            wide_lo, wide_hi = (x.tolist() for x in self.windows(centres[:, open_], radius))
+            lo, hi = self.windows(axes[open_], centres[open_], radius)
             left = []
-            for q, lo, hi in zip(open_.tolist(), wide_lo, wide_hi, strict=True):
-                mine = counts[q]
-                for order, a, b, c, d in zip(self.order, lo, start[q], end[q], hi, strict=True):
-                    if b >= c:  # first window
-                        mine[order[a:d]] += 1
-                    else:
-                        if a < b:
-                            mine[order[a:b]] += 1
-                        if c < d:
-                            mine[order[c:d]] += 1
-                start[q], end[q] = lo, hi
-                found = np.flatnonzero(mine >= need)
-                if len(found) < min(n, verify) and radius <= 2.0:
+            for q, a, b in zip(open_.tolist(), lo, hi, strict=True):
+                it = asked[q]
+                it.widen(axes[q], a, b)
+                need = lambda s, q=q: needed_collisions(centres[q], radius, s, dim, miss)  # noqa: B023, E731
+                if it.worth_widening(need) and radius < 2.0:
                     left.append(q)
-                    continue
-                found = found[self.ids[found] != query_ids[q]]
-                score = (self.vectors[found] * queries[q]).sum(axis=1)
-                if len(found) > k:
-                    near = score >= np.partition(score, len(score) - k)[len(score) - k]
-                    found, score = found[near], score[near]
-                    best = np.lexsort((self.ids[found], -score))[:k]
-                    found, score = found[best], score[best]
-                out.append((np.full(len(found), query_ids[q]), found, score))
+                else:
+                    it.verify_all(need)
             open_ = np.array(left, np.int64)
             radius *= growth
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        parts = [it.best() for it in asked]
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+class _Asked:
+    """One query in a shard: its counts, and what has been verified."""
+
+    def __init__(self, index: CollisionIndex, query_id: int, query: np.ndarray, k: int):
+        self.index, self.query_id, self.query, self.k = index, query_id, query, k
+        n = len(index.ids)
+        self.counts, self.scores, self.seen = np.zeros(n, np.int64), np.full(n, -np.inf), index.ids == query_id
+        self.rest = n - int(self.seen.sum())
+        self.start = self.end = None
+        self.cost, self.increments, self.unit = np.inf, 0, float(np.linalg.norm(query) * index.longest)
+
+    def widen(self, axes: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
+        start, end = (lo, lo) if self.start is None else (self.start, self.end)
+        order = self.index.order
+        new = [order[a, x:y] for a, l, s, e, h in zip(axes.tolist(), lo.tolist(), start.tolist(), end.tolist(), hi.tolist(), strict=True) for x, y in ((l, s), (e, h)) if x < y]
+        if new:
+            joined = np.concatenate(new)
+            self.counts += np.bincount(joined, minlength=len(self.counts))
+            self.increments += len(joined)
+            self.index.increments += len(joined)
+        self.start, self.end = lo, hi
+
+    def verify(self, found: np.ndarray) -> None:
+        self.scores[found] = (self.index.vectors[found] * self.query).sum(axis=1)
+        self.seen[found] = True
+        self.rest -= len(found)
+        self.index.verified += len(found)
+
+    def kth(self) -> float:
+        """The similarity of the k-th best verified vector, -1 before there are k."""
+        return max(-1.0, float(np.partition(self.scores, -self.k)[-self.k]) / self.unit) if len(self.scores) >= self.k else -1.0
+
+    def above(self, need: float) -> np.ndarray:
+        return np.flatnonzero((self.counts >= need) & ~self.seen)
+
+    def worth_widening(self, need) -> bool:
+        """Whether wider windows have lately saved more than they cost; the vectors that collide most are verified first."""
+        if self.rest <= 4 * self.k:
+            return False
+        first = np.argpartition(np.where(self.seen, -1, self.counts), -2 * self.k)[-2 * self.k :]
+        self.verify(first[~self.seen[first]])
+        cost = self.increments + self.index.vectors.shape[1] * len(self.above(need(self.kth())))
+        better, self.cost = cost < 0.95 * self.cost, cost
+        return better
+
+    def verify_all(self, need) -> None:
+        while self.rest:
+            found = self.above(need(self.kth()) if self.rest > 4 * self.k else -np.inf)
+            if not len(found):
+                return
+            most = max(64, 2 * self.k)
+            if len(found) > most:
+                found = found[np.argpartition(self.counts[found], -most)[-most:]]
+            self.verify(found)
+
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = np.flatnonzero(self.scores > -np.inf)
+        if len(found) > self.k:
+            found = found[self.scores[found] >= np.partition(self.scores[found], -self.k)[-self.k]]
+        found = found[np.lexsort((self.index.ids[found], -self.scores[found]))[: self.k]]
+        return np.full(len(found), self.query_id), found, self.scores[found]
 
 
 def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -92,7 +167,7 @@ def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(fine).withColumn("dim", F.size("v"))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, projections: int = PROJECTIONS, collisions: float = COLLISIONS, width: float = WIDTH, growth: float = GROWTH, verify: float = VERIFY, verify_least: int = VERIFY_LEAST, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, projections: int = PROJECTIONS, used: int = USED, width: float = WIDTH, growth: float = GROWTH, miss: float = MISS, least_shards: int = SHARDS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``(query_id, rank, vec_id, score)``: each query's k largest inner products found, best first, ties to the smaller id.
 
     A row's own id is no candidate.  Vectors that are null, zero or hold null or non-finite components take no part, and
@@ -105,7 +180,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, projections: int
     rows = _usable(vectors, id_col, vector_col).groupBy("vec_id").agg(F.min(F.struct("dim", "v")).alias("x")).select("vec_id", "x.*")
     asked = _usable(queries, id_col, vector_col).groupBy("vec_id").agg(F.min(F.struct("dim", "v")).alias("x")).select("vec_id", "x.*")
     n_rows, n_queries = vectors.count(), queries.count()
-    shards, blocks = max(SHARDS, -(-n_rows // SHARD_ROWS)), max(1, -(-n_queries // QUERY_BLOCK))
+    shards, blocks = max(least_shards, -(-n_rows // SHARD_ROWS)), max(1, -(-n_queries // QUERY_BLOCK))
     spread = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
     left = rows.select("dim", spread.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", "v")
     right = asked.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), "vec_id", "v")
@@ -115,12 +190,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, projections: int
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
         data = data.sort_values("vec_id")
         index = CollisionIndex(data["vec_id"].to_numpy(), np.stack(data["v"].to_numpy()), projections)
-        need = max(1, round(collisions * projections))
-        most = max(k + 1, verify_least, int(verify * len(data)))
         asked, parts = ask["vec_id"].to_numpy(), []
         vectors = np.stack(ask["v"].to_numpy())
         for at in range(0, len(asked), 256):
-            q, found, score = index.search(asked[at : at + 256], vectors[at : at + 256], k, need, width, growth, most)
+            q, found, score = index.search(asked[at : at + 256], vectors[at : at + 256], k, used, width, growth, miss)
             parts.append(pd.DataFrame({"query_id": q, "vec_id": index.ids[found], "score": score}))
         return pd.concat(parts)
 

@@ -113,7 +113,7 @@ def test_nearest_recall(spark):
 
 
 def test_nearest_recall_where_a_share_is_verified(spark):
-    """Shards of over a thousand rows, of which 14 % are verified."""
+    """Shards of over a thousand rows, of which a share is verified."""
     r = np.random.default_rng(4)
     centres = r.standard_normal((40, 64))
     v = centres[r.integers(0, 40, 18_000)] + 0.6 * r.standard_normal((18_000, 64))
@@ -131,6 +131,51 @@ def test_nearest_recall_where_a_share_is_verified(spark):
     assert np.mean(hits) >= 0.9
 
 
+@pytest.mark.parametrize("shards", [1, 2, 3, 16])
+def test_nearest_recall_and_work_in_shards_of_any_size(spark, shards):
+    """The given vectors, which have no structure: at least 0.9 of the neighbours, for less than a scan's work in larger shards."""
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = sorted((r.vec_id, r.embedding) for r in vectors.collect())
+    ids, v = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    want, dealt, found = exact(ids, v, 20), np.random.default_rng(3).permutation(len(ids)) % shards, {}
+    asked = np.flatnonzero(ids % 20 == 0)
+    increments = verified = 0
+    for s in range(shards):
+        index = nearest.CollisionIndex(ids[dealt == s], v[dealt == s])
+        for q, at, score in zip(*index.search(ids[asked], v[asked], 20), strict=True):
+            found.setdefault(int(q), []).append((-score, int(index.ids[at])))
+        increments, verified = increments + index.increments, verified + index.verified
+    recall = np.mean([len({i for _, i in sorted(found[q])[:20]} & {i for i, _ in want[q]}) / 20 for q in want])
+    pairs = len(ids) * len(asked)
+    assert recall >= 0.93 and increments / pairs < v.shape[1] / 3
+    if shards <= 3:
+        assert increments / pairs + v.shape[1] * verified / pairs < 0.65 * v.shape[1]
+
+
+def test_needed_collisions_hold_for_any_data():
+    """A vector of known similarity reaches the count as often as promised, wherever the data lies."""
+    r, dim, short = np.random.default_rng(8), 40, 0
+    for trial in range(300):
+        q, t = r.standard_normal((2, dim)) * ([1.0] * 3 + [0.05] * (dim - 3))  # in a narrow subspace
+        q /= np.linalg.norm(q)
+        t -= (t @ q) * q
+        o = 0.6 * q + 0.8 * t / np.linalg.norm(t)
+        axes = nearest.directions(dim, 512, seed=trial)
+        centres = axes @ q
+        used = np.argsort(-np.abs(centres))[:32]
+        count = (np.abs(axes[used] @ o - centres[used]) <= 0.2).sum()
+        short += count < nearest.needed_collisions(centres[used], 0.2, float(o @ q), dim, 0.1)
+    assert short / 300 <= 0.14
+
+
+def test_many_equal_vectors(spark):
+    same = [float(x) for x in range(1, 9)]
+    rows = [(i, same) for i in range(3000)] + [(5000 + i, [float((i * j) % 7 - 3) for j in range(1, 9)]) for i in range(1, 50)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = nearest.search(vectors, vectors.where("vec_id = 1000"), 20, least_shards=1).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == list(range(20)) and all(r.score == 204.0 for r in got)
+
+
 def test_nearest_edges(spark):
     same = [1.0, 2.0, 0.0]
     rows = [(0, same), (5, same), (3, same), (3, same), (20, [0.5, 0.0, 9.0]), (7, None), (8, [0.0, 0.0, 0.0]), (9, [1.0, float("nan"), 1.0]), (10, [1.0, None, 1.0]), (11, [float("inf"), 1.0, 1.0]), (40, [1.0, 1.0]), (None, same), (60, [0.0, 0.0, 0.0])]
