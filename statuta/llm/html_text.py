@@ -17,7 +17,8 @@ TOKEN = re.compile(r"<!--(?:.*?(?:-->|\Z))|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 CSS = re.compile(r"""/\*.*?(?:\*/|\Z)|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[{};]""", re.S)
 MEDIA = re.compile(r"(?:(only|not)\s+)?([a-z]+)", re.I)
-GONE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+DECLARED = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z][a-z -]*?)\s*(!\s*important)?\s*(?=;|$)", re.I)
+COMMENT = re.compile(r"/\*.*?\*/", re.S)
 #: Selectors: compounds of an element, classes, ids and attributes, with what stands between them: a space or ``>``.
 COMPOUND = re.compile(r"""(\*|[a-z][\w-]*)?((?:[.#][\w-]+|\[\s*[\w-]+\s*(?:=\s*(?:"[^"]*"|'[^']*'|[\w-]+)\s*)?\])*)""", re.I)
 PART = re.compile(r"""([.#])([\w-]+)|\[\s*([\w-]+)\s*(?:=\s*("[^"]*"|'[^']*'|[\w-]+)\s*)?\]""")
@@ -27,6 +28,9 @@ BLANK = re.compile(r"[ \t\n\r\f]+")
 #: many characters (beyond them the widest columns stand unaligned), which bounds the memory of a page; text is always whole.
 MOST_SPAN, MOST_INDENT, MOST_PADDING = 1000, 2000, 1 << 24
 
+# Words that display and visibility may have.
+DISPLAYS = frozenset("none block inline inline-block flow flow-root list-item contents flex inline-flex grid inline-grid ruby run-in table inline-table table-row table-cell table-caption table-row-group table-header-group table-footer-group table-column table-column-group inherit initial unset revert revert-layer math -webkit-box -webkit-inline-box -ms-flexbox -webkit-flex".split())
+VISIBILITIES = frozenset("visible hidden collapse inherit initial unset revert revert-layer".split())
 # Element names of the HTML standard by how they are parsed and shown.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -65,10 +69,10 @@ TABLE_STOP = dict.fromkeys(("td", "th", "tr", "tbody", "thead", "tfoot", "captio
 
 
 class Node:
-    __slots__ = ("attrs", "children", "styled_away", "tag")
+    __slots__ = ("attrs", "children", "gone", "tag")
 
     def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.children, self.styled_away = tag, attrs, [], False
+        self.tag, self.attrs, self.children, self.gone = tag, attrs, [], False
 
 
 def attributes(source: str) -> dict[str, str]:
@@ -197,28 +201,28 @@ def on_screen(media: str) -> bool:
     return False
 
 
-def style_rules(css: str) -> Iterator[tuple[str, str]]:
-    """``(selectors, declarations)`` of the rules that hold on every screen, without the rules nested in them."""
+def style_rules(css: str) -> Iterator[tuple[str, str, bool]]:
+    """``(selectors, declarations, whether in a layer)`` of the rules that hold on every screen, without the rules nested in them."""
     css = CSS.sub(lambda m: "" if m[0][:2] == "/*" else m[0], css)
-    #: Open blocks: selectors (None for an at-rule), whether it holds, its own declarations.
-    blocks: list[tuple[str | None, bool, list[str]]] = []
+    #: Open blocks: selectors (None for an at-rule), whether it holds, its own declarations, whether it is in a layer.
+    blocks: list[tuple[str | None, bool, list[str], bool]] = []
     start = 0
 
-    def closed(end: int) -> Iterator[tuple[str, str]]:
-        selectors, holds, own = blocks.pop()
+    def closed(end: int) -> Iterator[tuple[str, str, bool]]:
+        selectors, holds, own, layered = blocks.pop()
         if selectors is not None and holds:
-            yield selectors, "".join([*own, css[start:end]])
+            yield selectors, "".join([*own, css[start:end]]), layered
 
     for mark in CSS.finditer(css):
         kind, begin = mark[0], css[start : mark.start()].strip()
         if kind == "{":
-            holds = not blocks or (blocks[-1][0] is None and blocks[-1][1])
+            holds, layered = not blocks or (blocks[-1][0] is None and blocks[-1][1]), bool(blocks) and blocks[-1][3]
             if begin[:1] == "@":
                 name, _, media = re.sub(r"^(@[\w-]+)", r"\1 ", begin).partition(" ")
                 holds = holds and (name.lower() == "@layer" or (name.lower() == "@media" and on_screen(media)))
-                blocks.append((None, holds, []))
+                blocks.append((None, holds, [], layered or name.lower() == "@layer"))
             else:
-                blocks.append((begin, holds, []))
+                blocks.append((begin, holds, [], layered))
         elif kind == "}":
             if blocks:
                 yield from closed(mark.start())
@@ -265,16 +269,78 @@ def selector(source: str) -> list[Compound] | None:
     return out or None
 
 
-def hidden_selectors(styles: list[str]) -> list[list[Compound]]:
-    """The selectors that style sheets hide on every screen.  Of rules that contradict each other the hiding one counts."""
-    out = []
-    for style in styles:
-        if "none" not in style and "hidden" not in style and "collapse" not in style:
-            continue
-        for selectors, body in style_rules(style):
-            if GONE.search(body):
-                out += [found for one in selectors.split(",") if (found := selector(one.strip()))]
-    return out
+def specificity(source: str, compounds: list[Compound]) -> tuple[int, int, int]:
+    """How many ids, classes and attributes, and elements a selector names."""
+    parts = [kind for kind, *_ in PART.findall(source)]
+    return parts.count("#"), len(parts) - parts.count("#"), sum(bool(tag) for tag, *_ in compounds)
+
+
+def declared(body: str) -> list[tuple[str, str, bool]]:
+    """``(property, value, important)`` of the declarations of display and visibility that are valid."""
+    if "isplay" not in body and "isibility" not in body and "ISPLAY" not in body and "ISIBILITY" not in body:
+        return []
+    found = ((p.lower(), " ".join(v.lower().split()), bool(i)) for p, v, i in DECLARED.findall(COMMENT.sub("", body)))
+    return [(p, v, i) for p, v, i in found if all(word in (DISPLAYS if p == "display" else VISIBILITIES) for word in v.split(" "))]
+
+
+class Cascade:
+    """The declarations of display and visibility of all style sheets, and which of them win for an element.
+
+    Among rules that fit an element the important ones win, then inline style, then rules outside layers (inside them if important), then
+    the more specific selector, then the later rule.  Selectors are matched from the root down: an element fits the first j parts of a selector if it fits the
+    j-th and its parent, or any ancestor, fits those before.
+    """
+
+    def __init__(self, styles: list[str]):
+        #: Parts of selectors in order, one number each: the part, whether it is the first, what a selector that ends here declares.
+        self.parts: list[tuple[Compound, bool, list[tuple[str, str, tuple]]]] = []
+        self.by_key: dict[str, list[int]] = {}
+        order = 0
+        for style in styles:
+            for selectors, body, layered in style_rules(style):
+                if not (rules := declared(body)):
+                    continue
+                for one in selectors.split(","):
+                    order += 1
+                    if compounds := selector(one.strip()):
+                        weight = specificity(one, compounds)
+                        said = [(p, v, (important, False, layered if important else not layered, weight, order)) for p, v, important in rules]
+                        for j, part in enumerate(compounds):
+                            self.by_key.setdefault(self._key(part), []).append(len(self.parts))
+                            self.parts.append((part, j == 0, said if j == len(compounds) - 1 else []))
+
+    @staticmethod
+    def _key(part: Compound) -> str:
+        tag, wanted, classes, _ = part
+        ids = [value for name, value in wanted if name == "id" and value is not None]
+        return f"#{ids[0]}" if ids else f".{min(classes)}" if classes else tag or "*"
+
+    def matched(self, node: Node, above: list[set[int]], seen: dict[int, int]) -> set[int]:
+        """The parts that end at an element, given those of its ancestors."""
+        if not self.parts:
+            return set()
+        keys = ["*", node.tag]
+        if node.attrs:
+            keys += [f".{c}" for c in set(node.attrs.get("class", "").split())]
+            if "id" in node.attrs:
+                keys.append(f"#{node.attrs['id']}")
+        out, parent = set(), above[-1] if above else set()
+        for key in keys:
+            for i in self.by_key.get(key, ()):
+                part, first, _ = self.parts[i]
+                if (first or (i - 1 in parent if part[3] else seen.get(i - 1))) and fits(node, part):
+                    out.add(i)
+        return out
+
+    def winners(self, node: Node, matched: set[int]) -> dict[str, str]:
+        best: dict[str, tuple] = {}
+        said = [x for i in matched for x in self.parts[i][2]]
+        if "style" in node.attrs:
+            said += [(p, v, (important, True, True, (0, 0, 0), n)) for n, (p, v, important) in enumerate(declared(node.attrs["style"]))]
+        for name, value, weight in said:
+            if name not in best or weight >= best[name][0]:
+                best[name] = weight, value
+        return {name: value for name, (_, value) in best.items()}
 
 
 def fits(node: Node, one: Compound) -> bool:
@@ -286,28 +352,48 @@ def fits(node: Node, one: Compound) -> bool:
     return all(name in node.attrs and (value is None or node.attrs[name] == value) for name, value in wanted)
 
 
-def style_away(root: Node, rules: list[list[Compound]]) -> None:
-    """Marks the elements that the rules hide."""
-
-    def under(path: list[Node], compounds: list[Compound], end: int) -> bool:
-        """Whether the ancestors path[:end] fit all compounds but the last."""
-        if len(compounds) == 1:
-            return True
-        want, child = compounds[-2], compounds[-1][3]
-        for i in range(end - 1, max(end - 2, -1) if child else -1, -1):
-            if fits(path[i], want) and under(path, compounds[:-1], i):
-                return True
-        return False
-
-    path: list[Node] = []
-    todo: list[tuple[Node, int]] = [(root, 0)]
+def style_away(root: Node, cascade: Cascade) -> None:
+    """Marks the elements that aren't displayed, and takes the text out of those that are hidden but hold something visible."""
+    above: list[set[int]] = []  # the parts that end at each ancestor
+    seen: dict[int, int] = {}  # how many ancestors each part ends at
+    hidden: list[Node] = []  # in document order
+    shown_below: set[int] = set()  # hidden elements with something visible inside
+    todo: list[tuple[Node, int, bool]] = [(root, 0, False)]
+    chain: list[Node] = []
     while todo:
-        node, depth = todo.pop()
-        del path[depth:]
-        node.styled_away = any(fits(node, rule[-1]) and under(path, rule, depth) for rule in rules)
-        if not node.styled_away:
-            path.append(node)
-            todo += [(child, depth + 1) for child in node.children if isinstance(child, Node)]
+        node, depth, was_hidden = todo.pop()
+        while len(above) > depth:
+            for i in above.pop():
+                seen[i] -= 1
+            chain.pop()
+        matched = cascade.matched(node, above, seen)
+        wins = cascade.winners(node, matched) if matched or "style" in node.attrs else {}
+        display = wins.get("display")
+        if display is None or display in ("revert", "revert-layer"):
+            node.gone = "hidden" in node.attrs or (node.tag == "dialog" and "open" not in node.attrs)
+        else:
+            node.gone = display == "none"
+        if node.gone:
+            continue
+        visibility = wins.get("visibility")
+        is_hidden = was_hidden if visibility in (None, "inherit", "unset", "revert", "revert-layer") else visibility in ("hidden", "collapse")
+        if is_hidden:
+            hidden.append(node)
+        elif was_hidden:
+            for x in reversed(chain):
+                if id(x) in shown_below:
+                    break
+                shown_below.add(id(x))
+        above.append(matched)
+        chain.append(node)
+        for i in matched:
+            seen[i] = seen.get(i, 0) + 1
+        todo += [(child, depth + 1, is_hidden) for child in node.children if isinstance(child, Node)]
+    for node in hidden:
+        if id(node) in shown_below:
+            node.children = [c for c in node.children if isinstance(c, Node)]
+        else:
+            node.gone = True
 
 
 class Layout:
@@ -322,15 +408,7 @@ class Layout:
         self.n_items = self.n_tables = 0
 
     def visible(self, node: Node) -> bool:
-        tag, attrs = node.tag, node.attrs
-        if node.styled_away or tag in UNSEEN or (tag == "dialog" and "open" not in attrs):
-            return False
-        if attrs:
-            if "hidden" in attrs or ("style" in attrs and GONE.search(attrs["style"])):
-                return False
-            if tag == "input" and attrs.get("type", "").lower() == "hidden":
-                return False
-        return True
+        return not (node.gone or node.tag in UNSEEN or (node.tag == "input" and node.attrs.get("type", "").lower() == "hidden"))
 
     def text(self, value: str) -> None:
         if self.pre:
@@ -497,10 +575,9 @@ class Layout:
         nested = bool(self.indent or self.marker)
         self.block(not nested)
         outer = self.indent
-        try:
-            number = int(node.attrs.get("start", "1"))
-        except ValueError:
-            number = 1
+        items = [c for c in node.children if isinstance(c, Node) and c.tag == "li" and self.visible(c)]
+        step = -1 if node.tag == "ol" and "reversed" in node.attrs else 1
+        number = whole(node.attrs.get("start"), len(items) if step < 0 else 1)
         for child in node.children:
             if isinstance(child, str):
                 self.text(child)
@@ -510,8 +587,9 @@ class Layout:
                 self.flush()
                 if self.marker:
                     self.put("")
+                number = whole(child.attrs.get("value"), number)
                 mark = f"{number}. " if node.tag == "ol" else "- "
-                number += 1
+                number += step
                 self.n_items += 1
                 self.marker, self.indent = outer + mark, deeper(outer, len(mark))
                 self.children(child)
@@ -601,6 +679,12 @@ class Layout:
         return max(1, min(int(value), MOST_SPAN)) if value.isdecimal() and len(value) < 9 else 1
 
 
+def whole(value: str | None, otherwise: int) -> int:
+    """The whole number that an attribute holds."""
+    m = re.match(r"\s*([+-]?\d{1,9})(?!\d)", value or "", re.A)
+    return int(m[1]) if m else otherwise
+
+
 def deeper(indent: str, by: int) -> str:
     return indent + " " * min(by, MOST_INDENT - len(indent))
 
@@ -610,9 +694,7 @@ def render(html: str | None) -> tuple[str, int, int]:
     if not html:
         return "", 0, 0
     root, styles, deepest = parse(html)
-    rules = hidden_selectors(styles)
-    if rules:
-        style_away(root, rules)
+    style_away(root, Cascade(styles))
     # the layout calls itself for each level, a few frames a level
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 6 * deepest + 1000))
     page = Layout()

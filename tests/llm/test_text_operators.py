@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -256,6 +257,34 @@ def test_html_style_rules_for_other_media_hide_nothing(css, shown):
     assert html_text.render("<style media=print>i{display:none}</style><i>a</i>")[0] == "a"
 
 
+@pytest.mark.parametrize(("css", "page", "shown"), [
+    (".menu{display:none} .menu.open{display:block}", "<p class='menu open'>a</p><p class=menu>b</p>", "a"),
+    (".menu.open{display:block} .menu{display:none}", "<p class='menu open'>a</p>", "a"),
+    (".x{display:block} .x{display:none}", "<p class=x>a</p>b", "b"), (".x{display:none} .x{display:block}", "<p class=x>a</p>b", "a b"),
+    (".a{display:none}", "<p class=a style='display:block'>a</p>", "a"), (".a{display:none!important}", "<p class=a style='display:block'>a</p>b", "b"),
+    (".a{display:none !important}", "<p class=a style='display:block ! important'>a</p>", "a"), ("#i{display:block} .a.b.c p, p{display:none}", "<p id=i class='a b c'>a</p>", "a"),
+    (".h{visibility:hidden} .v{visibility:visible}", "<div class=h>a<p class=v>b</p>c<p>d</p></div>e", "b e"), (".h{visibility:hidden}", "<div class=h>a<p style='visibility:visible'>b<i style='visibility:collapse'>c</i></p></div>", "b"),
+    (".h{display:none} .v{display:block;visibility:visible}", "<div class=h>a<p class=v>b</p></div>c", "c"), ("[hidden]{display:block}", "<p hidden>a</p>", "a"), ("p{color:red}", "<p hidden>a</p>b", "b"), ("dialog{display:flex}", "<dialog>a</dialog>", "a"),
+    ("p{display:nonsense} p{display:none} p{display:grid gird}", "<p>a</p>b", "b"), ("p{display:none;display:block}", "<p>a</p>", "a"), ("p{display:none/* x */;color:red}", "<p>a</p>b", "b"),
+    ("@layer l{p{display:none}} p{display:block}", "<p>a</p>", "a"), ("p{display:block} @layer l{p.x{display:none}}", "<p class=x>a</p>", "a"), ("p{display:block!important} @layer l{p{display:none!important}}", "<p>a</p>b", "b"),
+    ("ul > li.t > a{display:none} li a{display:inline}", "<ul><li class=t><a>a</a><ol><li><a>b</a></ol></ul>", "- 1. b"), ("div > p span{display:none}", "<div><b><p><span>a</span></b></div><div><p><i><span>b</span></i></div>", "a"),
+])
+def test_html_cascade(css, page, shown):
+    assert html_text.render(f"<style>{css}</style>{page}")[0].split() == shown.split()
+
+
+def test_html_selectors_take_linear_time():
+    page = "<style>.nope div div div div p{display:none} div div div > div p{color:red;display:block}</style>" + "<div>" * 45 + "<p>x" * 300 + "</div>" * 45
+    began = time.perf_counter()
+    assert html_text.render(page)[0].split() == ["x"] * 300
+    assert time.perf_counter() - began < 1
+
+
+@pytest.mark.parametrize(("html", "shown"), [("<ol reversed><li>a<li>b<li>c</ol>", "3. a\n2. b\n1. c"), ("<ol reversed start=9><li>a<li>b</ol>", "9. a\n8. b"), ("<ol><li>a<li value=7>b<li>c<li value=x>d</ol>", "1. a\n7. b\n8. c\n9. d"), ("<ol start=-1><li>a<li>b</ol>", "-1. a\n0. b")])
+def test_html_list_numbers(html, shown):
+    assert html_text.render(html)[0] == shown
+
+
 @pytest.mark.parametrize(("html", "shown"), [
     ("a<svg><title>no</title><defs><text>no</text></defs><g><path d='x'/><text x=1>b<tspan dy=1>c</tspan></text><text display=none>no</text><text><![CDATA[d>e]]></text></g></svg>f", "a b c d>e f"),
     ("<svg>" + "<path/>" * 300 + "</svg><p>a</p>b", "a\n\nb"), ("<svg><p>a", "a"), ("<svg><foreignObject><p>a</p></foreignObject></svg>b", "a\n\nb"),
