@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 #: Projections; how many of them a query uses; half-width of the first windows, in typical projections of a unit vector; growth of the
 #: windows; probability of missing a vector as good as the k-th one found.
-PROJECTIONS, USED, WIDTH, GROWTH, MISS = 512, 32, 0.9, 1.25, 0.08
+PROJECTIONS, USED, WIDTH, GROWTH, MISS = 512, 32, 1.2, 1.3, 0.08
 SHARDS, SHARD_ROWS, QUERY_BLOCK = 16, 8192, 4096
 
 _GRID = np.linspace(-8.0, 8.0, 4097)
@@ -83,9 +83,9 @@ class CollisionIndex:
         while len(open_):
             lo, hi = self.windows(axes[open_], centres[open_], radius)
             left = []
-            for q, a, b in zip(open_.tolist(), lo, hi, strict=True):
+            for q, a, b in zip(open_.tolist(), lo.tolist(), hi.tolist(), strict=True):
                 it = asked[q]
-                it.widen(axes[q], a, b)
+                it.widen(axes[q].tolist(), a, b)
                 need = lambda s, q=q: needed_collisions(centres[q], radius, s, dim, miss)  # noqa: B023, E731
                 if it.worth_widening(need) and radius < 2.0:
                     left.append(q)
@@ -93,25 +93,30 @@ class CollisionIndex:
                     it.verify_all(need)
             open_ = np.array(left, np.int64)
             radius *= growth
-        parts = [it.best() for it in asked]
-        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+        found, scores = zip(*(it.best() for it in asked), strict=True)
+        return np.repeat(query_ids, [len(x) for x in found]), np.concatenate(found), np.concatenate(scores)
 
 
 class _Asked:
     """One query in a shard: its counts, and what has been verified."""
 
     def __init__(self, index: CollisionIndex, query_id: int, query: np.ndarray, k: int):
-        self.index, self.query_id, self.query, self.k = index, query_id, query, k
+        self.index, self.query, self.k = index, query, k
         n = len(index.ids)
-        self.counts, self.scores, self.seen = np.zeros(n, np.int64), np.full(n, -np.inf), index.ids == query_id
-        self.rest = n - int(self.seen.sum())
+        self.own = np.flatnonzero(index.ids == query_id)
+        self.counts = np.zeros(n, np.int64)
+        self.counts[self.own] = -(1 << 40)  # a verified vector's count is far below any that is needed
+        self.rest = n - len(self.own)
+        self.found, self.scores = np.zeros(0, np.int64), np.zeros(0)  # the k best, and what ties with the last
         self.start = self.end = None
         self.cost, self.increments, self.unit = np.inf, 0, float(np.linalg.norm(query) * index.longest)
 
-    def widen(self, axes: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
-        start, end = (lo, lo) if self.start is None else (self.start, self.end)
+    def widen(self, axes: list[int], lo: list[int], hi: list[int]) -> None:
         order = self.index.order
-        new = [order[a, x:y] for a, l, s, e, h in zip(axes.tolist(), lo.tolist(), start.tolist(), end.tolist(), hi.tolist(), strict=True) for x, y in ((l, s), (e, h)) if x < y]
+        if self.start is None:
+            new = [order[a, x:y] for a, x, y in zip(axes, lo, hi, strict=True)]
+        else:
+            new = [order[a, x:y] for a, l, s, e, h in zip(axes, lo, self.start, self.end, hi, strict=True) for x, y in ((l, s), (e, h)) if x < y]
         if new:
             joined = np.concatenate(new)
             self.counts += np.bincount(joined, minlength=len(self.counts))
@@ -119,45 +124,48 @@ class _Asked:
             self.index.increments += len(joined)
         self.start, self.end = lo, hi
 
-    def verify(self, found: np.ndarray) -> None:
-        self.scores[found] = (self.index.vectors[found] * self.query).sum(axis=1)
-        self.seen[found] = True
-        self.rest -= len(found)
-        self.index.verified += len(found)
+    def verify(self, at: np.ndarray) -> None:
+        scores = self.index.vectors[at] @ self.query
+        self.counts[at] = -(1 << 40)
+        self.rest -= len(at)
+        self.index.verified += len(at)
+        found, scores = np.concatenate([self.found, at]), np.concatenate([self.scores, scores])
+        if len(scores) > self.k:  # a product may differ from the exact score in its last digits
+            best = scores >= np.partition(scores, -self.k)[-self.k] - 1e-9 * self.unit
+            found, scores = found[best], scores[best]
+        self.found, self.scores = found, scores
 
     def kth(self) -> float:
         """The similarity of the k-th best verified vector, -1 before there are k."""
         return max(-1.0, float(np.partition(self.scores, -self.k)[-self.k]) / self.unit) if len(self.scores) >= self.k else -1.0
 
-    def above(self, need: float) -> np.ndarray:
-        return np.flatnonzero((self.counts >= need) & ~self.seen)
-
     def worth_widening(self, need) -> bool:
         """Whether wider windows have lately saved more than they cost; the vectors that collide most are verified first."""
         if self.rest <= 4 * self.k:
             return False
-        first = np.argpartition(np.where(self.seen, -1, self.counts), -2 * self.k)[-2 * self.k :]
-        self.verify(first[~self.seen[first]])
-        cost = self.increments + self.index.vectors.shape[1] * len(self.above(need(self.kth())))
-        better, self.cost = cost < 0.95 * self.cost, cost
+        self.verify(np.argpartition(self.counts, -2 * self.k)[-2 * self.k :])
+        above = np.count_nonzero(self.counts >= need(self.kth()))
+        cost = self.increments + self.index.vectors.shape[1] * above
+        better, self.cost = cost < 0.9 * self.cost, cost
         return better
 
     def verify_all(self, need) -> None:
-        while self.rest:
-            found = self.above(need(self.kth()) if self.rest > 4 * self.k else -np.inf)
-            if not len(found):
-                return
-            most = max(64, 2 * self.k)
-            if len(found) > most:
-                found = found[np.argpartition(self.counts[found], -most)[-most:]]
-            self.verify(found)
-
-    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        found = np.flatnonzero(self.scores > -np.inf)
-        if len(found) > self.k:
-            found = found[self.scores[found] >= np.partition(self.scores[found], -self.k)[-self.k]]
-        found = found[np.lexsort((self.index.ids[found], -self.scores[found]))[: self.k]]
-        return np.full(len(found), self.query_id), found, self.scores[found]
+        """Verifies all vectors that collide often enough, those that collide most first."""
+        all_ = self.rest <= 4 * self.k
+        at = np.flatnonzero(self.counts >= (0 if all_ else need(self.kth())))
+        at = at[np.argsort(-self.counts[at], kind="stable")]
+        counts, width = -self.counts[at], 4 * self.k
+        while len(at):
+            self.verify(at[:width])
+            at, counts, width = at[width:], counts[width:], 2 * width
+            if not all_ and len(at):
+                left = int(np.searchsorted(counts, -need(self.kth()), "right"))
+                at, counts = at[:left], counts[:left]
+
+    def best(self) -> tuple[np.ndarray, np.ndarray]:
+        scores = (self.index.vectors[self.found] * self.query).sum(axis=1)
+        best = np.lexsort((self.index.ids[self.found], -scores))[: self.k]
+        return self.found[best], scores[best]
 
 
 def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
