@@ -10,9 +10,11 @@ from statuta.plans import (
     citation_queries,
     document_queries,
     filter_queries,
+    history_queries,
     legal_queries,
     parser_queries,
     path_queries,
+    provider_queries,
     record_queries,
     retrieval_queries,
     rule_queries,
@@ -27,7 +29,7 @@ __all__ = ["MODULES", "flagship", "oracle_sql", "queries"]
 
 #: The order in which queries are listed; within it those with few result rows come before those with tens of thousands.
 MODULES = (
-    legal_queries, rule_queries, check_queries, citation_queries, parser_queries, store_queries, stream_queries, write_queries, record_queries, path_queries, retrieval_queries,
+    legal_queries, rule_queries, check_queries, citation_queries, parser_queries, history_queries, provider_queries, store_queries, stream_queries, write_queries, record_queries, path_queries, retrieval_queries,
     aggregate_queries, filter_queries, document_queries, runtime_queries,
 )
 MANY_ROWS = (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -48,6 +48,16 @@ def smallest_enclosing(points: DataFrame, spans: DataFrame, key: str, at: str, s
     return held.groupBy(point_id).agg(F.min_by(span_id, F.struct(F.col(end) - F.col(start), span_id)).alias("unit"))
 
 
+def smallest_holding(inner: DataFrame, spans: DataFrame, key: str, inner_start: str, inner_end: str, start: str, end: str, inner_id: str, value: Column, bin_width: int = 4096) -> DataFrame:
+    """``(inner_id, unit)``: the ``value`` of the shortest span of the same key that holds each inner span whole, ties to the smaller value.
+
+    Spans are dealt to the bins they touch, so the join is an equality on key and bin.
+    """
+    binned = spans.where(F.col(start) < F.col(end)).withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / bin_width), F.floor((F.col(end) - 1) / bin_width))))
+    held = inner.withColumn("_bin", F.floor(F.col(inner_start) / bin_width)).join(binned, [key, "_bin"]).where((F.col(start) <= F.col(inner_start)) & (F.col(inner_end) <= F.col(end)))
+    return held.groupBy(inner_id).agg(F.min_by(value, F.struct(F.col(end) - F.col(start), value)).alias("unit"))
+
+
 def as_of(left: DataFrame, right: DataFrame, key: str, at: str, since: str, value: str, name: str) -> DataFrame:
     """``left`` with the ``value`` of the latest row of ``right`` at or before it, by one sort of both sides together."""
     rest = [c for c in left.columns if c not in (key, at)]

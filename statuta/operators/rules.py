@@ -192,25 +192,6 @@ def identity_index(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return rows.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count_distinct(value).alias("_n"), F.min(value).alias(value)).where("_n = 1").drop("_n")
 
 
-def materialization(resolution: Column, external: Column, written: Column, targets: Column, history: Column, valid: Column, outcome: Column, error: Column) -> Column:
-    """``status, reason`` after a run: NOT_APPLICABLE, WRITTEN, BLOCKED, FAILED or PENDING.
-
-    ``written`` is the status before, ``history`` the target lists that were ever written, ``outcome`` what the store said.
-    """
-    blocking = error.isin("bundle_target_conflict_in_graph", "partial_materialized_bundle_in_graph", "endpoint_document_ownership_ambiguous_in_graph")
-    changed = (F.size(history) > 0) & ~F.array_contains(history, targets)
-
-    def out(status: str, reason: Column) -> Column:
-        return F.struct(F.lit(status).alias("status"), reason.cast("string").alias("reason"))
-
-    none = F.lit(None)
-    return (
-        F.when((resolution != "RESOLVED") | ~external, out("NOT_APPLICABLE", none)).when(written == "WRITTEN", out("WRITTEN", none)).when(written == "BLOCKED", out("BLOCKED", none)).when(changed, out("BLOCKED", F.lit("resolved_target_changed_after_materialization")))
-        .when(~valid, out("FAILED", F.lit("external_reference_validation_failed"))).when(outcome == "COMMITTED", out("WRITTEN", none))
-        .when(blocking, out("BLOCKED", F.when(error == "bundle_target_conflict_in_graph", "resolved_target_changed_after_materialization").otherwise(error))).when(outcome.isNull(), out("PENDING", none)).otherwise(out("FAILED", F.coalesce(error, F.lit("materialization_failed"))))
-    )
-
-
 def conversation_outcome(pending: Column, cancelled: Column, choice: Column, references: Column, found: Column, anaphora: Column, focuses: Column) -> Column:
     """``outcome, reason`` of a message: a pending choice first, then explicit references by how many units they name, then words like "that article" by how many focuses fit, else on its own.
 

@@ -166,54 +166,12 @@ def val4_payload_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.payload_errors(nodes.select("id", "kind"), own.unionByName(planted))
 
 
-LINKS = [
-    ("POSITIONAL_ANCHOR", "", "h", "NOT_APPLICABLE", "positional_anchor_no_graph_edge"), ("UNKNOWN", "", "h", "AMBIGUOUS", "governing_operation_ambiguous"), ("AMENDS", "projected", "h", "UNRESOLVED", "projected_source_owner_not_resolved"), ("AMENDS", "", None, "UNRESOLVED", "source_structural_unit_not_found"),
-    ("AMENDS", "lost", "h", "UNRESOLVED", "target_document_not_in_corpus"), ("REFERS_TO", "conflict", "h", "UNRESOLVED", "provider_text_target_conflict"), ("REFERS_TO", "items", "h", "UNRESOLVED", "target_provider_item_unresolved"), ("REPEALS", "", "h", "RESOLVED", "provider_endpoints_resolved"),
-]
-
-
-@query(f"WITH l AS ({_want(relation=_at(LINKS, 0), status=_at(LINKS, 3), reason=_at(LINKS, 4))}) SELECT {KEY}, status, reason, CASE WHEN status = 'RESOLVED' THEN 'provider-rel-' || substr(sha256({KEY} || '|' || relation), 1, 24) END AS candidate FROM l")
-def ref11_provider_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """REF11, REF12: links of a provider, by the first thing they lack, and the ids of the sound ones."""
-    f = F.col("flag")
-    rows = _rows(spark, sf_dir, relation=_at(LINKS, 0), flag=_at(LINKS, 1), host=_at(LINKS, 2))
-    c = rules.provider_candidate(F.col("relation"), f == "projected", F.lit(None).cast("string"), F.col("host"), f != "lost", f == "conflict", F.lit(2), F.when(f == "items", 1).otherwise(2))
-    name = F.concat(F.lit("provider-rel-"), F.substring(F.sha2(F.concat_ws("|", F.col(KEY).cast("string"), "relation").cast("binary"), 256), 1, 24))
-    return rows.withColumn("c", c).select(KEY, "c.status", "c.reason", F.when(F.col("c.status") == "RESOLVED", name).alias("candidate"))
-
-
 @query("SELECT p_brand, p_size, min(p_type) AS p_type FROM part WHERE p_type IS NOT NULL GROUP BY p_brand, p_size HAVING count(DISTINCT p_type) = 1")
 def ref13_identity_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """REF13: keys that stand for one value only."""
     return rules.identity_index(table(spark, sf_dir, "part"), ["p_brand", "p_size"], "p_type")
 
 
-RUNS = [
-    ("UNRESOLVED", "PENDING", "", "true", None, None, "NOT_APPLICABLE", None), ("RESOLVED", "WRITTEN", "a", "true", None, None, "WRITTEN", None), ("RESOLVED", "PENDING", "b", "true", "COMMITTED", None, "BLOCKED", "resolved_target_changed_after_materialization"), ("RESOLVED", "FAILED", "", "false", None, None, "FAILED", "external_reference_validation_failed"),
-    ("RESOLVED", "PENDING", "a", "true", "COMMITTED", None, "WRITTEN", None), ("RESOLVED", "PENDING", "", "true", "NOT_COMMITTED", "bundle_target_conflict_in_graph", "BLOCKED", "resolved_target_changed_after_materialization"), ("RESOLVED", "PENDING", "", "true", "NOT_COMMITTED", "partial_materialized_bundle_in_graph", "BLOCKED", "partial_materialized_bundle_in_graph"),
-    ("RESOLVED", "PENDING", "", "true", "UNKNOWN", "commit_outcome_unknown", "FAILED", "commit_outcome_unknown"), ("RESOLVED", "PENDING", "", "true", None, None, "PENDING", None),
-]
-
-
-def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ("resolution", "before", "history", "valid", "outcome", "error")
-    r = _rows(spark, sf_dir, **{n: _at(RUNS, i) for i, n in enumerate(names)})
-    history = F.when(F.col("history") == "", F.array().cast("array<string>")).otherwise(F.array("history"))
-    s = rules.materialization(F.col("resolution"), F.lit(True), F.col("before"), F.lit("a"), history, F.col("valid") == "true", F.col("outcome"), F.col("error"))
-    return r.withColumn("s", s).select(KEY, "s.status", "s.reason")
-
-
-@query(_want(status=_at(RUNS, 6), reason=_at(RUNS, 7)))
-def ref9_reconciliation_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _runs(spark, sf_dir)
-
-
-@query(f"WITH s AS ({_want(status=_at(RUNS, 6))}) SELECT count(*) AS total, " + ", ".join(f"count(*) FILTER (status = '{x}') AS {x.lower()}" for x in ("PENDING", "WRITTEN", "FAILED", "BLOCKED", "NOT_APPLICABLE")) + " FROM s")
-def agg26_materialization_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.col("status")
-    return _runs(spark, sf_dir).agg(F.count(F.lit(1)).alias("total"), *[F.count_if(s == x).alias(x.lower()) for x in ("PENDING", "WRITTEN", "FAILED", "BLOCKED", "NOT_APPLICABLE")])
-
-
 MESSAGES = [
     ("SELECT", "huỷ", None, "0", "0", "0", "CANCEL", None), ("SELECT", "2", "b", "0", "0", "0", "RESOLVED", "PENDING_CLARIFICATION"), ("SELECT", "x", None, "1", "1", "0", "CLARIFY_SELECT", "SELECT_INPUT_INVALID"), ("RESTATE", "Điều 5 Luật {n}", None, "1", "1", "0", "RESOLVED", "CURRENT_MESSAGE"),
     (None, "Điều 5", None, "1", "3", "0", "CLARIFY_SELECT", "SEVERAL_CANDIDATES"), (None, "Điều 99", None, "1", "0", "0", "CLARIFY_RESTATE", "REFERENT_NOT_FOUND"), (None, "điều đó nói gì", None, "0", "0", "1", "RESOLVED", "HISTORY_FOCUS"), (None, "điều đó nói gì", None, "0", "0", "2", "CLARIFY_SELECT", "SEVERAL_FOCUSES"),
