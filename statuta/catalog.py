@@ -8,6 +8,7 @@ from statuta.plans import (
     aggregate_queries,
     check_queries,
     citation_queries,
+    context_queries,
     document_queries,
     filter_queries,
     history_queries,
@@ -30,7 +31,7 @@ __all__ = ["MODULES", "flagship", "oracle_sql", "queries"]
 #: The order in which queries are listed; within it those with few result rows come before those with tens of thousands.
 MODULES = (
     legal_queries, rule_queries, check_queries, citation_queries, parser_queries, history_queries, provider_queries, store_queries, stream_queries, write_queries, record_queries, path_queries, retrieval_queries,
-    aggregate_queries, filter_queries, document_queries, runtime_queries,
+    aggregate_queries, filter_queries, document_queries, runtime_queries, context_queries,
 )
 MANY_ROWS = (
     "win2_latest_version", "jon5_induced_subgraph", "grf14_citable_lift", "jon18_snapshot_diff", "grf12_exact_three_step_path", "snk2_edge_upsert", "snk3_atomic_bundles", "jon2_parent_article", "flt20_embedding_eligibility", "str17_labels_and_embedding_texts", "grf13_path_conformance",

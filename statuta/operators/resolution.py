@@ -33,7 +33,7 @@ def pointed_kind(text: Column) -> Column:
 
 
 def named(messages: DataFrame, units: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """``messages`` with ``n_references`` and ``found``, the units they name in order: array of ``id, label, type, number``.
+    """The key and text of messages with ``n_references`` and ``found``, the units they name in order: array of ``id, label, type, number``.
 
     ``units`` is ``id, label, type, number, article`` of documents (without an article) and articles.  An article without a document is looked up in all documents;
     of the units of one article number the six with the least ids are enough to tell one from several and to offer five.
@@ -44,7 +44,7 @@ def named(messages: DataFrame, units: DataFrame, key: list[str], text: str = "te
         MOST_REFERENCES,
     )
     refs = F.filter(refs, lambda r: (r["identity"] != "*") | (r["number"] != "*"))
-    asked = messages.withColumn("_refs", F.coalesce(refs, F.array().cast("array<struct<identity:string,number:string>>")))
+    asked = messages.select(*key, text).withColumn("_refs", F.coalesce(refs, F.array().cast("array<struct<identity:string,number:string>>")))
     one = asked.select(*key, F.posexplode("_refs").alias("_n", "_r")).select(*key, "_n", F.concat_ws("|", "_r.identity", "_r.number").alias("_key"))
     unit = F.struct("id", "label", "type", "number")
     keyed = units.select(F.concat_ws("|", F.upper("number"), F.coalesce("article", F.lit("*"))).alias("_key"), "id", unit.alias("_u"))
@@ -117,7 +117,7 @@ def step(state: dict | None, row: dict) -> tuple[dict, list[tuple]]:
 MACHINE = Machine(step, "turn long, outcome string, reason string, unit string, choices string, n_focuses long")
 
 
-def read_messages(messages: DataFrame, units: DataFrame, key: str, turn: str) -> DataFrame:
+def read_messages(messages: DataFrame, units: DataFrame, key: str = "conv_id", turn: str = "turn") -> DataFrame:
     """``conv_id, turn, plain, points, n_references, found`` of messages: all that doesn't depend on the conversation."""
     asked = named(messages, units, [key, turn])
     return asked.select(key, F.col(turn).alias("turn"), plain_message(F.col("text")).alias("plain"), pointed_kind(F.col("text")).alias("points"), "n_references", "found")

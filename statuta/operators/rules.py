@@ -192,22 +192,6 @@ def identity_index(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return rows.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count_distinct(value).alias("_n"), F.min(value).alias(value)).where("_n = 1").drop("_n")
 
 
-def conversation_outcome(pending: Column, cancelled: Column, choice: Column, references: Column, found: Column, anaphora: Column, focuses: Column) -> Column:
-    """``outcome, reason`` of a message: a pending choice first, then explicit references by how many units they name, then words like "that article" by how many focuses fit, else on its own.
-
-    ``pending`` is SELECT, RESTATE or null; ``references`` and ``found`` count mentions and the documents they name.
-    """
-    def out(outcome: str, reason: str | None) -> Column:
-        return F.struct(F.lit(outcome).alias("outcome"), F.lit(reason).cast("string").alias("reason"))
-
-    some = F.coalesce(pending, F.lit("")) != ""
-    return (
-        F.when(some & cancelled, out("CANCEL", None)).when((pending == "SELECT") & choice.isNotNull(), out("RESOLVED", "PENDING_CLARIFICATION")).when(pending == "SELECT", out("CLARIFY_SELECT", "SELECT_INPUT_INVALID"))
-        .when((references > 0) & (found == 1), out("RESOLVED", "CURRENT_MESSAGE")).when((references > 0) & (found > 1), out("CLARIFY_SELECT", "SEVERAL_CANDIDATES")).when(references > 0, out("CLARIFY_RESTATE", "REFERENT_NOT_FOUND"))
-        .when(anaphora & (focuses == 1), out("RESOLVED", "HISTORY_FOCUS")).when(anaphora & (focuses > 1), out("CLARIFY_SELECT", "SEVERAL_FOCUSES")).when(anaphora, out("CLARIFY_RESTATE", "NO_FOCUS")).otherwise(out("STANDALONE", None))
-    )
-
-
 def projected_context(intent: Column, lost: Column, units: Column, types: Column, bundles: Column, dated: Column, versions: Column) -> Column:
     """Null where a packed context still has what its intent needs, else what it lost."""
     return (

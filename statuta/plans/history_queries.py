@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statuta.operators import reconciliation
+from statuta.operators import reconciliation, resolution
 from statuta.plans.registry import query
 from statuta.runtime import table
+from statuta.sources import statutes
 
 
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,3 +55,52 @@ def ref9_reconciliation_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 def agg26_materialization_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG26: how many bundles end in each state."""
     return reconciliation.counts(reconciliation.latest(reconciliation.reconciled(run_log(spark, sf_dir))))
+
+
+#: The order in which the messages of every other conversation name, choose and point back.
+ORDER = [7, 2, 6, 0, 1, 3, 4, 5]
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The users' messages of all conversations; most also name a law, point back, choose or cancel."""
+    c, turn = F.col("conv_id"), F.col("turn")
+    n = table(spark, sf_dir, "documents").count()
+    in_order = F.get(F.array(*map(F.lit, ORDER)), ((F.floor(c / 2) + F.floor(turn / 2)) % 8).cast("int"))
+    k = F.when(c % 2 == 0, in_order).otherwise((c * 5 + F.floor(turn / 2) * 3 + turn % 2) % 8)
+    number = lambda x: F.concat((x % n).cast("string"), F.lit("/2020/QH14"))
+    added = (
+        F.when(k == 0, F.concat(F.lit(" Điều 1 Luật số "), number(c), F.lit(" quy định gì?"))).when(k == 1, " điều này quy định gì?").when(k == 3, F.concat(F.lit(" Theo Điều "), (turn % 4 + 1).cast("string"), F.lit(" thì sao?")))
+        .when(k == 6, " luật này còn hiệu lực?").when(k == 7, F.concat(F.lit(" Luật số "), number(c), F.lit(" và Luật số "), number(c * 7), F.lit("?"))).otherwise("")
+    )
+    text = F.when(k == 2, " 2. ").when(k == 4, "Hủy!").otherwise(F.concat("text", added))
+    return table(spark, sf_dir, "conversations").where("role = 'user' and conv_id is not null and turn is not null").select("conv_id", "turn", text.alias("text"))
+
+
+def named_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``id, label, type, number, article`` of the laws and their articles."""
+    texts, _, documents = statutes.statutes(spark, sf_dir)
+    numbers = documents.select(F.col("id").alias("document_id"), F.col("number").alias("of"))
+    r = statutes.registry(texts, documents).where("type in ('Document', 'Article')").join(numbers, "document_id")
+    article = F.when(F.col("type") == "Article", F.col("number"))
+    return r.select("id", F.concat(F.coalesce(F.concat(F.lit("Điều "), article, F.lit(" ")), F.lit("")), F.lit("Luật "), "of").alias("label"), "type", F.col("of").alias("number"), article.alias("article"))
+
+
+@query(f"""WITH RECURSIVE {statutes.STATUTES_SQL}, nd AS (SELECT count(*) AS n FROM documents),
+m AS (SELECT conv_id, turn, k, conv_id % n AS a, conv_id * 7 % n AS b, turn % 4 + 1 AS art, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS u FROM (SELECT *, CASE WHEN conv_id % 2 = 0 THEN {ORDER}[(conv_id // 2 + turn // 2) % 8 + 1] ELSE (conv_id * 5 + turn // 2 * 3 + turn % 2) % 8 END AS k FROM conversations WHERE role = 'user'), nd),
+heads AS (SELECT DISTINCT document_id, id, regexp_extract(id, '_art(.*)$', 1) AS art FROM sunits WHERE type = 'Article'), first6 AS (SELECT art, list(id ORDER BY id)[1:6] AS ids FROM heads GROUP BY art),
+asked AS (SELECT m.*, k IN (0, 3, 7) AS names, CASE k WHEN 0 THEN CASE WHEN h.id IS NULL THEN []::VARCHAR[] ELSE [h.id] END WHEN 3 THEN coalesce(f.ids, []::VARCHAR[]) WHEN 7 THEN list_distinct([a::VARCHAR, b::VARCHAR]) ELSE []::VARCHAR[] END AS raw, a, b FROM m LEFT JOIN heads h ON h.id = m.a || '_art1' LEFT JOIN first6 f ON f.art = m.art::VARCHAR),
+msg AS (SELECT conv_id, turn, u, k, names, CASE WHEN k = 7 AND a <> b THEN [a::VARCHAR, b::VARCHAR] ELSE raw END AS found FROM asked),
+talk AS (
+ SELECT conv_id, 0::BIGINT AS u, NULL::BIGINT AS turn, NULL::VARCHAR AS outcome, NULL::VARCHAR AS reason, NULL::VARCHAR AS unit, NULL::VARCHAR[] AS pending, []::STRUCT(o BIGINT, id VARCHAR)[] AS focuses, 0::BIGINT AS n_focuses FROM (SELECT DISTINCT conv_id FROM msg)
+ UNION ALL
+ SELECT conv_id, u, turn, outcome, reason, unit, choices, CASE WHEN unit IS NULL THEN alive ELSE list_append(list_filter(alive, lambda f: f.id <> unit), {{'o': -u, 'id': unit}}) END, len(focus)::BIGINT FROM (
+  SELECT *, CASE WHEN cancelled OR outcome = 'RESOLVED' OR outcome = 'STANDALONE' THEN NULL WHEN chosen THEN pending WHEN outcome = 'CLARIFY_RESTATE' THEN []::VARCHAR[] ELSE pool[1:5] END AS choices, CASE WHEN outcome <> 'RESOLVED' THEN NULL WHEN chosen THEN pending[2] ELSE pool[1] END AS unit FROM (
+   SELECT *, CASE WHEN cancelled THEN 'CANCEL' WHEN chosen THEN CASE WHEN k = 2 AND len(pending) >= 2 THEN 'RESOLVED' ELSE 'CLARIFY_SELECT' END WHEN NOT names AND k NOT IN (1, 6) THEN 'STANDALONE' WHEN len(pool) = 1 THEN 'RESOLVED' WHEN len(pool) > 1 THEN 'CLARIFY_SELECT' ELSE 'CLARIFY_RESTATE' END AS outcome,
+    CASE WHEN cancelled THEN NULL WHEN chosen THEN CASE WHEN k = 2 AND len(pending) >= 2 THEN 'PENDING_CLARIFICATION' ELSE 'SELECT_INPUT_INVALID' END WHEN NOT names AND k NOT IN (1, 6) THEN NULL WHEN len(pool) = 0 THEN 'REFERENT_NOT_FOUND' WHEN len(pool) = 1 THEN CASE WHEN names THEN 'CURRENT_MESSAGE' ELSE 'HISTORY_FOCUS' END WHEN names THEN 'SEVERAL_CANDIDATES' ELSE 'SEVERAL_FOCUSES' END AS reason
+   FROM (SELECT *, CASE WHEN names THEN found WHEN k = 1 THEN list_filter(list_transform(focus, lambda f: f.id), lambda x: contains(x, '_art')) ELSE list_filter(list_transform(focus, lambda f: f.id), lambda x: NOT contains(x, '_art')) END AS pool FROM (
+     SELECT conv_id, u, turn, k, names, found, pending, alive, list_sort(alive)[1:5] AS focus, pending IS NOT NULL AND k = 4 AS cancelled, pending IS NOT NULL AND k <> 4 AND len(pending) > 0 AS chosen
+     FROM (SELECT g.conv_id, g.u, g.turn, g.k, g.names, g.found, t.pending, list_filter(t.focuses, lambda f: g.u + f.o <= 5) AS alive FROM talk t JOIN msg g ON g.conv_id = t.conv_id AND g.u = t.u + 1))))))
+SELECT conv_id::VARCHAR AS conv_id, turn, outcome, reason, unit, coalesce(array_to_string(pending, ','), '') AS choices, n_focuses FROM talk WHERE u > 0""")
+def ref17_resolved_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """REF17, REF15, REF18, WIN7, WIN8: what each message of each conversation refers to, by its own words and by the turns before it."""
+    return resolution.resolved(messages(spark, sf_dir), named_units(spark, sf_dir))

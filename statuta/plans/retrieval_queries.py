@@ -203,13 +203,6 @@ def ret4_reciprocal_rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hybrid(spark, sf_dir)
 
 
-@query(f"""WITH {HYBRID_SQL}, t AS (SELECT f.query_id, f.id, f.rank, upper(lang) AS lang FROM fused f JOIN documents ON doc_id = id WHERE rank <= 10) SELECT query_id, count(*) AS n, count(DISTINCT lang) AS langs, CASE WHEN count(*) < 3 THEN 'too_few' WHEN count(DISTINCT lang) > 1 THEN 'mixed' ELSE 'sufficient' END AS reason FROM t GROUP BY query_id""")
-def gen1_sufficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = hybrid(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang"), "id")
-    n, langs = F.count(F.lit(1)), F.count_distinct("lang")
-    return rows.groupBy("query_id").agg(n.alias("n"), langs.alias("langs"), F.when(n < 3, "too_few").when(langs > 1, "mixed").otherwise("sufficient").alias("reason"))
-
-
 @query("""WITH r AS (SELECT doc_id AS id, source AS query_id, doc_id AS rank, text FROM documents) SELECT id, query_id, CASE WHEN id % 10 = 0 THEN id ELSE first_value(id) OVER (PARTITION BY query_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) ORDER BY rank, id) END AS retained_unit_id FROM r""")
 def gen2_evidence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("query_id"), F.col("doc_id").alias("rank"), "text")

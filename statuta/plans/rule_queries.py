@@ -172,34 +172,6 @@ def ref13_identity_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.identity_index(table(spark, sf_dir, "part"), ["p_brand", "p_size"], "p_type")
 
 
-MESSAGES = [
-    ("SELECT", "huỷ", None, "0", "0", "0", "CANCEL", None), ("SELECT", "2", "b", "0", "0", "0", "RESOLVED", "PENDING_CLARIFICATION"), ("SELECT", "x", None, "1", "1", "0", "CLARIFY_SELECT", "SELECT_INPUT_INVALID"), ("RESTATE", "Điều 5 Luật {n}", None, "1", "1", "0", "RESOLVED", "CURRENT_MESSAGE"),
-    (None, "Điều 5", None, "1", "3", "0", "CLARIFY_SELECT", "SEVERAL_CANDIDATES"), (None, "Điều 99", None, "1", "0", "0", "CLARIFY_RESTATE", "REFERENT_NOT_FOUND"), (None, "điều đó nói gì", None, "0", "0", "1", "RESOLVED", "HISTORY_FOCUS"), (None, "điều đó nói gì", None, "0", "0", "2", "CLARIFY_SELECT", "SEVERAL_FOCUSES"),
-    (None, "điều đó nói gì", None, "0", "0", "0", "CLARIFY_RESTATE", "NO_FOCUS"), (None, "thuế {n} là bao nhiêu", None, "0", "0", "4", "STANDALONE", None),
-]
-
-
-@query(_want(outcome=_at(MESSAGES, 6), reason=_at(MESSAGES, 7)))
-def ref17_conversation_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """REF17: pending choices, explicit references, references back, and messages on their own."""
-    names = ("pending", "text", "choice", "references", "found", "focuses")
-    r = _rows(spark, sf_dir, **{n: _at(MESSAGES, i) for i, n in enumerate(names)})
-    n = {c: F.col(c).cast("int") for c in ("references", "found", "focuses")}
-    o = rules.conversation_outcome(F.col("pending"), F.col("text").rlike("(?iu)^(huỷ|hủy|thôi)$"), F.col("choice"), n["references"], n["found"], F.col("text").rlike("(?iu)điều (đó|này|ấy)"), n["focuses"])
-    return r.withColumn("o", o).select(KEY, "o.outcome", "o.reason")
-
-
-CONTEXTS = [("FACTUAL", "", "0", "no_direct_evidence"), ("FACTUAL", "", "2", None), ("HIERARCHY", "GUIDES", "2", "hierarchy_path"), ("HIERARCHY", "CONTAINS,GUIDES", "2", None), ("MULTI_HOP", "", "2", "graph_path"), ("VALIDITY", "AMENDS", "1", "temporal_evidence"), ("COMPARISON", "AMENDS", "1", "comparison_versions"), ("COMPARISON", "AMENDS", "3", None), ("DEFINITION", "lost", "3", "lost_required_evidence")]
-
-
-@query(_want(fault=_at(CONTEXTS, 3)))
-def gen5_projected_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _rows(spark, sf_dir, intent=_at(CONTEXTS, 0), types=_at(CONTEXTS, 1), n=_at(CONTEXTS, 2))
-    types = F.filter(F.split("types", ","), lambda t: t != "")
-    n = F.col("n").cast("int")
-    return r.select(KEY, rules.projected_context(F.col("intent"), F.col("types") == "lost", n, types, n, n > 1, n).alias("fault"))
-
-
 UNITS = [
     ("Document", "d{n}", "d{n}", None, None, "x", None), ("Document", "d{n}", "d{n}", "a", None, "x", "hierarchy_ids"), ("Article", "d{n}_art1", "d{n}", "d{n}_art1", None, "x", None), ("Clause", "d{n}_cl1", "d{n}", None, "d{n}_cl1", "x", "hierarchy_ids"), ("Appendix", "d{n}_app", "d{n}", None, None, " ", "blank_content"), ("Article", "D {n}", "d{n}", "D {n}", None, "x", "unit_id"), ("Point", "d{n}_p", "d{n}", "a", "c", "x", None),
 ]
