@@ -87,11 +87,11 @@ def chunks(text: Column, size: int = 160) -> Column:
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(text, i * size + 1, F.lit(size)))
 
 
-def grounded_quotes(docs: DataFrame, items: DataFrame) -> DataFrame:
+def grounded_quotes(docs: DataFrame, items: DataFrame, block: int = 1000) -> DataFrame:
     """Distinct ``doc_id, item_id``: the items whose text stands in a document, white space and case aside.
 
     A quote's words but the first and last are whole words of the text, so candidates share its rarest one;
-    quotes of one or two words, which may begin and end inside words, are tried against every document.
+    quotes of one or two words, which may begin and end inside words, are tried against every document in blocks of ``block``.
     """
     d = docs.select("doc_id", F.lower(strings.squeeze(F.col("text"))).alias("_text"))
     q = items.select("item_id", F.lower(strings.squeeze(F.col("text"))).alias("_quote")).where("_quote <> ''").distinct()
@@ -102,5 +102,8 @@ def grounded_quotes(docs: DataFrame, items: DataFrame) -> DataFrame:
     rarest = words.join(often, "_word", "left").groupBy("_quote").agg(F.min_by("_word", F.struct(F.coalesce("_n", F.lit(0)), "_word")).alias("_word"))
     near = rarest.join(seen, "_word").select("_quote", "doc_id").distinct()
     long = near.join(d, "doc_id").where(F.contains("_text", F.col("_quote"))).select("doc_id", "_quote").join(q, "_quote")
-    short = d.crossJoin(q.where(F.size("_inner") == 0)).where(F.contains("_text", F.col("_quote")))
-    return long.select("doc_id", "item_id").unionByName(short.select("doc_id", "item_id")).distinct()
+    few = q.where(F.size("_inner") == 0)
+    blocks = few.groupBy(F.pmod(F.xxhash64("item_id"), F.lit(max(1, -(-few.count() // block)))).alias("_block")).agg(F.collect_list(F.struct("item_id", "_quote")).alias("_quotes"))
+    found = F.filter("_quotes", lambda x: F.contains(F.col("_text"), x["_quote"]))
+    short = d.crossJoin(blocks).select("doc_id", F.explode(found).alias("_q")).select("doc_id", "_q.item_id")
+    return long.select("doc_id", "item_id").unionByName(short).distinct()

@@ -5,19 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from statuta.runtime import checkpointed
+
 
 def relation_id(discriminator: Column | None = None) -> Column:
     """The identity of an edge: sha1 of head, type, tail and what tells parallel edges apart."""
     return F.sha1(F.concat_ws("|", "head_id", "type", "tail_id", F.coalesce(discriminator if discriminator is not None else F.lit(""), F.lit(""))).cast("binary"))
 
 
-def closure(edges: DataFrame, depth: int = 9) -> DataFrame:
-    """``(ancestor_id, unit_id, depth)`` over containment, each unit with itself at depth 0 excluded."""
-    step = edges.where("type = 'CONTAINS'").select("head_id", "tail_id")
+def closure(edges: DataFrame, depth: int | None = None) -> DataFrame:
+    """``(ancestor_id, unit_id, depth)`` over containment at the least depth, each unit with itself excluded.
+
+    Without a ``depth`` levels are added until one finds no new pair, so cycles end as well.
+    """
+    step = checkpointed(edges.where("type = 'CONTAINS' and head_id <> tail_id").select("head_id", "tail_id").distinct())
     level = step.select(F.col("head_id").alias("ancestor_id"), F.col("tail_id").alias("unit_id"), F.lit(1).alias("depth"))
     out = level
-    for d in range(2, depth + 1):
-        level = level.join(step, F.col("unit_id") == F.col("head_id")).select("ancestor_id", F.col("tail_id").alias("unit_id"), F.lit(d).alias("depth"))
+    while depth is None or depth > 1:
+        d = level.select("depth").first()
+        if d is None:
+            break
+        if depth is not None and d[0] >= depth:
+            break
+        further = level.join(step, F.col("unit_id") == F.col("head_id")).select("ancestor_id", F.col("tail_id").alias("unit_id")).where("ancestor_id <> unit_id").distinct()
+        level = checkpointed(further.join(out, ["ancestor_id", "unit_id"], "left_anti").withColumn("depth", F.lit(d[0] + 1)))
         out = out.unionByName(level)
     return out
 

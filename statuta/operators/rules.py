@@ -208,20 +208,33 @@ def evidence_contract(row: dict[str, Column]) -> Column:
     return F.when(~i.rlike(canonical), "unit_id").when(F.trim(row["content"]) == "", "blank_content").when(~row["document_id"].rlike(canonical), "document_id").when(F.trim(row["citation"]) == "", "citation").when(~F.coalesce(fits, F.lit(False)), "hierarchy_ids")
 
 
-def ancestor_chains(units: DataFrame, most: int = 64) -> DataFrame:
-    """``id, chain``: each unit's ancestors from the root down, joined by ``>``, itself last.
+def walked_up(units: DataFrame) -> DataFrame:
+    """``id, chain, cyclic``: each unit's ancestors from the root down as an array, itself last; units on or under a cycle have no chain.
 
-    Chains grow by doubling until none changes, so depth costs its logarithm in joins; ids on a cycle have no root and give no row.
+    Chains grow by doubling until none changes, so depth costs its logarithm in joins.  A chain that meets an id again runs into a cycle and ends there.  A
+    parent that isn't there ends a chain as a root does.
     """
     from statuta.runtime import checkpointed
 
-    level = checkpointed(units.select("id", F.col("parent_id").alias("up"), F.array("id").alias("chain")))
-    for _ in range(most.bit_length()):
-        if not level.where("up is not null").limit(1).count():
-            break
-        above = level.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("chain").alias("_chain"))
-        level = checkpointed(level.join(above, "up", "left").select("id", F.when(F.col("up").isNotNull(), F.col("_up")).alias("up"), F.when(F.col("_chain").isNotNull(), F.concat("_chain", "chain")).otherwise(F.col("chain")).alias("chain")))
-    return level.where("up is null").select("id", F.array_join("chain", ">").alias("chain"))
+    level = checkpointed(units.select("id", F.col("parent_id").alias("up"), F.array("id").alias("chain"), F.lit(False).alias("cyclic")))
+    while level.where("up is not null and not cyclic").limit(1).count():
+        above = level.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("chain").alias("_chain"), F.col("cyclic").alias("_cyclic"))
+        open_ = F.col("up").isNotNull() & ~F.col("cyclic")
+        grown = F.when(open_ & F.col("_chain").isNotNull(), F.concat("_chain", "chain")).otherwise(F.col("chain"))
+        again = F.col("cyclic") | (open_ & (F.coalesce("_cyclic", F.lit(False)) | (F.size(F.array_distinct(grown)) < F.size(grown))))
+        level = level.join(above, "up", "left").select("id", F.when(open_ & ~again, F.col("_up")).otherwise(F.when(F.col("cyclic"), F.col("up"))).alias("up"), F.when(again, F.array("id")).otherwise(grown).alias("chain"), again.alias("cyclic"))
+        level = checkpointed(level)
+    return level.select("id", F.when(~F.col("cyclic"), F.col("chain")).alias("chain"), "cyclic")
+
+
+def ancestor_chains(units: DataFrame) -> DataFrame:
+    """``id, chain``: each unit's ancestors from the root down, joined by ``>``, itself last; units that run into a cycle give no row (``cycles`` names them)."""
+    return walked_up(units).where("not cyclic").select("id", F.array_join("chain", ">").alias("chain"))
+
+
+def cycles(units: DataFrame) -> DataFrame:
+    """``id`` of the units that are on a cycle of parents, or under one."""
+    return walked_up(units).where("cyclic").select("id")
 
 
 def containment_payload(units: DataFrame) -> DataFrame:

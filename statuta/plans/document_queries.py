@@ -144,7 +144,7 @@ def top7_pinned_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.where("pos <= 10").select("query_id", "id", (F.col("pin") == 1).alias("pinned"), "pos")
 
 
-@query(f"""WITH {HYBRID_SQL}, t AS (SELECT query_id, id, rank, unnest(['fulltext', 'prior']) AS channel FROM fused WHERE rank <= 5) SELECT query_id, id, channel, rank, rank <= 3 AS eligible FROM t""")
+@query(f"""WITH {HYBRID_SQL}, t AS (SELECT query_id, id, rank, unnest(string_split(sources, ',')) AS channel FROM fused WHERE rank <= 5) SELECT query_id, id, channel, rank, rank <= 3 AS eligible FROM t""")
 def ret10_evidence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = hybrid(spark, sf_dir, 5)
     return t.select("query_id", "id", F.explode(F.split("sources", ",")).alias("channel"), "rank", (F.col("rank") <= 3).alias("eligible"))

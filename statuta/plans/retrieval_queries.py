@@ -152,9 +152,10 @@ def grf5_path_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges(spark, sf_dir).where("type = 'AMENDS'").select("head_id", graph.path_fingerprint(nodes, types).alias("fingerprint"), graph.describe_path(nodes, types, F.array(F.lit(True))).alias("description"))
 
 
-@query(f"""WITH {EDGES_SQL}, c AS (SELECT head_id, tail_id FROM edges WHERE type = 'CONTAINS'), x AS (SELECT head_id AS ancestor_id, tail_id AS unit_id, 1 AS depth FROM c UNION ALL SELECT a.head_id, b.tail_id, 2 FROM c a JOIN c b ON a.tail_id = b.head_id) SELECT ancestor_id, depth, count(*) AS n FROM x GROUP BY ALL""")
+@query(f"""WITH RECURSIVE {EDGES_SQL}, c AS (SELECT DISTINCT head_id, tail_id FROM edges WHERE type = 'CONTAINS'), x AS (SELECT head_id AS ancestor_id, tail_id AS unit_id, 1 AS depth FROM c UNION ALL SELECT x.ancestor_id, c.tail_id, x.depth + 1 FROM x JOIN c ON x.unit_id = c.head_id) SELECT ancestor_id, depth, count(*) AS n FROM x GROUP BY ALL""")
 def grf6_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.closure(edges(spark, sf_dir), 3).groupBy("ancestor_id", "depth").agg(F.count(F.lit(1)).alias("n"))
+    """GRF6: how many units every unit contains at each depth, to the end."""
+    return graph.closure(edges(spark, sf_dir)).groupBy("ancestor_id", "depth").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""WITH p AS (SELECT l_partkey AS unit, 'd' || l_suppkey AS parent, count(*) AS rank FROM lineitem GROUP BY ALL) SELECT unit, arg_max(parent, rank * 100000 - substr(parent, 2)::BIGINT) AS parent FROM p GROUP BY unit""")
@@ -187,18 +188,20 @@ def ret1_vector_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hybrid(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
-    """Full-text and length-prior channels of the benchmark questions, fused."""
+    """Full-text and vector channels of the benchmark questions, fused; a question's vector is that of its id."""
     text = ret2_fulltext_channel(spark, sf_dir).select("query_id", F.lit("fulltext").alias("channel"), "id", F.round("score", 9).alias("score"))
-    prior = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").cast("double").alias("score"))
-    second = text.select("query_id", "id").join(prior, "id").select("query_id", F.lit("prior").alias("channel"), "id", "score")
-    return ranking.top_k(ranking.reciprocal_rank_fusion(text.unionByName(second), ["fulltext", "prior"]), k, ["query_id"], [F.desc("rrf"), "id"])
+    v = table(spark, sf_dir, "embeddings")
+    asked = v.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), "embedding")
+    near = fulltext.vector_top_k(v, asked, 20).select("query_id", F.lit("vector").alias("channel"), "id", "score")
+    return ranking.top_k(ranking.reciprocal_rank_fusion(text.unionByName(near), ["fulltext", "vector"]), k, ["query_id"], [F.desc("rrf"), "id"])
 
 
-HYBRID_SQL = f"""{WORDS_SQL}, f AS (SELECT query_id, id, rank FROM top WHERE rank <= 20), r2 AS (SELECT f.query_id, f.id, row_number() OVER (PARTITION BY f.query_id ORDER BY n_chars DESC, f.id) AS rank FROM f JOIN documents ON doc_id = f.id),
-rrf AS (SELECT query_id, f.id, 1.0::DOUBLE / (60 + f.rank) + 1.0::DOUBLE / (60 + r2.rank) AS rrf FROM f JOIN r2 USING (query_id, id)), fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, id) AS rank FROM rrf)"""
+HYBRID_SQL = f"""{WORDS_SQL}, vc AS (SELECT q.vec_id AS query_id, v.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 12) DESC, v.vec_id) AS rank FROM embeddings v JOIN embeddings q ON q.vec_id IN (SELECT item_id FROM benchmark) AND v.vec_id <> q.vec_id QUALIFY rank <= 20),
+parts AS (SELECT query_id, id, 'fulltext' AS channel, rank FROM top WHERE rank <= 20 UNION ALL SELECT query_id, id, 'vector', rank FROM vc),
+rrf AS (SELECT query_id, id, coalesce(sum(1.0::DOUBLE / (60 + rank)) FILTER (channel = 'fulltext'), 0) + coalesce(sum(1.0::DOUBLE / (60 + rank)) FILTER (channel = 'vector'), 0) AS rrf, string_agg(channel, ',' ORDER BY channel) AS sources FROM parts GROUP BY ALL), fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, id) AS rank FROM rrf)"""
 
 
-@query(f"WITH {HYBRID_SQL} SELECT query_id, id, rrf, 'fulltext,prior' AS sources, rank FROM fused WHERE rank <= 10")
+@query(f"WITH {HYBRID_SQL} SELECT query_id, id, rrf, sources, rank FROM fused WHERE rank <= 10")
 def ret4_reciprocal_rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hybrid(spark, sf_dir)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from statuta.operators import rules
@@ -111,8 +111,7 @@ def snk10_snapshot_and_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = spark.read.schema("nodes long, documents long, edges long").json(path)
     stores.replace_text(spark, text, "old")
     stores.replace_text(spark, text, stores.quality_markdown(read, ["nodes", "documents", "edges"]).first().report)
-    report = spark.read.text(text, wholetext=True).select(F.regexp_replace("value", "\n$", "").alias("report"))
-    return read.crossJoin(F.broadcast(report))
+    return read.crossJoin(F.broadcast(stores.read_text(spark, text).withColumnRenamed("value", "report")))
 
 
 @query("SELECT doc_id AS id, CASE WHEN vec_id IS NULL OR doc_id % 7 = 0 OR doc_id % 5 = 0 THEN NULL ELSE 64 END AS dimension, CASE WHEN vec_id IS NULL THEN NULL WHEN doc_id % 7 = 0 THEN 'dimension' WHEN doc_id % 5 = 0 THEN 'stale' END AS refused FROM documents LEFT JOIN embeddings ON vec_id = doc_id")
@@ -125,6 +124,30 @@ def snk5_embedding_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("id", "dimension").join(refused.withColumnRenamed("reason", "refused"), "id", "left")
 
 
+@query("""WITH e AS (SELECT l_orderkey AS bundle_id, l_suppkey AS s, count(*) OVER (PARTITION BY l_orderkey) AS n, l_linenumber > min(l_linenumber) OVER (PARTITION BY l_orderkey) AS later FROM lineitem),
+b AS (SELECT bundle_id, count(*) AS n, count(DISTINCT s) AS d, count(*) FILTER (s % 16 <> 3) AS known, count(*) FILTER (later) AS m, count(DISTINCT s) FILTER (later) AS md, count(*) FILTER (later AND s % 16 <> 3) AS mknown FROM e GROUP BY bundle_id),
+f AS (SELECT *, CASE WHEN d <> n THEN 'INCOMPLETE' WHEN known < n THEN 'MISSING_END' ELSE 'WRITTEN' END AS first FROM b),
+x AS (SELECT *, CASE bundle_id % 3 WHEN 1 THEN CASE WHEN m = 0 THEN NULL WHEN m <> n - 1 OR md <> m THEN 'INCOMPLETE' WHEN mknown < m THEN 'MISSING_END' WHEN first = 'WRITTEN' THEN 'TARGET_CHANGED' ELSE 'WRITTEN' END
+ ELSE CASE WHEN first <> 'WRITTEN' THEN first WHEN bundle_id % 3 = 0 THEN 'UNCHANGED' ELSE 'CONFLICT' END END AS second FROM f)
+SELECT bundle_id, first, second, CASE WHEN first = 'WRITTEN' THEN n WHEN second = 'WRITTEN' THEN m ELSE 0 END AS stored FROM x""")
+def snk3_written_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK2, SNK3: bundles of references written all or none, and what a second job may not change: targets of a written bundle, or relations of another's."""
+    root = stores.new_folder(spark, "bundles")
+    li = table(spark, sf_dir, "lineitem")
+    head, tail = F.concat(F.lit("o"), F.col("l_orderkey").cast("string")), F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
+    n = li.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("expected"))
+    e = li.join(n, "l_orderkey").select(F.col("l_orderkey").alias("bundle_id"), head.alias("head_id"), F.lit("REFERS_TO").alias("type"), tail.alias("tail_id"), F.concat_ws(">", F.col("l_orderkey").cast("string"), F.col("l_suppkey").cast("string")).alias("relation_id"), "expected", "l_linenumber")
+    nodes = e.select(F.col("head_id").alias("id")).distinct().unionByName(table(spark, sf_dir, "supplier").where("s_suppkey % 16 <> 3").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id")))
+    first = upsert.write_bundles(e, root, nodes)
+    k = F.col("bundle_id") % 3
+    fewer = e.where(k == 1).withColumn("_first", F.min("l_linenumber").over(Window.partitionBy("bundle_id"))).where("l_linenumber > _first").drop("_first").withColumn("expected", F.col("expected") - 1)
+    renamed = e.where(k == 2).withColumn("bundle_id", -F.col("bundle_id") - 1)
+    again = upsert.write_bundles(e.where(k == 0).unionByName(fewer).unionByName(renamed), root, nodes)
+    again = again.select(F.when(F.col("bundle_id") < 0, -F.col("bundle_id") - 1).otherwise(F.col("bundle_id")).alias("bundle_id"), F.col("status").alias("second"))
+    stored = spark.read.parquet(stores.current(spark, root)).groupBy("bundle_id").agg(F.count(F.lit(1)).alias("stored"))
+    return first.withColumnRenamed("status", "first").join(again, "bundle_id", "left").join(stored, "bundle_id", "left").withColumn("stored", F.coalesce("stored", F.lit(0)))
+
+
 @query("WITH e AS (SELECT p_partkey AS id, 'd' || (p_partkey % 40) AS head_id, 'd' || (p_size % 60) AS tail_id FROM part), n AS (SELECT 'd' || c_custkey AS id FROM customer WHERE c_custkey < 50) SELECT id, head_id, tail_id FROM e WHERE head_id IN (FROM n) AND tail_id IN (FROM n) AND head_id <> tail_id")
 def snk4_temporal_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK2, SNK4: temporal relations of a provider, each a bundle of its own: both ends known, no loop, else not written."""

@@ -43,25 +43,138 @@ def projection(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> tuple[Data
     return nodes.join(some, "id", "left_semi"), ends
 
 
+def _path(spark: SparkSession, path: str) -> tuple:
+    """A path and its file system, as Hadoop objects, so that any store that Spark can write is reached."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _path(spark, path)
+    return fs.exists(p)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p, fs = _path(spark, path)
+    fs.delete(p, True)
+
+
+def _children(spark: SparkSession, path: str) -> list[str]:
+    p, fs = _path(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def _rename(spark: SparkSession, old: str, new: str, overwrite: bool) -> None:
+    """One rename within a store; without ``overwrite`` it fails where the target is there."""
+    jvm = spark._jvm
+    a, _ = _path(spark, old)
+    b, _ = _path(spark, new)
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE if overwrite else jvm.org.apache.hadoop.fs.Options.Rename.NONE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(a.toUri(), spark._jsc.hadoopConfiguration()).rename(a, b, options)
+
+
+def complete(spark: SparkSession, path: str) -> bool:
+    """Whether a folder's write was committed."""
+    return exists(spark, f"{path}/_SUCCESS")
+
+
+def row_digest(rows: DataFrame) -> str:
+    """A sha256 of the rows whatever their order, each as often as it occurs.
+
+    Rows are hashed and counted, hashes with the same beginning are sorted and hashed together, and so are those hashes, so no task holds more than a share of them.
+    """
+    line = F.sha2(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).cast("binary"), 256)
+    level = rows.select(line.alias("h")).groupBy("h").agg(F.count(F.lit(1)).cast("string").alias("n")).select("h", F.concat_ws(":", "h", "n").alias("x"))
+    for width in (5, 2, 0):
+        key = F.substring("h", 1, width) if width else F.lit("")
+        level = level.groupBy(key.alias("h")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "h", "x"))), "\n").cast("binary"), 256).alias("x"))
+    found = level.first()
+    return found["x"] if found else "0" * 64
+
+
 def publish_by_content(rows: DataFrame, root: str) -> str:
-    """Writes rows under the digest of their sorted row digests, once; the digest is the build's name."""
+    """Writes rows under the digest of their content, once; the digest is the build's name.
+
+    A build is written aside and gets its name by one rename after its write was committed.  What a broken job left under the name is taken away first; a
+    build that is there whole is not written again, and of two jobs that write the same build the second leaves the first's.
+    """
     spark = rows.sparkSession
-    line = F.sha2(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).cast("binary"), 256)
-    # row digests are summed in 16 parts of 16 bits, so that no task holds them all
-    parts = [F.sum(F.conv(F.substring(line, 4 * i + 1, 4), 16, 10).cast("long")).alias(f"p{i}") for i in range(16)]
-    sums = rows.agg(*parts, F.count(F.lit(1)).alias("n"))
-    build = sums.select(F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c), F.lit(0)).cast("string") for c in sums.columns]).cast("binary"), 256)).first()[0]
-    rows.write.mode("ignore").parquet(f"{root}/build_id={build}")
+    build = row_digest(rows)
+    target = f"{root}/build_id={build}"
+    if complete(spark, target):
+        return build
+    aside = f"{root}/_aside-{uuid.uuid4().hex}"
+    rows.write.parquet(aside)
+    if not complete(spark, aside):
+        raise OSError(f"the write of {aside} was not committed")
+    if not complete(spark, target):
+        _delete(spark, target)
+    try:
+        _rename(spark, aside, target, overwrite=False)
+    except Exception:
+        if not complete(spark, target):
+            raise
+        _delete(spark, aside)
     return build
 
 
 def load_build(spark: SparkSession, root: str, build: str) -> DataFrame:
+    if not complete(spark, f"{root}/build_id={build}"):
+        raise FileNotFoundError(f"no whole build {build}")
     return spark.read.parquet(f"{root}/build_id={build}")
 
 
-def replace_text(spark: SparkSession, path: str, text: str) -> None:
-    """Replaces a text as a whole: readers see the old or the new folder, by Spark's commit."""
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").option("lineSep", "\n").text(path)
+def replace(rows: DataFrame, root: str, kind: str = "parquet", **options: str) -> str:
+    """Replaces what ``current`` reads: the new version is written aside, and once its write is committed one rename switches the pointer to it.
+
+    Readers see the old version whole or the new one; a job that fails before the switch changes nothing.  Returns the version's name.
+    """
+    spark = rows.sparkSession
+    version = uuid.uuid4().hex
+    folder = f"{root}/versions/{version}"
+    rows.write.options(**options).format(kind).save(folder)
+    if not complete(spark, folder):
+        raise OSError(f"the write of {folder} was not committed")
+    point(spark, root, version)
+    return version
+
+
+def point(spark: SparkSession, root: str, version: str) -> None:
+    """Switches the pointer to a version by one rename."""
+    aside = f"{root}/_next-{version}"
+    p, fs = _path(spark, aside)
+    out = fs.create(p, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    _rename(spark, aside, f"{root}/CURRENT", overwrite=True)
+
+
+def current(spark: SparkSession, root: str) -> str:
+    """The folder of the version that the pointer names."""
+    version = spark.read.text(f"{root}/CURRENT").first()
+    if version is None or not complete(spark, f"{root}/versions/{version[0]}"):
+        raise FileNotFoundError(f"{root} has no whole current version")
+    return f"{root}/versions/{version[0]}"
+
+
+def clean_up(spark: SparkSession, root: str) -> list[str]:
+    """Takes away what broken jobs left beside the current version: half-written versions, pointers and builds.  Names what went; no job may be writing."""
+    gone = [f"versions/{v}" for v in _children(spark, f"{root}/versions") if not complete(spark, f"{root}/versions/{v}")]
+    gone += [c for c in _children(spark, root) if c.startswith(("_next-", "_aside-")) or (c.startswith("build_id=") and not complete(spark, f"{root}/{c}"))]
+    for name in gone:
+        _delete(spark, f"{root}/{name}")
+    return gone
+
+
+def replace_text(spark: SparkSession, root: str, text: str) -> None:
+    """Replaces a text as a whole: readers see the old one or the new one."""
+    replace(spark.createDataFrame([(text,)], "value string").coalesce(1), root, "text", lineSep="\n")
+
+
+def read_text(spark: SparkSession, root: str) -> DataFrame:
+    """``value``: the text as it was given."""
+    return spark.read.text(current(spark, root), wholetext=True).select(F.regexp_replace("value", "\n$", "").alias("value"))
 
 
 def write_snapshot(counts: DataFrame, path: str) -> None:

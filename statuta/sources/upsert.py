@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from statuta.runtime import checkpointed
+from statuta.sources import stores
+
 
 def merged(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """``old`` with the rows of ``new`` put in by key; a null in ``new`` leaves the old value."""
@@ -33,15 +36,41 @@ def write_decisions(rows: DataFrame, path: str) -> None:
 
 
 def publish(rows: DataFrame, root: str, run_id: str) -> str:
-    """Writes a version and only then the pointer that names it, through Spark's own file access."""
-    spark = rows.sparkSession
-    target = f"{root}/run_id={run_id}"
+    """Writes a version under its run's name, and only once that is committed switches the pointer to it by one rename."""
+    target = f"{root}/versions/{run_id}"
     rows.write.mode("errorifexists").parquet(target)
-    spark.range(1).select(F.lit(run_id).alias("run_id"), F.current_timestamp().alias("at")).coalesce(1).write.mode("append").parquet(f"{root}/_pointers")
+    stores.point(rows.sparkSession, root, run_id)
     return target
 
 
 def current_version(spark: SparkSession, root: str) -> DataFrame:
-    """The last published version."""
-    last = spark.read.parquet(f"{root}/_pointers").agg(F.max_by("run_id", "at")).first()[0]
-    return spark.read.parquet(f"{root}/run_id={last}")
+    """The version that the pointer names."""
+    return spark.read.parquet(stores.current(spark, root))
+
+
+def write_bundles(edges: DataFrame, root: str, nodes: DataFrame, bundle: str = "bundle_id", expected: str = "expected") -> DataFrame:
+    """Adds the edges of whole bundles to a stored table, all of a bundle or none, and gives ``bundle, status``.
+
+    ``edges`` is the bundle, ``head_id, type, tail_id, relation_id`` and the number expected.  A bundle is refused that is INCOMPLETE or has a MISSING_END, that would
+    change what is stored for it (TARGET_CHANGED: other targets; PARTLY_STORED: some of them), or whose relation ids are another bundle's (CONFLICT); one that is stored
+    whole already is UNCHANGED; the others are WRITTEN in one switch of versions.
+    """
+    spark = edges.sparkSession
+    columns = [bundle, "head_id", "type", "tail_id", "relation_id"]
+    stored = spark.read.parquet(stores.current(spark, root)) if stores.exists(spark, f"{root}/CURRENT") else edges.select(*columns).limit(0)
+    ids = nodes.select(F.col("id").alias("_id")).distinct().withColumn("_known", F.lit(1))
+    ends = edges.join(ids.select(F.col("_id").alias("tail_id"), F.col("_known").alias("_t")), "tail_id", "left").join(ids.select(F.col("_id").alias("head_id"), F.col("_known").alias("_h")), "head_id", "left")
+    had = stored.groupBy(bundle).agg(F.array_sort(F.collect_set("relation_id")).alias("_had"))
+    taken = stored.select("relation_id", F.col(bundle).alias("_other"))
+    clash = edges.join(taken, "relation_id").where(F.col(bundle) != F.col("_other")).select(bundle).distinct().withColumn("_clash", F.lit(True))
+    state = ends.groupBy(bundle).agg(F.count(F.lit(1)).alias("_n"), F.max(expected).alias("_e"), F.count("_t").alias("_nt"), F.count("_h").alias("_nh"), F.array_sort(F.collect_set("relation_id")).alias("_new"))
+    judged = state.join(had, bundle, "left").join(clash, bundle, "left")
+    status = (
+        F.when(F.coalesce(F.col("_n") != F.col("_e"), F.lit(True)) | (F.size("_new") != F.col("_n")), "INCOMPLETE").when((F.col("_nt") < F.col("_n")) | (F.col("_nh") < F.col("_n")), "MISSING_END")
+        .when(F.col("_had") == F.col("_new"), "UNCHANGED").when(F.size(F.array_except("_had", "_new")) > 0, "TARGET_CHANGED").when(F.size("_had") > 0, "PARTLY_STORED").when(F.col("_clash"), "CONFLICT").otherwise("WRITTEN")
+    )
+    verdict = checkpointed(judged.select(bundle, status.alias("status")))
+    fresh = edges.join(verdict.where("status = 'WRITTEN'").select(bundle), bundle, "left_semi").select(*columns)
+    if verdict.where("status = 'WRITTEN'").limit(1).count():
+        stores.replace(stored.unionByName(fresh), root)
+    return verdict
