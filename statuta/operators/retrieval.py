@@ -129,7 +129,8 @@ def expansion(requests: DataFrame, entries: DataFrame, edges: DataFrame, units:
     """The accepted paths ``query_id, nodes, edge_ids, types, heads, rank`` and how many the day ruled out, ``query_id, rejected``.
 
     Paths go from ``entries(query_id, id)`` along the intent's relations (the goal's alone, if there is one) and use no edge
-    twice.  Those that end in scope are cut to the first ``paths`` by length and nodes before their dates are tested.
+    twice.  Those that end in scope are cut to the first ``paths`` by length and nodes before their dates are tested.  Length is the
+    first key, so a question's expansion ends, exactly, with the level at which it has so many; each level is written once.
     """
     policy = requests.sparkSession.createDataFrame([(i, r, d, w) for i, (rs, d, w) in POLICIES.items() for r in rs], "intent string, type string, depth int, way string")
     rules = requests.join(F.broadcast(policy), "intent").where("goal is null or goal = type").select("query_id", "type", "depth", "way")
@@ -138,7 +139,8 @@ def expansion(requests: DataFrame, entries: DataFrame, edges: DataFrame, units:
     sides = out.unionByName(back)
     none = F.array().cast("array<string>")
     level = entries.select("query_id", F.col("id").alias("at"), F.array("id").alias("nodes"), none.alias("edge_ids"), none.alias("types"), F.array().cast(f"array<{entries.schema['id'].dataType.simpleString()}>").alias("heads"), F.lit(None).cast("date").alias("since"))
-    found = None
+    scope = checkpointed(units.withColumnRenamed("id", "at"))
+    kept = None
     for step in range(1, max(d for _, d, _ in POLICIES.values()) + 1):
         allowed = rules.where(F.col("depth") >= step)
         level = (
@@ -146,9 +148,15 @@ def expansion(requests: DataFrame, entries: DataFrame, edges: DataFrame, units:
             .where(~F.array_contains("edge_ids", F.col("relation_id")))
             .select("query_id", F.col("b").alias("at"), F.array_append("nodes", F.col("b")).alias("nodes"), F.array_append("edge_ids", F.col("relation_id")).alias("edge_ids"), F.array_append("types", F.col("type")).alias("types"), F.array_append("heads", F.when(F.col("forward"), F.col("a")).otherwise(F.col("b"))).alias("heads"), F.greatest("last", "since").alias("since"))
         )
-        found = level if found is None else found.unionByName(level)
-    ending = found.join(units.withColumnRenamed("id", "at"), "at").join(requests, "query_id").where(seed_filter()).select("query_id", "nodes", "edge_ids", "types", "heads", "since", "query_date")
-    kept = checkpointed(top_k(ending, paths, ["query_id"], [F.size("edge_ids"), "nodes", "edge_ids"]).drop("rank"))
+        level = checkpointed(level)
+        ending = level.join(scope, "at").join(requests, "query_id").where(seed_filter()).select("query_id", "nodes", "edge_ids", "types", "heads", "since", "query_date")
+        # all paths of a level are as long, so a level's first ones come behind all that were kept before
+        best = top_k(ending, paths, ["query_id"], ["nodes", "edge_ids"]).drop("rank")
+        kept = checkpointed(best if kept is None else top_k(kept.unionByName(best), paths, ["query_id"], [F.size("edge_ids"), "nodes", "edge_ids"]).drop("rank"))
+        full = kept.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= paths).select("query_id")
+        level = level.join(full, "query_id", "left_anti")
+        if not level.limit(1).count():
+            break
     own = units.select("id", "label", "effective_from", "effective_to")
     start, end = F.col("effective_from"), F.col("effective_to")
     fine = ~F.col("label").isin(DATED) | _valid(start, end)

@@ -174,7 +174,7 @@ def replace_text(spark: SparkSession, root: str, text: str) -> None:
 
 def read_text(spark: SparkSession, root: str) -> DataFrame:
     """``value``: the text as it was given."""
-    return spark.read.text(current(spark, root), wholetext=True).select(F.regexp_replace("value", "\n$", "").alias("value"))
+    return spark.read.text(current(spark, root), wholetext=True).select(F.regexp_replace("value", r"\n\z", "").alias("value"))
 
 
 def write_snapshot(counts: DataFrame, path: str) -> None:

@@ -189,3 +189,24 @@ def test_sufficiency_and_checks_by_intent(spark):
     assert set(torn.values()) == {"lost_required_evidence"}
     undated = {r.query_id: r.fault for r in context.checked(asked, packs, sets, units.withColumns({"effective_from": F.lit(None).cast("date"), "document_id": F.lit(1).cast("long")}), paths.withColumn("types", F.array(F.lit("GUIDES")))).collect()}
     assert undated[6] == "temporal_evidence" and undated[2] == "hierarchy_path" and undated[8] == "comparison_versions" and undated[0] is None
+
+
+def test_expansion_ends_with_the_level_that_fills_it(spark):
+    """A hub of many edges: the shortest paths fill the cut, and what lies behind the hub is never reached."""
+    from statuta.operators import retrieval
+
+    n = 20_000
+    units = spark.range(3 * n).select("id", F.lit("Article").alias("label"), F.lit(0).alias("document_id"), F.lit("Law").alias("doc_type"), F.lit("EFFECTIVE").alias("document_status"), *[F.lit(None).cast("date").alias(c) for c in ("document_from", "document_to", "effective_from", "effective_to")])
+    requests = spark.createDataFrame([(1, "HIERARCHY", None, [], [], [], None), (2, "HIERARCHY", None, [], [], [], None)], "query_id long, intent string, query_date date, document_ids array<long>, doc_types array<string>, legal_statuses array<string>, goal string")
+    hub = spark.range(1, n).select(F.lit(0).cast("long").alias("head_id"), F.lit("CONTAINS").alias("type"), F.col("id").alias("tail_id"))
+    behind = spark.range(1, n).select(F.col("id").alias("head_id"), F.lit("CONTAINS").alias("type"), (F.col("id") + n).alias("tail_id"))
+    chain = spark.createDataFrame([(2 * n + i, "CONTAINS", 2 * n + i + 1) for i in range(5)], "head_id long, type string, tail_id long")
+    edges = hub.unionByName(behind).unionByName(chain).withColumns({"relation_id": F.concat_ws(">", F.col("head_id").cast("string"), F.col("tail_id").cast("string")), "effective_from": F.lit(None).cast("date")})
+    entries = spark.createDataFrame([(1, 0), (2, 2 * n)], "query_id long, id long")
+    accepted, rejected = retrieval.expansion(requests, entries, edges, units)
+    got = {}
+    for r in accepted.collect():
+        got.setdefault(r.query_id, []).append((r.rank, list(r.nodes)))
+    assert [p for _, p in sorted(got[1])] == [[0, i] for i in range(1, 51)]
+    assert [p for _, p in sorted(got[2])] == [[2 * n, 2 * n + 1], [2 * n, 2 * n + 1, 2 * n + 2], [2 * n, 2 * n + 1, 2 * n + 2, 2 * n + 3]]
+    assert {r.rejected for r in rejected.collect()} == {0}
