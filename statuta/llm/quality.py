@@ -154,12 +154,14 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS,
 
     It is fitted on at most ``most_rows`` labelled ids, the first by hash of the id, and on no more of them than have
     ``most_indicators`` indicators together (8 bytes each in the task that fits), whatever the length of the texts.
-    An id marked more than once has the rounded mean of its marks; of rows that repeat an id one counts.
+    An id marked more than once has the rounded mean of its marks; of rows that repeat an id the one with the least text counts, nulls last; marks
+    of ids that no document has don't count.
     Without labelled documents every text scores 0.5.
     """
     marks = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
-    taken = marks.groupBy("id").agg(F.round(F.avg("label")).cast("int").alias("label")).orderBy(F.xxhash64("id"), "id").limit(most_rows)
-    rows = id_and_text(docs, id_col, text_col, "id").join(F.broadcast(taken), "id").select("id", "label", "text")
+    there = marks.join(docs.select(F.col(id_col).cast("long").alias("id")), "id", "left_semi")
+    taken = there.groupBy("id").agg(F.round(F.avg("label")).cast("int").alias("label")).orderBy(F.xxhash64("id"), "id").limit(most_rows)
+    rows = id_and_text(docs, id_col, text_col, "id").join(F.broadcast(taken), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

@@ -197,6 +197,20 @@ def test_quality_on_held_out_documents(spark):
         assert abs(r.score - model.score(quality.features(text[r.doc_id].encode()))) < 1e-9
 
 
+def test_repeated_rows_and_lost_labels_leave_the_sample_alone(spark):
+    """Rows that repeat an id, and labels without a document, take no place of others, whatever the bounds."""
+    r = np.random.default_rng(2)
+    good, bad = "a quiet evening by the river with old friends and bread", "buy now $$$ click here !!! free win"
+    base = [(i, " ".join(r.permutation((good if i % 2 else bad).split()))) for i in range(120)]
+    docs = spark.createDataFrame(base, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int")
+    want = quality.fit_quality(docs, labels, most_rows=40, most_indicators=4000)
+    noisy = docs.unionByName(spark.createDataFrame([(i, t + " zzz") for i, t in base for _ in range(20)] + [(i, None) for i, _ in base], "doc_id long, text string"))
+    lost = labels.unionByName(spark.createDataFrame([(10_000 + i, 1) for i in range(500)], "doc_id long, quality int"))
+    got = quality.fit_quality(noisy, lost, most_rows=40, most_indicators=4000)
+    assert np.array_equal(got.weight, want.weight) and (got.bias, got.slope, got.offset) == (want.bias, want.slope, want.offset)
+
+
 def plain_features(text: bytes, bits: int) -> set[int]:
     m32, mult, out = (1 << 32) - 1, int(quality._mult), set()
 
