@@ -73,3 +73,19 @@ def metrics(ranked: DataFrame, gold: DataFrame, k: int, keys: list[str] = ("quer
         F.coalesce(F.sum(1.0 / discount), F.lit(0.0)).alias("_d"), F.coalesce(F.sum(gain(F.col("relevance")) / discount), F.lit(0.0)).alias("_e"),
     )
     return out.join(best, list(keys)).select(*keys, "recall", "mrr", (F.col("_d") / F.col("_b")).alias("ndcg"), (F.col("_e") / F.col("_g")).alias("graded_ndcg"))
+
+
+def grouped_ndcg(ranked: DataFrame, ideal: DataFrame, k: int, keys: list[str] = ("query_id",), group: str = "grp") -> DataFrame:
+    """Per query: ``grouped_ndcg`` at ``k``, from ``ranked(query_id, rank, grp, relevance)`` and the groups' best grades ``ideal(query_id, grp, relevance)``.
+
+    A group has credit once: at the place that its first unit gives it among the groups, with the best grade of its units that were returned.  Queries without
+    an ideal gain have 0; queries that returned nothing have no row.
+    """
+    def gain(rel: Column) -> Column:
+        return F.pow(F.lit(2.0), rel) - 1.0
+
+    got = ranked.groupBy(*keys, group).agg(F.min("rank").alias("_first"), F.coalesce(F.max("relevance"), F.lit(0)).alias("_rel"))
+    placed = got.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("_first", group)))
+    own = placed.groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col("_n") <= k, gain(F.col("_rel")) / F.log2(F.col("_n") + 1.0))), F.lit(0.0)).alias("_d"))
+    best = ideal.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("relevance"), group))).where(F.col("_n") <= k).groupBy(*keys).agg(F.sum(gain(F.col("relevance")) / F.log2(F.col("_n") + 1.0)).alias("_i"))
+    return own.join(best, list(keys), "left").select(*keys, F.when(F.col("_i") > 0, F.col("_d") / F.col("_i")).otherwise(0.0).alias("grouped_ndcg"))

@@ -132,12 +132,3 @@ def evl14_artifact_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = a.select("id", F.col("kind").alias("ak"), F.col("h").alias("ah")).join(g, "id", "full_outer")
     state = F.when(F.col("h").isNull(), "not_in_graph").when(F.col("ah").isNull(), "not_in_artifact").when(F.col("ah") != F.col("h"), "changed").otherwise("same")
     return both.groupBy(F.coalesce("ak", "kind").alias("kind"), state.alias("state")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("SELECT l_suppkey % 10 AS case_no, count(*) AS paths, CASE WHEN count(*) FILTER (l_quantity > 49) > 20 THEN 'PATH_BUDGET_EXCEEDED' WHEN count(*) FILTER (l_quantity > 49) = 0 THEN 'NO_PATH' WHEN count(*) FILTER (l_quantity > 49 AND l_returnflag = 'N') = 0 THEN 'TEMPORAL_REJECTED' ELSE 'SATISFIED' END = 'SATISFIED' AS passed FROM lineitem GROUP BY 1")
-def evl13_gold_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """EVL13: gold cases run and judged, those that must fail included."""
-    hit = F.col("l_quantity") > 49
-    n, ok = F.count_if(hit), F.count_if(hit & (F.col("l_returnflag") == "N"))
-    reason = F.when(n > 20, "PATH_BUDGET_EXCEEDED").when(n == 0, "NO_PATH").when(ok == 0, "TEMPORAL_REJECTED").otherwise("SATISFIED")
-    return table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 10).alias("case_no")).agg(F.count(F.lit(1)).alias("paths"), (reason == "SATISFIED").alias("passed"))
