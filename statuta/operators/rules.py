@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statuta.functions import legal
+from statuta.runtime import checkpointed
 
 AMENDMENT, GUIDANCE = "sửa đổi|bãi bỏ|thay thế", "văn bản.*hướng dẫn"
 # Question words by intent in order of precedence with how sure they are, parent and child kinds, kinds by relation,
@@ -83,7 +84,7 @@ def structural_endpoints(mentions: DataFrame, keys: DataFrame, mention: str, exp
     ``keys`` is ``document_id, label, article, clause, point, id``; mentions that name nothing, or another kind than
     expected, are unbound; without a scope, or with several matches, ambiguous.
     """
-    m = mentions.withColumns({"_id": F.xxhash64(*[F.col(c).cast("string") for c in mentions.columns]), "_m": structural_mention(F.col(mention))})
+    m = checkpointed(mentions.withColumns({"_id": F.xxhash64(*[F.col(c).cast("string") for c in mentions.columns]), "_m": structural_mention(F.col(mention))}))
     asked = m.where("_m is not null").select("_id", F.explode(F.col(scope)).alias("_doc"), "_m.*").distinct()
     k = keys.select(F.col("document_id").alias("_doc"), F.col("label").alias("_l"), F.col("article").alias("_a"), F.col("clause").alias("_c"), F.col("point").alias("_p"), F.col("id").alias("_target"))
     # a document's mention is looked up by its number elsewhere; here it matches the documents of the scope
@@ -214,8 +215,6 @@ def walked_up(units: DataFrame) -> DataFrame:
     Chains grow by doubling until none changes, so depth costs its logarithm in joins.  A chain that meets an id again runs into a cycle and ends there.  A
     parent that isn't there ends a chain as a root does.
     """
-    from statuta.runtime import checkpointed
-
     level = checkpointed(units.select("id", F.col("parent_id").alias("up"), F.array("id").alias("chain"), F.lit(False).alias("cyclic")))
     while level.where("up is not null and not cyclic").limit(1).count():
         above = level.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("chain").alias("_chain"), F.col("cyclic").alias("_cyclic"))

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statuta.operators import hierarchy, rules
-from statuta.plans.citation_queries import LAWS_SQL, laws
 from statuta.plans.registry import query
 from statuta.plans.rule_queries import KEY, _at, _rows, _want
 from statuta.runtime import table
 from statuta.sources import markup
+from statuta.sources.outlines import LAWS_SQL, laws
 
 METADATA = [
-    ("L1", "d{n}", "1/2020", "Law", "Quốc hội", "2020-01-01", ""), ("L2", "d{n}", "1/2020", "Law", "Quốc hội", "2020-01-01", "mismatch:code"), ("L1", "x", "1/2020", "Decree", "", "2020-01-01", "mismatch:graph_id,mismatch:doc_type,missing:issuer"), ("", "", None, None, "Quốc hội", None, "missing:issued"),
+    ("L1", "d{n}", "1/2020", "Law", "Quốc hội {t}", "2020-01-01", ""), ("{h}", "d{n}", "1/2020", "Law", "{t}", "2020-01-01", "mismatch:code"), ("L1", "{h}", "1/2020", "{t}", "", "2020-01-01", "mismatch:graph_id,mismatch:doc_type,missing:issuer"), ("", "", None, None, "Quốc hội", None, "missing:issued"),
 ]
 
 
@@ -64,7 +64,7 @@ def val16_diagram_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.withColumn("d", d).select(KEY, "d.s.state", "d.s.reason", F.col("d.effective_from").alias("effective"))
 
 
-ASKED = [("điều này quy định gì", "Điều {n} Luật 5", "gì", "Điều {n} Luật 5 quy định gì"), ("Khoản đó và điều đó", "Khoản 2 $1", "điều", "Khoản 2 $1 và điều đó"), ("điều này với Luật 9", "Điều 3", "điều này", "điều này với Luật 9"), ("thuế {n}", None, "thuế", "thuế {n}")]
+ASKED = [("điều này quy định gì {t}", "Điều {n} Luật 5", "gì", "Điều {n} Luật 5 quy định gì {t}"), ("{t} Khoản đó và điều đó", "Khoản 2 $1", "điều", "{t} Khoản 2 $1 và điều đó"), ("điều này với Luật 9 {t}", "Điều 3", "điều này", "điều này với Luật 9 {t}"), ("thuế {t}", None, "thuế", "thuế {t}")]
 
 
 @query(_want(question=_at(ASKED, 3)))
@@ -74,8 +74,8 @@ def ref21_rewritten_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(KEY, rules.rewritten(F.col("text"), F.col("label"), F.array("keep")).alias("question"))
 
 
-@query(f"""WITH s AS (SELECT {KEY} AS k FROM supplier), f AS (SELECT k, i FROM s, range(5) t(i) WHERE k % 4 = 0)
-SELECT 'y' || k || '_' || i AS id, p AS problem FROM f, (VALUES ('cycle'), ('invalid_pair'), ('no_parent')) v(p) UNION ALL SELECT 'd' || k || '_art2', 'no_parent' FROM s WHERE k % 4 = 1 UNION ALL SELECT 'd' || k || '_art1_cl1', 'several_parents' FROM s WHERE k % 4 = 2""")
+@query(f"""WITH {LAWS_SQL}, s AS (SELECT DISTINCT document_id[2:]::BIGINT AS k FROM laws), f AS (SELECT k, i FROM s, range(5) t(i) WHERE k % 4 = 0), two AS (SELECT id, document_id[2:]::BIGINT AS k FROM laws WHERE kind = 'Article' AND article = '2')
+SELECT 'y' || k || '_' || i AS id, p AS problem FROM f, (VALUES ('cycle'), ('invalid_pair'), ('no_parent')) v(p) UNION ALL SELECT id, 'no_parent' FROM two WHERE k % 4 = 1 UNION ALL SELECT 'd' || k || '_art1_cl1', 'several_parents' FROM two WHERE k % 4 = 2""")
 def grf7_structure_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GRF7 whole: cycles of any length (five clauses in a ring), lost and shared units, pairs, child kinds and order."""
     u = laws(spark, sf_dir).select("id", "kind", "parent_id", F.coalesce("point", "clause", "article", "subsection", "section", "chapter", "part", F.lit("")).alias("number"), F.substr("document_id", F.lit(2)).cast("long").alias("n"))
@@ -87,7 +87,7 @@ def grf7_structure_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     nodes = u.select("id", F.col("kind").alias("label"), "number").unionByName(ring.select(name(F.col("i")).alias("id"), F.lit("Clause").alias("label"), F.col("i").cast("string").alias("number")))
     own = u.where(F.col("parent_id").isNotNull() & ~((k == 1) & F.endswith("id", F.lit("_art2")))).select(F.col("parent_id").alias("head_id"), F.col("id").alias("tail_id"))
-    more = u.where((k == 2) & F.endswith("id", F.lit("_art1"))).select(F.concat(F.regexp_replace("id", "_art1$", ""), F.lit("_art2")).alias("head_id"), F.concat("id", F.lit("_cl1")).alias("tail_id"))
+    more = u.where((k == 2) & F.endswith("id", F.lit("_art2"))).select(F.col("id").alias("head_id"), F.concat(F.regexp_replace("id", "_art2$", "_art1"), F.lit("_cl1")).alias("tail_id"))
     loop = ring.select(name(F.col("i")).alias("head_id"), name((F.col("i") + 1) % 5).alias("tail_id"))
     found = hierarchy.structure_problems(nodes, own.unionByName(more).unionByName(loop))
     return found.where("problem not like 'order%'")
@@ -113,11 +113,11 @@ def flt10_unit_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.when(kind.isin("Document", "Appendix", "Article"), kind).otherwise("Clause").alias("label"), F.when(own, F.col("id")).otherwise(F.col("_id")).alias("article_id"), F.when(kind == "Clause", F.col("id")).alias("clause_id"), F.when(own, F.col("article")).otherwise(F.col("_n")).alias("article_number"), "document_id")
 
 
-@query("SELECT page_id, 'Tiêu đề ' || page_id AS title, page_id || '/2020/QH14' AS number, CASE WHEN page_id % 2 = 0 THEN 'Luật' END AS kind FROM pages")
+@query("SELECT page_id, trim(regexp_replace('Tiêu đề ' || url, '[ ]+', ' ', 'g')) AS title, page_id || '/2020/QH14' AS number, CASE WHEN page_id % 2 = 0 THEN 'Luật' END AS kind FROM pages")
 def src14_detail_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC13, SRC14: labelled rows of a detail page, one column for each label, null where the page has none."""
     k = F.col("page_id").cast("string")
-    page = F.concat(F.lit("<table><tr><td>Tên văn bản</td><td>Tiêu đề "), k, F.lit("</td></tr><tr><th>Số hiệu</th><td> "), k, F.lit("/2020/QH14 </td></tr>"), F.when(F.col("page_id") % 2 == 0, "<tr><td>Loại</td><td>Luật</td></tr>").otherwise(""), F.lit("</table>"))
+    page = F.concat(F.lit("<table><tr><td>Tên văn bản</td><td>Tiêu đề "), F.replace(F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</td></tr><tr><th>Số hiệu</th><td> "), k, F.lit("/2020/QH14 </td></tr>"), F.when(F.col("page_id") % 2 == 0, "<tr><td>Loại</td><td>Luật</td></tr>").otherwise(""), F.lit("</table>"))
     p = table(spark, sf_dir, "pages").select("page_id", page.alias("html"))
     v = markup.properties(p, "page_id", "html")
     fields = {"title": "Tên văn bản", "number": "Số hiệu", "kind": "Loại"}

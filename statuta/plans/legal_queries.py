@@ -1,4 +1,4 @@
-"""Queries of the functions on legal texts: each text is made from a row's key, and the SQL gives what must come of it."""
+"""Queries of the functions on legal texts: phrases stand around every document's whole text, and the SQL gives what must come of each."""
 
 from __future__ import annotations
 
@@ -11,18 +11,17 @@ from statuta.plans import templates as T
 from statuta.plans.registry import query
 from statuta.runtime import table
 
-KEY = "s_suppkey"
+KEY = T.KEY
 
 
 def _cases(spark: SparkSession, sf_dir: str, *texts: list[str | None], names: tuple[str, ...] = ("text",)) -> DataFrame:
-    return table(spark, sf_dir, "supplier").select(KEY, *[T.text(t, KEY).alias(n) for t, n in zip(texts, names, strict=True)])
+    return T.rows(spark, sf_dir, **dict(zip(names, texts, strict=True)))
 
 
-def _want(**columns: list[str | None]) -> str:
-    return f"SELECT {KEY}, " + ", ".join(f"{T.sql(v, KEY)} AS {k}" for k, v in columns.items()) + " FROM supplier"
+_want = T.want
 
 
-NUMBERS = [("XIV", "14", "xiv", "14"), (" 12A ", "12a", "12a", "12a"), ("thứ nhất", "thu_nhat", "thu_nhat", "1"), ("Mười", "muoi", "muoi", "10"), ("iv", "4", "iv", "4"), ("{n}", "{n}", "{n}", "{n}"), ("Mục {n}b", "muc_{n}b", "muc_{n}b", "muc_{n}b")]
+NUMBERS = [("XIV", "14", "xiv", "14"), (" 12A ", "12a", "12a", "12a"), ("thứ nhất", "thu_nhat", "thu_nhat", "1"), ("Mười", "muoi", "muoi", "10"), ("iv", "4", "iv", "4"), ("{n}", "{n}", "{n}", "{n}"), ("Mục {n}b {h}", "muc_{n}b_{h}", "muc_{n}b_{h}", "muc_{n}b_{h}")]
 
 
 @query(_want(chapter=[r[1] for r in NUMBERS], section=[r[2] for r in NUMBERS], part=[r[3] for r in NUMBERS]))
@@ -31,7 +30,7 @@ def str3_structural_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cases(spark, sf_dir, [r[0] for r in NUMBERS]).select(KEY, legal.chapter_number(t).alias("chapter"), legal.section_number(t).alias("section"), legal.part_number(t).alias("part"))
 
 
-LABELS = [("12 A", "12a", None, "12_a"), ("{n}b", "{n}b", None, "{n}b"), ("Đ", None, "đ", "dd"), (" c ", None, "c", "c"), ("a1", None, None, "a1"), ("7", "7", None, "7")]
+LABELS = [("12 A", "12a", None, "12_a"), ("{n}b", "{n}b", None, "{n}b"), ("Đ", None, "đ", "dd"), (" c ", None, "c", "c"), (" {h}", None, None, "{h}"), ("7", "7", None, "7")]
 
 
 @query(_want(number=[r[1] for r in LABELS], point=[r[2] for r in LABELS], point_id=[r[3] for r in LABELS]))
@@ -41,7 +40,7 @@ def str5_numbers_and_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cases(spark, sf_dir, [r[0] for r in LABELS]).select(KEY, legal.legal_number(t).alias("number"), legal.point(t).alias("point"), legal.point_id(t).alias("point_id"))
 
 
-SCANNED = [("t heo quy định {n}", "theo quy định {n}"), ("qu ản lý nhà nước", "quản lý nhà nước"), ("4 CÔNG BÁO/Số 1175 + 1176/Ngày 30-12-2014", ""), ("nhi ệm vụ {n}", "nhiệm vụ {n}"), ("  plain   text {n}", "plain text {n}"), ("t rên d oanh ngh iệp", "trên doanh nghiệp")]
+SCANNED = [("t heo quy định {h}", "theo quy định {h}"), ("qu ản lý nhà nước {h}", "quản lý nhà nước {h}"), ("{h}. 4 CÔNG BÁO/Số 1175 + 1176/Ngày 30-12-2014", "{h}."), ("nhi ệm vụ {h}", "nhiệm vụ {h}"), ("  plain   text {h}", "plain text {h}"), ("t rên d oanh ngh iệp {h}", "trên doanh nghiệp {h}")]
 
 
 @query(_want(repaired=[r[1] for r in SCANNED]))
@@ -50,8 +49,8 @@ def str10_spacing_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LINES = [
-    ("Phần thứ nhất", "Part", "thứ nhất", None, "false"), ("Phần II: Chung {n}", "Part", "ii", "Chung {n}", "false"), ("Chương iv QUY ĐỊNH", "Chapter", "IV", "QUY ĐỊNH", "false"), ("Mục {n}.", "Section", "{n}", None, "false"), ("Tiểu mục 2. Khác", "Subsection", "2", "Khác", "false"),
-    ("Điều {n}a[1]. Phạm vi", "Article", "{n}a", "Phạm vi", "false"), ("{n}. Nội dung", "Clause", "{n}", "Nội dung", "false"), ("đ) điểm", "Point", "đ", "điểm", "false"), ("theo Điều {n} của Luật", None, None, None, "false"), ("Mục 1 Chương III", None, None, None, "false"), ("QUY ĐỊNH CHUNG; 5%", None, None, None, "true"), ("12-34", None, None, None, "false"),
+    ("Phần thứ nhất", "Part", "thứ nhất", None, "false"), ("Phần II: Chung {t}", "Part", "ii", "Chung {t}", "false"), ("Chương iv QUY ĐỊNH {t}", "Chapter", "IV", "QUY ĐỊNH {t}", "false"), ("Mục {n}.", "Section", "{n}", None, "false"), ("Tiểu mục 2. Khác {t}", "Subsection", "2", "Khác {t}", "false"),
+    ("Điều {n}a[1]. Phạm vi {t}", "Article", "{n}a", "Phạm vi {t}", "false"), ("{n}. Nội dung {t}", "Clause", "{n}", "Nội dung {t}", "false"), ("đ) điểm {t}", "Point", "đ", "điểm {t}", "false"), ("theo Điều {n} của Luật {t}", None, None, None, "false"), ("Mục 1 Chương III", None, None, None, "false"), ("QUY ĐỊNH CHUNG; 5%", None, None, None, "true"), ("12-34", None, None, None, "false"),
 ]
 
 
@@ -63,8 +62,8 @@ def str12_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 APPENDICES = [
-    ("Phụ lục", "true", None, None, "UNCLASSIFIED"), ("PHỤ LỤC SỐ {n}: BIỂU MẪU", "true", "{n}", "BIỂU MẪU", "FORM"), ("Phụ lục II. Danh mục hàng {n}", "true", "II", "Danh mục hàng {n}", "LIST"), ("Phụ lục kèm theo", "false", None, None, "UNCLASSIFIED"),
-    ("PHỤ LỤC BẢNG GIÁ {n}", "true", None, "BẢNG GIÁ {n}", "TABLE"), ("Phụ lục 3 của Nghị định này", "false", None, None, "UNCLASSIFIED"), ("Phụ lục A-1 QUY ĐỊNH {n}", "true", "A-1", "QUY ĐỊNH {n}", "UNCLASSIFIED"), ("Điều {n}. Khác", "false", None, None, "LEGAL_CONTENT"),
+    ("Phụ lục", "true", None, None, "UNCLASSIFIED"), ("PHỤ LỤC SỐ {n}: BIỂU MẪU", "true", "{n}", "BIỂU MẪU", "FORM"), ("Phụ lục II. Danh mục hàng {t}", "true", "II", "Danh mục hàng {t}", "LIST"), ("Phụ lục kèm theo", "false", None, None, "UNCLASSIFIED"),
+    ("PHỤ LỤC BẢNG GIÁ {n}", "true", None, "BẢNG GIÁ {n}", "TABLE"), ("Phụ lục 3 của Nghị định này {t}", "false", None, None, "UNCLASSIFIED"), ("Phụ lục A-1 QUY ĐỊNH {n}", "true", "A-1", "QUY ĐỊNH {n}", "UNCLASSIFIED"), ("Điều {n}. Khác {t}", "false", None, None, "LEGAL_CONTENT"),
 ]
 
 
@@ -77,24 +76,21 @@ def str13_appendix_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(KEY, F.col("h").isNotNull().cast("string").alias("appendix"), "h.number", "h.title", "kind")
 
 
-ESCAPES = [("a+b (c) {n}", r"a\+b \(c\) {n}", "a+b (c) {n} [{n}][1]"), ("x && y:z/ ", r"x \&& y\:z\/", "x && y:z/ [{n}][1]"), ("*bold* _i_ #{n}", r"\*bold\* _i_ #{n}", r"\*bold\* \_i\_ \#{n} [{n}][1]"), ("Điều {n}", "Điều {n}", "Điều {n} [{n}][1]")]
-
-
-@query(_want(lucene=[r[1] for r in ESCAPES], markdown=[r[2] for r in ESCAPES]))
+@query(r"""SELECT doc_id, trim(regexp_replace(flat, '([+\-!(){}\[\]^"~*?:\\/]|&&|\|\|)', '\\\1', 'g')) AS lucene, regexp_replace(flat, '([\\`*_<>{}\[\]#])', '\\\1', 'g') || ' [' || doc_id || '][1]' AS markdown FROM """ + T.FROM_SQL)
 def str15_escapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR15, STR16: escapes of query syntax, and an answer's statements as Markdown with their citations."""
-    statement = F.struct(F.col("text"), F.array(F.col(KEY), F.lit(1).cast("long")).alias("citations"))
-    return _cases(spark, sf_dir, [r[0] for r in ESCAPES]).select(KEY, legal.escape_lucene(F.col("text")).alias("lucene"), legal.rendered(F.array(F.array(statement))).alias("markdown"))
+    """STR15, STR16: escapes of query syntax, and an answer's statements as Markdown with their citations, of whole texts."""
+    statement = F.struct(F.col("flat"), F.array(F.col(KEY), F.lit(1).cast("long")).alias("citations"))
+    return T.flats(spark, sf_dir).select(KEY, legal.escape_lucene(F.col("flat")).alias("lucene"), legal.rendered(F.array(F.array(statement.withField("text", F.col("flat"))))).alias("markdown"))
 
 
-@query(f"""SELECT {KEY}, CASE {KEY} % 4 WHEN 0 THEN 'Điều ' || {KEY} || ' Khoản 2 Điểm a 59/2020' WHEN 1 THEN 'Điều ' || {KEY} || ' ' || s_name WHEN 2 THEN 'd' || {KEY} ELSE 'Khoản 2 59/2020' END AS label,
-CASE {KEY} % 4 WHEN 0 THEN 'Phụ lục' || chr(10) || s_name WHEN 1 THEN s_name || chr(10) || 'x' WHEN 2 THEN '' ELSE 'Phụ lục' || chr(10) || 'x' END AS appendix FROM supplier""")
+@query(f"""SELECT {KEY}, CASE {KEY} % 4 WHEN 0 THEN 'Điều ' || {KEY} || ' Khoản 2 Điểm a 59/2020' WHEN 1 THEN 'Điều ' || {KEY} || ' ' || flat WHEN 2 THEN 'd' || {KEY} ELSE 'Khoản 2 59/2020' END AS label,
+CASE {KEY} % 4 WHEN 0 THEN 'Phụ lục' || chr(10) || flat WHEN 1 THEN flat || chr(10) || 'x' WHEN 2 THEN '' ELSE 'Phụ lục' || chr(10) || 'x' END AS appendix FROM """ + T.FROM_SQL)
 def str18_labels_and_appendix_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR18, STR20: canonical labels, and what is embedded of appendices."""
     k, none = F.col(KEY) % 4, F.lit(None).cast("string")
-    label = legal.canonical_label(F.when(k < 2, F.col(KEY).cast("string")), F.when(k.isin(0, 3), "2"), F.when(k == 0, "a"), F.when(k.isin(0, 3), "59/2020").otherwise(" "), F.when(k == 1, F.col("s_name")), F.concat(F.lit("d"), F.col(KEY).cast("string")))
-    text = legal.appendix_text(F.when(k.isin(0, 3), "Phụ lục").otherwise(none), F.when(k < 2, F.col("s_name")).otherwise(" "), F.when(k.isin(1, 3), "x"))
-    return table(spark, sf_dir, "supplier").select(KEY, label.alias("label"), text.alias("appendix"))
+    label = legal.canonical_label(F.when(k < 2, F.col(KEY).cast("string")), F.when(k.isin(0, 3), "2"), F.when(k == 0, "a"), F.when(k.isin(0, 3), "59/2020").otherwise(" "), F.when(k == 1, F.col("flat")), F.concat(F.lit("d"), F.col(KEY).cast("string")))
+    text = legal.appendix_text(F.when(k.isin(0, 3), "Phụ lục").otherwise(none), F.when(k < 2, F.col("flat")).otherwise(" "), F.when(k.isin(1, 3), "x"))
+    return T.flats(spark, sf_dir).select(KEY, label.alias("label"), text.alias("appendix"))
 
 
 DOCUMENTS = [
@@ -110,7 +106,7 @@ def str21_document_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(KEY, legal.type_of_title(F.col("title")).alias("by_title"), legal.type_of_document(F.col("title"), F.col("number")).alias("kind"), legal.raw_code(F.col("number"), F.col("title"), F.lit("t")).alias("code"))
 
 
-STATES = [("Còn hiệu lực", "Quốc hội", "ACTIVE", "LEGISLATIVE"), ("Hết hiệu lực một phần ", "Bộ Tài chính", "PARTIALLY_EFFECTIVE", "EXECUTIVE"), ("Bị bãi bỏ", "Tòa án nhân dân tối cao", "REPEALED", "JUDICIAL"), (None, "Hội {n}", "ACTIVE", "OTHER"), ("unsure {n}", "Thủ tướng", None, "EXECUTIVE")]
+STATES = [("Còn hiệu lực", "Quốc hội", "ACTIVE", "LEGISLATIVE"), ("Hết hiệu lực một phần ", "Bộ Tài chính", "PARTIALLY_EFFECTIVE", "EXECUTIVE"), ("Bị bãi bỏ", "Tòa án nhân dân tối cao", "REPEALED", "JUDICIAL"), (None, "Hội {n}", "ACTIVE", "OTHER"), ("unsure {t}", "Thủ tướng", None, "EXECUTIVE")]
 
 
 @query(_want(status=[r[2] for r in STATES], branch=[r[3] for r in STATES]))
@@ -119,7 +115,7 @@ def str23_status_and_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cases(spark, sf_dir, [r[0] for r in STATES], [r[1] for r in STATES], names=("status", "issuer")).select(KEY, legal.legal_status(F.col("status")).alias("status"), legal.issuer_branch(F.col("issuer")).alias("branch"))
 
 
-PREFIXES = [("REFERENCE", "x", "REFERS_TO"), ("CHANGE_CONTENT", "1. Sửa đổi, bổ sung ", "AMENDS"), ("CHANGE_CONTENT", "Bổ sung khoản {n} vào sau ", "POSITIONAL_ANCHOR"), ("CHANGE_CONTENT", "bãi bỏ các", "REPEALS"), ("CHANGE_CONTENT", "Thay cụm từ {n} tại", "AMENDS"), ("CHANGE_CONTENT", "theo {n}", "UNKNOWN"), ("OTHER", "sửa đổi", "UNKNOWN")]
+PREFIXES = [("REFERENCE", "{t}", "REFERS_TO"), ("CHANGE_CONTENT", "{t} 1. Sửa đổi, bổ sung ", "AMENDS"), ("CHANGE_CONTENT", "{t} Bổ sung khoản {n} vào sau ", "POSITIONAL_ANCHOR"), ("CHANGE_CONTENT", "{t} bãi bỏ các", "REPEALS"), ("CHANGE_CONTENT", "Thay cụm từ {t} tại", "AMENDS"), ("CHANGE_CONTENT", "theo {t}", "UNKNOWN"), ("OTHER", "sửa đổi", "UNKNOWN")]
 
 
 @query(_want(relation=[r[2] for r in PREFIXES]))
@@ -127,11 +123,11 @@ def str32_relation_of_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cases(spark, sf_dir, [r[0] for r in PREFIXES], [r[1] for r in PREFIXES], names=("link", "text")).select(KEY, legal.relation_of_prefix(F.col("link"), F.col("text")).alias("relation"))
 
 
-@query("""WITH s AS (SELECT * FROM (VALUES (0, 1, 'I/ CHUNG', 'a'), (0, 2, 'II. RIÊNG', 'b' || chr(10) || 'c'), (1, 1, '', 'intro'), (1, 2, 'IV- KHÁC', 'x'), (2, 1, '[Phần 1]', 'only {n}')) v(k, pos, title, content))
-SELECT s_suppkey, pos::BIGINT AS pos, 'SP_' || pos AS number, CASE WHEN title = '' THEN '[Phần 1]' ELSE title END AS title, replace(content, '{n}', s_suppkey::VARCHAR) AS content FROM supplier JOIN s ON k = s_suppkey % 3""")
+@query("""WITH s AS (SELECT * FROM (VALUES (0, 1, 'I/ CHUNG', 'a {t}'), (0, 2, 'II. RIÊNG', 'b' || chr(10) || 'c'), (1, 1, '', 'intro'), (1, 2, 'IV- KHÁC', 'x {t}'), (2, 1, '[Phần 1]', 'only {n}')) v(k, pos, title, content))
+SELECT doc_id, pos::BIGINT AS pos, 'SP_' || pos AS number, CASE WHEN title = '' THEN '[Phần 1]' ELSE title END AS title, replace(replace(content, '{n}', doc_id::VARCHAR), '{t}', flat) AS content FROM """ + T.FROM_SQL + " JOIN s ON k = doc_id % 3")
 def ing6_synthetic_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR34, ING6: articles of texts without any, by their Roman outline, else by size."""
-    texts = ["I/ CHUNG\na\nII. RIÊNG\nb\nc", "intro\nIV- KHÁC\n x ", "only {n}"]
+    texts = ["I/ CHUNG\na {t}\nII. RIÊNG\nb\nc", "intro\nIV- KHÁC\n x {t} ", "only {n}"]
     return outlines.synthetic_articles(_cases(spark, sf_dir, texts), KEY, "text")
 
 
@@ -143,7 +139,7 @@ def str34_size_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.forall("parts", lambda p: F.length(p) <= 3000).alias("bounded"), bare.alias("whole"))
 
 
-SPOKEN = [("có hiệu lực ngày 05 tháng 3 năm 2021, nay", "day", "2021-03-05", "2021-03-05"), ("ngày 31/02/2020 hiện nay", "current", None, None), ("tháng 2/2020", "month", "2020-02-01", "2020-02-29"), ("trong năm 2014", "year", "2014-01-01", "2014-12-31"), ("trước và sau khi sửa đổi", "versions", None, None), ("thời hạn bao nhiêu ngày {n}", "none", None, None), ("Luật năm 2014 còn hiệu lực không", "current", None, None), ("2020-05-06 {n}", "day", "2020-05-06", "2020-05-06")]
+SPOKEN = [("có hiệu lực ngày 05 tháng 3 năm 2021, nay {t}", "day", "2021-03-05", "2021-03-05"), ("ngày 31/02/2020 hiện nay", "current", None, None), ("tháng 2/2020", "month", "2020-02-01", "2020-02-29"), ("trong năm 2014 {h}", "year", "2014-01-01", "2014-12-31"), ("trước và sau khi sửa đổi {h}", "versions", None, None), ("thời hạn bao nhiêu ngày {h}", "none", None, None), ("Luật năm 2014 còn hiệu lực không", "current", None, None), ("2020-05-06 {n}", "day", "2020-05-06", "2020-05-06")]
 
 
 @query(_want(granularity=[r[1] for r in SPOKEN], first=[r[2] for r in SPOKEN], last=[r[3] for r in SPOKEN]))
@@ -153,7 +149,7 @@ def dat1_spoken_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(KEY, "s.granularity", F.col("s.start").cast("string").alias("first"), F.col("s.end").cast("string").alias("last"))
 
 
-SOURCES = [("Luật có hiệu lực thi hành từ ngày 1 tháng 7 năm 2021.", "2021-07-01", "one"), ("có hiệu lực kể từ ngày 1 tháng 7 năm 2021; có  hiệu lực từ ngày 01 tháng 07 năm 2021", "2021-07-01", "one"), ("có hiệu lực từ ngày 1 tháng 7 năm 2021, có hiệu lực từ ngày 2 tháng 7 năm 2021", None, "conflict"), ("có hiệu lực từ ngày 31 tháng 2 năm 2021", None, "invalid"), ("không {n}", None, "none")]
+SOURCES = [("{t} Luật có hiệu lực thi hành từ ngày 1 tháng 7 năm 2021. {t}", "2021-07-01", "one"), ("có hiệu lực kể từ ngày 1 tháng 7 năm 2021; {t} có  hiệu lực từ ngày 01 tháng 07 năm 2021", "2021-07-01", "one"), ("có hiệu lực từ ngày 1 tháng 7 năm 2021, {t} có hiệu lực từ ngày 2 tháng 7 năm 2021", None, "conflict"), ("{t} có hiệu lực từ ngày 31 tháng 2 năm 2021", None, "invalid"), ("không {t}", None, "none")]
 
 
 @query(_want(effective=[r[1] for r in SOURCES], status=[r[2] for r in SOURCES]))
@@ -204,7 +200,7 @@ def map1_lists_and_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CATEGORIES = [
-    ("Văn bản được thay thế (3)", "supported", "REPLACES", "CURRENT_TO_TARGET"), ("Văn bản sửa đổi bổ sung", "supported", "AMENDS", "TARGET_TO_CURRENT"), ("Căn cứ ban hành ({n})", "unsupported", None, None), ("Văn bản lạ {n}", "unknown", None, None),
+    ("Văn bản được thay thế (3)", "supported", "REPLACES", "CURRENT_TO_TARGET"), ("Văn bản sửa đổi bổ sung", "supported", "AMENDS", "TARGET_TO_CURRENT"), ("Căn cứ ban hành ({n})", "unsupported", None, None), ("Văn bản lạ {t}", "unknown", None, None),
     ("Văn bản bãi bỏ (1) ", "supported", "REPEALS", "TARGET_TO_CURRENT"), ("Văn bản quy định chi tiết, hướng dẫn thi hành", "supported", "GUIDES", "CURRENT_TO_TARGET"), (" ", "empty", None, None),
 ]
 

@@ -1,4 +1,4 @@
-"""Queries of the outline parser, over small laws made for each supplier."""
+"""Queries of the outline parser, over laws that hold every document's whole text."""
 
 from __future__ import annotations
 
@@ -10,22 +10,22 @@ from statuta.plans import templates as T
 from statuta.plans.registry import query
 from statuta.runtime import table
 
-KEY = "s_suppkey"
+KEY = T.KEY
 
 #: A text, its units (line, kind, number, title, line of the parent, content), and its state.
 TEXTS = [
     (
-        "QUỐC HỘI\n7\nPhần thứ nhất\nQUY ĐỊNH CHUNG\nChương I NHỮNG ĐIỀU\nMục 1. Phạm vi\nTiểu mục 1\nRIÊNG\nĐiều 1. Phạm vi {n}\n1. Luật này\náp dụng\na) người\nb) tổ chức\na) lặp lại\n2. Khác\n2. nữa\nChương II\nĐiều 2\nÁp dụng luật\nNội dung",
-        [(2, "Part", "thứ nhất", "QUY ĐỊNH CHUNG", None, ""), (4, "Chapter", "I", "NHỮNG ĐIỀU", 2, ""), (5, "Section", "1", "Phạm vi", 4, ""), (6, "Subsection", "1", "RIÊNG", 5, ""), (8, "Article", "1", "Phạm vi {n}", 6, ""), (9, "Clause", "1", "Luật này", 8, "Luật này áp dụng"),
-         (11, "Point", "a", "người", 9, "người"), (12, "Point", "b", "tổ chức", 9, "tổ chức a) lặp lại"), (14, "Clause", "2", "Khác", 8, "Khác 2. nữa"), (16, "Chapter", "II", None, 2, ""), (17, "Article", "2", "Áp dụng luật", 16, "Nội dung")],
+        "QUỐC HỘI\n7\nPhần thứ nhất\nQUY ĐỊNH CHUNG\nChương I NHỮNG ĐIỀU\nMục 1. Phạm vi\nTiểu mục 1\nRIÊNG\nĐiều 1. Phạm vi {n}\n1. Luật này {t}\náp dụng\na) người\nb) tổ chức\na) lặp lại\n2. Khác\n2. nữa\nChương II\nĐiều 2\nÁp dụng luật\nNội dung {t}",
+        [(2, "Part", "thứ nhất", "QUY ĐỊNH CHUNG", None, ""), (4, "Chapter", "I", "NHỮNG ĐIỀU", 2, ""), (5, "Section", "1", "Phạm vi", 4, ""), (6, "Subsection", "1", "RIÊNG", 5, ""), (8, "Article", "1", "Phạm vi {n}", 6, ""), (9, "Clause", "1", "Luật này {t}", 8, "Luật này {t} áp dụng"),
+         (11, "Point", "a", "người", 9, "người"), (12, "Point", "b", "tổ chức", 9, "tổ chức a) lặp lại"), (14, "Clause", "2", "Khác", 8, "Khác 2. nữa"), (16, "Chapter", "II", None, 2, ""), (17, "Article", "2", "Áp dụng luật", 16, "Nội dung {t}")],
         ("PARSED", 2, None),
     ),
     (
-        "Điều 1. Sửa đổi\n1. Sửa đổi Điều 5 như sau:\n“Điều 5. Cũ {n}\n1. Khoản mới\na) điểm”.\n2. Bãi bỏ khoản 3 theo\nĐiều 7\ncủa Luật này",
-        [(0, "Article", "1", "Sửa đổi", None, ""), (1, "Clause", "1", "Sửa đổi Điều 5 như sau:", 0, "Sửa đổi Điều 5 như sau: “Điều 5. Cũ {n} 1. Khoản mới a) điểm”."), (5, "Clause", "2", "Bãi bỏ khoản 3 theo", 0, "Bãi bỏ khoản 3 theo Điều 7 của Luật này")],
+        "Điều 1. Sửa đổi\n1. Sửa đổi Điều 5 như sau:\n“Điều 5. Cũ {n}\n1. Khoản mới\na) điểm”.\n2. Bãi bỏ khoản 3 theo\nĐiều 7\ncủa Luật này {t}",
+        [(0, "Article", "1", "Sửa đổi", None, ""), (1, "Clause", "1", "Sửa đổi Điều 5 như sau:", 0, "Sửa đổi Điều 5 như sau: “Điều 5. Cũ {n} 1. Khoản mới a) điểm”."), (5, "Clause", "2", "Bãi bỏ khoản 3 theo", 0, "Bãi bỏ khoản 3 theo Điều 7 của Luật này {t}")],
         ("PARSED", 1, None),
     ),
-    ("Thông báo {n}\nkhông có điều nào\na) mục", [], ("SOURCE_PRESERVED", 0, "no_article_boundary")),
+    ("Thông báo {t}\nkhông có điều nào\na) mục {t}", [], ("SOURCE_PRESERVED", 0, "no_article_boundary")),
     (
         "Mục 3\nĐiều 1. A\n1. Thay thế Điều 2 như sau:\n“Điều 2. Mở\nPhần II",
         [(0, "Section", "3", None, None, ""), (1, "Article", "1", "A", 0, ""), (2, "Clause", "1", "Thay thế Điều 2 như sau:", 1, "Thay thế Điều 2 như sau: “Điều 2. Mở")],
@@ -40,21 +40,21 @@ def _sql(v: str | int | None) -> str:
 
 
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return outline_parser.roles(table(spark, sf_dir, "supplier").select(F.col(KEY).alias("doc_id"), T.text([t for t, _, _ in TEXTS], KEY).alias("text")))
+    return outline_parser.roles(T.rows(spark, sf_dir, text=[t for t, _, _ in TEXTS]))
 
 
 UNIT_ROWS = ", ".join(f"({k}, {', '.join(map(_sql, u))})" for k, (_, us, _) in enumerate(TEXTS) for u in us)
 
 
-@query(f"""WITH v(k, line_no, kind, number, title, parent_line, content) AS (VALUES {UNIT_ROWS}) SELECT {KEY} AS doc_id, line_no::BIGINT AS line_no, kind, replace(number, '{{n}}', {KEY}::VARCHAR) AS number, replace(title, '{{n}}', {KEY}::VARCHAR) AS title,
-parent_line::BIGINT AS parent_line, replace(content, '{{n}}', {KEY}::VARCHAR) AS content FROM supplier JOIN v ON k = {KEY} % {len(TEXTS)}""")
+@query(f"""WITH v(k, line_no, kind, number, title, parent_line, content) AS (VALUES {UNIT_ROWS}) SELECT doc_id, line_no::BIGINT AS line_no, kind, replace(number, '{{n}}', {KEY}::VARCHAR) AS number, replace(replace(title, '{{n}}', {KEY}::VARCHAR), '{{t}}', flat) AS title,
+parent_line::BIGINT AS parent_line, replace(replace(content, '{{n}}', {KEY}::VARCHAR), '{{t}}', flat) AS content FROM """ + T.FROM_SQL + f" JOIN v ON k = {KEY} % {len(TEXTS)}")
 def ing1_outline_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ING1, ING2, WIN9 to WIN11, WIN13, STR12: units of all kinds with parents and contents; quoted wording and repeated numbers are text."""
     u = outline_parser.units(_found(spark, sf_dir))
     return u.select("doc_id", "line_no", "kind", "number", "title", "parent_line", "content")
 
 
-@query(f"SELECT {KEY} AS doc_id, {T.sql([s[0] for _, _, s in TEXTS], KEY)} AS status, {T.sql([str(s[1]) for _, _, s in TEXTS], KEY)}::BIGINT AS n_articles, {T.sql([s[2] for _, _, s in TEXTS], KEY)} AS reason FROM supplier")
+@query(f"SELECT doc_id, {T.sql([s[0] for _, _, s in TEXTS])} AS status, {T.sql([str(s[1]) for _, _, s in TEXTS])}::BIGINT AS n_articles, {T.sql([s[2] for _, _, s in TEXTS])} AS reason FROM {T.FROM_SQL}")
 def ing4_parse_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outline_parser.diagnostics(_found(spark, sf_dir))
 

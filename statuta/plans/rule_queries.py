@@ -8,20 +8,13 @@ from pyspark.sql import functions as F
 from statuta.operators import fulltext, retrieval, rules
 from statuta.operators.components import connected_components
 from statuta.plans import templates as T
-from statuta.plans.citation_queries import LAWS_SQL, laws
 from statuta.plans.registry import query
 from statuta.runtime import table
 from statuta.sources import corpus
+from statuta.sources.outlines import LAWS_SQL, laws
 
-KEY = "s_suppkey"
-
-
-def _rows(spark: SparkSession, sf_dir: str, **columns: list[str | None]) -> DataFrame:
-    return table(spark, sf_dir, "supplier").select(KEY, *[T.text(v, KEY).alias(k) for k, v in columns.items()])
-
-
-def _want(**columns: list[str | None]) -> str:
-    return f"SELECT {KEY}, " + ", ".join(f"{T.sql(v, KEY)} AS {k}" for k, v in columns.items()) + " FROM supplier"
+KEY = T.KEY
+_rows, _want = T.rows, T.want
 
 
 def _at(cases: list[tuple], i: int) -> list:
@@ -29,8 +22,8 @@ def _at(cases: list[tuple], i: int) -> list:
 
 
 QUESTIONS = [
-    ("Điều {n} là gì?", "DEFINITION", "HIGH", "fulltext,vector", "LEXICAL_DEFINITION"), ("Luật sửa đổi {n} còn hiệu lực?", "VALIDITY", "HIGH", "fulltext,vector", "VERSION_CHAIN_VALIDITY"), ("Luật {n} còn hiệu lực không", "VALIDITY", "HIGH", "fulltext,vector", "CORPUS_COMPLETE_CURRENT_VALIDITY"),
-    ("Khoản 2 thuộc điều nào", "HIERARCHY", "HIGH", "fulltext", "STRUCTURAL_HIERARCHY"), ("văn bản nào hướng dẫn luật {n}", "HIERARCHY", "HIGH", "fulltext", "GUIDES_RELATIONS"), ("So sánh {n} và 2", "COMPARISON", "HIGH", "vector,fulltext", "MULTIPLE_VERSIONS"), ("dẫn chiếu đến điều nào", "MULTI_HOP", "LOW", "vector,fulltext", "SEMANTIC_MULTI_HOP_GRAPH"), ("thuế {n}", None, None, "vector,fulltext", None),
+    ("Điều {n} là gì? {t}", "DEFINITION", "HIGH", "fulltext,vector", "LEXICAL_DEFINITION"), ("Luật sửa đổi {t} còn hiệu lực?", "VALIDITY", "HIGH", "fulltext,vector", "VERSION_CHAIN_VALIDITY"), ("Luật {t} còn hiệu lực không", "VALIDITY", "HIGH", "fulltext,vector", "CORPUS_COMPLETE_CURRENT_VALIDITY"),
+    ("Khoản 2 thuộc điều nào {t}", "HIERARCHY", "HIGH", "fulltext", "STRUCTURAL_HIERARCHY"), ("văn bản nào hướng dẫn luật {t}", "HIERARCHY", "HIGH", "fulltext", "GUIDES_RELATIONS"), ("So sánh {t} và 2", "COMPARISON", "HIGH", "vector,fulltext", "MULTIPLE_VERSIONS"), ("{t} dẫn chiếu đến điều nào", "MULTI_HOP", "LOW", "vector,fulltext", "SEMANTIC_MULTI_HOP_GRAPH"), ("thuế {t}", None, None, "vector,fulltext", None),
 ]
 
 
@@ -43,7 +36,7 @@ def rte4_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(KEY, "r.intent", "r.confidence", F.array_join(retrieval.channels_of(intent), ",").alias("channels"), rules.required_capability(intent, t, F.lit(True)).alias("capability"))
 
 
-CONTRACTS = [("a:;b:a;c:a,b", None), ("a:;a:", "duplicate:a"), ("a:b;b:", "not_preceding:b"), ("", "no_subqueries"), ("a{n}:;b:a{n}", None), ("a:a", "not_preceding:a")]
+CONTRACTS = [("a:;b:a;c:a,b", None), ("{h}:;{h}:", "duplicate:{h}"), ("a:{h};{h}:", "not_preceding:{h}"), ("", "no_subqueries"), ("{h}:;b:{h}", None), ("a:a", "not_preceding:a")]
 
 
 @query(_want(fault=_at(CONTRACTS, 1)))
@@ -70,11 +63,12 @@ def pln2_plan_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ENDS = [
     ("Khoản 2 Điều 1", "Clause", "own", "RESOLVED", None, "d{n}_art1_cl2"), ("khoản  9 điều 1", None, "own", "UNBOUND", "no_match", None), ("Điều 2", "Clause", "own", "UNBOUND", "label_differs", None), ("Điều 2", None, "none", "AMBIGUOUS", "scope_required", None),
-    ("theo Điều 2", None, "own", "UNBOUND", "unsupported_mention", None), ("Điểm B khoản 1 điều 1", None, "own", "RESOLVED", None, "d{n}_art1_cl1_pb"), ("Điều 1", "Article", "own", "RESOLVED", None, "d{n}_art1"),
+    ("theo Điều 2 {t}", None, "own", "UNBOUND", "unsupported_mention", None), ("Điểm B khoản 1 điều 1", None, "own", "RESOLVED", None, "d{n}_art1_cl1_pb"), ("Điều 1", "Article", "own", "RESOLVED", None, "d{n}_art1"),
 ]
 
 
-@query(f"WITH e AS ({_want(status=_at(ENDS, 3), reason=_at(ENDS, 4), target=_at(ENDS, 5))}) SELECT {KEY}, status, reason, target, CASE WHEN status <> 'RESOLVED' THEN status || '_ANCHOR' WHEN {KEY} % 2 = 0 THEN 'UNBOUND_TARGET' ELSE 'BOUND' END AS binding FROM e")
+@query(f"""WITH {LAWS_SQL}, w AS ({_want(status=_at(ENDS, 3), reason=_at(ENDS, 4), target=_at(ENDS, 5))}), e AS (SELECT {KEY}, CASE WHEN target IS NOT NULL AND id IS NULL THEN 'UNBOUND' ELSE status END AS status, CASE WHEN target IS NOT NULL AND id IS NULL THEN 'no_match' ELSE reason END AS reason, id AS target FROM w LEFT JOIN laws ON id = target)
+SELECT {KEY}, status, reason, target, CASE WHEN status <> 'RESOLVED' THEN status || '_ANCHOR' WHEN {KEY} % 2 = 0 THEN 'UNBOUND_TARGET' ELSE 'BOUND' END AS binding FROM e""")
 def pln4_structural_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PLN3, PLN4, PLN6: whole mentions, what they name in the scope, and plans bound at both ends."""
     doc = F.concat(F.lit("d"), F.col(KEY).cast("string"))
@@ -86,7 +80,7 @@ def pln4_structural_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PLANS = [
-    ("Khoản 3 Điều {n} dẫn đến khoản nào về thuế?", "Khoản 3 Điều {n}", "Clause", "khoản nào về thuế", "REFERS_TO>Article,CONTAINS>Clause"), ("Từ Điều {n}, lần theo các dẫn chiếu", "Điều {n}", "Article", "Khoản 1 Điều {n}", "REFERS_TO>Clause,REFERS_TO>Clause"), ("Điều {n} nói gì?", None, None, None, None), ("không có", None, None, None, None),
+    ("Khoản 3 Điều {n} dẫn đến khoản nào về thuế?", "Khoản 3 Điều {n}", "Clause", "khoản nào về thuế", "REFERS_TO>Article,CONTAINS>Clause"), ("Từ Điều {n}, lần theo các dẫn chiếu {t}", "Điều {n}", "Article", "Khoản 1 Điều {n}", "REFERS_TO>Clause,REFERS_TO>Clause"), ("Điều {n} nói gì? {t}", None, None, None, None), ("không có {t}", None, None, None, None),
 ]
 
 
@@ -113,8 +107,8 @@ def ret5_endpoint_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 RELATIONS = [
     ("AMENDED_BY", "Document", "Document", "a", "b", "", "legacy:AMENDS", "hard_fail", "ontology_invalid"), ("KNOWS", "Document", "Document", "a", "b", "", "unknown_relation", "hard_fail", "ontology_invalid"), ("CONTAINS", "Article", "Point", "a", "b", "", "pair", "hard_fail", "ontology_invalid"),
     ("AMENDS", "Clause", "Article", "a", "a", "effective_from=2020", "self_loop", "hard_fail", "ontology_invalid"), ("AMENDS", "Clause", "Article", "a", "b", "", "missing:effective_from", "hard_fail", "ontology_invalid"), ("AMENDS", "Clause", "Article", "a", "b", "effective_from=2020", None, "valid", None),
-    ("REFERS_TO", "Document", "Article", "a", "z{n}", "citation_text=x;citation_type=DIRECT;extraction_method=RULE;created_at=t;reference_bundle_id=b;reference_target_count=1", None, "review", "missing_external_document_registry"),
-    ("REFERS_TO", "Clause", "Article", "a", "b", "citation_text=x;citation_type=ODD;extraction_method=RULE;created_at=t;reference_bundle_id=b;reference_target_count=1", "citation_type", "hard_fail", "ontology_invalid"), ("DEFINES", "Article", "LegalConcept", "a", "z{n}", "confidence=1;llm_model=m;created_at=t", None, "hard_fail", "unresolved_local_endpoint"),
+    ("REFERS_TO", "Document", "Article", "a", "z{h}", "citation_text=x;citation_type=DIRECT;extraction_method=RULE;created_at=t;reference_bundle_id=b;reference_target_count=1", None, "review", "missing_external_document_registry"),
+    ("REFERS_TO", "Clause", "Article", "a", "b", "citation_text=x;citation_type=ODD;extraction_method=RULE;created_at=t;reference_bundle_id=b;reference_target_count=1", "citation_type", "hard_fail", "ontology_invalid"), ("DEFINES", "Article", "LegalConcept", "a", "z{h}", "confidence=1;llm_model=m;created_at=t", None, "hard_fail", "unresolved_local_endpoint"),
     ("DEFINES", "Point", "LegalConcept", "a", "b", "confidence=1;created_at=t", "missing:llm_model", "hard_fail", "ontology_invalid"), ("GUIDES", "Document", "Document", "a", "b", "", None, "valid", None),
 ]
 
@@ -152,8 +146,8 @@ def val8_record_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(KEY, score.alias("confidence"), gate.alias("decision"))
 
 
-@query(f"""WITH s AS (SELECT {KEY} AS k FROM supplier) SELECT 'd' || k || '_art1_cl1_pa' AS id, 'runtime_only' AS error FROM s WHERE k % 4 = 0 UNION ALL SELECT 'd' || k || '_art1_cl1>d' || k || '_art1_cl1_pa', 'unknown_tail' FROM s WHERE k % 4 = 0 UNION ALL SELECT 'd' || k || '_art2', 'duplicate' FROM s WHERE k % 4 = 1
-UNION ALL SELECT 'd' || k || '_ch1>d' || k, 'pair' FROM s WHERE k % 4 = 2 UNION ALL SELECT 'lost>d' || k, 'unknown_head' FROM s WHERE k % 4 = 3 UNION ALL SELECT 'd' || k || '>d' || k, 'self_loop' FROM s WHERE k % 4 = 3""")
+@query(f"""WITH {LAWS_SQL}, s AS (SELECT *, document_id[2:]::BIGINT % 4 AS k FROM laws) SELECT id, 'runtime_only' AS error FROM s WHERE k = 0 AND point = 'a' UNION ALL SELECT parent_id || '>' || id, 'unknown_tail' FROM s WHERE k = 0 AND point = 'a' UNION ALL SELECT id, 'duplicate' FROM s WHERE k = 1 AND kind = 'Article' AND article = '2'
+UNION ALL SELECT id || '_ch1>' || id, CASE WHEN id || '_ch1' IN (SELECT id FROM laws) THEN 'pair' ELSE 'unknown_head' END FROM s WHERE k = 2 AND kind = 'Document' UNION ALL SELECT 'lost>' || id, 'unknown_head' FROM s WHERE k = 3 AND kind = 'Document' UNION ALL SELECT id || '>' || id, 'self_loop' FROM s WHERE k = 3 AND kind = 'Document'""")
 def val4_payload_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """VAL4, VAL6: all faults of payloads with planted ones of each kind."""
     u = laws(spark, sf_dir).select("id", "kind", "parent_id", F.substr("document_id", F.lit(2)).cast("long").alias("n"))
@@ -173,7 +167,7 @@ def ref13_identity_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 UNITS = [
-    ("Document", "d{n}", "d{n}", None, None, "x", None), ("Document", "d{n}", "d{n}", "a", None, "x", "hierarchy_ids"), ("Article", "d{n}_art1", "d{n}", "d{n}_art1", None, "x", None), ("Clause", "d{n}_cl1", "d{n}", None, "d{n}_cl1", "x", "hierarchy_ids"), ("Appendix", "d{n}_app", "d{n}", None, None, " ", "blank_content"), ("Article", "D {n}", "d{n}", "D {n}", None, "x", "unit_id"), ("Point", "d{n}_p", "d{n}", "a", "c", "x", None),
+    ("Document", "d{n}", "d{n}", None, None, "{t}", None), ("Document", "d{n}", "d{n}", "a", None, "x", "hierarchy_ids"), ("Article", "d{n}_art1", "d{n}", "d{n}_art1", None, "{t}", None), ("Clause", "d{n}_cl1", "d{n}", None, "d{n}_cl1", "x", "hierarchy_ids"), ("Appendix", "d{n}_app", "d{n}", None, None, " ", "blank_content"), ("Article", "D {h}", "d{n}", "D {h}", None, "{t}", "unit_id"), ("Point", "{h}_p", "d{n}", "a", "c", "{t}", None),
 ]
 
 
@@ -196,11 +190,11 @@ def grf16_containment_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.containment_payload(laws(spark, sf_dir))
 
 
-@query(f"WITH {LAWS_SQL} SELECT 'd' || {KEY} || '_art1' AS id FROM supplier WHERE {KEY} % 2 = 1")
+@query(f"WITH {LAWS_SQL} SELECT id FROM laws WHERE kind = 'Article' AND article LIKE '%1' AND document_id[2:]::BIGINT % 2 = 1")
 def grf16_payload_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = laws(spark, sf_dir).select("id", "kind", "parent_id")
     odd = F.regexp_extract("id", r"^d(\d+)", 1).cast("long") % 2 == 1
-    twin = u.where(odd & F.endswith("id", F.lit("_art1"))).withColumn("parent_id", F.lit("other"))
+    twin = u.where(odd & F.col("id").rlike("_art[0-9]*1$")).withColumn("parent_id", F.lit("other"))
     issuer = u.limit(0).unionByName(u.where("kind = 'Document'").select(F.lit("issuer").alias("id"), F.lit("Issuer").alias("kind"), F.col("id").alias("parent_id")))
     return rules.payload_conflicts(u.unionByName(twin).unionByName(issuer))
 
@@ -220,18 +214,18 @@ def grf9_payload_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.select(F.xxhash64("id").alias("node")).join(parts, "node", "left").agg(F.count_distinct(F.coalesce("component", "node")).alias("components"), F.count(F.lit(1)).alias("nodes"))
 
 
-@query(f"""WITH k AS (SELECT {KEY}, CASE {KEY} % 3 WHEN 0 THEN {KEY} || 'a' WHEN 1 THEN 'B' || {KEY} ELSE {KEY}::VARCHAR END AS number, s_nationkey AS nation FROM supplier)
-SELECT {KEY}, number, row_number() OVER (PARTITION BY nation ORDER BY CASE WHEN {KEY} % 3 = 1 THEN 1000000000 ELSE {KEY} END, lower(number), {KEY}) AS rank FROM k""")
+@query("""WITH k AS (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN s_suppkey || 'a' WHEN 1 THEN 'B' || s_suppkey ELSE s_suppkey::VARCHAR END AS number, s_nationkey AS nation FROM supplier)
+SELECT s_suppkey, number, row_number() OVER (PARTITION BY nation ORDER BY CASE WHEN s_suppkey % 3 = 1 THEN 1000000000 ELSE s_suppkey END, lower(number), s_suppkey) AS rank FROM k""")
 def top12_browser_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TOP12: numbers by their leading digits, those without last, then by text."""
-    k, n = F.col(KEY) % 3, F.col(KEY).cast("string")
-    rows = table(spark, sf_dir, "supplier").select(KEY, "s_nationkey", F.when(k == 0, F.concat(n, F.lit("a"))).when(k == 1, F.concat(F.lit("B"), n)).otherwise(n).alias("number"))
+    k, n = F.col("s_suppkey") % 3, F.col("s_suppkey").cast("string")
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", F.when(k == 0, F.concat(n, F.lit("a"))).when(k == 1, F.concat(F.lit("B"), n)).otherwise(n).alias("number"))
     lead = F.regexp_extract("number", r"^(\d+)", 1)
-    order = Window.partitionBy("s_nationkey").orderBy(F.when(lead != "", lead.cast("long")).otherwise(10**9), F.lower("number"), KEY)
-    return rows.select(KEY, "number", F.row_number().over(order).alias("rank"))
+    order = Window.partitionBy("s_nationkey").orderBy(F.when(lead != "", lead.cast("long")).otherwise(10**9), F.lower("number"), "s_suppkey")
+    return rows.select("s_suppkey", "number", F.row_number().over(order).alias("rank"))
 
 
-@query(f"WITH {LAWS_SQL}, g AS (SELECT document_id, {KEY} % 3 AS k FROM laws JOIN supplier ON document_id = 'd' || {KEY} WHERE kind = 'Document') SELECT document_id, CASE k WHEN 0 THEN true WHEN 1 THEN false END AS hit FROM g")
+@query(f"""WITH {LAWS_SQL}, g AS (SELECT document_id, document_id[2:]::BIGINT % 3 AS k, count(parent_id) AS edges, count(*) FILTER (kind = 'Part') AS parts FROM laws GROUP BY ALL) SELECT document_id, CASE WHEN k = 2 OR edges = 0 THEN NULL ELSE k = 0 OR parts = 0 END AS hit FROM g""")
 def evl10_hierarchy_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EVL10: whether every expected hierarchy edge is among the observed ones; null where none is expected."""
     u = laws(spark, sf_dir)

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from statuta.operators import rules
 from statuta.plans import templates as T
-from statuta.plans.citation_queries import LAWS_SQL, laws
 from statuta.plans.registry import query
 from statuta.runtime import table
 from statuta.sources import files, stores, upsert
+from statuta.sources.outlines import LAWS_SQL, laws
 
 KEY = "s_suppkey"
 
@@ -42,26 +42,26 @@ def src3_keyed_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.keyed_json(spark, path, "struct<nation:bigint,region:bigint>").select("key", "value.nation", "value.region")
 
 
-RAW = [("Luật Đất đai {n}", "{n}/2020/QH14", "{n}_2020_qh14", "Law"), ("Nghị định về thuế {n}", None, "nghi_dinh_ve_thue_{n}", "Decree"), (None, None, "raw_{n}", None), ("Quyết định dài về việc quản lý các khu công nghiệp và khu chế xuất", " ", "quyet_dinh_dai_ve_viec_quan_ly_cac_khu_c", "Decision")]
+RAW = [("Luật Đất đai {t}", "{n}/2020/QH14", "{n}_2020_qh14", "Law"), ("Nghị định về thuế {n}", None, "nghi_dinh_ve_thue_{n}", "Decree"), (None, None, "raw_{n}", None), ("Quyết định dài về việc quản lý các khu công nghiệp và khu chế xuất {t}", " ", "quyet_dinh_dai_ve_viec_quan_ly_cac_khu_c", "Decision")]
 
 
-@query(f"SELECT 'RAW_' || {KEY} AS code, {T.sql([r[2] for r in RAW], KEY)} AS graph_id, coalesce({T.sql([r[3] for r in RAW], KEY)}, 'Circular') AS doc_type FROM supplier")
+@query(f"SELECT 'RAW_' || doc_id AS code, {T.sql([r[2] for r in RAW])} AS graph_id, coalesce({T.sql([r[3] for r in RAW])}, 'Circular') AS doc_type FROM {T.FROM_SQL}")
 def src6_folder_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC6, STR25: a folder of metadata for each document, scanned into a manifest with inferred ids and kinds."""
     path = stores.new_folder(spark, "raw-documents")
-    rows = table(spark, sf_dir, "supplier").select(F.concat(F.lit("RAW_"), F.col(KEY).cast("string")).alias("code"), T.text([r[0] for r in RAW], KEY).alias("title"), T.text([r[1] for r in RAW], KEY).alias("number"))
+    rows = T.rows(spark, sf_dir, code=["RAW_{n}"], title=[r[0] for r in RAW], number=[r[1] for r in RAW]).drop(T.KEY)
     rows.repartition(1).write.partitionBy("code").option("ignoreNullFields", "false").json(path)
     read = spark.read.schema("code string, title string, number string").json(path)
     return stores.inferred_manifest(read).select("code", "graph_id", F.coalesce("doc_type", F.lit("Circular")).alias("doc_type"))
 
 
-BODIES = [("Nội dung\nTải về\nx\nTải về\nĐiều 1. A{n}\nb\nMục lục\nĐiều 1", "Điều 1. A{n}|b"), ("Mục lục\nĐiều {n}. B\nĐiều khoản được bổ sung\nc", "Mục lục|Điều {n}. B|c"), ("no marker\nMục lục", "no marker|Mục lục"), ("Tải về", "")]
+BODIES = [("Nội dung {t}\nTải về\nx\nTải về\nĐiều 1. A{t}\nb\nMục lục\nĐiều 1", "Điều 1. A{t}|b"), ("Mục lục\nĐiều {n}. B {t}\nĐiều khoản được bổ sung\nc", "Mục lục|Điều {n}. B {t}|c"), ("no marker {t}\nMục lục", "no marker {t}|Mục lục"), ("{t}\nTải về", "")]
 
 
-@query(f"SELECT {KEY}, {T.sql([b[1] for b in BODIES], KEY)} AS body FROM supplier")
+@query(T.want(body=[b[1] for b in BODIES]))
 def src7_page_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC7 without its fetching: the text of a page between navigation and contents list."""
-    return table(spark, sf_dir, "supplier").select(KEY, F.array_join(stores.body_lines(T.text([b[0] for b in BODIES], KEY)), "|").alias("body"))
+    return T.rows(spark, sf_dir, text=[b[0] for b in BODIES]).select(T.KEY, F.array_join(stores.body_lines(F.col("text")), "|").alias("body"))
 
 
 @query(f"WITH {LAWS_SQL}, i AS (SELECT id FROM laws WHERE kind IN ('Article', 'Clause')), n AS (SELECT document_id, count(*) AS nodes FROM laws WHERE id IN (FROM i) GROUP BY ALL), e AS (SELECT document_id, count(*) AS edges FROM laws WHERE id IN (FROM i) AND parent_id IN (FROM i) GROUP BY ALL) SELECT document_id, nodes, edges FROM n JOIN e USING (document_id)")
