@@ -123,27 +123,34 @@ class PrefixTable:
         found: dict[str, tuple[int, float]] = {p[:k]: (-1, 0.0) for p, _, _ in pieces for k in range(1, len(p) + 1)}
         found.update({p: (i, w) for p, i, w in pieces})
         self.longest = max(len(p) for p in found)
+        bits = max(bits, (2 * len(found)).bit_length())  # at most half full
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         by_length: dict[int, list[str]] = {}
         for p in found:
             by_length.setdefault(len(p), []).append(p)
+        # hashes begin with a number under which no two prefixes share one
+        self.begin, hashes = 0, self._hashes(by_length, 0)
+        while len(np.unique(hashes)) < len(hashes):
+            self.begin += 1
+            hashes = self._hashes(by_length, self.begin)
         keys, slots = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int64)
         self.id, self.weight = np.zeros(len(found) + 1, np.int64), np.zeros(len(found) + 1)
-        n = 0
+        named = (p for group in by_length.values() for p in group)
+        for n, (p, x, slot) in enumerate(zip(named, hashes.tolist(), self._slot(hashes).tolist(), strict=True), 1):
+            self.id[n], self.weight[n] = found[p]
+            while slots[slot]:
+                slot = (slot + 1) & self.mask
+            keys[slot], slots[slot] = x, n
+        self.keys, self.slots = keys, slots
+
+    def _hashes(self, by_length: dict[int, list[str]], begin: int) -> np.ndarray:
+        out = []
         for group in by_length.values():
-            code = np.frombuffer("".join(group).encode("utf-32-le"), "<u4").reshape(len(group), -1)
-            h = np.zeros(len(group), np.uint64)
-            for column in code.T:
+            h = np.full(len(group), begin, np.uint64)
+            for column in np.frombuffer("".join(group).encode("utf-32-le"), "<u4").reshape(len(group), -1).T:
                 h = self._next(h, column)
-            for p, x, slot in zip(group, h.tolist(), self._slot(h).tolist(), strict=True):
-                n += 1
-                self.id[n], self.weight[n] = found[p]
-                while slots[slot]:
-                    if int(keys[slot]) == x:
-                        raise ValueError("two prefixes share a hash")
-                    slot = (slot + 1) & self.mask
-                keys[slot], slots[slot] = x, n
-        self.keys, self.slots = keys, slots
+            out.append(h)
+        return np.concatenate(out)
 
     @staticmethod
     def _next(h: np.ndarray, code: np.ndarray) -> np.ndarray:
@@ -165,7 +172,7 @@ class PrefixTable:
 
     def matches(self, code: np.ndarray, end: np.ndarray) -> list[tuple]:
         """By length, ``(places, length, ids, weights)`` of the pieces that stand in the text and end by ``end`` of their place."""
-        at, h = np.arange(len(code)), np.zeros(len(code), np.uint64)
+        at, h = np.arange(len(code)), np.full(len(code), self.begin, np.uint64)
         out = []
         for length in range(1, self.longest + 1):
             h = self._next(h, code[at + (length - 1)])
@@ -181,6 +188,17 @@ class PrefixTable:
         return out
 
 
+def piece_weights(scores: list[float], alpha: float = ALPHA) -> list[float]:
+    """Log weights of pieces from a model's scores in order of their ids: the scores themselves where they are log-probabilities.
+
+    Scores that only count down give a rank (a BPE model's): those pieces weigh by a Zipf law of it with exponent ``alpha``.
+    """
+    if any(b - a != -1.0 for a, b in zip(scores, scores[1:])):
+        return [float(s) for s in scores]
+    total = math.log(sum((r + 2.0) ** -alpha for r in range(len(scores))))
+    return [-alpha * math.log(r + 2.0) - total for r in range(len(scores))]
+
+
 class PieceLattice:
     def __init__(self, path: str, alpha: float = ALPHA):
         from sentencepiece import SentencePieceProcessor
@@ -192,8 +210,9 @@ class PieceLattice:
             raise ValueError("the vocabulary has pieces with a space inside")
         self.words = (FINE if all(FINE.fullmatch(p) for _, p in pieces) else COARSE).findall
         self.byte = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        total = math.log(sum((r + 2.0) ** -alpha for r in range(len(pieces))))
-        self.weight = {p: (i, -alpha * math.log(r + 2.0) - total) for r, (i, p) in enumerate(pieces)}
+        if not all(model.is_byte(i) for i in self.byte):
+            raise ValueError("the vocabulary has no pieces for bytes")
+        self.weight = {p: (i, w) for (i, p), w in zip(pieces, piece_weights([model.get_score(i) for i, _ in pieces], alpha), strict=True)}
         self.unknown = min(w for _, w in self.weight.values()) - UNKNOWN_PENALTY
         self.table = PrefixTable([(p, i, self.weight[p][1]) for i, p in pieces])
         self.bytes = [b""] * n

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections import Counter
 
@@ -72,6 +73,30 @@ def test_samples_do_not_depend_on_the_batch():
         assert [(x[0].tolist(), round(x[2], 6), round(x[3], 6)) for x in alone] == [(x[0].tolist(), round(x[2], 6), round(x[3], 6)) for x in together[i]]
 
 
+def test_pieces_weigh_by_the_models_scores():
+    assert segmentations.piece_weights([-2.5, -3.25, -3.5, -9.0]) == [-2.5, -3.25, -3.5, -9.0]
+    ranked = segmentations.piece_weights([0.0, -1.0, -2.0, -3.0], 1.0)
+    assert np.allclose(np.exp(ranked).sum(), 1.0) and np.allclose(ranked[0] - ranked[2], np.log(2.0))
+    assert segmentations.lattice(PIECES).weight["▁the"][1] < 0
+
+
+def test_prefix_tables_of_any_size_and_with_equal_hashes(monkeypatch):
+    pieces = [(a + b + c, i, -float(i)) for i, (a, b, c) in enumerate(itertools.product("abcdefghij", repeat=3))]
+    text = np.frombuffer("abcjihgab".encode("utf-32-le"), "<u4")
+    find = lambda t: [(at.tolist(), n, ids.tolist()) for at, n, ids, _ in t.matches(text, np.full(len(text), len(text)))]
+    whole = find(segmentations.PrefixTable(pieces))
+    assert find(segmentations.PrefixTable(pieces, bits=2)) == whole  # a table that is too small grows
+    plain = segmentations.PrefixTable._hashes
+    calls = []
+
+    def equal_at_first(self, by_length, begin):
+        calls.append(begin)
+        return plain(self, by_length, begin) if begin else np.zeros(sum(map(len, by_length.values())), np.uint64)
+
+    monkeypatch.setattr(segmentations.PrefixTable, "_hashes", equal_at_first)
+    assert find(segmentations.PrefixTable(pieces)) == whole and calls == [0, 1]
+
+
 def test_decoding_is_the_librarys():
     from sentencepiece import SentencePieceProcessor
 
