@@ -191,9 +191,9 @@ class PrefixTable:
 def piece_weights(scores: list[float], alpha: float = ALPHA) -> list[float]:
     """Log weights of pieces from a model's scores in order of their ids: the scores themselves where they are log-probabilities.
 
-    Scores that only count down give a rank (a BPE model's): those pieces weigh by a Zipf law of it with exponent ``alpha``.
+    Scores that are all whole numbers only rank the pieces (a BPE model's): those weigh by a Zipf law of their place with exponent ``alpha``.
     """
-    if any(b - a != -1.0 for a, b in zip(scores, scores[1:])):
+    if not all(float(s).is_integer() for s in scores):
         return [float(s) for s in scores]
     total = math.log(sum((r + 2.0) ** -alpha for r in range(len(scores))))
     return [-alpha * math.log(r + 2.0) - total for r in range(len(scores))]
