@@ -15,6 +15,7 @@ from statuta.plans import (
     legal_queries,
     parser_queries,
     path_queries,
+    payload_queries,
     plan_queries,
     provider_queries,
     record_queries,
@@ -31,7 +32,7 @@ __all__ = ["MODULES", "flagship", "oracle_sql", "queries"]
 
 #: The order in which queries are listed; within it those with few result rows come before those with tens of thousands.
 MODULES = (
-    legal_queries, rule_queries, check_queries, citation_queries, parser_queries, history_queries, provider_queries, plan_queries, store_queries, stream_queries, write_queries, record_queries, path_queries, retrieval_queries,
+    legal_queries, rule_queries, check_queries, citation_queries, parser_queries, history_queries, provider_queries, plan_queries, payload_queries, store_queries, stream_queries, write_queries, record_queries, path_queries, retrieval_queries,
     aggregate_queries, filter_queries, document_queries, runtime_queries, context_queries,
 )
 MANY_ROWS = (
