@@ -28,7 +28,7 @@ def merged_nodes(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     differ the best source's type stands and ``type`` is in conflict.  A node of properties alone in none keeps an empty map.
     """
     entries = nodes.select("id", "source", F.explode(F.map_entries("properties")).alias("e")).select("id", "source", "e.key", "e.value").unionByName(nodes.select("id", "source", F.lit("\x00type").alias("key"), F.col("type").alias("value")))
-    best = entries.groupBy("id", "key", "source").agg(F.min("value").alias("value"), F.count_distinct("value").alias("n")).groupBy("id", "key").agg(F.min(F.struct("source", "value", "n")).alias("b"), F.min("value").alias("_least"), F.max("value").alias("_most"))
+    best = entries.groupBy("id", "key", "source").agg(F.min("value").alias("value"), F.max("value").alias("top"), F.count_distinct("value").alias("n")).groupBy("id", "key").agg(F.min(F.struct("source", "value", "n")).alias("b"), F.min("value").alias("_least"), F.max("top").alias("_most"))
     is_type = F.col("key") == "\x00type"
     conflict = best.where((F.col("b.n") > 1) | (is_type & (F.col("_least") != F.col("_most")))).select("id", F.when(is_type, "type").otherwise(F.col("key")).alias("property"), F.when(is_type, "types_differ").otherwise("values_differ").alias("error"))
     pairs = F.array_sort(F.collect_list(F.when(~is_type, F.struct("key", F.col("b.value").alias("value")))))
