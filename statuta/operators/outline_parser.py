@@ -9,10 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statuta.functions import legal, strings
+from statuta.runtime import checkpointed
 from statuta.sources.lines import source_lines
 
 #: From the outermost kind in.
 KINDS = ("Part", "Chapter", "Section", "Subsection", "Article", "Clause", "Point")
+#: Fixed patterns: lines that are no text of their own.
 NOISE = r"(?iu)^\d+$|^Ký bởi:|^Email:.*@|^Cơ quan:|^Thời gian\s*ký:|CÔNG BÁO/Số|^Điều khoản được (?:sửa đổi, )?bổ sung$"
 #: What announces quoted new wording, and what around a bare "Điều 5" makes it a citation; all without marks.
 INTRO = r"(?:sua doi|bo sung|thay the|bai bo).{0,200}(?:nhu sau|sau day)\s*:\s*$"
@@ -45,21 +47,28 @@ def quoted_lines(lines: DataFrame) -> DataFrame:
     return scoped.withColumns({"quoted": closed & (before > 0), "unclosed": (F.col("_scope") > 0) & (least > 0)}).drop("_d", "_intro", "_run", "_scope", "_depth")
 
 
-def roles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def roles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bold_col: str | None = None, loose: bool = False) -> DataFrame:
     """``doc_id, line_no, line, role, kind, number, title, start_char, end_char, unclosed`` of the lines that count.
 
     ``role`` is heading, title (of the heading before it), text or front (before any heading).  Clauses need an open
     article and points an open clause; a number that comes again under the same parent continues the unit, and a bare
-    article number amid a sentence is text.  Quoted wording is text.
+    article number amid a sentence is text.  Quoted wording is text.  ``bold_col`` is an array of the numbers of lines set in bold,
+    which may be titles of groups without capitals; ``loose`` takes article headings behind a mark or two.
     """
     lines = source_lines(docs, id_col, text_col)
+    if bold_col:
+        bold = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.array_distinct(F.col(bold_col).cast("array<long>"))).alias("line_no"), F.lit(True).alias("bold"))
+        lines = lines.join(bold, ["doc_id", "line_no"], "left")
+    else:
+        lines = lines.withColumn("bold", F.lit(False))
+    lines = lines.withColumn("bold", F.coalesce("bold", F.lit(False)))
     lines = lines.withColumn("line", F.trim("line")).where((F.col("line") != "") & ~F.col("line").rlike(NOISE))
     q = quoted_lines(lines)
     w = _window("doc_id")
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before, after = strings.fold(F.coalesce(F.lag("line").over(w), F.lit(""))), strings.fold(F.coalesce(F.lead("line").over(w), F.lit("")))
     bare = F.col("line").rlike(r"(?iu)^Điều\s+\d+[a-z]?$") & (before.rlike(BEFORE) | after.rlike(AFTER))
-    h = q.withColumn("_h", F.when(~F.col("quoted") & ~bare, legal.heading(F.col("line"))))
+    h = q.withColumn("_h", F.when(~F.col("quoted") & ~bare, legal.heading(F.col("line"), loose)))
     h = h.withColumns({"kind": F.col("_h.kind"), "number": F.col("_h.number"), "title": F.col("_h.title")}).drop("_h")
 
     def last(kind: str) -> Column:
@@ -76,7 +85,7 @@ def roles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     h = h.withColumn("kind", F.when((F.col("kind") == "Point") & (F.col("_clause").isNull() | again), None).otherwise(F.col("kind")))
     # a heading without a title takes the next line: of groups one in capitals, of articles any
     waits, which = F.lag(F.col("kind").isNotNull() & F.col("title").isNull(), 1, False).over(w), F.lag("kind").over(w)
-    takes = waits & F.col("kind").isNull() & ~F.col("quoted") & F.when(which == "Article", F.length("line") <= 240).otherwise(which.isin(*KINDS[:4]) & strings.is_uppercase_title(F.col("line")))
+    takes = waits & F.col("kind").isNull() & ~F.col("quoted") & F.when(which == "Article", F.length("line") <= 240).otherwise(which.isin(*KINDS[:4]) & (strings.is_uppercase_title(F.col("line")) | (F.col("bold") & (F.length("line") <= 240))))
     h = h.withColumn("_takes", F.coalesce(takes, F.lit(False)))
     h = h.withColumn("title", F.when(F.col("kind").isNotNull(), F.coalesce("title", F.when(F.lead("_takes").over(w), F.lead("line").over(w)))))
     began = F.max(F.when(F.col("kind").isNotNull(), F.lit(1)).otherwise(0)).over(upto)
@@ -124,3 +133,44 @@ def diagnostics(found: DataFrame) -> DataFrame:
     reason = F.when(F.col("_lost"), "subsection_outside_section").when(F.col("_untitled"), "article_without_title").when(F.col("n_articles") == 0, "no_article_boundary").when(F.col("_unclosed"), "unclosed_quote")
     status = F.when(F.col("_lost") | F.col("_untitled") | (F.col("n_articles") == 0), "SOURCE_PRESERVED").when(F.col("_unclosed"), "PARSED_WITH_WARNINGS").otherwise("PARSED")
     return each.select("doc_id", status.alias("status"), "n_articles", reason.alias("reason"))
+
+
+def parsed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bold_col: str | None = None) -> DataFrame:
+    """``roles`` with ``pass``: documents in which the strict pass finds no article, and the loose one does, are read by the loose one."""
+    strict = checkpointed(roles(docs, id_col, text_col, bold_col))
+    yield_ = strict.groupBy("doc_id").agg(F.count_if(F.col("kind") == "Article").alias("_n"))
+    failed = docs.join(yield_.where("_n = 0").select(F.col("doc_id").alias(id_col)), id_col, "left_semi")
+    loose = checkpointed(roles(failed, id_col, text_col, bold_col, loose=True))
+    better = checkpointed(loose.where("kind = 'Article'").select("doc_id").distinct())
+    first = strict.join(better, "doc_id", "left_anti").withColumn("pass", F.lit("strict"))
+    return first.unionByName(loose.join(better, "doc_id", "left_semi").withColumn("pass", F.lit("loose")))
+
+
+def owned_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, line_no, line, owner, scope, kind``: the part of the source that each line belongs to.
+
+    ``owner`` is main, appendix, instrument or contents, ``scope`` numbers the appendices or instruments, ``kind`` is an instrument's.  The first heading of an appendix, of an
+    attached instrument (a line in capitals, with the words that attach it within five lines and three that aren't blank, before any article), or of a
+    contents list in the second half behind an article, ends the main part; appendices and instruments go on to the next heading of theirs, contents to the end.
+    """
+    w = _window("doc_id")
+    lines = source_lines(docs, id_col, text_col)
+    size = F.count(F.lit(1)).over(Window.partitionBy("doc_id"))
+    ahead = [F.trim(F.lead("line", i).over(w)) for i in range(1, 6)]
+    l = lines.withColumns({"_kind": legal.instrument_kind(F.col("line")), "_app": legal.appendix_heading(F.col("line")).isNotNull(), "_article": F.coalesce(legal.heading(F.col("line"))["kind"] == "Article", F.lit(False)), "_size": size, "_ahead": F.array_compact(F.array(*ahead))})
+    near = F.slice(F.filter("_ahead", lambda x: x != ""), 1, 3)
+    stop = F.array_position(F.transform(near, lambda x: F.coalesce(legal.heading(x)["kind"] == "Article", F.lit(False))), True)
+    near = F.when(stop > 0, F.slice(near, F.lit(1), (stop - 1).cast("int"))).otherwise(near)
+    inst = F.col("_kind").isNotNull() & F.exists(near, lambda x: x.rlike(legal.ATTACHED))
+    l = l.withColumn("_inst", F.coalesce(inst, F.lit(False)))
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = F.max(F.col("_article").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    at = F.row_number().over(w) - 1
+    toc = F.coalesce(seen == 1, F.lit(False)) & (at >= F.floor(F.col("_size") / 2)) & F.lower(strings.squeeze(F.col("line"))).rlike("^mục lục$")
+    event = F.when(F.col("_inst"), "instrument").when(F.col("_app"), "appendix").when(toc, "contents")
+    l = l.withColumn("_event", event)
+    l = l.withColumn("owner", F.coalesce(F.first("_event", ignorenulls=True).over(upto), F.lit("main")))
+    begins = ((F.col("owner") == "instrument") & F.col("_inst")) | ((F.col("owner") == "appendix") & F.col("_app"))
+    scope = F.sum(begins.cast("int")).over(upto)
+    kind = F.last(F.when(F.col("_inst"), F.col("_kind")), ignorenulls=True).over(upto)
+    return l.select("doc_id", "line_no", "line", "owner", F.when(F.col("owner").isin("instrument", "appendix"), scope).otherwise(0).cast("long").alias("scope"), F.when(F.col("owner") == "instrument", kind).alias("kind"))

@@ -63,3 +63,45 @@ def ing4_parse_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ing1_counted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines that count of whole documents: blank ones and page numbers go."""
     return outline_parser.roles(table(spark, sf_dir, "documents")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+#: Texts that one pass reads and the other doesn't, the numbers of their bold lines, and their units (line, kind, number, title, line of the parent, content) with the pass.
+PASSES = [
+    ("Điều 1. A {h}\n1. {t}", [], [(0, "Article", "1", "A {h}", None, ""), (1, "Clause", "1", "{t}", 0, "{t}")], "strict"),
+    ("- Điều 1. Phạm vi {h}\n1. {t}\n“Điều 2[3]: Đối tượng\nnội dung {t}", [], [(0, "Article", "1", "Phạm vi {h}", None, ""), (1, "Clause", "1", "{t}", 0, "{t}"), (2, "Article", "2", "Đối tượng", None, "nội dung {t}")], "loose"),
+    ("Chương I\nNhững quy định chung {h}\nĐiều 1. A\nđiều 2 trong câu\n{t}", [1], [(0, "Chapter", "I", "Những quy định chung {h}", None, ""), (2, "Article", "1", "A", 0, "điều 2 trong câu {t}")], "strict"),
+    ("Chương I\nNhững quy định chung {h}\nĐiều 1. A", [], [(0, "Chapter", "I", None, None, "Những quy định chung {h}"), (2, "Article", "1", "A", 0, "")], "strict"),
+    ("Thông báo {t}\nđiều 5 trong câu", [], [], "strict"),
+]
+PASS_ROWS = ", ".join(f"({k}, {', '.join(map(_sql, u))}, '{p}')" for k, (_, _, us, p) in enumerate(PASSES) for u in us)
+
+
+def _filled(column: str) -> str:
+    return f"replace(replace(replace({column}, '{{n}}', doc_id::VARCHAR), '{{h}}', md5(flat)), '{{t}}', flat) AS {column}"
+
+
+@query(f"WITH v(k, line_no, kind, number, title, parent_line, content, pass) AS (VALUES {PASS_ROWS}) SELECT doc_id, line_no::BIGINT AS line_no, kind, number, {_filled('title')}, parent_line::BIGINT AS parent_line, {_filled('content')}, pass FROM {T.FROM_SQL} JOIN v ON k = doc_id % {len(PASSES)}")
+def ing1_second_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ING1 whole: a strict pass over all documents and a loose one over those in which it found no article; bold lines as titles."""
+    bold = F.get(F.array(*[F.array(*map(F.lit, b)).cast("array<long>") if b else F.array().cast("array<long>") for _, b, _, _ in PASSES]), (F.col(KEY) % len(PASSES)).cast("int"))
+    docs = T.rows(spark, sf_dir, text=[t for t, *_ in PASSES]).withColumn("bold", bold)
+    found = outline_parser.parsed(docs, bold_col="bold")
+    u = outline_parser.units(found)
+    return u.join(found.select("doc_id", "line_no", "pass"), ["doc_id", "line_no"]).select("doc_id", "line_no", "kind", "number", "title", "parent_line", "content", "pass")
+
+
+#: Texts with attached parts, and the parts of their lines in order: owner, scope, kind.
+PARTS = [
+    ("Điều 1. A\n{t}\nQUY CHẾ LÀM VIỆC\n\n(Ban hành kèm theo Quyết định số 1)\nĐiều 1. B\nPHỤ LỤC I\n{t}\nĐIỀU LỆ\nkèm theo Luật này {t}\nc", ["main,0,"] * 2 + ["instrument,1,REGULATION"] * 6 + ["instrument,2,CHARTER"] * 3),
+    ("Điều 1. A {t}\nPhụ lục I\n{t}\nQUY CHẾ\nkèm theo Quyết định 1\nPHỤ LỤC II\nx\nMục lục", ["main,0,"] + ["appendix,1,"] * 4 + ["appendix,2,"] * 3),
+    ("Mục lục\nĐiều 1. A\n{t}\nb\nMục  lục\nĐiều 1\nPhụ lục I", ["main,0,"] * 4 + ["contents,0,"] * 3),
+    ("QUY ĐỊNH\n{t}\na\nb\nkèm theo Luật này\nĐiều 1. A\nQuy chế\nkèm theo Luật này\nCHUẨN MỰC SỐ 1\nĐiều 2. B\nkèm theo Luật này", ["main,0,"] * 11),
+]
+PART_ROWS = ", ".join(f"({k}, {i}, '{p}')" for k, (_, ps) in enumerate(PARTS) for i, p in enumerate(ps))
+
+
+@query(f"WITH v(k, line_no, part) AS (VALUES {PART_ROWS}), l AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) - 1 AS line_no FROM (SELECT doc_id, string_split({T.sql([t for t, _ in PARTS])}, chr(10)) AS x FROM {T.FROM_SQL})) SELECT doc_id, line_no, string_split(part, ',')[1] AS owner, string_split(part, ',')[2]::BIGINT AS scope, nullif(string_split(part, ',')[3], '') AS kind, md5(line) AS line FROM l JOIN v USING (line_no) WHERE k = doc_id % {len(PARTS)}")
+def ing3_owned_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ING3 whole, WIN11: attached instruments, appendices and contents lists as owners of a source's lines."""
+    lines = outline_parser.owned_lines(T.rows(spark, sf_dir, text=[t for t, _ in PARTS]))
+    return lines.select("doc_id", "line_no", "owner", "scope", "kind", F.md5(F.col("line").cast("binary")).alias("line"))
