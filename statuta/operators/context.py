@@ -127,3 +127,32 @@ def checked(requests: DataFrame, packs: DataFrame, sets: DataFrame, units: DataF
     types = F.coalesce("types", F.array().cast("array<string>"))
     fault = rules.projected_context(F.col("intent"), lost, F.coalesce("_n", F.lit(0)), types, F.when(F.col("_road").isNotNull(), 1).otherwise(0), F.col("query_date").isNotNull() & F.coalesce("_dated", F.lit(False)), F.coalesce("_versions", F.lit(0)))
     return j.select("query_id", fault.alias("fault"))
+
+
+def hard_failures(cases: DataFrame, answers: DataFrame) -> DataFrame:
+    """``case_id, outcome, failures`` of evaluated answers.
+
+    ``cases`` is ``case_id, groups`` (arrays of units of which an answer must cite one each), ``expects_dates, expects_gap`` (the capability that must be reported missing, or null); ``answers`` is
+    ``case_id, cannot_answer, cited, dated, reported_gap``.  A capability that was reported counts first, then a refusal, then every group that isn't cited and missing dates.
+    """
+    j = cases.join(answers, "case_id", "left")
+    gap, wanted = F.col("reported_gap"), F.col("expects_gap")
+    cited = F.coalesce("cited", F.array().cast(cases.schema["groups"].dataType.elementType))
+    missing = F.filter(F.transform("groups", lambda g, i: F.when(~F.arrays_overlap(cited, g), F.concat(F.lit("MISSING_CITATION_GROUP_"), (i + 1).cast("string")))), lambda x: x.isNotNull())
+    dates = F.when(F.col("expects_dates") & ~F.coalesce("dated", F.lit(False)), F.array(F.lit("MISSING_TEMPORAL_DECISION"))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    failures = (
+        F.when(gap.isNotNull(), F.when(gap.eqNullSafe(wanted), none).otherwise(F.array(F.lit("UNEXPECTED_CAPABILITY_ERROR")))).when(wanted.isNotNull(), F.array(F.lit("EXPECTED_CAPABILITY_ERROR_NOT_RAISED")))
+        .when(F.coalesce("cannot_answer", F.lit(True)), F.array(F.lit("UNEXPECTED_CANNOT_ANSWER"))).otherwise(F.concat(missing, dates))
+    )
+    outcome = F.when(gap.isNotNull(), "unsupported_capability").when(wanted.isNotNull(), "retrieval_supported").when(F.coalesce("cannot_answer", F.lit(True)), "cannot_answer").otherwise("answered")
+    return j.select("case_id", outcome.alias("outcome"), failures.alias("failures"))
+
+
+def gates(measured: DataFrame, bounds: dict[str, tuple[str, float]]) -> DataFrame:
+    """``gate, value, passed`` of one row of figures: each against its bound, ``>=``, ``<=`` or ``==``, and ``all`` last; a figure that is missing doesn't pass."""
+    tests = {">=": lambda c, b: c >= b, "<=": lambda c, b: c <= b, "==": lambda c, b: c == b}
+    rows = [F.struct(F.lit(name).alias("gate"), F.col(name).cast("double").alias("value"), F.coalesce(tests[how](F.col(name), F.lit(bound)), F.lit(False)).alias("passed")) for name, (how, bound) in bounds.items()]
+    each = measured.select(F.array(*rows).alias("r"))
+    whole = F.struct(F.lit("all").alias("gate"), F.lit(None).cast("double").alias("value"), F.forall("r", lambda x: x["passed"]).alias("passed"))
+    return each.select(F.explode(F.concat("r", F.array(whole))).alias("g")).select("g.*")

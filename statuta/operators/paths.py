@@ -36,6 +36,40 @@ def one_hop(edges: DataFrame, owners: DataFrame) -> DataFrame:
     return own.join(ends, "_own").select("document_id", "id").distinct()
 
 
+def neighbours(edges: DataFrame, owners: DataFrame, depth: int = 2) -> DataFrame:
+    """``document_id, id, distance``: what a document's units reach within ``depth`` edges in either direction, at the least distance; its own units at 0 are left out."""
+    if depth not in (1, 2):
+        raise ValueError("the depth of a neighbourhood is 1 or 2")
+    ends = edges.select(F.col("head_id").alias("_at"), F.col("tail_id").alias("id")).unionByName(edges.select(F.col("tail_id").alias("_at"), F.col("head_id").alias("id"))).distinct()
+    seen = owners.select("document_id", "id").distinct().withColumn("distance", F.lit(0))
+    level = seen
+    for d in range(1, depth + 1):
+        level = level.select("document_id", F.col("id").alias("_at")).join(ends, "_at").select("document_id", "id").distinct().join(seen.select("document_id", "id"), ["document_id", "id"], "left_anti").withColumn("distance", F.lit(d))
+        seen = seen.unionByName(level)
+    return seen.where("distance > 0")
+
+
+def shape_error(nodes: Column, edges: Column, description: Column, known: list[str]) -> Column:
+    """The first fault of a path's shape, null for none: its edges ``(id, type, head, tail)`` against its nodes, in order of the path.
+
+    A path has one node more than edges and one edge at least; ids are canonical; types are known; an edge joins the nodes beside it in either direction; no edge comes twice; the description isn't blank.
+    """
+    canonical = r"^[a-z0-9]+(?:_[a-z0-9]+)*$"
+    bad_id = lambda c: ~F.coalesce(c.rlike(canonical), F.lit(False))
+
+    def of_edge(e: Column, i: Column) -> Column:
+        ends = F.array_sort(F.array(e["head"], e["tail"]))
+        beside = F.array_sort(F.array(F.get(nodes, i), F.get(nodes, i + 1)))
+        return F.when(~F.coalesce(e["type"].isin(known), F.lit(False)), "relation_type").when(F.coalesce(e["id"], F.lit("")) == "", "relation_id").when(bad_id(e["head"]) | bad_id(e["tail"]), "edge_end").when(ends != beside, "not_adjacent")
+
+    first = F.get(F.filter(F.transform(edges, of_edge), lambda f: f.isNotNull()), F.lit(0))
+    ids = F.transform(edges, lambda e: e["id"])
+    return (
+        F.when(F.size(nodes) != F.size(edges) + 1, "cardinality").when(F.size(edges) < 1, "no_edge").when(F.exists(nodes, bad_id), "node_id")
+        .when(first.isNotNull(), first).when(F.size(F.array_distinct(ids)) != F.size(ids), "repeated_edge").when(F.coalesce(F.trim(description), F.lit("")) == "", "blank_description")
+    )
+
+
 def unproven_legacy(legacy: DataFrame, chain: DataFrame) -> DataFrame:
     """Direct edges ``(head_id, tail_id)`` that no two-step chain replaces, and so must stay."""
     up, down = chain.select("head_id", F.col("tail_id").alias("_mid")), chain.select(F.col("head_id").alias("_mid"), "tail_id")

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from statuta.operators import context
 from statuta.plans.registry import query
+from statuta.plans.retrieval_queries import GOLD_SQL, _metrics
 from statuta.plans.runtime_queries import FINAL_SQL, _retrieved
 from statuta.runtime import checkpointed, table
 from statuta.sources import corpus
+from statuta.sources.units import EDGES_SQL, UNITS_SQL, edges, units
 
 #: A question's fixed parts take its text and so many characters more.
 FIXED = 9_000
@@ -78,3 +80,33 @@ def gen5_projected_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     packs = context.packed(requests, sets, units, paths)
     torn = packs.withColumn("selected", F.when(F.col("query_id") % 7 == 3, F.expr("slice(selected, 2, size(selected))")).otherwise(F.col("selected")))
     return context.checked(requests, torn, sets, units, paths)
+
+
+@query(f"""WITH RECURSIVE {HELD_SQL}, cs AS (SELECT query_id, query_id % 9 = 4 AS gap, query_id % 2 = 0 AS dates, (SELECT list(id ORDER BY rank) FROM hu WHERE hu.query_id = q.query_id AND rank <= 3) AS g1, (SELECT list(id ORDER BY rank) FROM hu WHERE hu.query_id = q.query_id AND id % 3 = q.query_id % 3) AS g2, query_date FROM q),
+ans AS (SELECT query_id, f IS NULL AS refused, f.taken[1:2] AS cited FROM q LEFT JOIN packs USING (query_id))
+SELECT query_id AS case_id, CASE WHEN gap THEN 'unsupported_capability' WHEN refused THEN 'cannot_answer' ELSE 'answered' END AS outcome, CASE WHEN gap THEN CASE WHEN query_id % 2 = 0 THEN '' ELSE 'UNEXPECTED_CAPABILITY_ERROR' END WHEN refused THEN 'UNEXPECTED_CANNOT_ANSWER'
+ ELSE concat_ws(',', CASE WHEN NOT list_has_any(cited, coalesce(g1, [])) THEN 'MISSING_CITATION_GROUP_1' END, CASE WHEN NOT list_has_any(cited, coalesce(g2, [])) THEN 'MISSING_CITATION_GROUP_2' END, CASE WHEN dates AND query_date IS NULL THEN 'MISSING_TEMPORAL_DECISION' END) END AS failures FROM cs JOIN ans USING (query_id)""")
+def evl15_hard_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EVL15: every question's packed context as an answer that cites its first two units, against the citations and dates that its case wants."""
+    requests, units, paths = _held(spark, sf_dir)
+    packs = context.packed(requests, context.alternatives(requests, units, paths), units, paths)
+    q = F.col("query_id")
+    none = F.array().cast("array<bigint>")
+    near = units.groupBy("query_id").agg(F.collect_set(F.when(F.col("rank") <= 3, F.col("id"))).alias("g1"), F.collect_set(F.when(F.col("id") % 3 == q % 3, F.col("id"))).alias("g2"))
+    gap = q % 9 == 4
+    cases = requests.join(near, "query_id", "left").select(q.alias("case_id"), F.array(F.coalesce("g1", none), F.coalesce("g2", none)).alias("groups"), (q % 2 == 0).alias("expects_dates"), F.when(gap & (q % 2 == 0), "VERSIONS").alias("expects_gap"))
+    answers = packs.join(requests.select("query_id", "query_date"), "query_id").select(q.alias("case_id"), F.col("reason").isNotNull().alias("cannot_answer"), F.slice("selected", 1, 2).alias("cited"), F.col("query_date").isNotNull().alias("dated"), F.when(gap, "VERSIONS").alias("reported_gap"))
+    return context.hard_failures(cases, answers).withColumn("failures", F.array_join("failures", ","))
+
+
+@query(f"""{GOLD_SQL}, {UNITS_SQL}, {EDGES_SQL}, e AS (SELECT count(*) AS cases, avg(recall) AS recall, avg(mrr) AS mrr, avg(ndcg) AS ndcg FROM scored), d AS (SELECT count(*) - count(DISTINCT id) AS repeated FROM units), o AS (SELECT count(*) AS dangling FROM edges WHERE tail_id NOT IN (SELECT id FROM units)),
+g AS (SELECT unnest(['cases', 'recall', 'mrr', 'ndcg', 'repeated', 'dangling']) AS gate, unnest([cases::DOUBLE, recall, mrr, ndcg, repeated::DOUBLE, dangling::DOUBLE]) AS value FROM e, d, o),
+p AS (SELECT gate, value, CASE gate WHEN 'cases' THEN value >= 5 WHEN 'recall' THEN value >= 0.05 WHEN 'mrr' THEN value >= 0.2 WHEN 'ndcg' THEN value >= 0.1 ELSE value = 0 END AS passed FROM g) SELECT * FROM p UNION ALL SELECT 'all', NULL, bool_and(passed) FROM p""")
+def evl16_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EVL12, EVL16: retrieval's metrics and the graph's figures against their bounds, and whether all hold."""
+    means = _metrics(spark, sf_dir).agg(F.count(F.lit(1)).alias("cases"), *[F.avg(c).alias(c) for c in ("recall", "mrr", "ndcg")])
+    u, e = units(spark, sf_dir), edges(spark, sf_dir)
+    repeated = u.agg((F.count(F.lit(1)) - F.count_distinct("id")).alias("repeated"))
+    dangling = e.join(u.select(F.col("id").alias("tail_id")).distinct(), "tail_id", "left_anti").agg(F.count(F.lit(1)).alias("dangling"))
+    one = means.crossJoin(repeated).crossJoin(dangling)
+    return context.gates(one, {"cases": (">=", 5.0), "recall": (">=", 0.05), "mrr": (">=", 0.2), "ndcg": (">=", 0.1), "repeated": ("==", 0.0), "dangling": ("==", 0.0)})

@@ -217,3 +217,31 @@ def ref14_status_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("mention"), (F.col("l_partkey") * 20).cast("string").alias("number")).distinct().withColumn("label", F.lit("Article"))
     found = joins.registry_lookup(m, units(spark, sf_dir), ["label", "number"])
     return found.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("mention").alias("n_sources"))
+
+
+@query(f"""WITH {UNITS_SQL}, {EDGES_SQL}, o AS (SELECT DISTINCT document_id, id FROM units), e AS (SELECT head_id AS a, tail_id AS b FROM edges WHERE type = 'AMENDS' UNION SELECT tail_id, head_id FROM edges WHERE type = 'AMENDS'),
+one AS (SELECT DISTINCT document_id, b AS id FROM o JOIN e ON a = id), fresh AS (FROM one EXCEPT FROM o), two AS (SELECT DISTINCT document_id, b AS id FROM fresh JOIN e ON a = id), later AS (FROM two EXCEPT (FROM o UNION FROM fresh))
+SELECT document_id, (SELECT count(*) FROM fresh f WHERE f.document_id = d.document_id) AS one, (SELECT count(*) FROM later l WHERE l.document_id = d.document_id) AS two FROM (SELECT DISTINCT document_id FROM o) d""")
+def grf10_two_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GRF10 whole: how many units a document's units reach by one and by two amendments, in either direction."""
+    own = units(spark, sf_dir).select("document_id", "id").distinct()
+    near = paths.neighbours(edges(spark, sf_dir).where("type = 'AMENDS'"), own, 2)
+    n = near.groupBy("document_id").agg(F.count_if(F.col("distance") == 1).alias("one"), F.count_if(F.col("distance") == 2).alias("two"))
+    zero = F.lit(0).cast("long")
+    return own.select("document_id").distinct().join(n, "document_id", "left").select("document_id", F.coalesce("one", zero).alias("one"), F.coalesce("two", zero).alias("two"))
+
+
+@query(f"""WITH {EDGES_SQL}, p AS (SELECT a.head_id AS n0, a.tail_id AS n1, b.tail_id AS n2, substr(a.head_id, 2)::BIGINT % 8 AS k FROM edges a JOIN edges b ON b.head_id = a.tail_id WHERE a.type = 'CONTAINS' AND b.type = 'AMENDS')
+SELECT n0, n1, n2, CASE k WHEN 1 THEN 'cardinality' WHEN 2 THEN 'node_id' WHEN 3 THEN 'relation_type' WHEN 4 THEN CASE WHEN n0 <> n2 THEN 'not_adjacent' END WHEN 5 THEN 'repeated_edge' WHEN 6 THEN 'blank_description' WHEN 7 THEN 'no_edge' END AS error FROM p""")
+def flt16_path_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT16 whole: cardinality, ids, types, adjacency, repeated edges and descriptions of paths, one fault of each kind in every eighth."""
+    e = edges(spark, sf_dir)
+    a = e.where("type = 'CONTAINS'").select(F.col("head_id").alias("n0"), F.col("tail_id").alias("n1"))
+    p = a.join(e.where("type = 'AMENDS'").select(F.col("head_id").alias("n1"), F.col("tail_id").alias("n2")), "n1").where("n0 like 'd%' and n0 not like '%!_%' escape '!'")
+    k = F.substr("n0", F.lit(2)).cast("long") % 8
+    edge = lambda i, t, h, x: F.struct(F.lit(i).alias("id"), t.alias("type"), h.alias("head"), x.alias("tail"))
+    first = edge("r1", F.lit("CONTAINS"), F.col("n0"), F.col("n1"))
+    second = F.struct(F.when(k == 5, "r1").otherwise("r2").alias("id"), F.when(k == 3, "KNOWS").otherwise("AMENDS").alias("type"), F.when(k == 4, F.col("n0")).otherwise(F.col("n2")).alias("head"), F.col("n1").alias("tail"))
+    nodes = F.when(k == 1, F.array("n0", "n1")).when(k == 7, F.array("n0")).when(k == 2, F.array("n0", F.upper("n1"), F.col("n2"))).otherwise(F.array("n0", "n1", "n2"))
+    steps = F.when(k == 7, F.slice(F.array(first), 1, 0)).otherwise(F.array(first, second))
+    return p.select("n0", "n1", "n2", paths.shape_error(nodes, steps, F.when(k == 6, " ").otherwise("a path"), ["CONTAINS", "AMENDS", "REFERS_TO"]).alias("error"))

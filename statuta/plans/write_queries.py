@@ -32,3 +32,16 @@ def snk3_atomic_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def src10_page_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages").select("page_id", F.floor(F.col("page_id") / 10).alias("page_index"), (F.col("page_id") % 10).alias("pos"), F.regexp_replace("url", "[0-9]+.*$", "").alias("url"))
     return files.search_pages(p).select("page_id", "url", "duplicate")
+
+
+@query("""WITH RECURSIVE p AS (SELECT page_id, page_id // 50 AS search, page_id % 50 // 10 + 1 AS page_index, page_id % 10 AS pos, CASE WHEN page_id // 50 % 4 = 2 AND page_id % 50 // 10 = 2 THEN 'again' || page_id % 10 WHEN page_id // 50 % 4 = 2 AND page_id % 50 // 10 < 2 AND page_id % 10 < 10 AND page_id % 50 < 10 THEN 'again' || page_id % 10 ELSE url END AS url FROM pages WHERE NOT (page_id // 50 % 4 = 1 AND page_id % 50 // 10 = 3)),
+n AS (SELECT *, row_number() OVER (PARTITION BY search, url ORDER BY page_index, pos) = 1 AS fresh FROM p), c AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY search ORDER BY page_index, pos) AS so_far FROM n), g AS (SELECT search, page_index, count(*) FILTER (fresh) AS k FROM n GROUP BY ALL),
+walk AS (SELECT search, 1::BIGINT AS page_index FROM g WHERE page_index = 1 UNION ALL SELECT w.search, w.page_index + 1 FROM walk w JOIN g now ON now.search = w.search AND now.page_index = w.page_index JOIN g nxt ON nxt.search = w.search AND nxt.page_index = w.page_index + 1 WHERE now.k > 0 AND w.page_index < 4)
+SELECT page_id, search, page_index, NOT fresh AS duplicate FROM c JOIN walk USING (search, page_index) WHERE so_far < 35 OR (so_far = 35 AND fresh)""")
+def src10_walked_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC10 whole: searches of five pages that go on until a page is missing or has nothing new, four pages or 35 documents."""
+    i = F.col("page_id")
+    search, page = F.floor(i / 50), F.floor(i % 50 / 10) + 1
+    again = (search % 4 == 2) & page.isin(1, 3)
+    p = table(spark, sf_dir, "pages").where(~((search % 4 == 1) & (page == 4))).select("page_id", search.alias("search"), page.alias("page_index"), (i % 10).alias("pos"), F.when(again, F.concat(F.lit("again"), (i % 10).cast("string"))).otherwise(F.col("url")).alias("url"))
+    return files.discovered(p, ["search"], 4, 35).select("page_id", "search", "page_index", "duplicate")

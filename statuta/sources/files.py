@@ -35,3 +35,28 @@ def search_pages(pages: DataFrame) -> DataFrame:
 
     first = Window.partitionBy("url").orderBy("page_index", "pos")
     return pages.withColumn("duplicate", F.row_number().over(first) > 1)
+
+
+def discovered(pages: DataFrame, keys: list[str], most_pages: int | None = None, most_documents: int | None = None) -> DataFrame:
+    """The results ``pages(keys, page_index, pos, url)`` that a paged search goes through, with ``duplicate``, as far as it goes.
+
+    A search goes page by page from 1 and ends behind a page that has nothing new, before a page that isn't there, and at its limits: behind so many pages, or with the result that is the
+    so-manieth new one.  A URL is new on its first place.
+    """
+    from pyspark.sql import Window
+
+    if (most_pages is not None and most_pages < 1) or (most_documents is not None and most_documents < 1):
+        raise ValueError("limits must be at least 1")
+    first = F.row_number().over(Window.partitionBy(*keys, "url").orderBy("page_index", "pos")) == 1
+    upto = Window.partitionBy(*keys).orderBy("page_index", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = pages.withColumn("_new", first).withColumn("_n", F.sum(F.col("_new").cast("int")).over(upto))
+    each = rows.groupBy(*keys, "page_index").agg(F.count_if("_new").alias("_fresh"))
+    order = Window.partitionBy(*keys).orderBy("page_index")
+    stop = (F.row_number().over(order) != F.col("page_index")) | (F.coalesce(F.lag("_fresh").over(order), F.lit(1)) == 0)
+    visited = each.withColumn("_over", F.max(stop.cast("int")).over(order)).where("_over = 0")
+    if most_pages is not None:
+        visited = visited.where(F.col("page_index") <= most_pages)
+    out = rows.join(visited.select(*keys, "page_index"), [*keys, "page_index"])
+    if most_documents is not None:
+        out = out.where((F.col("_n") < most_documents) | ((F.col("_n") == most_documents) & F.col("_new")))
+    return out.select(*pages.columns, (~F.col("_new")).alias("duplicate"))
