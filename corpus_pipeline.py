@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from statuta.llm import decontaminate, language, quality, segmentations, simhash
 from statuta.llm.queries import PASS, PIECES, held_out
 from statuta.runtime import shared_dir, table
+from statuta.sources import stores
 
 #: SQL cannot express the classifiers' fits, so the stages are tested against plain versions of themselves.
 ORACLE_SQL = None
@@ -39,7 +40,8 @@ def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """
     found = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
     known = docs.where("doc_id is not null")
-    return known.join(found, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(docs.columns)
+    # the ids of a partition are hashed and its documents stream by, so texts are not sorted
+    return known.join(found.hint("shuffle_hash"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(docs.columns)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,10 +70,17 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each one's result is written to the shared folder and read again."""
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """All stages over ``documents``; each one's result is written to the shared folder and read again, and the one before it then goes.
+
+    Null and empty texts, texts without letters, repeated rows, extra columns and empty tables fare as the stages' docstrings tell; a table from which nothing is kept gives no rows. The
+    last stage's folder stays, since the result is read from it; its caller takes it away.
+    """
+    folder, before = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            stores.delete(spark, f"{folder}/{before}")
+        before = name
     return docs

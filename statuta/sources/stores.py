@@ -54,7 +54,8 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Takes a file or folder away, if it is there."""
     p, fs = _path(spark, path)
     fs.delete(p, True)
 
@@ -109,13 +110,13 @@ def publish_by_content(rows: DataFrame, root: str) -> str:
     if not complete(spark, aside):
         raise OSError(f"the write of {aside} was not committed")
     if not complete(spark, target):
-        _delete(spark, target)
+        delete(spark, target)
     try:
         _rename(spark, aside, target, overwrite=False)
     except Exception:
         if not complete(spark, target):
             raise
-        _delete(spark, aside)
+        delete(spark, aside)
     return build
 
 
@@ -163,7 +164,7 @@ def clean_up(spark: SparkSession, root: str) -> list[str]:
     gone = [f"versions/{v}" for v in _children(spark, f"{root}/versions") if not complete(spark, f"{root}/versions/{v}")]
     gone += [c for c in _children(spark, root) if c.startswith(("_next-", "_aside-")) or (c.startswith("build_id=") and not complete(spark, f"{root}/{c}"))]
     for name in gone:
-        _delete(spark, f"{root}/{name}")
+        delete(spark, f"{root}/{name}")
     return gone
 
 

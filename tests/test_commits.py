@@ -23,7 +23,7 @@ def test_a_broken_write_changes_nothing(spark, tmp_path):
     rows = spark.range(100)
     with pytest.raises(FileNotFoundError):
         stores.replace(rows, root)
-        stores._delete(spark, stores.current(spark, root) + "/_SUCCESS")
+        stores.delete(spark, stores.current(spark, root) + "/_SUCCESS")
         stores.current(spark, root)
     root = str(tmp_path / "u")
     first = stores.replace(rows.where("id < 10"), root)
@@ -44,7 +44,7 @@ def test_half_written_builds_are_written_again(spark, tmp_path):
     rows = spark.range(1000).select("id", (F.col("id") % 3).alias("k"))
     name = stores.row_digest(rows)
     rows.limit(5).write.parquet(f"{root}/build_id={name}")
-    stores._delete(spark, f"{root}/build_id={name}/_SUCCESS")  # what a job left that broke off before its commit
+    stores.delete(spark, f"{root}/build_id={name}/_SUCCESS")  # what a job left that broke off before its commit
     with pytest.raises(FileNotFoundError):
         stores.load_build(spark, root, name)
     assert stores.publish_by_content(rows, root) == name and stores.load_build(spark, root, name).count() == 1000
