@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark import Broadcast
@@ -284,6 +284,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, l
     """
     names = docs.columns
     packed = text_rows(docs, F.struct(*[F.col(f"`{c}`") for c in names if c != text_col]).alias("rest"), F.col(text_col).cast("string").alias("text"))
+    first = list(islice(_blocks(benchmark, window, block_bytes, "item_id", "text"), 2))
+    if len(first) == 1:  # one automaton: texts go through Python once
+        shared = docs.sparkSession.sparkContext.broadcast(ItemAutomaton(first[0], window))
+
+        def scan_and_cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches):
+                kept, texts = [], []
+                for i, text in enumerate(as_bytes(batch.column("text"))):
+                    w = words(text)
+                    spans, _ = shared.value.scan(w)
+                    if sum(b - a for a, b in spans) <= most_coverage * len(w):
+                        kept.append(i)
+                        texts.append(without_spans(text, spans, least_words) if spans else text)
+                yield pa.RecordBatch.from_arrays([batch.column("rest").take(pa.array(kept, pa.int64())), pa.array(texts, pa.binary()).cast(pa.string())], ["rest", "text"])
+
+        return _unpacked(packed.mapInArrow(scan_and_cut, packed.schema), names, text_col)
     found = scanned(packed, benchmark, window, block_bytes)
     covered = F.aggregate("spans", F.lit(0), lambda n, s: n + s["b"] - s["a"])
     kept = found.where(covered <= most_coverage * F.col("n_words"))
@@ -296,8 +312,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, l
                 texts = pa.array([without_spans(t, [(x["a"], x["b"]) for x in s], least_words) if s else t for t, s in each], pa.binary()).cast(texts.type)
             yield pa.RecordBatch.from_arrays([batch.column("rest"), texts], ["rest", "text"])
 
-    schema = packed.schema
-    return kept.mapInArrow(cut, schema).select(*[F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in names])
+    return _unpacked(kept.mapInArrow(cut, packed.schema), names, text_col)
+
+
+def _unpacked(packed: DataFrame, names: list[str], text_col: str) -> DataFrame:
+    return packed.select(*[F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in names])
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
