@@ -1,4 +1,7 @@
-"""Dates in free text and canonical forms."""
+"""Dates in free text and canonical forms.
+
+The phrases and the shapes of dates in the patterns below are fixed values.
+"""
 
 from __future__ import annotations
 

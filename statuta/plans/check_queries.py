@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statuta.operators import hierarchy, rules
+from statuta.operators import consistency, hierarchy, rules
 from statuta.plans.registry import query
 from statuta.plans.rule_queries import KEY, _at, _rows, _want
 from statuta.runtime import table
@@ -132,3 +132,30 @@ def evl14_artifact_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = a.select("id", F.col("kind").alias("ak"), F.col("h").alias("ah")).join(g, "id", "full_outer")
     state = F.when(F.col("h").isNull(), "not_in_graph").when(F.col("ah").isNull(), "not_in_artifact").when(F.col("ah") != F.col("h"), "changed").otherwise("same")
     return both.groupBy(F.coalesce("ak", "kind").alias("kind"), state.alias("state")).agg(F.count(F.lit(1)).alias("n"))
+
+
+PARSED_SQL = f"""{LAWS_SQL}, b AS (SELECT document_id[2:]::BIGINT AS doc_id, document_id[2:]::BIGINT % 8 AS k, kind, CASE kind WHEN 'Part' THEN part WHEN 'Section' THEN section ELSE article END AS number, CASE WHEN kind <> 'Part' THEN part END AS part, chapter, CASE WHEN kind = 'Article' THEN section END AS section, NULL::VARCHAR AS subsection FROM laws WHERE kind IN ('Part', 'Section', 'Article')),
+c AS (SELECT doc_id, k, kind, number, part, CASE WHEN kind = 'Part' THEN NULL ELSE chapter END AS chapter, CASE WHEN k = 6 AND kind = 'Article' AND number = '1' THEN NULL ELSE section END AS section, CASE WHEN kind = 'Article' AND number = '1' AND k IN (6, 7) THEN '7' END AS subsection FROM b WHERE NOT (k = 2 AND kind = 'Part') AND NOT (k = 3 AND kind = 'Section' AND number = '2')
+ UNION ALL SELECT * FROM b WHERE k = 1 AND kind = 'Article' AND number = '1'
+ UNION ALL SELECT doc_id, k, 'Subsection', '1', '1', 'I', '9', NULL FROM b WHERE k = 4 AND kind = 'Part' AND number = '1' UNION ALL SELECT doc_id, k, 'Subsection', '1', '1', 'I', '1', NULL FROM b, range(2) WHERE k = 5 AND kind = 'Part' AND number = '1')"""
+
+
+@query(f"""WITH {PARSED_SQL}, part AS (SELECT DISTINCT doc_id, number FROM c WHERE kind = 'Part'), sec AS (SELECT DISTINCT doc_id, part, chapter, number FROM c WHERE kind = 'Section'),
+f AS (SELECT doc_id, 'duplicate_article' AS problem, number, count(*) - 1 AS n FROM c WHERE kind = 'Article' GROUP BY doc_id, part, number HAVING count(*) > 1 UNION ALL SELECT doc_id, 'duplicate_subsection', number, count(*) - 1 FROM c WHERE kind = 'Subsection' GROUP BY doc_id, part, chapter, section, number HAVING count(*) > 1
+ UNION ALL SELECT doc_id, lower(kind) || '_missing_part', number, count(*) FROM c WHERE kind IN ('Section', 'Article') AND part IS NOT NULL AND NOT EXISTS (SELECT 1 FROM part p WHERE p.doc_id = c.doc_id AND p.number = c.part) GROUP BY ALL
+ UNION ALL SELECT doc_id, 'subsection_missing_section', number, count(*) FROM c WHERE kind = 'Subsection' AND NOT EXISTS (SELECT 1 FROM sec s WHERE s.doc_id = c.doc_id AND s.part = c.part AND s.chapter = c.chapter AND s.number = c.section) GROUP BY ALL
+ UNION ALL SELECT doc_id, 'subsection_without_section', number, count(*) FROM c WHERE kind = 'Article' AND subsection IS NOT NULL AND section IS NULL GROUP BY ALL
+ UNION ALL SELECT doc_id, 'article_missing_section', number, count(*) FROM c WHERE kind = 'Article' AND section IS NOT NULL AND NOT EXISTS (SELECT 1 FROM sec s WHERE s.doc_id = c.doc_id AND s.part = c.part AND s.chapter = c.chapter AND s.number = c.section) GROUP BY ALL
+ UNION ALL SELECT doc_id, 'article_missing_subsection', number, count(*) FROM c WHERE kind = 'Article' AND section IS NOT NULL AND subsection IS NOT NULL GROUP BY ALL) SELECT doc_id, problem, number, n FROM f""")
+def ing5_document_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ING5 whole: parsed documents whose groups and articles don't hang together, with faults of every kind planted."""
+    none = F.lit(None).cast("string")
+    kind = F.col("kind")
+    b = laws(spark, sf_dir).where("kind in ('Part', 'Section', 'Article')").select(F.substr("document_id", F.lit(2)).cast("long").alias("doc_id"), "kind", F.when(kind == "Part", F.col("part")).when(kind == "Section", F.col("section")).otherwise(F.col("article")).alias("number"), F.when(kind != "Part", F.col("part")).alias("part"), F.when(kind != "Part", F.col("chapter")).alias("chapter"), F.when(kind == "Article", F.col("section")).alias("section"), none.alias("subsection"))
+    k, first = F.col("doc_id") % 8, (kind == "Article") & (F.col("number") == "1")
+    c = b.where(~((k == 2) & (kind == "Part")) & ~((k == 3) & (kind == "Section") & (F.col("number") == "2")))
+    c = c.withColumns({"section": F.when((k == 6) & first, none).otherwise(F.col("section")), "subsection": F.when(first & k.isin(6, 7), "7")})
+    root = b.where((kind == "Part") & (F.col("number") == "1"))
+    below = lambda section: ("doc_id", F.lit("Subsection").alias("kind"), F.lit("1").alias("number"), F.lit("1").alias("part"), F.lit("I").alias("chapter"), F.lit(section).alias("section"), none.alias("subsection"))
+    twice = root.where(k == 5).select(*below("1"))
+    return consistency.problems(c.unionByName(b.where((k == 1) & first)).unionByName(root.where(k == 4).select(*below("9"))).unionByName(twice).unionByName(twice))
