@@ -12,7 +12,7 @@ from statuta.runtime import checkpointed, table
 from statuta.sources.lines import canonical
 
 NODES_SQL = f"""{CANDIDATES_SQL},
-defs AS (SELECT doc_id || '_art' || (i // 4 + 1) AS article, regexp_extract(line, '[A-Za-z]+') AS word, doc_id, i FROM (SELECT doc_id, i, regexp_replace(pre, '^[0-9]+[.] ', '') AS line FROM srows) WHERE regexp_matches(line, '[A-Za-z]')),
+defs AS (SELECT doc_id || '_art' || (i // 4 + 1) AS article, regexp_extract(line, '[A-Za-z]+') AS word, doc_id, i FROM srows WHERE regexp_matches(line, '[A-Za-z]')),
 ents AS (SELECT *, 'ent_' || lower(word[:24]) || '_' || md5(lower(word))[:8] AS id FROM defs)"""
 
 

@@ -83,7 +83,7 @@ def _case(part: int) -> str:
 
 
 STATUTES_SQL = f"""
-srows AS (SELECT doc_id, i, kind, t, s, CASE WHEN i % 4 = 0 THEN 'Điều ' || (i // 4 + 1) || '. Nội dung' || chr(10) ELSE '' END AS head, (i % 4 + 1) || '. ' || line || {_case(0)} AS pre,
+srows AS (SELECT doc_id, i, kind, t, s, line, CASE WHEN i % 4 = 0 THEN 'Điều ' || (i // 4 + 1) || '. Nội dung' || chr(10) ELSE '' END AS head, (i % 4 + 1) || '. ' || line || {_case(0)} AS pre,
   {_case(1)} AS first, {_case(2)} AS mid, {_case(3)} AS second, {_case(4)} AS post
  FROM (SELECT *, (doc_id + i) % 12 AS kind, (doc_id * 7 + i * 3 + 1) % (SELECT count(*) FROM documents) AS t, (doc_id * 11 + i + 5) % (SELECT count(*) FROM documents) AS s FROM (
   SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS i FROM (SELECT doc_id, list_filter(string_split(regexp_replace(text, chr(13) || chr(10) || '?', chr(10), 'g'), chr(10)), lambda x: trim(x) <> '') AS l FROM documents)))),
