@@ -16,19 +16,21 @@ def relation_id(discriminator: Column | None = None) -> Column:
 def closure(edges: DataFrame, depth: int | None = None) -> DataFrame:
     """``(ancestor_id, unit_id, depth)`` over containment at the least depth, each unit with itself excluded.
 
-    Without a ``depth`` levels are added until one finds no new pair, so cycles end as well.
+    Without a ``depth`` levels are added until one finds nothing.  Where every unit has one parent a pair comes once, and a walk around a cycle ends where it began; where
+    some have several, pairs that were found before are taken out of each level, so that cycles end as well.
     """
     step = checkpointed(edges.where("type = 'CONTAINS' and head_id <> tail_id").select("head_id", "tail_id").distinct())
-    level = step.select(F.col("head_id").alias("ancestor_id"), F.col("tail_id").alias("unit_id"), F.lit(1).alias("depth"))
-    out = level
-    while depth is None or depth > 1:
-        d = level.select("depth").first()
-        if d is None:
-            break
-        if depth is not None and d[0] >= depth:
+    one_parent = not step.groupBy("tail_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    out = level = step.select(F.col("head_id").alias("ancestor_id"), F.col("tail_id").alias("unit_id"), F.lit(1).alias("depth"))
+    d = 1
+    while depth is None or d < depth:
+        d += 1
+        further = level.join(step, F.col("unit_id") == F.col("head_id")).select("ancestor_id", F.col("tail_id").alias("unit_id")).where("ancestor_id <> unit_id")
+        if not one_parent:
+            further = further.distinct().join(out, ["ancestor_id", "unit_id"], "left_anti")
+        level = checkpointed(further.withColumn("depth", F.lit(d)))
+        if not level.limit(1).count():
             break
-        further = level.join(step, F.col("unit_id") == F.col("head_id")).select("ancestor_id", F.col("tail_id").alias("unit_id")).where("ancestor_id <> unit_id").distinct()
-        level = checkpointed(further.join(out, ["ancestor_id", "unit_id"], "left_anti").withColumn("depth", F.lit(d[0] + 1)))
         out = out.unionByName(level)
     return out
 

@@ -80,8 +80,9 @@ def test_chains_of_any_depth_and_cycles(spark):
     assert {r.id for r in rules.cycles(units).collect()} == {1000, 1001, 1002, 1003, 1004, 2000}
 
 
-def test_closure_goes_to_the_end(spark):
-    pairs = [(i, i + 1) for i in range(20)] + [(30, 31), (31, 32), (32, 30), (0, 5)]
+@pytest.mark.parametrize("more", [[(0, 5)], []])  # with and without a unit of two parents
+def test_closure_goes_to_the_end(spark, more):
+    pairs = [(i, i + 1) for i in range(20)] + [(30, 31), (31, 32), (32, 30), (31, 40), (40, 41), *more]
     edges = spark.createDataFrame([(str(a), "CONTAINS", str(b)) for a, b in pairs], "head_id string, type string, tail_id string")
     want: dict[tuple, int] = {}
     for start in {a for a, _ in pairs}:
