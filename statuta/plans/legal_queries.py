@@ -40,6 +40,18 @@ def str5_numbers_and_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cases(spark, sf_dir, [r[0] for r in LABELS]).select(KEY, legal.legal_number(t).alias("number"), legal.point(t).alias("point"), legal.point_id(t).alias("point_id"))
 
 
+#: Numbers and citations with marks set apart from their letters, and what they are composed.
+LOOSE = [(" {n} /2020/ nđ-cp\u00a0", "{n}/2020/NĐ-CP", "{n} /2020/ nđ-cp"), ("Đie\u0302\u0300u  {n}\t{t}", None, "Điều {n} {t}"), ("qh{n}\u200914a", "QH{n}14A", "qh{n} 14a"), (" \n", None, ""), (None, None, None)]
+
+
+@query(_want(number=[r[1] for r in LOOSE], citation=[r[2] for r in LOOSE]))
+def str4_composed_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR4, STR7: document numbers and citations with Unicode composed; a blank number is none (or an error, if asked for)."""
+    t = F.col("text")
+    rows = _cases(spark, sf_dir, [r[0] for r in LOOSE])
+    return rows.select(KEY, F.when(F.col(KEY) % len(LOOSE) != 1, legal.document_number(t)).alias("number"), legal.citation_text(t).alias("citation"))
+
+
 SCANNED = [("t heo quy định {h}", "theo quy định {h}"), ("qu ản lý nhà nước {h}", "quản lý nhà nước {h}"), ("{h}. 4 CÔNG BÁO/Số 1175 + 1176/Ngày 30-12-2014", "{h}."), ("nhi ệm vụ {h}", "nhiệm vụ {h}"), ("  plain   text {h}", "plain text {h}"), ("t rên d oanh ngh iệp {h}", "trên doanh nghiệp {h}")]
 
 

@@ -94,3 +94,12 @@ def test_builds_by_content(spark, tmp_path):
     first = stores.publish_by_content(rows, str(tmp_path / "r"))
     assert first == stores.publish_by_content(rows.orderBy(F.desc("id")), str(tmp_path / "r")) != stores.publish_by_content(rows.limit(1), str(tmp_path / "r"))
     assert stores.load_build(spark, str(tmp_path / "r"), first).count() == 2
+
+
+def test_document_numbers_and_citations(spark):
+    number = lambda t, strict=False: one(spark, legal.document_number(F.lit(t).cast("string"), strict))
+    assert number(" 59 /2020/ Qh14") == "59/2020/QH14" and number("1/ND-CP\u00a0") == "1/ND-CP" and number("e\u0302\u0323") == "Ệ"
+    assert number("") is None and number(" \t") is None and number(None) is None
+    with pytest.raises(Exception, match="blank document number"):
+        number(" ", True)
+    assert one(spark, legal.citation_text(F.lit("  theo  Đie\u0302\u0300u\n5 "))) == "theo Điều 5" and one(spark, legal.citation_text(F.lit(None).cast("string"))) is None
