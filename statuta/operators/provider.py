@@ -13,7 +13,7 @@ from statuta.functions import legal
 from statuta.operators import joins, rules
 
 #: A document's number as it is written in a citation (fixed pattern).
-NUMBER = r"(?iu)(?<!\d)(\d{1,4}\s*/\s*\d{4}\s*/\s*[A-ZĐ0-9-]+)"
+NUMBER = r"(?iu)(?<!\d)(\d+\s*/\s*\d{4}\s*/\s*[A-ZĐ0-9-]+)"
 CHANGES = ("AMENDS", "REPEALS")
 
 
