@@ -16,7 +16,7 @@ from statuta.streaming.folds import Machine, fold, fold_stream
 # Messages that cancel, phrases that point back with the kind of unit they mean (the most specific first), and codes.
 CANCEL = ("hủy", "huỷ", "bỏ qua", "hủy bỏ", "huỷ bỏ", "thôi")
 POINTING = [("điểm này", "Point"), ("điểm đó", "Point"), ("khoản này", "Clause"), ("khoản đó", "Clause"), ("điều này", "Article"), ("điều đó", "Article"), ("luật này", "Document"), ("văn bản này", "Document"), ("văn bản đó", "Document"), ("quy định này", "Any"), ("quy định đó", "Any")]
-DOCUMENT_NUMBER, ARTICLE = r"(?iu)(\d{1,4}/\d{4}/[A-ZĐ0-9-]+)", r"(?iu)điều\s+(\d+[a-z]?)"
+DOCUMENT_NUMBER, ARTICLE = r"(?iu)(\d+/\d{4}/[A-ZĐ0-9-]+)", r"(?iu)điều\s+(\d+[a-z]?)"
 #: Most units that a message can name, most choices offered, turns and number of focuses.
 MOST_REFERENCES, MOST_CHOICES, FOCUS_TURNS, MOST_FOCUSES = 5, 5, 5, 5
 
