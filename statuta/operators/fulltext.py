@@ -41,35 +41,50 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float
     return top_k(scores, k, ["query_id"], [F.round("score", 9).desc(), "id"])
 
 
-def vector_candidates(vectors: DataFrame, queries: DataFrame, k: int, group: str | None = None, own: bool = False, shard_rows: int = 65_536, block: int = 1024) -> DataFrame:
+def vector_candidates(vectors: DataFrame, queries: DataFrame, k: int, group: str | None = None, own: bool = False, shard_rows: int = 32_768, block: int = 8_192, cells: int = 1 << 20) -> DataFrame:
     """``query_id, id, score, rank``: exact cosine of ``vectors(id, v[, group])`` and ``queries(query_id, q)``, k best for each query and group.
 
-    Rows in shards meet queries in blocks as matrix products, and each meeting gives back k rows a query.  ``own``
-    keeps a query's own id.  Scores are rounded to 12 digits, ties go to the smaller id.
+    Rows in shards meet queries in blocks as matrix products of at most ``cells`` scores (or one query's) at a time, and each meeting gives back k rows a query.  So a worker
+    holds one shard, one block and one slice of scores, however large the tables.  ``own`` keeps a query's own id.  Scores are rounded to 12 digits, ties go to the smaller id.
     """
     n, m = vectors.count(), queries.count()
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-m // block))
     kind = F.col(group).cast("string") if group else F.lit("")
-    left = vectors.select("id", F.transform("v", lambda x: x.cast("double")).alias("v"), kind.alias("kind"), F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = queries.select("query_id", F.transform("q", lambda x: x.cast("double")).alias("q"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    left = vectors.select("id", "v", kind.alias("kind"), F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = queries.select("query_id", "q", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
     def unit(rows: pd.Series) -> np.ndarray:
-        x = np.stack(rows.to_numpy())
-        return x / np.linalg.norm(x, axis=1, keepdims=True)
+        x = np.stack(rows.to_numpy()).astype("float64")
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        return x
+
+    def best(asked: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each row of scores the k best: query, id, score."""
+        s = np.round(scores, 12)
+        key = np.where(np.isnan(s), np.inf, -s)
+        if not own:
+            key[asked[:, None] == ids[None, :]] = np.inf
+        least = np.partition(key, k - 1, axis=1)[:, k - 1 : k] if k < len(ids) else np.full((len(asked), 1), np.inf)
+        row, at = np.nonzero(key <= least)
+        if not own:
+            other = asked[row] != ids[at]
+            row, at = row[other], at[other]
+        order = np.lexsort((ids[at], key[row, at], row))
+        row, at = row[order], at[order]
+        first = np.arange(len(row)) - np.searchsorted(row, row) < k
+        return asked[row[first]], ids[at[first]], s[row[first], at[first]]
 
     def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out = [pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "kind": pd.Series([], dtype="object"), "id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})]
         if len(a) and len(b):
-            q = unit(b["q"])
+            asked, q = b["query_id"].to_numpy(), unit(b["q"])
             for name, part in a.groupby("kind"):
                 ids, v = part["id"].to_numpy(), unit(part["v"])
-                for query, scores in zip(b["query_id"].to_numpy(), q @ v.T, strict=True):
-                    s = np.round(scores, 12)
-                    ok = np.arange(len(ids)) if own else np.flatnonzero(ids != query)
-                    best = ok[np.lexsort((ids[ok], -s[ok]))[:k]]
-                    out.append(pd.DataFrame({"query_id": query, "kind": name, "id": ids[best], "score": s[best]}))
-        nothing = pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "kind": pd.Series([], dtype="object"), "id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
-        return pd.concat(out) if out else nothing
+                step = max(1, cells // len(ids))
+                found = [best(asked[i : i + step], ids, q[i : i + step] @ v.T) for i in range(0, len(asked), step)]
+                query, near, score = map(np.concatenate, zip(*found, strict=True))
+                out.append(pd.DataFrame({"query_id": query, "kind": name, "id": near, "score": score}))
+        return pd.concat(out[1:] or out)
 
     near = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(nearest, "query_id long, kind string, id long, score double")
     return top_k(near, k, ["query_id", "kind"], [F.desc("score"), "id"])
