@@ -7,6 +7,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from statuta.runtime import checkpointed
+
 
 def conforms(types: Column, plan: list[str]) -> Column:
     """Whether a path's relation types are just the plan's, step by step."""
@@ -49,6 +51,36 @@ def neighbours(edges: DataFrame, owners: DataFrame, depth: int = 2) -> DataFrame
     return seen.where("distance > 0")
 
 
+def neighbour_counts(edges: DataFrame, owners: DataFrame) -> DataFrame:
+    """``document_id, one, two``: how many nodes ``neighbours`` gives at distances 1 and 2, for each document, without the pairs of documents and nodes at distance 2.
+
+    A document that reaches one node has that node's neighbours at distance 2 or nearer, so their number is the node's degree; only those that reach several are taken node by
+    node.  Less what is nearer: own nodes with an edge to a node that isn't, and reached nodes with an edge between them, found from the end of fewer edges.
+    """
+    pair = ["document_id", "id"]
+    ends = edges.select(F.col("head_id").alias("_at"), F.col("tail_id").alias("id")).unionByName(edges.select(F.col("tail_id").alias("_at"), F.col("head_id").alias("id"))).distinct()
+    ends = checkpointed(ends)
+    degree = checkpointed(ends.groupBy("_at").agg(F.count(F.lit(1)).alias("_degree")))
+    # the only nodes that matter have edges
+    own = checkpointed(owners.select(*pair).join(degree.select(F.col("_at").alias("id")), "id", "left_semi").distinct())
+    out = checkpointed(own.withColumnRenamed("id", "_at").join(ends, "_at").select("document_id", "_at", "id").join(own, pair, "left_anti"))
+    fresh = checkpointed(out.select(*pair).distinct())
+    ones = fresh.groupBy("document_id").agg(F.count(F.lit(1)).alias("one"), F.min("id").alias("_at"))
+    single = ones.where("one = 1").join(degree, "_at").select("document_id", F.col("_degree").alias("_all"))
+    many = fresh.join(ones.where("one > 1").select("document_id"), "document_id", "left_semi").withColumnRenamed("id", "_at")
+    several = many.join(ends, "_at").select(*pair).distinct().groupBy("document_id").agg(F.count(F.lit(1)).alias("_all"))
+    # an edge between reached nodes leads from the end of fewer edges to the other
+    by = degree.select(F.col("_at").alias("id"), F.col("_degree").alias("_other"))
+    upward = ends.join(degree, "_at").join(by, "id").where(F.col("_degree") <= F.col("_other")).select("_at", "id")
+    inner = fresh.withColumnRenamed("id", "_at").join(upward, "_at").join(fresh, pair, "left_semi")
+    near = inner.select(*pair).unionByName(inner.select("document_id", F.col("_at").alias("id"))).unionByName(out.select("document_id", F.col("_at").alias("id"))).distinct()
+    nearer = near.groupBy("document_id").agg(F.count(F.lit(1)).alias("_near"))
+    two = single.unionByName(several).join(nearer, "document_id").select("document_id", (F.col("_all") - F.col("_near")).alias("two"))
+    zero = F.lit(0).cast("long")
+    found = ones.select("document_id", "one").join(two, "document_id", "left")
+    return owners.select("document_id").distinct().join(found, "document_id", "left").select("document_id", F.coalesce("one", zero).alias("one"), F.coalesce("two", zero).alias("two"))
+
+
 def shape_error(nodes: Column, edges: Column, description: Column, known: list[str]) -> Column:
     """The first fault of a path's shape, null for none: its edges ``(id, type, head, tail)`` against its nodes, in order of the path.
 
