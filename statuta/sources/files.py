@@ -29,6 +29,16 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return meta.select(F.element_at(parts, -2).alias("code"), "title", "number", "doc_type")
 
 
+def packed_manifest(packed: DataFrame) -> DataFrame:
+    """As ``manifest`` of folders that are packed: rows ``file, content``, a file's path and text; only each folder's ``metadata.json`` counts.
+
+    A file for each of many documents costs a listing and an opening each, and the driver must know them all; packed ones are read by size.
+    """
+    parts = F.split("file", "/")
+    meta = packed.where(F.element_at(parts, -1) == "metadata.json").select(F.get(parts, F.size(parts) - 2).alias("code"), F.from_json("content", "title string, number string, doc_type string").alias("m"))
+    return meta.select("code", "m.title", "m.number", "m.doc_type")
+
+
 def search_pages(pages: DataFrame) -> DataFrame:
     """``pages(page_index, pos, url)`` with ``duplicate``: whether the URL came on an earlier place."""
     from pyspark.sql import Window
