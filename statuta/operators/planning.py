@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statuta.operators.validity import valid_on
+from statuta.runtime import checkpointed
 
 
 def path_outcomes(anchors: DataFrame, paths: DataFrame, dated: DataFrame, day: date, budget: int) -> DataFrame:
@@ -29,35 +30,47 @@ REASONS = ("INVALID_PLAN", "PATH_BUDGET_EXCEEDED", "NO_PATH", "TEMPORAL_REJECTED
 MOST_STEPS = 3
 
 
+def _walks(starts: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``anchor, steps, target, nodes, types, since``: all paths of the steps from each of ``starts(anchor, steps)``, whatever their end."""
+    labels = nodes.select(F.col("id").alias("b"), "label")
+    # a walk's rows repeat their steps, so they take far more memory than the packed size tells by which Spark would broadcast them: they are always merged
+    level = starts.select("anchor", "steps", F.col("anchor").alias("a"), F.array("anchor").alias("nodes"), F.array().cast("array<string>").alias("types"), F.lit(None).cast("date").alias("last"))
+    for i in range(MOST_STEPS):
+        step = F.get("steps", F.lit(i))
+        key = {"type": step["relation"], "way": step["direction"], "label": step["label"]}
+        # kinds of step are few: edges and nodes of other kinds leave before they are shuffled
+        kinds = F.broadcast(starts.where(F.size("steps") > i).select(*[v.alias(k) for k, v in key.items()]).distinct())
+        out = F.col("way") == "outgoing"
+        used = edges.join(kinds, "type").select(F.when(out, F.col("head_id")).otherwise(F.col("tail_id")).alias("a"), "type", "way", "label", F.when(out, F.col("tail_id")).otherwise(F.col("head_id")).alias("b"), F.col("effective_from").alias("since"))
+        used = used.join(labels.join(kinds, "label", "left_semi"), ["b", "label"], "left_semi")
+        # a walk that has ended has no further kind, meets nothing and stays
+        near = level.withColumns(key).hint("merge").join(used, ["a", *key], "left").where((F.size("steps") <= i) | ~F.array_contains("nodes", F.col("b")))
+        more = F.col("b").isNotNull()
+        level = near.select("anchor", "steps", F.coalesce("b", "a").alias("a"), F.when(more, F.array_append("nodes", F.col("b"))).otherwise(F.col("nodes")).alias("nodes"), F.when(more, F.array_append("types", F.col("type"))).otherwise(F.col("types")).alias("types"), F.greatest("last", "since").alias("last"))
+    return level.select("anchor", "steps", F.col("a").alias("target"), "nodes", "types", F.col("last").alias("since"))
+
+
 def executed(plans: DataFrame, edges: DataFrame, nodes: DataFrame, budget: int = 20) -> DataFrame:
     """``plan_id, reason, nodes, types, citable``: what came of each plan, and its one path where it was satisfied.
 
     A plan is ``plan_id, anchor, target, steps, query_date``, its steps two or three ``relation, direction, label``; a null target is any node of the last label.  All plans
-    run together, step by step: a path follows the step's relation in its direction to a node of its label and meets no node twice.  ``edges`` is ``head_id, type, tail_id,
-    effective_from``, ``nodes`` is ``id, label, citable, effective_from, effective_to``.  More paths than the budget are an error of the plan before dates
-    are looked at; paths that differ in parallel edges alone are one.
+    run together, step by step: a path follows the step's relation in its direction to a node of its label and meets no node twice.  Plans of one anchor and the same steps
+    are walked once, and then meet the ends of the walk by their targets.  ``edges`` is ``head_id, type, tail_id, effective_from``, ``nodes`` is ``id, label, citable,
+    effective_from, effective_to``.  More paths than the budget are an error of the plan before dates are looked at; paths that differ in parallel edges alone are one.
     """
     if not 1 <= budget <= 100:
         raise ValueError("the path budget must be between 1 and 100")
     shape = F.coalesce(F.size("steps"), F.lit(0)).between(2, MOST_STEPS) & F.forall("steps", lambda s: s["direction"].isin("outgoing", "incoming") & s["relation"].isNotNull() & s["label"].isNotNull()) & F.col("anchor").isNotNull()
     judged = plans.withColumn("_fine", F.coalesce(shape, F.lit(False)))
-    sides = edges.select(F.col("head_id").alias("a"), "type", F.lit("outgoing").alias("way"), F.col("tail_id").alias("b"), F.col("effective_from").alias("since")).unionByName(
-        edges.select(F.col("tail_id").alias("a"), "type", F.lit("incoming").alias("way"), F.col("head_id").alias("b"), F.col("effective_from").alias("since"))
-    )
-    labels = nodes.select(F.col("id").alias("b"), "label").distinct()
-    level = judged.where("_fine").select("plan_id", "steps", "target", F.array("anchor").alias("nodes"), F.array().cast("array<string>").alias("types"), F.lit(None).cast("date").alias("since"))
-    done = None
-    for i in range(MOST_STEPS):
-        at = level.where(F.size("steps") > i).withColumns({"a": F.element_at("nodes", -1), "type": F.get("steps", F.lit(i))["relation"], "way": F.get("steps", F.lit(i))["direction"], "label": F.get("steps", F.lit(i))["label"], "last": F.col("since")}).drop("since")
-        level = at.join(sides, ["a", "type", "way"]).join(labels, ["b", "label"], "left_semi").where(~F.array_contains("nodes", F.col("b")) & ((F.size("steps") > i + 1) | F.col("target").isNull() | (F.col("target") == F.col("b"))))
-        level = level.select("plan_id", "steps", "target", F.array_append("nodes", F.col("b")).alias("nodes"), F.array_append("types", F.col("type")).alias("types"), F.greatest("last", "since").alias("since"))
-        if i:
-            ended = level.where(F.size("steps") == i + 1).select("plan_id", "nodes", "types", "since")
-            done = ended if done is None else done.unionByName(ended)
-    dates = nodes.groupBy(F.col("id").alias("_id")).agg(F.min("label").alias("label"), F.max("citable").alias("citable"), F.min("effective_from").alias("effective_from"), F.max("effective_to").alias("effective_to"))
+    asked = judged.where("_fine").select("plan_id", "anchor", "target", "steps", "query_date")
+    ways = _walks(asked.select("anchor", "steps").distinct(), edges, nodes).hint("merge")
+    aimed, free = ways.join(asked.where("target is not null"), ["anchor", "steps", "target"]), ways.drop("target").join(asked.where("target is null"), ["anchor", "steps"])
+    done = aimed.select("plan_id", "query_date", "nodes", "types", "since").unionByName(free.select("plan_id", "query_date", "nodes", "types", "since"))
+    done = checkpointed(done)
     counted = done.groupBy("plan_id").agg(F.count(F.lit(1)).alias("n"))
     # the nodes of no more paths than the budget are looked at
-    few = done.join(counted.where(F.col("n") <= budget), "plan_id", "left_semi").join(judged.select("plan_id", "query_date"), "plan_id")
+    few = done.join(counted.where(F.col("n") <= budget), "plan_id", "left_semi")
+    dates = nodes.withColumnRenamed("id", "_id").join(few.select(F.explode("nodes").alias("_id")).distinct(), "_id", "left_semi").groupBy("_id").agg(F.min("label").alias("label"), F.max("citable").alias("citable"), F.min("effective_from").alias("effective_from"), F.max("effective_to").alias("effective_to"))
     on = few.select("plan_id", "nodes", "types", "since", "query_date", F.posexplode("nodes").alias("_n", "_id")).join(dates, "_id", "left")
     valid = F.col("query_date").isNull() | ~F.coalesce(F.col("label").isin(*DATED), F.lit(False)) | valid_on(F.col("query_date"))
     paths = on.groupBy("plan_id", "nodes", "types", "since", "query_date").agg(F.bool_and(valid).alias("_ok"), F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col("citable").isNotNull(), F.struct("_n", "citable")))), lambda x: x["citable"])).alias("citable"))
