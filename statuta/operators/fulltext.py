@@ -19,25 +19,28 @@ def tokens(text: Column) -> Column:
 
 
 def postings(docs: DataFrame, asked: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``term, id, tf, len`` of the terms in ``asked(term)`` alone; the others go before anything is grouped."""
+    """``term, id, tf, len`` of the terms in ``asked(term)`` alone; the others go before anything is shuffled.  A document's postings lie together."""
     words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w")).select("id", F.size("w").alias("len"), F.explode("w").alias("term"))
-    return words.join(asked, "term", "left_semi").groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
+    return words.join(asked, "term", "left_semi").repartition("id").groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, id_col: str = "doc_id", text_col: str = "text", most_terms: int = 200_000) -> DataFrame:
     """``query_id, id, score, rank``: the k best documents of ``queries(query_id, text)`` by BM25.
 
-    Only the postings of terms that some question asks for are made and scored.  Corpus counts are one row.
+    Only the postings of terms that some question asks for are made and scored.  Corpus counts are one row.  Up to ``most_terms`` terms of questions go to the documents, whose
+    scores are added where their postings lie, so that pairs of questions and documents are never shuffled; more are joined by shuffles.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    hits = postings(docs, terms.select("term").distinct(), id_col, text_col)
+    near = F.broadcast if terms.count() <= most_terms else lambda x: x
+    hits = postings(docs, near(terms.select("term").distinct()), id_col, text_col)
     n_words = F.regexp_count(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(WORD))
     corpus = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(n_words).alias("mean_len"))
-    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # counted by the column that scores read as well, so that both share one shuffle of words
+    df = hits.groupBy("term").agg(F.count("len").alias("df"))
     idf = F.log(1.0 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * (1.0 - b + b * F.col("len") / F.col("mean_len")))
-    weighed = hits.join(df, "term").crossJoin(F.broadcast(corpus)).select("term", "id", part.alias("part"))
-    scores = weighed.join(terms, "term").groupBy("query_id", "id").agg(F.sum("part").alias("score"))
+    asked = near(terms.join(df, "term"))
+    scores = hits.join(asked, "term").crossJoin(F.broadcast(corpus)).groupBy("query_id", "id").agg(F.sum(part).alias("score"))
     return top_k(scores, k, ["query_id"], [F.round("score", 9).desc(), "id"])
 
 
