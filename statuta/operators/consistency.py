@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from statuta.runtime import checkpointed
+
 
 def _key(*names: str) -> Column:
     """The key of a group within its document; a missing level is one of its own."""
@@ -22,6 +24,8 @@ def problems(units: DataFrame) -> DataFrame:
     them in the others).  Faults: duplicate_article (a number twice in a part), duplicate_part, duplicate_subsection; section_missing_part, subsection_missing_section,
     article_missing_part, article_missing_section, article_missing_subsection (what they name isn't there), subsection_without_section.
     """
+    # each check reads them, and the texts that they were parsed from are far larger
+    units = checkpointed(units)
     parts = _keys(units.withColumn("part", F.col("number")), "Part", "part")
     sections = _keys(units.withColumn("section", F.col("number")), "Section", "part", "chapter", "section")
     subsections = _keys(units.withColumn("subsection", F.col("number")), "Subsection", "part", "chapter", "section", "subsection")
