@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from statuta.operators import citations
 from statuta.plans import templates as T
 from statuta.plans.registry import query
-from statuta.sources.outlines import LAWS_SQL, PLACES, laws
+from statuta.sources.outlines import LAWS_SQL, PLACES, laws, numbers
 
 KEY = T.KEY
 
@@ -53,9 +53,7 @@ SELECT doc_id, pos::BIGINT AS pos, kind, CASE WHEN every THEN 'RESOLVED' ELSE 'U
 CASE WHEN every THEN ids END AS targets, CASE WHEN kind = 'external_article' AND doc_id = 0 THEN 'LOCAL' ELSE scope END AS scope, is_self = 'true' AS is_self FROM r""")
 def ref2_resolved_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """REF1 to REF6, ARR2, JON8, JON9: mentions of 24 kinds and what they resolve to in the registry, all targets or none."""
-    units = laws(spark, sf_dir)
-    documents = units.where("kind = 'Document'").select(F.concat(F.substr("document_id", F.lit(2)), F.lit("/2020/QH14")).alias("number"), "document_id")
-    out = citations.resolved(_cited(spark, sf_dir), units, documents, [KEY])
+    out = citations.resolved(_cited(spark, sf_dir), laws(spark, sf_dir), numbers(spark, sf_dir), [KEY])
     return out.select(KEY, F.col("pos").cast("long").alias("pos"), "kind", "status", "reason", F.array_join("targets", ",").alias("targets"), "scope", "is_self")
 
 
