@@ -41,12 +41,12 @@ def ing1_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {LAW_SQL}, a AS (SELECT DISTINCT doc_id, o_orderkey FROM clause), c AS (SELECT doc_id, o_orderkey, n, length(n || '. Part ' || l_partkey || ' per điểm a khoản 1 Điều ' || l_partkey || chr(10) || 'a) point of ' || n) AS len FROM clause)
 SELECT doc_id || '_art' || o_orderkey AS unit_id, (length('Điều ' || o_orderkey || '. Order') + sum(len + 1))::BIGINT AS n_chars FROM c GROUP BY doc_id, o_orderkey""")
 def ing5_article_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hierarchy.parse(laws(spark, sf_dir)).where("label = 'Article'").select("unit_id", (F.col("end_char") - F.col("start_char")).alias("n_chars"))
+    return hierarchy.spans(laws(spark, sf_dir)).where("label = 'Article'").select("unit_id", (F.col("end_char") - F.col("start_char")).alias("n_chars"))
 
 
 @query(f"""WITH {LAW_SQL} SELECT doc_id || '_art' || o_orderkey || '_cl' || n || '_pa' AS unit_id, doc_id || '_art' || o_orderkey || '_cl' || n || ',' || doc_id || '_art' || o_orderkey || ',' || doc_id AS chain FROM clause""")
 def grf20_ancestor_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chains = hierarchy.ancestors(hierarchy.parse(laws(spark, sf_dir)))
+    chains = hierarchy.ancestors(hierarchy.spans(laws(spark, sf_dir)))
     return chains.where(F.col("unit_id").endswith("_pa")).select("unit_id", F.array_join("chain", ",").alias("chain"))
 
 

@@ -126,9 +126,11 @@ def ref8_reference_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ref7_unit_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     from statuta.operators import hierarchy
 
-    u = hierarchy.parse(laws(spark, sf_dir)).select("unit_id", "label", "parent_id", (F.col("end_char") - F.col("start_char")).alias("n"))
-    inner = u.where("label = 'Clause'").groupBy(F.col("parent_id").alias("unit_id")).agg(F.sum("n").alias("inner"))
-    return u.where("label = 'Article'").join(inner, "unit_id", "left").select("unit_id", (F.col("n") - F.coalesce("inner", F.lit(0))).alias("own_chars"))
+    n = F.col("end_char") - F.col("start_char")
+    u = hierarchy.spans(laws(spark, sf_dir)).where("label in ('Article', 'Clause')").withColumn("article", F.when(F.col("label") == "Article", F.col("unit_id")).otherwise(F.col("parent_id")))
+    # an article meets its clauses in one pass over the units
+    sums = u.groupBy(F.col("article").alias("unit_id")).agg(F.collect_list(F.when(F.col("label") == "Article", n)).alias("whole"), F.sum(F.when(F.col("label") == "Clause", n)).alias("inner"))
+    return sums.select("unit_id", "inner", F.explode("whole").alias("n")).select("unit_id", (F.col("n") - F.coalesce("inner", F.lit(0))).alias("own_chars"))
 
 
 @query("""SELECT l_orderkey AS bundle, concat_ws(',', CASE WHEN count(DISTINCT l_suppkey) < count(*) THEN 'repeated_target' END, CASE WHEN count(*) > 5 THEN 'too_many' END, CASE WHEN bool_or(l_quantity < 3) THEN 'weak_evidence' END, CASE WHEN bool_or(l_shipdate >= TIMESTAMP '2001-01-01') THEN 'not_yet_effective' END) AS reasons FROM lineitem GROUP BY l_orderkey""")

@@ -68,7 +68,7 @@ def statutes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
 
 def registry(texts: DataFrame, documents: DataFrame) -> DataFrame:
     """``id, type, document_id, article_id, number`` of the parsed texts' units and of documents, and units' places ``start, end``."""
-    units = hierarchy.parse(texts)
+    units = hierarchy.spans(texts)
     article = F.when(F.col("label") == "Article", F.col("unit_id")).when(F.col("label") == "Clause", F.col("parent_id"))
     found = units.select(F.col("unit_id").alias("id"), F.col("label").alias("type"), F.col("doc_id").cast("string").alias("document_id"), article.alias("article_id"), "number", F.col("start_char").alias("start"), F.col("end_char").alias("end"))
     none = F.lit(None)
