@@ -21,19 +21,27 @@ def text_map(**values: Column) -> Column:
     return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
 
 
-def merged_nodes(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The nodes merged, ``id, type, properties``, and what contradicts itself, ``id, property, error``.
+def merged(nodes: DataFrame) -> DataFrame:
+    """``id, type, properties, conflicts``: the nodes merged, and what contradicts itself as an array of ``property, error``, all in one pass.
 
     Of a property the value of the best source counts.  Where sources of the same rank differ the property is in conflict and the least value stands; where types
     differ the best source's type stands and ``type`` is in conflict.  A node of properties alone in none keeps an empty map.
     """
     entries = nodes.select("id", "source", F.explode(F.map_entries("properties")).alias("e")).select("id", "source", "e.key", "e.value").unionByName(nodes.select("id", "source", F.lit("\x00type").alias("key"), F.col("type").alias("value")))
-    best = entries.groupBy("id", "key", "source").agg(F.min("value").alias("value"), F.max("value").alias("top"), F.count_distinct("value").alias("n")).groupBy("id", "key").agg(F.min(F.struct("source", "value", "n")).alias("b"), F.min("value").alias("_least"), F.max("top").alias("_most"))
+    # the least and the greatest value of the best source, nulls aside
+    least, greatest = F.min(F.struct("source", F.col("value").isNull().alias("no"), "value")), F.max(F.struct((-F.col("source")).alias("source"), F.col("value").isNotNull().alias("yes"), "value"))
+    best = entries.groupBy("id", "key").agg(least["value"].alias("value"), greatest["value"].alias("top"), F.min("value").alias("_least"), F.max("value").alias("_most"))
     is_type = F.col("key") == "\x00type"
-    conflict = best.where((F.col("b.n") > 1) | (is_type & (F.col("_least") != F.col("_most")))).select("id", F.when(is_type, "type").otherwise(F.col("key")).alias("property"), F.when(is_type, "types_differ").otherwise("values_differ").alias("error"))
-    pairs = F.array_sort(F.collect_list(F.when(~is_type, F.struct("key", F.col("b.value").alias("value")))))
-    whole = best.groupBy("id").agg(F.max(F.when(is_type, F.col("b.value"))).alias("type"), F.map_from_entries(pairs).alias("properties"))
-    return whole, conflict
+    differ = (F.col("value") != F.col("top")) | (is_type & (F.col("_least") != F.col("_most")))
+    conflict = F.struct(F.when(is_type, "type").otherwise(F.col("key")).alias("property"), F.when(is_type, "types_differ").otherwise("values_differ").alias("error"))
+    pairs = F.array_sort(F.collect_list(F.when(~is_type, F.struct("key", "value"))))
+    return best.groupBy("id").agg(F.max(F.when(is_type, F.col("value"))).alias("type"), F.map_from_entries(pairs).alias("properties"), F.collect_list(F.when(differ, conflict)).alias("conflicts"))
+
+
+def merged_nodes(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``merged`` as two tables: the nodes, ``id, type, properties``, and their conflicts, ``id, property, error``."""
+    both = merged(nodes)
+    return both.drop("conflicts"), both.select("id", F.explode("conflicts").alias("c")).select("id", "c.property", "c.error")
 
 
 def concept_id(name: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statuta.operators import payload
-from statuta.plans.provider_queries import CANDIDATES_SQL, _candidates
+from statuta.plans.provider_queries import CANDIDATES_SQL, _candidates, _registry
 from statuta.plans.registry import query
 from statuta.runtime import checkpointed, table
 from statuta.sources.lines import canonical
@@ -35,11 +35,11 @@ SELECT id, 'LegalConcept' AS type, 2::BIGINT AS properties, CASE WHEN n > 1 THEN
 UNION ALL SELECT id, type, 2, '', regexp_extract(id, '([0-9]+)$', 1) FROM sunits UNION ALL SELECT doc_id::VARCHAR, 'Document', 2, '', doc_id || '/2020/QH14' FROM documents""")
 def grf16_payload_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GRF16: every node of the payload, merged property by property, and the properties in conflict."""
-    _, registry = _candidates(spark, sf_dir)
-    whole, conflicts = payload.merged_nodes(_nodes(spark, sf_dir, registry, _defined(spark, sf_dir)))
-    told = conflicts.groupBy("id").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(":", "property", "error"))), ",").alias("conflicts"))
+    _, _, registry = _registry(spark, sf_dir)
+    whole = payload.merged(_nodes(spark, sf_dir, registry, _defined(spark, sf_dir)))
+    told = F.array_join(F.array_sort(F.array_distinct(F.transform("conflicts", lambda c: F.concat_ws(":", c["property"], c["error"])))), ",")
     shown = F.coalesce(F.try_element_at("properties", F.lit("label")), F.try_element_at("properties", F.lit("number")))
-    return whole.join(told, "id", "left").select("id", "type", F.size("properties").cast("long").alias("properties"), F.coalesce("conflicts", F.lit("")).alias("conflicts"), shown.alias("shown"))
+    return whole.select("id", "type", F.size("properties").cast("long").alias("properties"), told.alias("conflicts"), shown.alias("shown"))
 
 
 @query(f"""WITH {NODES_SQL}, units_ AS (SELECT id, type FROM sunits UNION ALL SELECT doc_id::VARCHAR, 'Document' FROM documents),

@@ -23,11 +23,16 @@ cand AS (SELECT link_id, document_id, start, citation, relation, CASE WHEN quote
    WHEN n_items > 0 AND n_items <> n_found THEN 'target_provider_item_unresolved' ELSE 'provider_endpoints_resolved' END AS reason, target FROM owned)"""
 
 
-def _candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The candidates of all links, and the registry; both are read more than once and kept."""
+def _registry(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The texts, their links, and the registry; texts and registry are read more than once and kept."""
     texts, links, documents = source.statutes(spark, sf_dir)
     texts = checkpointed(texts)
-    registry = checkpointed(source.registry(texts, documents))
+    return texts, links, checkpointed(source.registry(texts, documents))
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The candidates of all links, and the registry."""
+    texts, links, registry = _registry(spark, sf_dir)
     return checkpointed(provider.candidates(links, texts, registry)), registry
 
 
